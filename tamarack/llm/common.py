@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,3 +43,16 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once a session, unless their ``PYTHONPATH`` names its folder anyway."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark, "_tamarack_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="tamarack-")) / "tamarack_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "tamarack").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    spark._tamarack_shipped = True

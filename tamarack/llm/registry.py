@@ -1,13 +1,40 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from tamarack.llm import license_scans, line_dedup, quality_rules
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tamarack.llm import fingerprints, license_scans, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scans
+from tamarack.llm.common import ship
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op2_line_dedup": line_dedup.op2_line_dedup,
-    "op9_quality_rules": quality_rules.op9_quality_rules,
-    "op10_license_scans": license_scans.op10_license_scans,
+    f.__name__: _shipped(f)
+    for f in (
+        fingerprints.op1_fingerprints,
+        line_dedup.op2_line_dedup,
+        mixing.op3_mixing,
+        secret_scans.op5_secret_scans,
+        packing.op6_packing,
+        ngram_join.op8_ngram_join,
+        quality_rules.op9_quality_rules,
+        license_scans.op10_license_scans,
+    )
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_mixing": mixing.ORACLE,
 }
