@@ -3,8 +3,8 @@
 Pages are grouped by host.  A line's ratio is the number of the host's pages that hold it, divided by the host's pages;
 lines above the limit are dropped from every page of the host.  Lines are counted under a 128-bit hash of two 64-bit
 ones, pre-aggregated before the shuffle.  As the ratios of a host's lines sum to its mean number of lines a page, a host
-has at most (mean lines) / ratio such lines: a bounded list that is joined to the pages by host.  A host with a third
-of all pages is split by Spark's skew join; the list side is one row.
+has at most (mean lines) / ratio such lines: a bounded list that is joined to the pages by host.  The pages
+of a host are dealt to ``SALTS`` parts there, as one host may hold a third of all pages; the list is repeated for each.
 
 Defined cases: a null text stays null; lines are compared as they are, but for white space at their ends; lines without
 a word are kept and not counted; a null host is a host of its own; hosts with fewer than ``min_pages`` pages are left
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tamarack.llm.common import free_name
 
 RATIO, MIN_PAGES = 0.2, 5
+#: Parts into which a host's pages are dealt when they meet its list.
+SALTS = 64
 
 
 def _key(line: str) -> str:
@@ -41,8 +43,11 @@ def line_dedup(pages: DataFrame, host: Column, text: str = "text", ratio: float
     known = frequent_lines(pages, host, text, ratio, min_pages)
     h, lines, kept = (free_name(pages, n) for n in ("_host", "_lines", "_kept"))
     known = known.select(F.col("host").alias(h + "k"), F.col("lines").alias(lines))
-    d = pages.withColumn(h, host)
-    d = d.join(known, d[h].eqNullSafe(F.col(h + "k")), "left")
+    # the few rows of the lists are repeated for each salt, so that a host's pages go to as many tasks
+    salt = free_name(pages, "_salt")
+    known = known.withColumn(salt + "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = pages.withColumn(h, host).withColumn(salt, F.pmod(F.xxhash64(text, *pages.columns[:1]), F.lit(SALTS)).cast("int"))
+    d = d.join(known, d[h].eqNullSafe(F.col(h + "k")) & (d[salt] == F.col(salt + "k")), "left")
     d = d.withColumn(kept, F.expr(f"filter(split(`{text}`, '\\n'), x -> NOT array_contains({lines}, {_key('x')}))"))
     new = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     out = [new.alias(c) if c == text else F.col(c) for c in pages.columns]
