@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import fingerprints, license_scans, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scans
+from tamarack.llm import fingerprints, license_scans, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scans, substring_dedup, toxicity
 from tamarack.llm.common import ship
 
 
@@ -26,8 +26,10 @@ QUERIES = {
         fingerprints.op1_fingerprints,
         line_dedup.op2_line_dedup,
         mixing.op3_mixing,
+        toxicity.op4_toxicity,
         secret_scans.op5_secret_scans,
         packing.op6_packing,
+        substring_dedup.op7_substring_dedup,
         ngram_join.op8_ngram_join,
         quality_rules.op9_quality_rules,
         license_scans.op10_license_scans,
