@@ -1,4 +1,529 @@
-"""All queries of the core library and their DuckDB SQL, kept together so that names cannot drift."""
+"""All queries of the core library with their DuckDB SQL, kept together so that names cannot drift.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each query is an operator applied to whole driver tables that stand in for the question corpus: ``documents`` for
+question blocks, ``events`` for answers (type: module, ``props.k``: score, right from 50 on), ``orders`` and
+``lineitem`` for papers and their questions, ``part`` for the lists.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tamarack.functions import answers as A, dates as D, text as T
+from tamarack.operators import corpus, labels, media, search, study
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TODAY = date(2024, 1, 30)
+K = A.json_long("props", "$.k")
+RIGHT = K >= 50
+SQL_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+SQL_DAY = "CAST(ts + INTERVAL 8 HOUR AS DATE)"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# corpus: fingerprints, merging, conflicts, counts
+
+SQL_NORM = r"lower(regexp_replace(coalesce(text, ''), '[\s\x{0b}\x{85}\p{Z}✅]', '', 'g'))"
+
+
+@query(f"SELECT substr(sha256({SQL_NORM} || '|'), 1, 32) AS fingerprint, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def content_fingerprint_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("fingerprint"))
+    return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query(rf"SELECT count(DISTINCT {SQL_NORM}) AS with_punctuation, count(DISTINCT regexp_replace({SQL_NORM}, '[\p{{P}}\p{{S}}]', '', 'g')) AS without_punctuation FROM documents")
+def fingerprint_definitions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.countDistinct(T.content_hash("text")).alias("with_punctuation"), F.countDistinct(T.content_hash("text", punctuation=False)).alias("without_punctuation"))
+
+
+@query("SELECT p_name, p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1")
+def first_writer_wins(spark, sf_dir):
+    return corpus.first_writer_wins(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
+
+
+@query("SELECT p_name, p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) = 1")
+def last_writer_wins(spark, sf_dir):
+    return corpus.last_writer_wins(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 1")
+def idempotent_append(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return corpus.new_rows(p.where("p_partkey % 2 = 0"), p, ["p_partkey"], ["p_name"])
+
+
+@query("SELECT l_partkey, count(*) AS ref_count, max(CAST(l_returnflag = 'R' AS INT)) AS in_r, max(CAST(l_returnflag = 'A' AS INT)) AS in_a FROM lineitem GROUP BY l_partkey")
+def reference_counts(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").cast("int").alias("in_r"), (F.col("l_returnflag") == "A").cast("int").alias("in_a"))
+    return corpus.reference_counts(l, "l_partkey", ["in_r", "in_a"])
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS distinct_keys, count(DISTINCT CASE WHEN l_discount > 0.05 THEN l_orderkey END) AS discounted FROM lineitem GROUP BY 1")
+def conditional_distinct(spark, sf_dir):
+    return corpus.conditional_distinct(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", discounted=F.col("l_discount") > 0.05)
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 12")
+def breakdown_top(spark, sf_dir):
+    return corpus.breakdown(table(spark, sf_dir, "part"), "p_type", 12)
+
+
+@query("""SELECT 'p_name->p_brand' AS direction, p_name AS key, count(DISTINCT p_brand) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
+UNION ALL SELECT 'p_brand->p_name', p_brand, count(DISTINCT p_name) FROM part GROUP BY p_brand HAVING count(DISTINCT p_name) > 1""")
+def key_conflicts_both_ways(spark, sf_dir):
+    return corpus.key_conflicts(table(spark, sf_dir, "part"), "p_name", "p_brand")
+
+
+@query("SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n_values, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS all_values FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) >= 2")
+def conflict_list_agg(spark, sf_dir):
+    return corpus.conflict_list(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_id LIMIT 20")
+def top_duplicates(spark, sf_dir):
+    return corpus.top_duplicates(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("fingerprint")), "fingerprint", 20)
+
+
+@query("""WITH m AS (SELECT count(*) AS n_docs, count(DISTINCT text) AS n_texts, count(*) - count(DISTINCT text) AS merged, sum(CAST(n_chars < 1 AS INT)) AS empty_texts FROM documents)
+SELECT 'n_docs' AS metric, n_docs AS actual, NULL::BIGINT AS expected, true AS ok FROM m UNION ALL SELECT 'n_texts', n_texts, NULL, true FROM m
+UNION ALL SELECT 'merged', merged, 0, merged = 0 FROM m UNION ALL SELECT 'empty_texts', CAST(empty_texts AS BIGINT), 0, empty_texts = 0 FROM m""")
+def contract_expectations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"), F.countDistinct("text").alias("n_texts"), F.count_if(F.col("n_chars") < 1).alias("empty_texts"))
+    d = d.withColumn("merged", F.col("n_docs") - F.col("n_texts"))
+    return corpus.expectations(d, {"n_docs": None, "n_texts": None, "merged": 0, "empty_texts": 0})
+
+
+@query("SELECT (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS items, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages")
+def overview_counts(spark, sf_dir):
+    names = {"parts": "part", "orders": "orders", "items": "lineitem", "documents": "documents", "events": "events", "labels": "labels", "pages": "pages"}
+    ones = [table(spark, sf_dir, t).agg(F.count("*").alias(n)) for n, t in names.items()]
+    out = ones[0]
+    for one in ones[1:]:
+        out = out.join(one)  # one row each
+    return out
+
+
+# study: latest rows, activity, streaks, windows, review
+
+
+@query("SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_per_user(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return study.latest(e, ["user_id"], "event_id")
+
+
+@query(f"SELECT {SQL_DAY} AS day, count(*) AS answered, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS BIGINT) AS correct, round(sum(value), 4) AS duration, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def daily_activity_utc8(spark, sf_dir):
+    return study.daily_activity(table(spark, sf_dir, "events"), "user_id", "ts", RIGHT, "value")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT user_id, {SQL_DAY} AS day FROM events WHERE {SQL_K} >= 80),
+r AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS run FROM d),
+g AS (SELECT user_id, run, count(*) AS n, max(day) AS last FROM r GROUP BY 1, 2)
+SELECT user_id, max(n) AS longest, coalesce(max(CASE WHEN last >= DATE '2024-01-29' THEN n END), 0) AS current, max(last = DATE '2024-01-30') AS practiced_today FROM g GROUP BY 1""")
+def streak_longest_current(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where(K >= 80).select("user_id", D.local_day("ts").alias("day"))
+    return study.streaks(e, "user_id", F.lit(TODAY))
+
+
+@query(f"""WITH s AS (SELECT CAST(unnest(generate_series(DATE '2023-11-02', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), e AS (SELECT {SQL_DAY} AS day, count(*) AS n FROM events WHERE user_id = 8 GROUP BY 1)
+SELECT s.day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN n < 5 THEN 1 WHEN n < 20 THEN 2 WHEN n < 50 THEN 3 ELSE 4 END AS level FROM s LEFT JOIN e ON s.day = e.day""")
+def trend_day_spine(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("user_id = 8").groupBy(D.local_day("ts").alias("day")).agg(F.count("*").alias("n"))
+    return study.with_all(e, study.day_spine(spark, date(2023, 11, 2), TODAY), "day", ["n"]).withColumn("level", D.activity_level("n"))
+
+
+def _days(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", D.local_day("ts").alias("day")).agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("duration_ms"), F.countDistinct("event_type").alias("sessions"))
+
+
+def _period_sql() -> str:
+    spans = {"period": "day BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'", "previous": "day >= DATE '2024-01-17' AND day < DATE '2024-01-24'", "today": "day = DATE '2024-01-30'", "lifetime": "true"}
+    sums = [f"CAST(coalesce(sum(CASE WHEN {w} THEN {c} END), 0) AS BIGINT) AS {n}_{c}" for n, w in spans.items() for c in ("answered", "correct", "duration_ms", "sessions")]
+    rates = [f"CASE WHEN {n}_answered > 0 THEN CAST({n}_correct AS DOUBLE) * 100 / {n}_answered END AS {n}_accuracy" for n in spans]
+    return f"""WITH d AS (SELECT user_id, {SQL_DAY} AS day, count(*) AS answered, count(*) FILTER ({SQL_K} >= 50) AS correct, sum(CAST(round(value * 1000) AS BIGINT)) AS duration_ms, count(DISTINCT event_type) AS sessions FROM events GROUP BY 1, 2),
+    g AS (SELECT user_id, {', '.join(sums)} FROM d GROUP BY 1) SELECT *, {', '.join(rates)} FROM g"""
+
+
+@query(_period_sql())
+def period_vs_previous(spark, sf_dir):
+    return study.period_totals(_days(spark, sf_dir), *D.window_days(TODAY, 7))
+
+
+@query(f"""WITH m(module, place) AS (VALUES ('signup', 0), ('view', 1), ('click', 2), ('purchase', 3), ('error', 4), ('refund', 5)),
+g AS (SELECT event_type AS module, count(*) AS answered, count(*) FILTER ({SQL_K} >= 50) AS correct, count(DISTINCT user_id) AS sessions FROM events WHERE {SQL_DAY} BETWEEN DATE '2024-01-24' AND DATE '2024-01-30' GROUP BY 1)
+SELECT m.module, place, coalesce(answered, 0) AS answered, coalesce(correct, 0) AS correct, coalesce(sessions, 0) AS sessions, coalesce(answered, 0) >= 5 AS sufficient FROM m LEFT JOIN g ON m.module = g.module""")
+def module_window_stats(spark, sf_dir):
+    modules = spark.createDataFrame([(m, i) for i, m in enumerate(("signup", "view", "click", "purchase", "error", "refund"))], "module string, place int")
+    e = table(spark, sf_dir, "events").where(D.local_day("ts").between(date(2024, 1, 24), TODAY))
+    g = e.groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"), F.countDistinct("user_id").alias("sessions"))
+    return study.with_all(g, modules, "module", ["answered", "correct", "sessions"]).withColumn("sufficient", F.col("answered") >= 5)
+
+
+@query(f"SELECT user_id, count(*) AS answered, count(*) FILTER ({SQL_K} >= 50) AS correct, round(CAST(count(*) FILTER ({SQL_K} >= 50) AS DOUBLE) / count(*), 6) AS ratio FROM events GROUP BY 1 HAVING count(*) >= 5 ORDER BY ratio, user_id LIMIT 3")
+def weak_topk(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"))
+    return study.weakest(g, "correct", "answered", 5, 3, "user_id")
+
+
+@query(f"SELECT user_id, event_type, event_id, {SQL_K} AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ({SQL_K} < 50) DESC, ts DESC, event_id DESC) = 1")
+def attempt_progress(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("score", K)
+    return study.chosen_row(e, ["user_id", "event_type"], [(F.col("score") < 50).desc(), F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "score")
+
+
+@query(f"SELECT event_type, CAST(sum({SQL_K}) AS BIGINT) AS total, count({SQL_K}) AS n FROM events GROUP BY 1")
+def json_prop_sum(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(K).alias("total"), F.count(K).alias("n"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type, event_id, {SQL_K} < 50 AS wrong FROM events)
+SELECT user_id, event_type, count(*) FILTER (wrong) AS wrong_count, max(event_id) FILTER (wrong) AS last_wrong, NOT arg_max(wrong, event_id) AS resolved FROM e GROUP BY 1, 2 HAVING count(*) FILTER (wrong) > 0""")
+def wrongbook_state(spark, sf_dir):
+    return study.wrongbook(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ~RIGHT)
+
+
+@query(f"SELECT event_id, user_id, {SQL_DAY} AS day, CAST(sum({SQL_K}) OVER w AS BIGINT) AS used, sum({SQL_K}) OVER w > 100 AS over FROM events WINDOW w AS (PARTITION BY user_id, {SQL_DAY} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def daily_quota_overflow(spark, sf_dir):
+    return study.quota(table(spark, sf_dir, "events"), "user_id", "ts", K, 100, "event_id").select("event_id", "user_id", "day", "used", "over")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, {SQL_DAY} AS day, {SQL_K} AS k, row_number() OVER (PARTITION BY user_id, {SQL_DAY} ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, day, i, CASE WHEN k <= 100 THEN k ELSE 0 END AS used, k <= 100 AS accepted FROM e WHERE i = 1
+UNION ALL SELECT e.event_id, e.user_id, e.day, e.i, CASE WHEN f.used + e.k <= 100 THEN f.used + e.k ELSE f.used END, f.used + e.k <= 100 FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.i = f.i + 1)
+SELECT user_id, day, event_id, accepted FROM f""")
+def daily_quota_accepted(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", K)
+    return study.accepted_requests(e, "user_id", "ts", "k", 100, "event_id")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, {SQL_K} % 5 AS rev, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, i, CASE WHEN rev = 0 THEN 1 ELSE 0 END AS cur, rev = 0 AS accepted FROM e WHERE i = 1
+UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.rev = f.cur THEN f.cur + 1 ELSE f.cur END, e.rev = f.cur FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, event_id, accepted FROM f""")
+def draft_revisions(spark, sf_dir):
+    return study.accepted_revisions(table(spark, sf_dir, "events").withColumn("rev", K % 5), "user_id", "event_id", "rev")
+
+
+@query(f"SELECT user_id, event_type, count(*) AS answered, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS BIGINT) AS correct, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS DOUBLE) / count(*) AS mastery FROM events GROUP BY 1, 2")
+def mastery_by_concept(spark, sf_dir):
+    return study.mastery(table(spark, sf_dir, "events"), ["user_id", "event_type"], RIGHT)
+
+
+@query(f"""WITH c AS (SELECT event_type AS name, CASE WHEN user_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS module, event_id, value FROM events),
+f AS (SELECT module, name, arg_max(CAST(value AS VARCHAR) = '' , event_id) AS x, count(*) AS n_labels FROM c GROUP BY 1, 2),
+s(id, module, name) AS (VALUES (5, 'm0', 'click'), (9, 'm1', 'gone')),
+j AS (SELECT coalesce(f.module, s.module) AS module, coalesce(f.name, s.name) AS name, s.id AS old, coalesce(f.n_labels, 0) AS n_labels FROM f FULL JOIN s ON f.module = s.module AND f.name = s.name)
+SELECT CAST(CASE WHEN old IS NOT NULL THEN old ELSE 9 + row_number() OVER (PARTITION BY old IS NOT NULL ORDER BY module, name) END AS BIGINT) AS id, module, name, n_labels FROM j""")
+def refresh_concepts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "m0").otherwise("m1").alias("subject"), F.col("event_type").alias("tertiary"), F.col("event_type").alias("secondary"))
+    stored = spark.createDataFrame([(5, "m0", "click"), (9, "m1", "gone")], "id long, module string, name string")
+    return study.refresh_concepts(e, stored).drop("secondary")
+
+
+@query(f"""WITH u AS (SELECT user_id, count(*) AS answered FROM events GROUP BY 1), m AS (SELECT user_id, count(*) AS modules FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1),
+t AS (SELECT u.user_id, answered, 0 AS longest, coalesce(modules, 0) AS modules FROM u LEFT JOIN m ON u.user_id = m.user_id)
+SELECT user_id, name, CAST(least(v, goal) AS BIGINT) AS progress, CAST(goal AS BIGINT) AS goal, v >= goal AS reached FROM (
+SELECT user_id, 'first_answer' AS name, answered AS v, 1 AS goal FROM t UNION ALL SELECT user_id, 'hundred_answers', answered, 100 FROM t UNION ALL SELECT user_id, 'thousand_answers', answered, 1000 FROM t
+UNION ALL SELECT user_id, 'week_streak', longest, 7 FROM t UNION ALL SELECT user_id, 'month_streak', longest, 30 FROM t UNION ALL SELECT user_id, 'all_modules', modules, 6 FROM t)""")
+def milestones(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    five = e.groupBy("user_id", "event_type").count().where("count >= 5").groupBy("user_id").agg(F.count("*").alias("modules_with_five"))
+    t = e.groupBy("user_id").agg(F.count("*").alias("answered")).join(five, "user_id", "left").fillna(0).withColumn("longest", F.lit(0))
+    return study.milestones(t)
+
+
+@query("SELECT count(*) AS answered, count(l.doc_id) AS labelled, CASE WHEN count(*) > 0 THEN CAST(count(l.doc_id) AS DOUBLE) * 100 / count(*) END AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def label_coverage(spark, sf_dir):
+    d = study.flag_of(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id", "labelled")
+    return d.agg(F.count("*").alias("answered"), F.count_if("labelled").alias("labelled")).withColumn("coverage", D.percent_or_null("labelled", "answered"))
+
+
+@query(f"SELECT user_id, event_type, count(*) FILTER ({SQL_K} < 50) AS wrong_count, max(event_id) FILTER ({SQL_K} < 50) AS last_wrong FROM events GROUP BY 1, 2 HAVING count(*) FILTER ({SQL_K} < 50) > 0 ORDER BY wrong_count DESC, last_wrong DESC, user_id LIMIT 20")
+def review_candidates(spark, sf_dir):
+    w = wrongbook_state(spark, sf_dir)
+    return w.drop("resolved").orderBy(F.desc("wrong_count"), F.desc("last_wrong"), "user_id").limit(20)
+
+
+# joins, filters, pages, facets
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def filter_semi_join(spark, sf_dir):
+    o = study.matching(table(spark, sf_dir, "orders"), o_orderstatus="O", o_orderpriority="")
+    return study.having(o, table(spark, sf_dir, "lineitem").where("l_quantity > 45"), "o_orderkey", "l_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 49)")
+def filter_or_exists(spark, sf_dir):
+    o = study.flag_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49"), "o_orderkey", "l_orderkey", "hit")
+    return o.where((F.col("o_orderpriority") == "1-URGENT") | F.col("hit")).select("o_orderkey")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
+def left_join_on_predicate(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT count(*) AS labels, CAST(sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmapped FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 500) d ON l.doc_id = d.doc_id")
+def unmapped_left_join(spark, sf_dir):
+    l = study.flag_of(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("n_chars > 500"), "doc_id", "doc_id", "mapped")
+    return l.agg(F.count("*").alias("labels"), F.count_if(~F.col("mapped")).alias("unmapped"))
+
+
+@query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1) ON l_orderkey = o_orderkey")
+def chosen_row_join(spark, sf_dir):
+    l = study.chosen_row(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [(F.col("l_returnflag") == "R").desc(), F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS n_items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def count_per_row(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_items"))
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1")
+def ordered_children(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    return l.select("l_orderkey", F.array_join(F.transform("x", lambda i: F.concat_ws(":", i["l_linenumber"].cast("string"), i["l_partkey"].cast("string"))), ",").alias("items"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_join_resume(spark, sf_dir):
+    return labels.resume(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 100")
+def paged_list(spark, sf_dir):
+    return study.paged(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], 3, 50)[0]
+
+
+@query("SELECT DISTINCT facet, value FROM (SELECT 'p_brand' AS facet, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part) WHERE value IS NOT NULL AND value != ''")
+def facet_values(spark, sf_dir):
+    return study.facets(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("SELECT c_custkey, c_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE NOT (c_mktsegment = 'BUILDING' AND (c_acctbal IS NULL OR c_acctbal >= 0))")
+def effective_role(spark, sf_dir):
+    vip = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal").isNull() | (F.col("c_acctbal") >= 0))
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return c.where(~vip).select("c_custkey", "c_name")
+
+
+# search
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'Th')")
+def substring_search(spark, sf_dir):
+    return search.contains_term(table(spark, sf_dir, "documents"), "text", "Th").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot')")
+def trigram_search(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.trigram_search(search.trigram_index(d, "doc_id", "text"), d, "doc_id", "text", "Idiot").select("doc_id")
+
+
+@query(r"SELECT p_partkey, p_name || '_' || p_brand AS label FROM part WHERE p_name || '_' || p_brand ILIKE '%RING\_brand#1%' ESCAPE '\'")
+def like_escape(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("_", "p_name", "p_brand").alias("label"))
+    return p.where(T.like_literal("label", "RING_brand#1"))
+
+
+def _escape_sql(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query(f"""WITH h AS (SELECT doc_id, text, instr(lower(text), 'stupid') AS i FROM documents WHERE contains(lower(text), 'stupid')), b AS (SELECT *, greatest(i - 20, 1) AS s, least(i + 25, length(text)) AS e FROM h)
+SELECT doc_id, CAST(1 AS DOUBLE) AS score, CASE WHEN s > 1 THEN '…' ELSE '' END || {_escape_sql('substr(text, s, i - s)')} || '<mark>' || {_escape_sql('substr(text, i, 6)')} || '</mark>' || {_escape_sql('substr(text, i + 6, e - i - 5)')} || CASE WHEN e < length(text) THEN '…' ELSE '' END AS highlight FROM b""")
+def search_highlight(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), "doc_id", "text", "stupid")
+
+
+# labels
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('s1' || doc_id), doc_id) AS round FROM documents) SELECT doc_id, lang, round FROM r ORDER BY round, lang LIMIT 60")
+def stratified_sample_md5(spark, sf_dir):
+    return labels.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 60, "s1")
+
+
+@query("SELECT source || '/' || coalesce(lang, '(无标签)') AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def bucket_plan(spark, sf_dir):
+    return labels.buckets(table(spark, sf_dir, "documents"), "source", F.col("lang"))
+
+
+@query("""WITH b AS (SELECT source || '/' || lang AS bucket, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, CASE n % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS engine FROM b)
+SELECT bucket, n, CASE WHEN engine = 'a' THEN engine END AS owner, coalesce(engine = 'b', false) AS reassigned FROM o""")
+def work_plan(spark, sf_dir):
+    p = labels.buckets(table(spark, sf_dir, "documents"), "source", F.col("lang"))
+    owners = p.select("bucket", F.when(F.col("n") % 3 == 0, "a").when(F.col("n") % 3 == 1, "b").alias("engine")).where("engine IS NOT NULL")
+    return labels.work_plan(p, owners, ["a"])
+
+
+def _complete_sql() -> str:
+    one = "SELECT '{0}' AS field, count({0}) AS filled, round(CASE WHEN count(*) = 0 THEN 0 ELSE CAST(count({0}) AS DOUBLE) * 100 / count(*) END, 6) AS percent FROM d"
+    return "WITH d AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) " + " UNION ALL ".join(one.format(c) for c in ("lang", "source", "quality", "toxic"))
+
+
+@query(_complete_sql())
+def quality_completeness(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return labels.completeness(d, ["lang", "source", "quality", "toxic"])
+
+
+@query("SELECT p_brand, count(*) AS n, count(DISTINCT p_name) AS d, round(CAST(count(DISTINCT p_name) AS DOUBLE) / count(*), 6) AS rate, count(*) > 1 AND count(*) = count(DISTINCT p_name) AS one_to_one FROM part GROUP BY 1")
+def convergence_rate(spark, sf_dir):
+    return labels.convergence(table(spark, sf_dir, "part"), "p_brand", "p_name")
+
+
+@query("""WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand) AS BIGINT) AS total FROM c)
+SELECT p_brand, p_type, n, total, round(CAST(n AS DOUBLE) / total, 6) AS share, n >= 0.8 * total AS dominant FROM t QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1""")
+def type_share(spark, sf_dir):
+    return labels.type_share(table(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+@query(f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS run_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, {SQL_K} AS t, CASE WHEN user_id % 2 = 0 OR event_type != 'view' THEN {SQL_K} * 0.25 END AS cost, event_type != 'view' AS known FROM events)
+SELECT run_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status != 'ok') AS failed, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(t) AS BIGINT) AS tokens_out, min(known) AS usage_known, CASE WHEN count(*) = count(cost) THEN CAST(sum(cost) AS DOUBLE) END AS cost_usd,
+CASE WHEN count(*) FILTER (status != 'ok') = 0 THEN 'done' WHEN count(*) FILTER (status = 'ok') = 0 THEN 'failed' ELSE 'partial' END AS state FROM c GROUP BY 1""")
+def run_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), K.alias("tokens_in"), K.alias("tokens_out"), F.when((F.col("user_id") % 2 == 0) | (F.col("event_type") != "view"), K * F.lit(0.25).cast("double")).alias("cost_usd"), (F.col("event_type") != "view").alias("usage_known"))
+    return labels.run_totals(e)
+
+
+@query("""WITH x(subject, tertiary) AS (VALUES ('en', 'a-1'), ('fr', 'a-1')), d AS (SELECT doc_id, lang AS subject, 'a' AS secondary, CASE doc_id % 4 WHEN 0 THEN 'a-1' WHEN 1 THEN 'b-1' WHEN 2 THEN '' ELSE 'plain' END AS tertiary FROM documents)
+SELECT doc_id, CASE WHEN d.tertiary = '' THEN 'empty' WHEN instr(d.tertiary, '-') < 2 THEN 'no_prefix' WHEN split_part(d.tertiary, '-', 1) != secondary THEN 'wrong_prefix' WHEN x.subject IS NOT NULL THEN 'ok' ELSE 'novel' END AS verdict FROM d LEFT JOIN x ON d.subject = x.subject AND d.tertiary = x.tertiary""")
+def label_verdicts(spark, sf_dir):
+    m = F.col("doc_id") % 4
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("subject"), F.lit("a").alias("secondary"), F.when(m == 0, "a-1").when(m == 1, "b-1").when(m == 2, "").otherwise("plain").alias("tertiary"))
+    tax = spark.createDataFrame([("en", "a-1"), ("fr", "a-1")], "subject string, tertiary string")
+    return labels.validated(d, tax).select("doc_id", "verdict")
+
+
+# answers, expressions
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN {SQL_K} % 2 = 0 THEN 'multi' ELSE 'single' END AS kind, chr(CAST(65 + {SQL_K} % 3 AS INT)) AS official, ' ' || chr(CAST(97 + {SQL_K} % 4 AS INT)) || CASE WHEN {SQL_K} % 5 = 0 THEN ',' || chr(CAST(65 + {SQL_K} % 3 AS INT)) WHEN {SQL_K} % 7 = 0 THEN '9' ELSE '' END AS answer FROM events),
+n AS (SELECT *, upper(regexp_replace(answer, '[ ,]', '', 'g')) AS s FROM e), m AS (SELECT *, CASE WHEN regexp_matches(s, '^[A-Z]*$') THEN array_to_string(list_sort(list_distinct(string_split(s, ''))), '') END AS norm FROM n)
+SELECT event_id, norm, coalesce(norm = official AND norm != '' AND (length(norm) = 1 OR kind = 'multi'), false) AS correct FROM m""")
+def answer_normalise_grade(spark, sf_dir):
+    k = K
+    letter = lambda base, m: F.chr((F.lit(base) + k % m).cast("long"))
+    answer = F.concat(F.lit(" "), letter(97, 4), F.when(k % 5 == 0, F.concat(F.lit(","), letter(65, 3))).when(k % 7 == 0, "9").otherwise(""))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(k % 2 == 0, "multi").otherwise("single").alias("kind"), letter(65, 3).alias("official"), answer.alias("answer"))
+    return e.select("event_id", A.normalized_answer("answer").alias("norm"), A.grade("kind", "official", "answer").alias("correct"))
+
+
+@query("""WITH p AS (SELECT '⟦IMG:题目图/' || doc_id % 7 || '⟧' AS a, CASE WHEN doc_id % 2 = 0 THEN '⟦IMG:公式/' || doc_id % 5 || '⟧' END AS b FROM documents), r AS (SELECT a AS x, 's' AS place FROM p UNION ALL SELECT a, 'e' FROM p UNION ALL SELECT b, 's' FROM p WHERE b IS NOT NULL)
+SELECT replace(replace(x, '⟦IMG:', ''), '⟧', '') AS url, count(*) AS ref_count, max(place = 's') AS in_stem, max(place = 'e') AS in_why FROM r GROUP BY 1""")
+def placeholder_refcount(spark, sf_dir):
+    fig = F.concat(F.lit("⟦IMG:题目图/"), (F.col("doc_id") % 7).cast("string"), F.lit("⟧"))
+    formula = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("⟦IMG:公式/"), (F.col("doc_id") % 5).cast("string"), F.lit("⟧"))).otherwise("")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("x "), fig, F.lit(" y"), formula).alias("stem"), fig.alias("why"))
+    return media.placeholder_references(d, ["stem", "why"])
+
+
+@query("""SELECT doc_id, 'x ' || '⟦IMG:题目图/' || doc_id % 7 || '⟧' || ' y' || CASE doc_id % 3 WHEN 0 THEN '$a_{0}$' WHEN 1 THEN '⟦IMG:公式/1⟧' ELSE '⟦IMG:公式/2⟧' END || 'z' AS resolved,
+CAST(doc_id % 3 = 0 AS BIGINT) AS formula, 0::BIGINT AS figure, CAST(doc_id % 3 = 1 AS BIGINT) AS no_text, CAST(doc_id % 3 = 2 AS BIGINT) AS formula_missing, 1::BIGINT AS figure_missing FROM documents""")
+def placeholder_resolve(spark, sf_dir):
+    text = F.concat(F.lit("x ⟦IMG:题目图/"), (F.col("doc_id") % 7).cast("string"), F.lit("⟧ y⟦IMG:公式/"), (F.col("doc_id") % 3).cast("string"), F.lit("⟧z"))
+    images = spark.createDataFrame([("公式/0", "formula", "a_{0} ;"), ("公式/1", "formula", "")], "url string, engine string, tex string")
+    return media.resolve_placeholders(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text", images)
+
+
+#: Inputs and what they should become.
+TEX_CASES = (("  x^2 + 1 ； ", "$x^2 + 1$"), ("$ a $ 和 $b $", "$a$ 和 $b$"), ("约三成", "约三成"), ("占比=3", "$占比=3$"), ("", ""), ("$a$ + $ b", "$a$ + $b"), ("a\nb;;", "$a b$"), ("y" * 81, "y" * 81))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(TEX_CASES)) + " END AS shown FROM part")
+def tex_display(spark, sf_dir):
+    raw = F.get(F.array(*(F.lit(r) for r, _ in TEX_CASES)), (F.col("p_partkey") % 8).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.display_tex(raw).alias("shown"))
+
+
+PAPERS = (("2024年国家公务员考试（副省级）", "国考", "副省级"), ("2023年广东选调生", "选调", "选调"), ("2022年上海市考A类", "市考", "A类"), ("2021年公务员联考", "省考", ""), ("某单位招聘B类", "其他", "B类"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t, _) in enumerate(PAPERS)) + " END AS exam_type, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (_, _, v) in enumerate(PAPERS)) + " END AS variant FROM part")
+def classify_rules(spark, sf_dir):
+    name = F.get(F.array(*(F.lit(n) for n, _, _ in PAPERS)), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.classify_paper(name, F.lit("")).alias("c")).select("p_partkey", "c.*")
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&(lt|gt|quot|amp|nbsp|#39);', '', 'g') AS plain FROM pages")
+def strip_tags_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.regexp_replace("html", "&(lt|gt|quot|amp|nbsp|#39);", "")).alias("plain"))
+
+
+@query()
+def html_to_text(spark, sf_dir):
+    from tamarack.sources.notes import html_text
+
+    return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE {SQL_K} % 4 WHEN 0 THEN '=1+' || event_type WHEN 1 THEN ' @' || event_type WHEN 2 THEN chr(9) || 'x' ELSE event_type END AS cell FROM events)
+SELECT event_id, CASE WHEN event_id >= 0 AND (cell LIKE '=%' OR cell LIKE ' @%' OR cell LIKE chr(9) || '%') THEN '''' || cell ELSE cell END AS cell FROM e""")
+def csv_safe_export(spark, sf_dir):
+    k = K % 4
+    cell = F.when(k == 0, F.concat(F.lit("=1+"), "event_type")).when(k == 1, F.concat(F.lit(" @"), "event_type")).when(k == 2, "\tx").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", T.safe_csv_cell(cell).alias("cell"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '10.0.' || user_id % 256 || '.*' WHEN user_id % 3 = 1 THEN '2001:db8:1::/48' ELSE '' END AS ip, CASE event_type WHEN 'view' THEN 'Edge / Windows' WHEN 'click' THEN 'Chrome / Android' WHEN 'error' THEN 'Safari / iOS' ELSE '其他浏览器 / 未知系统' END AS device FROM events")
+def session_labels(spark, sf_dir):
+    u = F.col("user_id")
+    ip = F.when(u % 3 == 0, F.concat(F.lit("10.0."), (u % 256).cast("string"), F.lit(".7"))).when(u % 3 == 1, "2001:db8:1:2::3").otherwise("nothing")
+    agent = F.when(F.col("event_type") == "view", "Mozilla/5.0 (Windows NT 10.0) Chrome/1 Safari/1 Edg/1").when(F.col("event_type") == "click", "Mozilla/5.0 (Linux; Android 14) Chrome/1 Safari/1").when(F.col("event_type") == "error", "Mozilla/5.0 (iPhone; CPU like Mac OS X) Safari/1").otherwise("curl")
+    return table(spark, sf_dir, "events").select("event_id", T.mask_ip(ip).alias("ip"), T.controlled_device(T.device_label(agent)).alias("device"))
+
+
+@query("SELECT event_id, CAST(ceil(date_diff('microsecond', ts, CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) - INTERVAL 8 HOUR) / 1000000.0) AS BIGINT) AS seconds FROM events")
+def seconds_to_midnight(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", D.seconds_to_midnight("ts").alias("seconds"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
+def user_prompts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.concat_ws(": ", "role", T.shorten("text", 60)).alias("line")).alias("x"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda i: i["line"]), "\n").alias("prompt"))
+
+
+@query("""WITH i AS (SELECT '公式/' || doc_id AS url, md5(text) AS sha, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' END AS st FROM documents) SELECT sha AS sha256, min(url) AS url FROM i WHERE coalesce(st, 'pending') IN ('pending', 'error') GROUP BY 1""")
+def ocr_worklist(spark, sf_dir):
+    m = F.col("doc_id") % 3
+    i = table(spark, sf_dir, "documents").select(F.concat(F.lit("公式/"), F.col("doc_id").cast("string")).alias("url"), F.md5("text").alias("sha256"), F.when(m == 0, "ok").when(m == 1, "error").alias("ocr_status"))
+    return media.ocr_worklist(i, retry_errors=True)
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (doc_id % 2 = 0) AS with_images, count(*) FILTER (doc_id % 4 = 0) AS fully_replaced, CAST(count(*) FILTER (doc_id % 4 = 0) AS DOUBLE) * 100 / count(*) FILTER (doc_id % 2 = 0) AS coverage FROM documents")
+def media_coverage(spark, sf_dir):
+    image = lambda m: F.when(F.col("doc_id") % m == 0, "⟦IMG:公式/1⟧").otherwise("x")
+    d = table(spark, sf_dir, "documents").select(image(2).alias("stem"), F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 4 != 0), "⟦IMG:公式/1⟧").otherwise("x").alias("shown"))
+    return media.coverage(d, "stem", "shown")
