@@ -126,12 +126,12 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_i
 
     Rows are met with their decision by ``doc_id`` and a hash of the text; equal rows get equal shares of what they have together.
     """
-    h, got, n, k = (free_name(docs, x) for x in ("_h", "_taken", "_size", "_k"))
+    h, got, n, k, own, key = (free_name(docs, x) for x in ("_h", "_taken", "_size", "_k", "_own", "_key"))
     keyed = docs.withColumn(h, F.xxhash64(text_of(text), F.col(source).cast("string")))
     m = mix(keyed, text, source, doc_id, keep=(h,), **how)
     m = m.groupBy("doc_id", h).agg(F.max("size").alias(n), F.sum("taken").alias("all"), F.count("*").alias("rows"))
-    m = m.select(F.col("doc_id").alias("_id"), F.col(h).alias("_key"), F.col(n), (F.col("all") / F.col("rows")).cast("long").alias(got)).where(F.col(got) > 0)
-    d = keyed.join(m, keyed[doc_id].eqNullSafe(F.col("_id")) & (keyed[h] == F.col("_key")))
+    m = m.select(F.col("doc_id").alias(own), F.col(h).alias(key), F.col(n), (F.col("all") / F.col("rows")).cast("long").alias(got)).where(F.col(got) > 0)
+    d = keyed.join(m, keyed[doc_id].eqNullSafe(F.col(own)) & (keyed[h] == F.col(key)))
     d = d.withColumn(k, F.explode(F.expr(f"sequence(1L, ({got} + {n} - 1) div {n})")))
     words = F.expr(f"{got} - ({k} - 1) * {n}")
     part = F.when(words >= F.col(n), F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " "))

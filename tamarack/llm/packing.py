@@ -3,8 +3,8 @@
 A document's token ids give a vector of hashed features, projected to a few dimensions by a fixed random matrix and
 mapped to its place on a Hilbert curve.  Documents are range-sorted by that key, a prefix sum over the few range totals
 and within each range gives every document its place in one endless stream of tokens, and the stream is cut every
-``length`` tokens.  Only the last sequence can need padding.  Small rows (id, key, number of tokens) are sorted; texts
-are shuffled once, to meet their places, and tokenized again there instead of being carried as ids.
+``length`` tokens.  Only the last sequence can need padding.  Texts are tokenized once, and their ids written to the
+shared folder; small rows (id, key, number of tokens) are sorted, and the ids are shuffled once, to meet their places.
 
 Defined cases: a null text is empty, so a document of one token; equal rows lie one after the other; an empty table
 gives an empty result; copies without end at one place of the curve are dealt by a hash of the id; other columns are
@@ -14,47 +14,92 @@ not looked at.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tamarack.llm.common import documents, materialize, shuffle_partitions, text_of
+from tamarack.llm.common import documents, materialize, shared_folder, shuffle_partitions, text_of
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 10
-#: Words whose ids a task keeps at most; the table is emptied when it is full.
-KNOWN_WORDS = 200_000
+ROWS_AT_ONCE = 1000
+#: Words whose ids a task keeps at most, twice: those of late and those before.
+KNOWN_WORDS = 100_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids as unsigned 32-bit bytes.  No token of this tokenizer spans white space, so words are looked up."""
+    """Token ids of texts, as bytes of 16 or 32-bit numbers.
+
+    No token of this tokenizer spans white space, so words are looked up; a new one is cut into its runs of letters,
+    digits and signs, and the tokenizer's model gives the ids of a run.  Words with anything but ASCII and Latin-1
+    letters, and with the signs of special tokens, go through the whole tokenizer.
+    """
 
     #: What Python's split takes for white space and the tokenizer does not.
     ODD = re.compile("[\x1c-\x1f]")
+    PLAIN = re.compile("[\x00-\x7e\xc0-\xff]*")
 
     def __init__(self, path: str, end: int):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.uint32(end).tobytes(), {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        #: Words and runs seen of late, and those seen before.
+        self.known, self.known_before, self.runs, self.runs_before = {}, {}, {}, {}
+        self.type, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        self.end, self.letters = self.type(end).tobytes(), _byte_letters()
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if (ids := self.runs_before.get(run)) is None:
+            found = self.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
+            ids = array(self.code, [t.id for t in found]).tobytes()
+        if len(self.runs) >= KNOWN_WORDS:
+            self.runs_before, self.runs = self.runs, {}
+        self.runs[run] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not self.PLAIN.fullmatch(word) or "<|" in word:
+            return self._whole(word)
+        out = []
+        for run in self.cut(word.lower()):
+            if (ids := self.runs.get(run)) is None:
+                ids = self._run(run)
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if self.ODD.search(text):
-            return self._ids([text])[0] + self.end
-        words = text.split()
-        if fresh := list(set(words).difference(self.known)):
-            if len(self.known) + len(fresh) > KNOWN_WORDS:
-                self.known.clear()
-                fresh = list(set(words))
-            self.known.update(zip(fresh, self._ids(fresh)))
-        return b"".join(map(self.known.__getitem__, words)) + self.end
+            return self._whole(text) + self.end
+        known, out = self.known, []
+        for word in text.split():
+            if (ids := known.get(word)) is None:
+                if (ids := self.known_before.get(word)) is None:
+                    ids = self._word(word)
+                if len(known) >= KNOWN_WORDS:
+                    self.known_before, self.known = known, (known := {})
+                known[word] = ids
+            out.append(ids)
+        return b"".join(out) + self.end
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -83,30 +128,32 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
-    """``doc_id, h, tokens, place``: from (doc_id, h, text), the number of tokens and the place on the curve."""
+def encoded(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
+    """``doc_id, h, tokens, place, ids``: from (doc_id, h, text), the token ids, their number and the place on the curve."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path, end)
         matrix = np.random.default_rng(7).normal(size=(1 << 16, DIMENSIONS)).astype(np.float32)
         for batch in batches:
-            n, points = [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(encode(text), dtype=np.uint32)
-                n.append(len(ids))
-                points.append(matrix[ids & 0xFFFF].mean(axis=0))
-            grid = np.clip((np.array(points).reshape(-1, DIMENSIONS) + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(hilbert(grid, BITS), pa.int64())], names=["doc_id", "h", "tokens", "place"])
+            for part in (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                ids = [encode(text) for text in part.column("text").to_pylist()]
+                points = [matrix[np.frombuffer(x, dtype=encode.type) & 0xFFFF].mean(axis=0) for x in ids]
+                grid = np.clip((np.array(points).reshape(-1, DIMENSIONS) + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
+                tokens = pa.array([len(x) // encode.type().itemsize for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), tokens, pa.array(hilbert(grid, BITS), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "h", "tokens", "place", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(keyed, f"doc_id {kind}, h long, tokens long, place long")
+    return docs.mapInArrow(keyed, f"doc_id {kind}, h long, tokens long, place long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: its document, start and length there, the sequence and the offset there."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
-    keys = materialize(curve_keys(d, path, end))
+    table = f"{shared_folder(spark)}/encoded-{uuid.uuid4().hex}"
+    encoded(d, path, end).write.option("compression", "zstd").parquet(table)
+    coded = spark.read.parquet(table)
+    keys = coded
     keys = keys.groupBy("doc_id", "h", "tokens", "place").agg(F.count("*").alias("copies")).withColumn("tie", F.xxhash64("doc_id"))
     keys = materialize(keys)
     order = ["place", "tie", "doc_id", "h"]
@@ -119,18 +166,18 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END_ID, do
     within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = keys.withColumn("at", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(ranges, "range")
     placed = placed.select("doc_id", "h", "tokens", "copies", (F.col("at") + F.col("base")).alias("at"))
-    once = d.groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))
+    once = coded.groupBy("doc_id", "h").agg(F.any_value("ids").alias("ids"))
     placed = placed.select(F.col("doc_id").alias("id"), F.col("h").alias("k"), "tokens", "copies", "at")
-    met = once.join(placed, once["doc_id"].eqNullSafe(F.col("id")) & (once["h"] == F.col("k"))).select("doc_id", "text", "tokens", "copies", "at")
+    met = once.join(placed, once["doc_id"].eqNullSafe(F.col("id")) & (once["h"] == F.col("k"))).select("doc_id", "ids", "tokens", "copies", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, end)
+        names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         for batch in batches:
-            names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             take, out = [], {n: [] for n in names}
-            columns = [batch.column(n).to_pylist() for n in ("text", "tokens", "copies", "at")]
-            for i, (text, tokens, copies, at) in enumerate(zip(*columns)):
-                ids = memoryview(encode(text))
+            columns = [batch.column(n).to_pylist() for n in ("ids", "tokens", "copies", "at")]
+            for i, (stored, tokens, copies, at) in enumerate(zip(*columns)):
+                kind = np.uint16 if len(stored) == 2 * tokens else np.uint32
+                ids = memoryview(np.frombuffer(stored, dtype=kind).astype("<u4").tobytes())
                 for copy in range(copies):
                     first, a = at + copy * tokens, 0
                     while a < tokens:
