@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamarack.functions import answers as A, dates as D, text as T
 from tamarack.operators import corpus, labels, media, search, study
@@ -18,8 +18,17 @@ from tamarack.operators import corpus, labels, media, search, study
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TODAY = date(2024, 1, 30)
-K = A.json_long("props", "$.k")
-RIGHT = K >= 50
+
+
+def score() -> Column:
+    """The score in an event's properties."""
+    return A.json_long("props", "$.k")
+
+
+def right() -> Column:
+    return score() >= 50
+
+
 SQL_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL_DAY = "CAST(ts + INTERVAL 8 HOUR AS DATE)"
 
@@ -133,7 +142,7 @@ def latest_per_user(spark, sf_dir):
 
 @query(f"SELECT {SQL_DAY} AS day, count(*) AS answered, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS BIGINT) AS correct, round(sum(value), 4) AS duration, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def daily_activity_utc8(spark, sf_dir):
-    return study.daily_activity(table(spark, sf_dir, "events"), "user_id", "ts", RIGHT, "value")
+    return study.daily_activity(table(spark, sf_dir, "events"), "user_id", "ts", right(), "value")
 
 
 @query(f"""WITH d AS (SELECT DISTINCT user_id, {SQL_DAY} AS day FROM events WHERE {SQL_K} >= 80),
@@ -141,7 +150,7 @@ r AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id OR
 g AS (SELECT user_id, run, count(*) AS n, max(day) AS last FROM r GROUP BY 1, 2)
 SELECT user_id, max(n) AS longest, coalesce(max(CASE WHEN last >= DATE '2024-01-29' THEN n END), 0) AS current, max(last = DATE '2024-01-30') AS practiced_today FROM g GROUP BY 1""")
 def streak_longest_current(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(K >= 80).select("user_id", D.local_day("ts").alias("day"))
+    e = table(spark, sf_dir, "events").where(score() >= 80).select("user_id", D.local_day("ts").alias("day"))
     return study.streaks(e, "user_id", F.lit(TODAY))
 
 
@@ -154,7 +163,7 @@ def trend_day_spine(spark, sf_dir):
 
 def _days(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", D.local_day("ts").alias("day")).agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("duration_ms"), F.countDistinct("event_type").alias("sessions"))
+    return e.groupBy("user_id", D.local_day("ts").alias("day")).agg(F.count("*").alias("answered"), F.count_if(right()).alias("correct"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("duration_ms"), F.countDistinct("event_type").alias("sessions"))
 
 
 def _period_sql() -> str:
@@ -176,36 +185,36 @@ SELECT m.module, place, coalesce(answered, 0) AS answered, coalesce(correct, 0)
 def module_window_stats(spark, sf_dir):
     modules = spark.createDataFrame([(m, i) for i, m in enumerate(("signup", "view", "click", "purchase", "error", "refund"))], "module string, place int")
     e = table(spark, sf_dir, "events").where(D.local_day("ts").between(date(2024, 1, 24), TODAY))
-    g = e.groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"), F.countDistinct("user_id").alias("sessions"))
+    g = e.groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("answered"), F.count_if(right()).alias("correct"), F.countDistinct("user_id").alias("sessions"))
     return study.with_all(g, modules, "module", ["answered", "correct", "sessions"]).withColumn("sufficient", F.col("answered") >= 5)
 
 
 @query(f"SELECT user_id, count(*) AS answered, count(*) FILTER ({SQL_K} >= 50) AS correct, round(CAST(count(*) FILTER ({SQL_K} >= 50) AS DOUBLE) / count(*), 6) AS ratio FROM events GROUP BY 1 HAVING count(*) >= 5 ORDER BY ratio, user_id LIMIT 3")
 def weak_topk(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("answered"), F.count_if(RIGHT).alias("correct"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("answered"), F.count_if(right()).alias("correct"))
     return study.weakest(g, "correct", "answered", 5, 3, "user_id")
 
 
 @query(f"SELECT user_id, event_type, event_id, {SQL_K} AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ({SQL_K} < 50) DESC, ts DESC, event_id DESC) = 1")
 def attempt_progress(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("score", K)
+    e = table(spark, sf_dir, "events").withColumn("score", score())
     return study.chosen_row(e, ["user_id", "event_type"], [(F.col("score") < 50).desc(), F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "score")
 
 
 @query(f"SELECT event_type, CAST(sum({SQL_K}) AS BIGINT) AS total, count({SQL_K}) AS n FROM events GROUP BY 1")
 def json_prop_sum(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(K).alias("total"), F.count(K).alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(score()).alias("total"), F.count(score()).alias("n"))
 
 
 @query(f"""WITH e AS (SELECT user_id, event_type, event_id, {SQL_K} < 50 AS wrong FROM events)
 SELECT user_id, event_type, count(*) FILTER (wrong) AS wrong_count, max(event_id) FILTER (wrong) AS last_wrong, NOT arg_max(wrong, event_id) AS resolved FROM e GROUP BY 1, 2 HAVING count(*) FILTER (wrong) > 0""")
 def wrongbook_state(spark, sf_dir):
-    return study.wrongbook(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ~RIGHT)
+    return study.wrongbook(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ~right())
 
 
 @query(f"SELECT event_id, user_id, {SQL_DAY} AS day, CAST(sum({SQL_K}) OVER w AS BIGINT) AS used, sum({SQL_K}) OVER w > 100 AS over FROM events WINDOW w AS (PARTITION BY user_id, {SQL_DAY} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def daily_quota_overflow(spark, sf_dir):
-    return study.quota(table(spark, sf_dir, "events"), "user_id", "ts", K, 100, "event_id").select("event_id", "user_id", "day", "used", "over")
+    return study.quota(table(spark, sf_dir, "events"), "user_id", "ts", score(), 100, "event_id").select("event_id", "user_id", "day", "used", "over")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, {SQL_DAY} AS day, {SQL_K} AS k, row_number() OVER (PARTITION BY user_id, {SQL_DAY} ORDER BY ts, event_id) AS i FROM events),
@@ -213,7 +222,7 @@ f AS (SELECT event_id, user_id, day, i, CASE WHEN k <= 100 THEN k ELSE 0 END AS
 UNION ALL SELECT e.event_id, e.user_id, e.day, e.i, CASE WHEN f.used + e.k <= 100 THEN f.used + e.k ELSE f.used END, f.used + e.k <= 100 FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.i = f.i + 1)
 SELECT user_id, day, event_id, accepted FROM f""")
 def daily_quota_accepted(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", K)
+    e = table(spark, sf_dir, "events").withColumn("k", score())
     return study.accepted_requests(e, "user_id", "ts", "k", 100, "event_id")
 
 
@@ -222,12 +231,12 @@ f AS (SELECT event_id, user_id, i, CASE WHEN rev = 0 THEN 1 ELSE 0 END AS cur, r
 UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.rev = f.cur THEN f.cur + 1 ELSE f.cur END, e.rev = f.cur FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, event_id, accepted FROM f""")
 def draft_revisions(spark, sf_dir):
-    return study.accepted_revisions(table(spark, sf_dir, "events").withColumn("rev", K % 5), "user_id", "event_id", "rev")
+    return study.accepted_revisions(table(spark, sf_dir, "events").withColumn("rev", score() % 5), "user_id", "event_id", "rev")
 
 
 @query(f"SELECT user_id, event_type, count(*) AS answered, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS BIGINT) AS correct, CAST(sum(CAST({SQL_K} >= 50 AS INT)) AS DOUBLE) / count(*) AS mastery FROM events GROUP BY 1, 2")
 def mastery_by_concept(spark, sf_dir):
-    return study.mastery(table(spark, sf_dir, "events"), ["user_id", "event_type"], RIGHT)
+    return study.mastery(table(spark, sf_dir, "events"), ["user_id", "event_type"], right())
 
 
 @query(f"""WITH c AS (SELECT event_type AS name, CASE WHEN user_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS module, event_id, value FROM events),
@@ -413,7 +422,7 @@ def type_share(spark, sf_dir):
 SELECT run_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status != 'ok') AS failed, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(t) AS BIGINT) AS tokens_out, min(known) AS usage_known, CASE WHEN count(*) = count(cost) THEN CAST(sum(cost) AS DOUBLE) END AS cost_usd,
 CASE WHEN count(*) FILTER (status != 'ok') = 0 THEN 'done' WHEN count(*) FILTER (status = 'ok') = 0 THEN 'failed' ELSE 'partial' END AS state FROM c GROUP BY 1""")
 def run_totals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), K.alias("tokens_in"), K.alias("tokens_out"), F.when((F.col("user_id") % 2 == 0) | (F.col("event_type") != "view"), K * F.lit(0.25).cast("double")).alias("cost_usd"), (F.col("event_type") != "view").alias("usage_known"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), score().alias("tokens_in"), score().alias("tokens_out"), F.when((F.col("user_id") % 2 == 0) | (F.col("event_type") != "view"), score() * F.lit(0.25).cast("double")).alias("cost_usd"), (F.col("event_type") != "view").alias("usage_known"))
     return labels.run_totals(e)
 
 
@@ -433,7 +442,7 @@ def label_verdicts(spark, sf_dir):
 n AS (SELECT *, upper(regexp_replace(answer, '[ ,]', '', 'g')) AS s FROM e), m AS (SELECT *, CASE WHEN regexp_matches(s, '^[A-Z]*$') THEN array_to_string(list_sort(list_distinct(string_split(s, ''))), '') END AS norm FROM n)
 SELECT event_id, norm, coalesce(norm = official AND norm != '' AND (length(norm) = 1 OR kind = 'multi'), false) AS correct FROM m""")
 def answer_normalise_grade(spark, sf_dir):
-    k = K
+    k = score()
     letter = lambda base, m: F.chr((F.lit(base) + k % m).cast("long"))
     answer = F.concat(F.lit(" "), letter(97, 4), F.when(k % 5 == 0, F.concat(F.lit(","), letter(65, 3))).when(k % 7 == 0, "9").otherwise(""))
     e = table(spark, sf_dir, "events").select("event_id", F.when(k % 2 == 0, "multi").otherwise("single").alias("kind"), letter(65, 3).alias("official"), answer.alias("answer"))
@@ -491,7 +500,7 @@ def html_to_text(spark, sf_dir):
 @query(f"""WITH e AS (SELECT event_id, CASE {SQL_K} % 4 WHEN 0 THEN '=1+' || event_type WHEN 1 THEN ' @' || event_type WHEN 2 THEN chr(9) || 'x' ELSE event_type END AS cell FROM events)
 SELECT event_id, CASE WHEN event_id >= 0 AND (cell LIKE '=%' OR cell LIKE ' @%' OR cell LIKE chr(9) || '%') THEN '''' || cell ELSE cell END AS cell FROM e""")
 def csv_safe_export(spark, sf_dir):
-    k = K % 4
+    k = score() % 4
     cell = F.when(k == 0, F.concat(F.lit("=1+"), "event_type")).when(k == 1, F.concat(F.lit(" @"), "event_type")).when(k == 2, "\tx").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", T.safe_csv_cell(cell).alias("cell"))
 
