@@ -39,4 +39,6 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }
