@@ -117,7 +117,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     failed = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
     near = (F.coalesce(F.col(f"{dist}.class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col(f"{dist}.word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
     result = F.struct(*(F.col(f"{m}.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col(f"{dist}.class_distance").alias("class_distance"), F.col(f"{dist}.word_distance").alias("word_distance"), failed.alias("base_failed"), (~failed & near).alias("kept"))
-    return d.select(*docs.columns, result.alias(free_name(docs, into)))
+    # behind a generator, filters on the result don't repeat the expressions below
+    return d.select(*docs.columns, F.explode(F.array(result)).alias(free_name(docs, into)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
