@@ -18,6 +18,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from tamarack.llm.common import documents, materialize, shared_folder, shuffle_p
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 10
 ROWS_AT_ONCE = 1000
-#: Words whose ids a task keeps at most, twice: those of late and those before.
-KNOWN_WORDS = 100_000
+#: Words whose ids a task keeps, twice: those of late and those before; a new text's words come on top.
+KNOWN_WORDS = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,18 +91,26 @@ class Encoder:
             return self.end
         if self.ODD.search(text):
             return self._whole(text) + self.end
-        known, out = self.known, []
-        for word in text.split():
-            if (ids := known.get(word)) is None:
-                if (ids := self.known_before.get(word)) is None:
-                    ids = self._word(word)
-                if len(known) >= KNOWN_WORDS:
-                    self.known_before, self.known = known, (known := {})
-                known[word] = ids
-            out.append(ids)
+        words = text.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known_before, self.known = self.known, {}
+            known, before = self.known, self.known_before
+            for i in [i for i, ids in enumerate(out) if ids is None]:
+                word = words[i]
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = before.get(word) or self._word(word)
+                out[i] = ids
         return b"".join(out) + self.end
 
 
+@cache
+def encoder(path: str, end: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that words seen by one task are known to the next."""
+    return Encoder(path, end)
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Places of points (rows of whole numbers below 2**bits) on a Hilbert curve through all dimensions."""
     x = points.astype(np.int64).copy()
@@ -132,7 +141,7 @@ def encoded(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
     """``doc_id, h, tokens, place, ids``: from (doc_id, h, text), the token ids, their number and the place on the curve."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, end)
+        encode = encoder(path, end)
         matrix = np.random.default_rng(7).normal(size=(1 << 16, DIMENSIONS)).astype(np.float32)
         for batch in batches:
             for part in (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
