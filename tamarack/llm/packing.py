@@ -18,7 +18,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,9 @@ LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 10
 ROWS_AT_ONCE = 1000
 #: Words whose ids a task keeps, twice: those of late and those before; a new text's words come on top.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+#: Likewise of the runs that words are cut into.
+KNOWN_RUNS = 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,7 +72,7 @@ class Encoder:
         if (ids := self.runs_before.get(run)) is None:
             found = self.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
             ids = array(self.code, [t.id for t in found]).tobytes()
-        if len(self.runs) >= KNOWN_WORDS:
+        if len(self.runs) >= KNOWN_RUNS:
             self.runs_before, self.runs = self.runs, {}
         self.runs[run] = ids
         return ids
@@ -105,12 +106,6 @@ class Encoder:
         return b"".join(out) + self.end
 
 
-@cache
-def encoder(path: str, end: int) -> Encoder:
-    """One encoder for all tasks of a worker, so that words seen by one task are known to the next."""
-    return Encoder(path, end)
-
-
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Places of points (rows of whole numbers below 2**bits) on a Hilbert curve through all dimensions."""
     x = points.astype(np.int64).copy()
@@ -141,7 +136,7 @@ def encoded(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
     """``doc_id, h, tokens, place, ids``: from (doc_id, h, text), the token ids, their number and the place on the curve."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end)
+        encode = Encoder(path, end)
         matrix = np.random.default_rng(7).normal(size=(1 << 16, DIMENSIONS)).astype(np.float32)
         for batch in batches:
             for part in (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
