@@ -32,8 +32,9 @@ def _classes(text: Column) -> list[Column]:
     return [F.length(F.regexp_replace(text, p, "")) for p in CLASSES] + [F.length(text)]
 
 
-def _plain(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"^\P{L}+|\P{L}+$", ""))
+def _plain(text: Column) -> Column:
+    """Letters and white space, in lower case: of a word its letters."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", ""))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
@@ -85,7 +86,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     covered = f"aggregate(transform(array({starts}), p -> aggregate(transform(p, (x, k) -> coalesce(least({WINDOW}, get(p, k + 1) - x), {WINDOW})), 0, (a, b) -> a + b)), 0, (a, b) -> a + b)"
     repeated = f"CASE WHEN size(array_distinct({g})) < size({g}) THEN {covered} ELSE 0 END"
     common = sorted({x for r in refs for x in r["words"]})
-    d = d.withColumn(c, F.sort_array(F.filter(F.transform(w, _plain), lambda x: x.isin(common))) if common else F.array().cast("array<string>"))
+    # all words of a text are made plain in one pass
+    d = d.withColumn(c, F.sort_array(F.filter(F.split(_plain(F.col(t)), r"[\x20\x09-\x0D]+"), lambda x: x.isin(common))) if common else F.array().cast("array<string>"))
     lines = f"filter(split({t}, '\\n'), x -> x rlike '{WORD}')".replace("\\", "\\\\").replace("\\\\n", "\\n")
     measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
