@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tamarack.llm.common import WORD, documents, free_name, text_of
 
-#: Character classes as regular expressions of what is not in them; what no class takes counts as "other".
-CLASSES = (r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^\s]+", r"[^.,;:!?'\"()-]+")
+#: Character classes, no two of which share a character; what no class takes counts as "other".
+CLASSES = (r"\p{Ll}+", r"\s+", r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{Nd}+")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Guards and limits of the divergence rules (distance: square root of the divergence in bits, 0 to 1).
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_WORDS = 100, 100
@@ -28,8 +28,14 @@ TOP_WORDS = 40
 MIN_LANGUAGE_SHARE = 0.005
 
 
-def _classes(text: Column) -> list[Column]:
-    return [F.length(F.regexp_replace(text, p, "")) for p in CLASSES] + [F.length(text)]
+def _classes(d: DataFrame, text: str) -> tuple[DataFrame, list[Column]]:
+    """``d`` with what each class in turn leaves of the text; the numbers of characters by class and of all."""
+    left, counts = text, []
+    for p in CLASSES:
+        d = d.withColumn(rest := free_name(d, "_rest"), F.regexp_replace(left, p, ""))
+        counts.append(F.length(left) - F.length(rest))
+        left = rest
+    return d, [*counts, F.length(text)]
 
 
 def _plain(text: Column) -> Column:
@@ -47,7 +53,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     names = sorted(r["l"] for r in d.groupBy("l").count().where((F.col("count") >= least) & F.col("l").isNotNull()).collect())
     d = d.select(F.when(F.col("l").isin(names), F.col("l")).alias("l") if names else F.lit(None).cast("string").alias("l"), "t")
     columns = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    c = d.select("l", *(x.alias(n) for n, x in zip(columns, _classes(F.col("t")))))
+    c, counts = _classes(d, "t")
+    c = c.select("l", *(x.alias(n) for n, x in zip(columns, counts)))
     classes = {r["l"]: [r[n] or 0 for n in columns] for r in c.groupBy("l").agg(*(F.sum(n).alias(n) for n in columns)).collect()}
     w = d.select("l", F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("w")).groupBy("l", "w").count()
     w = w.select("l", _plain(F.col("w")).alias("w"), "count").groupBy("l", "w").agg(F.sum("count").alias("k"))
@@ -89,13 +96,14 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     # all words of a text are made plain in one pass
     d = d.withColumn(c, F.sort_array(F.filter(F.split(_plain(F.col(t)), r"[\x20\x09-\x0D]+"), lambda x: x.isin(common))) if common else F.array().cast("array<string>"))
     lines = f"filter(split({t}, '\\n'), x -> x rlike '{WORD}')".replace("\\", "\\\\").replace("\\\\n", "\\n")
+    d, counts = _classes(d, t)
     measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.expr(f"transform(array({lines}), l -> CAST(size(l) - size(array_distinct(l)) AS long))[0]").alias("n_dup_lines"),
         F.expr(f"CAST({repeated} AS long)").alias("n_repeat_words"),
-        F.transform(F.array(*_classes(F.col(t)), F.lit(0)), lambda x: x.cast("double")).alias("classes"),
+        F.transform(F.array(*counts, F.lit(0)), lambda x: x.cast("double")).alias("classes"),
         # distinct common words with their counts
         F.expr(f"""transform(array(filter(transform({c}, (x, i) -> struct(x AS w, i AS i)), e -> e.i = 0 OR e.w != get({c}, e.i - 1))),
             u -> transform(u, (e, k) -> struct(e.w AS w, CAST(coalesce(get(u, k + 1).i, size({c})) - e.i AS double) / size({w}) AS p)))[0]""").alias("words"),
