@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter, in native column expressions.
 
-A rule is a regular expression with a label, a keyword and a priority.  Only texts with an anchor word are looked at,
-and of the rules only those whose keyword the text holds are run.  Detections that overlap are resolved in one sweep:
+A rule is a regular expression with a label, a keyword and a priority.  Only texts that pass a gate of
+single words, one of which any match holds, are looked at, and of the rules only those whose keyword the text holds are run.  Detections that overlap are resolved in one sweep:
 one that lies within another goes, unless its priority is higher, in which case the container goes.
 
 Defined cases: a null or empty text has no words, labels or places and a score of 0; repeated rows are scanned alike;
@@ -95,8 +95,13 @@ NOTICES = (
     ("non-commercial", r"(?:for )?non-?commercial use only|not for commercial use", "commercial", 4, 0.6),
     ("terms-of-use", r"terms of (?:use|service)", "terms of", 1, 0.2),
 )
-#: A text without any of these holds no base phrase and no detection.
-ANCHORS = ("licen", "copyright", "all rights", "public domain", "warrant", "permission is", "redistribution", "commercial", "terms of", "gpl", "apache", "creative commons", "cc", "bsd", "mozilla", "derivative", "propriet", "unauthori")
+#: Any match of a rule or base phrase holds "licen", one of SIGNS, all words of one of PAIRS, or one of NAMES as a word.
+#: Each is a single word, as the words of a name may stand on two lines.
+SIGNS = ("licen", "copyright", "warrant", "redistribution", "propriet", "unauthori", "derivative", "gpl", "apache", "commons", "berkeley", "beerware", "beer-ware")
+PAIRS = (("all", "rights", "reserved"), ("public", "domain"), ("permission", "hereby"), ("terms", "use"), ("terms", "service"), ("terms", "perl"), ("commercial", "use"))
+NAMES = ("bsd", "mpl", "epl", "cddl", "eupl", "cecill", "zlib", "bsl", "wtfpl", "ncsa", "ms-pl", "ms-rl", "ofl", "odbl", "pddl", "cc0", "sspl", "busl", "lppl")
+#: Of these the rules ask no word's end.
+PREFIXES = ("gfdl",)
 
 
 def rules() -> list[dict]:
@@ -106,6 +111,14 @@ def rules() -> list[dict]:
     return sorted(out, key=lambda r: -r["priority"])
 
 
+def _gate(x: str) -> str:
+    """Whether a text in small letters may hold a name or notice."""
+    parts = [f"contains({x}, '{w}')" for w in SIGNS]
+    parts += ["(" + " AND ".join(f"contains({x}, '{w}')" for w in words) + ")" for words in PAIRS]
+    parts.append(rf"{x} rlike r'\b(?:(?:{'|'.join(NAMES)})\b|{'|'.join(PREFIXES)})'")
+    return " OR ".join(parts)
+
+
 def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
@@ -116,7 +129,7 @@ def license_scans(docs: DataFrame, text: str = "text", into: str = "licenses") -
 
     t, small, low, norm, pieces, place, found = (free_name(docs, n) for n in ("_t", "_small", "_low", "_norm", "_pieces", "_place", "_found"))
     d = docs.withColumn(t, text_of(text)).withColumn(small, F.lower(t))
-    has = " OR ".join(f"contains({small}, '{k}')" for k in ANCHORS if k != "cc") + f" OR (contains({small}, 'by') AND {small} rlike '(^|[^a-z])cc[^a-z]')"
+    has = f"{_gate(small)} OR (contains({small}, 'by') AND {small} rlike '(^|[^a-z])cc[^a-z]')"
     d = d.withColumn(low, F.when(F.expr(has), F.regexp_replace(small, r"\s+", " ")))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
     d = d.withColumn(norm, F.when(F.col(low).isNotNull(), words))

@@ -316,6 +316,47 @@ def test_license_rules(spark):
     assert {"mpl", "apache", "cc-by-nc"} <= set(labels) and "cc-by" not in labels
 
 
+def written(pattern):
+    """Texts that a regular expression matches, each of its branches among them."""
+    from re import _parser as parser
+
+    def of(items):
+        out = [""]
+        for op, v in items:
+            name = str(op)
+            if name == "LITERAL":
+                new = [chr(v)]
+            elif name == "IN":
+                op2, x = v[0]
+                new = ["1" if str(op2) == "CATEGORY" and "DIGIT" in str(x) else "a" if str(op2) == "CATEGORY" else chr(x)]
+            elif name == "BRANCH":
+                new = [y for branch in v[1] for y in of(branch)]
+            elif name == "SUBPATTERN":
+                new = of(v[3])
+            elif name == "MAX_REPEAT":
+                new = [y * n for n in sorted({v[0], max(v[0], 1)}) for y in of(v[2])]
+            else:  # boundaries and what must not follow
+                new = [""]
+            out = [a + b for a in out for b in new]
+        return out
+
+    return sorted(set(of(parser.parse(pattern))))
+
+
+def test_license_gate_lets_every_rule_through(spark):
+    known = [(label, name) for label, name, _ in license_scans.FAMILIES] + [(label, name) for label, name, *_ in license_scans.NOTICES]
+    cases = [(label, x) for label, name in known for x in written(name)]
+    texts = [f"A text, {x.upper()} and more" for _, x in cases] + [f"{x}" for _, x in cases] + ["A text\n" + x.replace(" ", "\n") for _, x in cases]
+    assert sum("licen" not in t.lower() for t in texts) > 100
+    got = {r["doc_id"]: r["licenses"] for r in rows(license_scans.license_scans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    # a name within another one's is resolved to the longer
+    assert [(t, cases[i % len(cases)][0]) for i, t in enumerate(texts) if not got[i]["detections"]] == []
+    short = {"mpl": "MPL 2.0", "cc0": "CC0 1.0", "wtfpl": "WTFPL", "ofl": "OFL 1.1", "epl": "EPL 2.0", "cddl": "CDDL", "odbl": "ODbL", "beerware": "Beerware", "perl": "same\nterms as Perl", "zlib": "zlib", "ncsa": "NCSA", "gfdl": "GFDL1.3"}
+    d = spark.createDataFrame([(k, f"released under the {x}") for k, x in short.items()], "doc_id string, text string")
+    for r in rows(license_scans.license_scans(d)):
+        assert r["doc_id"] in r["licenses"]["labels"].split(",") and r["licenses"]["score"] > 0
+
+
 # line dedup
 
 
