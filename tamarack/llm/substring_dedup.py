@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every indexed block of the corpus.
+"""Substring dedup by grouping window hashes over the whole corpus, in place of relative Lempel-Ziv parsing.
 
-Every window of ``width`` words is a seed.  The index of seeds is dealt out in blocks by the seed's anchor, the smallest
-hash of a short word group within the window, so that neighbouring seeds of a document mostly lie in one block, and
-equal seeds always do.  A block knows for each seed the earliest place in the corpus (document, then word).  Looking a
-document's seeds up gives, for each later one, its source; successive seeds with successive sources are one factor.  The
-factors of a document are then parsed greedily from the left, each as long as its source goes on; seeds across a factor's
-boundary are looked up like all others, so no repeated window is missed there.  Words under a repeated window go.
+Every window of ``width`` words is a seed.  Seeds are dealt out in blocks by the seed's anchor, the smallest hash of a
+short word group within the window, so that neighbouring seeds of a document mostly lie in one block, and equal seeds
+always do.  Equal seeds are grouped there, and the earliest place in the corpus (document, then word) is the source of
+all later ones.  Words under a later one go.  No longest match against a block is sought: factors are runs of
+neighbouring seeds whose sources are neighbours as well, reported for each document and of no effect on its words.
 
 Seeds that repeat within a batch of documents are settled there, and only the earliest goes to its block: a passage that
 a third of all documents share reaches a block once for each batch.  Seeds are shuffled packed, 8 bytes each and a few
@@ -126,7 +125,7 @@ def _scan(docs: DataFrame, width: int, blocks: int) -> DataFrame:
 
 
 def parse(found: list[tuple[int, int, int, int]], width: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """The greedy parse of a document's factors (start, windows, source document, source start), and the spans of words under them."""
+    """A document's factors joined where their sources go on (start, windows, source document, source start), and the spans of words under them."""
     phrases: list[list[int]] = []
     spans: list[list[int]] = []
     for start, length, ref_doc, ref_start in sorted(found):
