@@ -18,7 +18,7 @@ from tamarack.llm.ngram_join import ngram_join
 from tamarack.llm.packing import pack, tokenizer_path
 from tamarack.llm.quality_rules import quality_rules
 
-#: A line that more than one document in twenty of a source holds is that source's boilerplate.
+#: A line that more than one text in twenty of a source holds is that source's boilerplate; copies of a text count once.
 LINE_RATIO, LINE_DOCUMENTS = 0.05, 100
 #: Near duplicates: five words, a similarity of 0.8.
 WORDS, PERCENT = 5, 80
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; one that has nothing else goes."""
-    found = line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS)
+    found = line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS, by_text=True)
     found = found.where(F.col("text").rlike(r"[^\s]"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

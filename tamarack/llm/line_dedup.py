@@ -8,7 +8,7 @@ of a host are dealt to ``SALTS`` parts there, as one host may hold a third of al
 
 Defined cases: a null text stays null; lines are compared as they are, but for white space at their ends; lines without
 a word are kept and not counted; a null host is a host of its own; hosts with fewer than ``min_pages`` pages are left
-alone; repeated rows are pages of their own; an empty table gives an empty result; other columns are left alone.
+alone; repeated rows are pages of their own unless ``by_text``, where pages with one text count as a single page; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,19 +28,22 @@ def _key(line: str) -> str:
     return f"struct(xxhash64({x}) AS a, xxhash64(1, {x}) AS b)"
 
 
-def frequent_lines(pages: DataFrame, host: Column, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def frequent_lines(pages: DataFrame, host: Column, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, by_text: bool = False) -> DataFrame:
     """One row for each host with boilerplate: ``host`` and ``lines``, the hashes of its frequent lines."""
     p = pages.select(host.alias("host"), F.col(text).alias("t"))
-    totals = p.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    # a page's text as 128 bits: only these are shuffled with its lines, once for all of its copies in a task
+    own = [F.expr("struct(xxhash64(t) AS a, xxhash64(1, t) AS b)").alias("own")] if by_text else []
+    count = F.countDistinct("own") if by_text else F.count("*")
+    totals = p.select("host", *own).groupBy("host").agg(count.alias("pages")).where(F.col("pages") >= min_pages)
     k = F.explode(F.expr(f"array_distinct(transform(filter(split(t, '\\n'), x -> x rlike '[^\\\\s]'), x -> {_key('x')}))"))
-    counts = p.select("host", k.alias("k")).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    counts = p.select("host", *own, k.alias("k")).groupBy("host", "k").agg(count.alias("n")).where(F.col("n") > 1)
     counts = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).drop(totals["host"])
     return counts.where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("k").alias("lines"))
 
 
-def line_dedup(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None, by_text: bool = False) -> DataFrame:
     """``pages`` with ``text`` freed of boilerplate; ``dropped`` names a column for the number of lines that went."""
-    known = frequent_lines(pages, host, text, ratio, min_pages)
+    known = frequent_lines(pages, host, text, ratio, min_pages, by_text)
     h, lines, kept = (free_name(pages, n) for n in ("_host", "_lines", "_kept"))
     known = known.select(F.col("host").alias(h + "k"), F.col("lines").alias(lines))
     # the few rows of the lists are repeated for each salt, so that a host's pages go to as many tasks

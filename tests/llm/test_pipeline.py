@@ -19,3 +19,11 @@ def test_stages(spark, sf_dir, tmp_path):
     again = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert sorted(map(tuple, docs.select(key).collect())) == sorted(map(tuple, again.select(key).collect()))
+
+
+def test_copies_of_a_text_are_not_boilerplate(spark):
+    copied = "\n".join(f"a clean line {i} of the copied text" for i in range(6))
+    texts = [copied] * 150 + [f"menu\nbody {i}\nend of {i}" for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {i: copied if i < 150 else f"body {i - 150}\nend of {i - 150}" for i in range(300)}
