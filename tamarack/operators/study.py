@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tamarack.functions.dates import local_day, percent_or_null
 
@@ -124,22 +127,48 @@ def quota(requests: DataFrame, user: str, ts: str, amount: Column, limit: float,
     return requests.withColumn("day", local_day(ts)).withColumn("used", F.sum(amount).over(w)).withColumn("over", F.col("used") > limit)
 
 
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], values: list[str], out: list[str], name: str, start: tuple, step: Callable) -> DataFrame:
+    """``out`` and a flag ``name`` of each row: ``step(state, *values)`` gives the next state and the flag, in order within a key.
+
+    A key's rows are sorted in one partition and pass in batches, with only the last state kept between them.
+    """
+    rows = rows.select(*dict.fromkeys([*keys, *order, *values, *out])).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start
+        for batch in batches:
+            flags = []
+            for key, given in zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*(batch.column(c).to_pylist() for c in values))):
+                if key != last:
+                    last, state = key, start
+                state, flag = step(state, *given)
+                flags.append(flag)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(flags, pa.bool_())], names=[*out, name])
+
+    return rows.mapInArrow(fold, StructType([*(StructField(c, rows.schema[c].dataType) for c in out), StructField(name, BooleanType())]))
+
+
 def accepted_requests(requests: DataFrame, user: str, ts: str, amount: str, limit: int, tie: str) -> DataFrame:
     """As ``quota``, but a refused request uses nothing: an ordered fold over a user's day."""
-    rows = requests.withColumn("day", local_day(ts)).groupBy(user, "day").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(amount).cast("long").alias("n")))).alias("r"))
-    step = f"(a, x) -> named_struct('used', IF(a.used + x.n <= {limit}, a.used + x.n, a.used), 'out', concat(a.out, array(named_struct('tie', x.tie, 'accepted', a.used + x.n <= {limit}))))"
-    kind = "array<struct<tie: bigint, accepted: boolean>>"
-    folded = rows.select(user, "day", F.expr(f"aggregate(r, named_struct('used', 0L, 'out', CAST(array() AS {kind})), {step})").alias("f"))
-    return folded.select(user, "day", F.explode("f.out").alias("o")).select(user, "day", F.col("o.tie").alias(tie), "o.accepted")
+    def step(state: tuple, n: int | None) -> tuple:
+        if n is None:
+            return state, None
+        used = state[0] + n
+        return ((used,), True) if used <= limit else (state, False)
+
+    rows = requests.withColumn("day", local_day(ts)).withColumn(amount, F.col(amount).cast("long"))
+    return ordered_fold(rows, [user, "day"], [ts, tie, amount], [amount], [user, "day", tie], "accepted", (0,), step)
 
 
 def accepted_revisions(events: DataFrame, key: str, order: str, revision: str) -> DataFrame:
     """Drafts saved with the revision that was current at the time; others are refused."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(revision).cast("long").alias("rev")))).alias("r"))
-    step = "(a, x) -> named_struct('rev', IF(x.rev = a.rev, a.rev + 1, a.rev), 'out', concat(a.out, array(named_struct('at', x.at, 'accepted', x.rev = a.rev))))"
-    kind = events.schema[order].dataType.simpleString()
-    folded = rows.select(key, F.expr(f"aggregate(r, named_struct('rev', 0L, 'out', CAST(array() AS array<struct<at: {kind}, accepted: boolean>>)), {step})").alias("f"))
-    return folded.select(key, F.explode("f.out").alias("o")).select(key, F.col("o.at").alias(order), "o.accepted")
+    def step(state: tuple, rev: int | None) -> tuple:
+        if rev is None:
+            return state, None
+        return ((rev + 1,), True) if rev == state[0] else (state, False)
+
+    rows = events.withColumn(revision, F.col(revision).cast("long"))
+    return ordered_fold(rows, [key], [order, revision], [revision], [key, order], "accepted", (0,), step)
 
 
 def refresh_concepts(labels: DataFrame, stored: DataFrame) -> DataFrame:

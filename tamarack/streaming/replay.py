@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tamarack.operators.study import ordered_fold
+
 
 def ingest_available(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> None:
     """Append what is new in a folder of Parquet files and stop; files that were read are not read again."""
@@ -47,10 +49,16 @@ def rate_limited(attempts: DataFrame, limit: int, window_s: int) -> DataFrame:
 
     A blocked attempt changes nothing; a success clears the key.  An ordered fold over each key's attempts.
     """
-    rows = attempts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "ok"))).alias("r"))
-    fresh = f"(a.n = 0 OR x.at >= a.since + {window_s})"
-    blocked = f"(NOT {fresh} AND a.n >= {limit})"
-    step = f"""(a, x) -> named_struct('since', CASE WHEN {blocked} THEN a.since WHEN x.ok THEN 0L WHEN {fresh} THEN x.at ELSE a.since END,
-        'n', CASE WHEN {blocked} THEN a.n WHEN x.ok THEN 0 WHEN {fresh} THEN 1 ELSE a.n + 1 END, 'out', concat(a.out, array(named_struct('at', x.at, 'ok', x.ok, 'blocked', {blocked}))))"""
-    start = "named_struct('since', 0L, 'n', 0, 'out', CAST(array() AS array<struct<at: bigint, ok: boolean, blocked: boolean>>))"
-    return rows.select("key", F.explode(F.expr(f"aggregate(r, {start}, {step})").getField("out")).alias("o")).select("key", "o.*")
+    def step(state: tuple, at: int | None, ok: bool | None) -> tuple:
+        since, n = state
+        fresh = n == 0 or (None if at is None or since is None else at >= since + window_s)
+        if n >= limit and not fresh:
+            if fresh is not None:
+                return state, True
+            blocked = None
+        else:
+            blocked = False
+        return ((0, 0) if ok else (at, 1) if fresh else (since, n + 1)), blocked
+
+    rows = attempts.select("key", F.col("at").cast("long").alias("at"), "ok")
+    return ordered_fold(rows, ["key"], ["at", "ok"], ["at", "ok"], ["key", "at", "ok"], "blocked", (0, 0), step)

@@ -1,8 +1,10 @@
+import random
 from datetime import datetime
 
 import pandas as pd
 
-from tamarack.operators import practice
+from tamarack.operators import practice, study
+from tamarack.streaming import replay
 
 
 def test_faults_and_submit(spark):
@@ -47,3 +49,33 @@ def test_one_model(spark):
     label = lambda m, f: pd.DataFrame({"id": f["id"], "model": m})
     got = practice.one_model_per_bucket(rows, "bucket", "engine", "m0", label, "id long, model string")
     assert sorted((r.id, r.model) for r in got.collect()) == [(1, "m1"), (2, "m0"), (3, "m1")]
+
+
+def test_folds_keep_no_group_whole(spark):
+    rng = random.Random(3)
+    rows = [(1 if i % 3 else 2 + i % 7, i, datetime(2024, 1, 1 + i // 700), rng.choice([None, *range(5)]), rng.random() < 0.3) for i in range(3000)]
+    d = spark.createDataFrame(rows, "u long, i long, ts timestamp, n int, ok boolean").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        quota, drafts = study.accepted_requests(d, "u", "ts", "n", 40, "i"), study.accepted_revisions(d, "u", "i", "n")
+        limited = replay.rate_limited(d.selectExpr("u AS key", "i AS at", "ok"), 3, 50)
+        for x in (quota, drafts, limited):
+            assert "collect_list" not in x._jdf.queryExecution().toString()
+        got = [{(r.i): r.accepted for r in x.collect()} for x in (quota, drafts)] + [{r["at"]: r.blocked for r in limited.collect()}]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    used, rev, since, want = {}, {}, {}, ({}, {}, {})
+    for u, i, ts, n, ok in rows:
+        a = used.get((u, ts), 0)
+        want[0][i] = None if n is None else a + n <= 40
+        used[u, ts] = a + n if want[0][i] else a
+        b = rev.get(u, 0)
+        want[1][i] = None if n is None else n == b
+        rev[u] = b + 1 if n == b else b
+        s, k = since.get(u, (0, 0))
+        fresh = k == 0 or i >= s + 50
+        want[2][i] = not fresh and k >= 3
+        if not want[2][i]:
+            since[u] = (0, 0) if ok else (i, 1) if fresh else (s, k + 1)
+    assert got == list(want)
