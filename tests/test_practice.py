@@ -4,6 +4,7 @@ from datetime import datetime
 import pandas as pd
 
 from tamarack.operators import practice, study
+from tamarack.plans import registry
 from tamarack.streaming import replay
 
 
@@ -79,3 +80,12 @@ def test_folds_keep_no_group_whole(spark):
         if not want[2][i]:
             since[u] = (0, 0) if ok else (i, 1) if fresh else (s, k + 1)
     assert got == list(want)
+
+
+def test_milestones_know_streaks(spark, tmp_path):
+    days = {1: [*range(1, 8), 20], 2: range(1, 31), 3: [1, 3, 5]}
+    rows = [(u, "view", datetime(2024, 1, k, 3)) for u, ks in days.items() for k in ks]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.user_id, r.name): (r.progress, r.reached) for r in registry.QUERIES["milestones_with_streaks"](spark, str(tmp_path)).collect()}
+    assert [got[u, "week_streak"] for u in days] == [(7, True), (7, True), (1, False)]
+    assert [got[u, "month_streak"] for u in days] == [(7, False), (30, True), (1, False)]
