@@ -42,7 +42,7 @@ def image_index(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     parts = F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/")
     url = F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
-    found = files.select(url.alias("url"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 65536).alias("content"))
+    found = files.select(url.alias("url"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")  # whole: metadata may stand before a JPEG's frame
     return found.mapInPandas(sizes, "url string, bytes long, sha256 string, width int, height int")
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 
 from tamarack.operators import practice, study
 from tamarack.plans import registry
+from tamarack.sources import files
 from tamarack.streaming import replay
 
 
@@ -89,3 +90,11 @@ def test_milestones_know_streaks(spark, tmp_path):
     got = {(r.user_id, r.name): (r.progress, r.reached) for r in registry.QUERIES["milestones_with_streaks"](spark, str(tmp_path)).collect()}
     assert [got[u, "week_streak"] for u in days] == [(7, True), (7, True), (1, False)]
     assert [got[u, "month_streak"] for u in days] == [(7, False), (30, True), (1, False)]
+
+
+def test_image_size_behind_long_metadata(spark, tmp_path):
+    segment = b"\xff\xe1\xff\xff" + b"x" * 65533
+    frame = b"\xff\xc0\x00\x11\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\x03" + b"\x01\x22\x00" * 3
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + segment * 2 + frame)
+    r = files.image_index(spark, str(tmp_path)).first()
+    assert (r.bytes, r.width, r.height) == (2 + 2 * 65537 + len(frame), 640, 480)
