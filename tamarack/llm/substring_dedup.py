@@ -1,38 +1,53 @@
-"""Substring dedup by grouping window hashes over the whole corpus, in place of relative Lempel-Ziv parsing.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-Every window of ``width`` words is a seed.  Seeds are dealt out in blocks by the seed's anchor, the smallest hash of a
-short word group within the window, so that neighbouring seeds of a document mostly lie in one block, and equal seeds
-always do.  Equal seeds are grouped there, and the earliest place in the corpus (document, then word) is the source of
-all later ones.  Words under a later one go.  No longest match against a block is sought: factors are runs of
-neighbouring seeds whose sources are neighbours as well, reported for each document and of no effect on its words.
+Every window of ``width`` words has an anchor, the smallest hash of a group of ``GROUP`` words within it, so equal
+windows have equal anchors.
 
-Seeds that repeat within a batch of documents are settled there, and only the earliest goes to its block: a passage that
-a third of all documents share reaches a block once for each batch.  Seeds are shuffled packed, 8 bytes each and a few
-more for each run of neighbours.
+1. Anchors are counted over the corpus, pre-aggregated in each slice of documents.  Windows whose anchor occurs once are
+   unique, and no text is moved for them.
+2. The passages under the other windows are dealt to blocks by anchor.  Windows of very frequent anchors are dealt one by
+   one by a hash of the whole window instead: passages cut at the edge of a text that a third of all documents share have
+   that text's anchors, but other words.
+3. A block sorts its passages by document and place, names all windows exactly (equal words, equal names; no hashes) and
+   is the reference of each passage in it: a passage is factored greedily, a factor beginning at the first window that
+   an earlier place holds, and running on as long as the words there agree.  The window at a factor's end is the next to
+   be looked up, so that no repeated window is lost at a boundary.
+4. A document's factors are put together in order; words under factors, which are all at least a window long, go.
 
-Defined cases: a null or empty text has no words; a text shorter than a window keeps all words; rows of one doc_id do
-not count as earlier than each other at the same word; an empty table gives an empty result; other columns are not
-looked at.
+The frequent anchors come to the driver and are broadcast: at most ``MOST_HOT`` numbers of 8 bytes, whatever the input.
+Which of them are on the list decides only where windows are compared.  Memory is bounded by slices of ``SLICE_BYTES`` of
+text (or one longer document) and by blocks, of which there are ``BLOCKS_PER_PARTITION`` for each shuffle partition.
+
+Defined cases: ids are whole numbers (others raise, unless they can be cast); a row without an id comes before all
+others; a null or empty text has no words; a text shorter than a window keeps all words; rows of one doc_id do not count
+as earlier than each other at the same word, so that repeated rows keep or lose the same words; rows of one doc_id with
+different texts are parsed each for itself; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import documents, shuffle_partitions
+from tamarack.llm.common import documents, materialize, shuffle_partitions
 from tamarack.llm.shingles import hashes, mix, windows, words
 
 WIDTH, GROUP = 20, 8
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION, SLICE_BYTES, LONGEST_RUN = 8, 3 << 20, 32
+#: Anchors that occur so often may be frequent ones; of them the most frequent are.
+HOT, MOST_HOT = 1000, 1 << 20
 NO_ID = np.iinfo(np.int64).min
-FACTOR = "doc_id long, start int, length int, ref_doc long, ref_start int"
+FACTOR = "doc_id long, h long, start int, length int, ref_doc long, ref_start int"
+FACTOR_TYPES = (("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()))
 
 
-def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` neighbours."""
     done, have = x, 1
     while have < width:
@@ -41,150 +56,356 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
-def _factors(doc: np.ndarray, at: np.ndarray, ref_doc: np.ndarray, ref_at: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring repeated seeds whose sources are neighbours as well."""
-    order = np.lexsort((at, doc))
-    doc, at, ref_doc, ref_at = (x[order] for x in (doc, at, ref_doc, ref_at))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (ref_doc[1:] != ref_doc[:-1]) | (ref_at[1:] != ref_at[:-1] + 1)
-    head = np.flatnonzero(new)
-    length = np.diff(np.r_[head, len(doc)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[head], pa.int64()), pa.array(at[head].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(ref_doc[head], pa.int64()), pa.array(ref_at[head].astype(np.int32))],
-        names=["doc_id", "start", "length", "ref_doc", "ref_start"],
-    )
-
-
-def _settle(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of places with equal seeds: which are the first, which are later ones, and the first of each later one."""
-    order = np.argsort(seed)
-    s = seed[order]
-    same = np.zeros(len(s), bool)
-    if len(s) > 1:
-        equal = s[1:] == s[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-    first = np.ones(len(s), bool)
-    shared = order[same]
-    if not len(shared):
-        return first, shared, shared
-    shared = shared[np.lexsort((at[shared], doc[shared], seed[shared]))]
-    s, d, a = seed[shared], doc[shared], at[shared]
-    head = np.r_[True, s[1:] != s[:-1]]
-    lead = shared[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    later = (d != doc[lead]) | (a != at[lead])
-    first[shared[~head]] = False
-    return first, shared[later], lead[later]
-
-
-def _scan(docs: DataFrame, width: int, blocks: int) -> DataFrame:
-    """Packed seeds for the blocks (``block`` set), and factors settled within a batch (``doc_id`` set)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE_BYTES`` of text, at least a row each."""
+    for batch in batches:
+        size = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(float)))
+        part, at = (size // SLICE_BYTES).astype(np.int64), 0
+        for end in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
+            if end > at:
+                yield batch.slice(at, end - at)
+            at = end
+
+
+class Slice:
+    """Words and windows of some documents; windows are those that lie within one."""
+
+    def __init__(self, texts: list[str | None], width: int):
+        self.words = [words(t) for t in texts]
+        n = np.array([len(w) for w in self.words], dtype=np.int64)
+        h = np.concatenate([hashes(w) for w in self.words] + [np.empty(0, np.uint64)])
+        size = max(0, len(h) - width + 1)
+        owner = np.repeat(np.arange(len(n)), n)[:size]
+        at = np.arange(size) - (np.cumsum(n) - n)[owner]
+        whole = at <= n[owner] - width
+        group = min(GROUP, width)
+        self.grams, self.gram_owner = windows(h, group), np.repeat(np.arange(len(n)), n)
+        self.anchor = least_of(self.grams, width - group + 1)[:size][whole] if size else np.empty(0, np.uint64)
+        self.seed = windows(h, width)[whole] if size else np.empty(0, np.uint64)
+        self.owner, self.at = owner[whole], at[whole]
+
+
+def _dealt(block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by block, and where each block begins in it."""
+    order = np.argsort(block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _repeated_anchors(docs: DataFrame, width: int, partitions: int) -> DataFrame:
+    """``doc_id, marks`` (low halves of the document's anchors that occur elsewhere as well), and frequent anchors: ``hot, n``."""
+    blocks = partitions * BLOCKS_PER_PARTITION
+    names = ["block", "values", "counts", "docs", "of", "doc_id", "marks"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            s = Slice(part.column("text").to_pylist(), width)
+            if not len(s.anchor):
+                continue
+            # groups that a document holds twice (a chance meeting of two hashes only adds to them)
+            within = np.sort(s.grams ^ mix(s.gram_owner[: len(s.grams)].astype(np.uint64), 3))
+            within = np.unique(within[1:][within[1:] == within[:-1]])
+            head = np.r_[True, (s.anchor[1:] != s.anchor[:-1]) | (s.owner[1:] != s.owner[:-1])]
+            v, o = s.anchor[head], s.owner[head]
+            order = np.lexsort((o, v))
+            v, o = v[order], o[order]
+            fresh = np.r_[True, (v[1:] != v[:-1]) | (o[1:] != o[:-1])]
+            v, o = v[fresh], o[fresh]
+            times = 1 + np.isin(v ^ mix(o.astype(np.uint64), 3), within).astype(np.int64)
+            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            total = np.add.reduceat(times, start)
+            known = np.repeat(total > 1, np.diff(np.r_[start, len(v)]))
+            rows = []
+            by = np.argsort(o[known], kind="stable")
+            ko, kv = o[known][by], _low(v[known][by])
+            edges = np.searchsorted(ko, np.arange(part.num_rows + 1))
+            rows += [(None, None, None, None, None, int(ids[i]), kv[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            # one entry for each anchor: with its document if that is the only one here
+            v, o, single = v[start], np.where(total > 1, -1, o[start]), total == 1
+            order, edge = _dealt((mix(v, 9) % np.uint64(blocks)).astype(np.int64), blocks)
+            v, o, total = v[order], o[order], np.minimum(total[order], 1 << 30).astype(np.int32)
+            for b in np.flatnonzero(np.diff(edge)):
+                x = slice(edge[b], edge[b + 1])
+                many = o[x] < 0
+                mine, of = np.unique(o[x][~many], return_inverse=True)
+                rows.append((int(b), np.r_[v[x][~many], v[x][many]].tobytes(), total[x][many].tobytes(), ids[mine].tobytes(), of.astype(np.uint16 if len(mine) < 1 << 16 else np.uint32).tobytes(), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    found = docs.mapInArrow(scan, "block int, values binary, counts binary, docs binary, of binary, doc_id long, marks binary")
+    found = found.repartition(partitions, F.coalesce(F.col("block"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int"))).sortWithinPartitions("block")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(rows: list) -> pa.RecordBatch:
+            v, n, d, has = [], [], [], []
+            for values, counts, docs_, of in rows:
+                counts, docs_ = np.frombuffer(counts, np.int32), np.frombuffer(docs_, np.int64)
+                own = docs_[np.frombuffer(of, np.uint16 if len(docs_) < 1 << 16 else np.uint32)] if len(docs_) else docs_
+                v.append(np.frombuffer(values, np.uint64))
+                n.append(np.r_[np.ones(len(own), np.int64), counts])
+                d.append(np.r_[own, np.zeros(len(counts), np.int64)])
+                has.append(np.r_[np.ones(len(own), bool), np.zeros(len(counts), bool)])
+            v, n, d, has = (np.concatenate(x) for x in (v, n, d, has))
+            order = np.argsort(v, kind="stable")
+            v, n, d, has = v[order], n[order], d[order], has[order]
+            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            total = np.add.reduceat(n, start)
+            told = has & np.repeat(total > 1, np.diff(np.r_[start, len(v)]))
+            doc, mark = d[told], _low(v[told])
+            by = np.argsort(doc, kind="stable")
+            doc, mark = doc[by], mark[by]
+            head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+            ends = np.r_[head[1:], len(doc)].astype(np.int64)
+            hot = total >= HOT
+            a, b = len(head), int(hot.sum())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(doc[head], pa.int64()), pa.nulls(b, pa.int64())]),
+                    pa.concat_arrays([pa.array([mark[i:j].tobytes() for i, j in zip(head, ends)], pa.binary()), pa.nulls(b, pa.binary())]),
+                    pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(v[start][hot].view(np.int64), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(total[hot], pa.int64())]),
+                ],
+                names=["doc_id", "marks", "hot", "n"],
+            )
+
+        at, held = None, []
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            tokens = [words(t) for t in batch.column("text").to_pylist()]
-            n = np.array([len(t) for t in tokens])
-            h = np.concatenate([hashes(t) for t in tokens] + [np.empty(0, np.uint64)])
-            if len(h) < width:
+            here = batch.filter(batch.column("block").is_null()).select(["doc_id", "marks"])
+            if here.num_rows:
+                none = pa.nulls(here.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), none, none], names=["doc_id", "marks", "hot", "n"])
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in names[:5])):
+                if block is None:
+                    continue
+                if block != at and held:
+                    yield counted(held)
+                    held = []
+                at = block
+                held.append(row)
+        if held:
+            yield counted(held)
+
+    return found.mapInArrow(count, "doc_id long, marks binary, hot long, n long")
+
+
+
+def _passages(marked: DataFrame, width: int, blocks: int, hot) -> DataFrame:
+    """Passages for the blocks, packed (``block`` set), and factors settled within a slice (``block`` null)."""
+    names = [n for n, _ in FACTOR_TYPES] + ["block", "docs", "hs", "of", "starts", "texts"]
+    kinds = [t for _, t in FACTOR_TYPES] + [pa.int32(), *[pa.binary()] * 5]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.frombuffer(hot.value, np.uint64)
+        press = zstandard.ZstdCompressor(level=1).compress
+        for part in slices(batches):
+            ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            h = part.column("h").to_numpy(zero_copy_only=False)
+            s = Slice(part.column("text").to_pylist(), width)
+            # (document, mark) pairs as one number each: a document's windows are looked up among its own marks
+            marks = [np.frombuffer(b"".join(m), np.uint32) for m in part.column("marks").to_pylist()]
+            told = np.repeat(np.arange(len(marks), dtype=np.uint64), [len(m) for m in marks]) << np.uint64(32) | np.concatenate([*marks, np.empty(0, np.uint32)])
+            keep = np.isin(s.owner.astype(np.uint64) << np.uint64(32) | _low(s.anchor), told)
+            anchor, seed, owner, at = s.anchor[keep], s.seed[keep], s.owner[keep], s.at[keep]
+            if not len(at):
                 continue
-            begin = np.cumsum(n) - n
-            owner = np.repeat(np.arange(len(n)), n)[: len(h) - width + 1]
-            at = np.arange(len(owner)) - begin[owner]
-            whole = at <= n[owner] - width
-            seed = windows(h, width)[whole]
-            anchor = _least_of(windows(h, GROUP), width - GROUP + 1)[whole]
-            owner, at = owner[whole], at[whole]
-            doc = ids[owner]
-            first, later, lead = _settle(seed, doc, at)
-            yield _wide(_factors(doc[later], at[later], doc[lead], at[lead]), None)
-            seed, anchor, doc, at, owner = (x[first] for x in (seed, anchor, doc, at, owner))
-            # runs of neighbours with one anchor, dealt to the anchor's block
-            new = np.ones(len(seed), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
-            head = np.flatnonzero(new)
-            length = np.diff(np.r_[head, len(seed)])
-            block = (mix(anchor[head], 9) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            by_seed = np.argsort(np.repeat(block, length), kind="stable")
-            edge = np.searchsorted(block[order], np.arange(blocks + 1))
-            seed_edge = np.r_[0, np.cumsum(np.bincount(block, weights=length, minlength=blocks))].astype(np.int64)
-            seed, run_doc, run_at, length = seed[by_seed], doc[head][order], at[head][order].astype(np.int32), length[order].astype(np.uint8 if width <= 255 else np.int32)
-            rows = [(b, run_doc[i:j].tobytes(), run_at[i:j].tobytes(), length[i:j].tobytes(), seed[k:m].tobytes()) for b, i, j, k, m in zip(range(blocks), edge, edge[1:], seed_edge, seed_edge[1:]) if j > i]
-            yield _wide(None, rows)
-
-    def _wide(factors: pa.RecordBatch | None, rows: list | None) -> pa.RecordBatch:
-        k = factors.num_rows if factors is not None else len(rows)
-        of = [factors.column(i) for i in range(5)] if factors is not None else [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
-        if rows is not None:
-            packed = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))]
-        else:
-            packed = [pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(4))]
-        return pa.RecordBatch.from_arrays([*of, *packed], names=["doc_id", "start", "length", "ref_doc", "ref_start", "block", "docs", "starts", "lengths", "seeds"])
+            # runs of neighbours with one anchor make a passage, windows of frequent anchors one each
+            alone = np.isin(anchor, frequent)
+            new = alone | np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]
+            since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            head = np.flatnonzero(new | (since % LONGEST_RUN == 0))
+            length = np.diff(np.r_[head, len(at)])
+            to = (mix(np.where(alone[head], seed[head], anchor[head]), 9) % np.uint64(blocks)).astype(np.int64)
+            owner, at = owner[head], at[head]
+            texts = [b" ".join(s.words[o][a : a + n + width - 1]) for o, a, n in zip(owner.tolist(), at.tolist(), length.tolist())]
+            # equal passages are settled here, all but the first
+            order = np.lexsort((at, ids[owner]))
+            first: dict[bytes, int] = {}
+            lead = np.arange(len(texts))
+            for i in order.tolist():
+                lead[i] = first.setdefault(texts[i], i)
+            later = np.flatnonzero((lead != np.arange(len(lead))) & ((ids[owner] != ids[owner[lead]]) | (at != at[lead])))
+            if len(later):
+                f, o = lead[later], owner[later]
+                columns = (ids[o], h[o], at[later], length[later] + width - 1, ids[owner[f]], at[f])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(columns, FACTOR_TYPES)), *(pa.nulls(len(later), t) for t in kinds[6:])], names=names)
+            # rows of the same place in one document stay, each with its own text's hash
+            sent = np.flatnonzero((lead == np.arange(len(lead))) | ((ids[owner] == ids[owner[lead]]) & (at == at[lead])))
+            order, edge = _dealt(to[sent], blocks)
+            rows = []
+            for b in np.flatnonzero(np.diff(edge)):
+                x = sent[order[edge[b] : edge[b + 1]]]
+                mine, of = np.unique(owner[x], return_inverse=True)
+                rows.append((int(b), ids[mine].tobytes(), h[mine].tobytes(), of.astype(np.uint32).tobytes(), at[x].astype(np.int32).tobytes(), press(b"\n".join([texts[i] for i in x.tolist()]))))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds[:6]), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds[6:]))], names=names)
 
-    return docs.mapInArrow(scan, f"{FACTOR}, block int, docs binary, starts binary, lengths binary, seeds binary")
+    return marked.mapInArrow(scan, f"{FACTOR}, block int, docs binary, hs binary, of binary, starts binary, texts binary")
 
 
-def parse(found: list[tuple[int, int, int, int]], width: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """A document's factors joined where their sources go on (start, windows, source document, source start), and the spans of words under them."""
+def window_names(x: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of all windows of ``width`` neighbours: equal for equal windows and for no others, by doubling."""
+    name, have = np.unique(x, return_inverse=True)[1], 1
+    while have < width:
+        step = min(have, width - have)
+        name = np.unique(name[: len(name) - step] * (int(name.max()) + 1) + name[step:], return_inverse=True)[1]
+        have += step
+    return name
+
+
+def factors(passages: list[list[int]] | list[np.ndarray], doc: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors of passages (words as numbers) against those before them, in the order of ``doc`` and ``at``.
+
+    Returns passage, window and number of windows of each factor, and the passage and window where its source begins.
+    """
+    order = np.lexsort((at, doc))
+    n = np.array([len(passages[i]) for i in order.tolist()], dtype=np.int64)
+    x = np.concatenate([passages[i] for i in order.tolist()])
+    if len(x) < width:
+        return (np.empty(0, np.int64),) * 5
+    name = window_names(x, width)
+    begin = np.cumsum(n) - n
+    c = np.repeat(np.arange(len(n)), n)[: len(name)]
+    k = np.arange(len(name)) - begin[c]
+    inside = k <= n[c] - width
+    name, c, k = name[inside], c[inside], k[inside]
+    first, inverse = np.unique(name, return_index=True, return_inverse=True)[1:]
+    lead = first[inverse]
+    own = order[c]
+    hit = (doc[own] != doc[own[lead]]) | (at[own] + k != at[own[lead]] + k[lead])
+    m, run = len(name), hit.astype(np.int64)
+    # how far the words go on to agree, for all hits at once
+    active, step = np.flatnonzero(hit), 1
+    while len(active):
+        a, b = active + step, lead[active] + step
+        fits = (a < m) & (b < m)
+        active, a, b = active[fits], a[fits], b[fits]
+        active = active[(c[a] == c[active]) & (c[b] == c[lead[active]]) & (name[a] == name[b])]
+        run[active] += 1
+        step += 1
+    next_hit = np.minimum.accumulate(np.where(hit, np.arange(m), m)[::-1])[::-1] if m else np.empty(0, np.int64)
+    head = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if m else np.empty(0, np.int64)
+    at_, of, found = next_hit[head], c[head], []
+    while len(at_):
+        here = at_ < m
+        at_, of = at_[here], of[here]
+        here = c[at_] == of
+        at_, of = at_[here], of[here]
+        found.append(at_)
+        # the window after the factor is the first that it does not cover
+        after = at_ + run[at_]
+        at_ = np.where(after < m, next_hit[np.minimum(after, m - 1)], m) if m else after
+    f = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+    return own[f], k[f], run[f], own[lead[f]], k[lead[f]]
+
+
+def _parsed(dealt: DataFrame, width: int) -> DataFrame:
+    """Factors of the passages, block by block, and those settled before."""
+    names = ["block", "docs", "hs", "of", "starts", "texts"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor().decompress
+
+        def found(rows: list) -> Iterator[pa.RecordBatch]:
+            doc, h, at, texts = [], [], [], []
+            for d, hs, of, starts, packed in rows:
+                of = np.frombuffer(of, np.uint32)
+                doc.append(np.frombuffer(d, np.int64)[of])
+                h.append(np.frombuffer(hs, np.int64)[of])
+                at.append(np.frombuffer(starts, np.int32))
+                texts += press(packed).split(b"\n")
+            doc, h, at = (np.concatenate(v) for v in (doc, h, at))
+            # a passage that is equal to an earlier one is one factor, the others are parsed
+            order = np.lexsort((at, doc))
+            first: dict[bytes, int] = {}
+            lead = np.empty(len(texts), np.int64)
+            for i in order.tolist():
+                lead[i] = first.setdefault(texts[i], i)
+            later = np.flatnonzero((doc != doc[lead]) | (at != at[lead]))
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            size = np.zeros(len(texts), np.int64)
+            get = number.__getitem__
+            mine = np.flatnonzero((doc == doc[lead]) & (at == at[lead]))
+            parts = [list(map(get, texts[i].split(b" "))) for i in mine.tolist()]
+            for i in later.tolist():
+                size[i] = texts[i].count(b" ") + 1
+            yield batch_of(doc[later], h[later], at[later], size[later], doc[lead[later]], at[lead[later]])
+            p, k, run, q, j = factors([np.array(x, np.int64) for x in parts], doc[mine], at[mine], width)
+            p, q = mine[p], mine[q]
+            yield batch_of(doc[p], h[p], at[p] + k, run + width - 1, doc[q], at[q] + j)
+
+        def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, FACTOR_TYPES)], names=[n for n, _ in FACTOR_TYPES])
+
+        at, held = None, []
+        for batch in batches:
+            settled = batch.filter(batch.column("block").is_null()).select([n for n, _ in FACTOR_TYPES])
+            if settled.num_rows:
+                yield settled
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if block is None:
+                    continue
+                if block != at and held:
+                    yield from found(held)
+                    held = []
+                at = block
+                held.append(row)
+        if held:
+            yield from found(held)
+
+    return dealt.mapInArrow(look, FACTOR)
+
+
+def parse(found: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """A document's factors (start, words, source document, source start) joined where their sources go on, and the spans of words under them."""
     phrases: list[list[int]] = []
     spans: list[list[int]] = []
     for start, length, ref_doc, ref_start in sorted(found):
         last = phrases[-1] if phrases else None
-        if last and last[2] == ref_doc and start == last[0] + last[1] and ref_start == last[3] + last[1]:
-            last[1] += length
+        if last and last[2] == ref_doc and start - last[0] == ref_start - last[3] and start <= last[0] + last[1]:
+            last[1] = max(last[1], start + length - last[0])
         else:
             phrases.append([start, length, ref_doc, ref_start])
-        end = start + length + width - 1
         if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], end)
+            spans[-1][1] = max(spans[-1][1], start + length)
         else:
-            spans.append([start, end])
-    return [(a, k + width - 1, d, r) for a, k, d, r in phrases], [(a, b) for a, b in spans]
+            spans.append([start, start + length])
+    return [tuple(p) for p in phrases], [(a, b) for a, b in spans]
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept, n_factors, spans``: what is left of each text, and the word spans that went."""
-    n = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+    blocks = n * BLOCKS_PER_PARTITION
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seeds = _scan(d, width, n * BLOCKS_PER_PARTITION)
-    names = ["doc_id", "start", "length", "ref_doc", "ref_start"]
-    # one exchange for both kinds of rows: seeds go to their block, settled factors anywhere
-    dealt = seeds.repartition(n, F.coalesce(F.col("block"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)).cast("int")))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for block, d, s, k, x in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "starts", "lengths", "seeds"))):
-                if block is None:
-                    continue
-                length = np.frombuffer(k, np.uint8 if width <= 255 else np.int32).astype(np.int64)
-                start = np.repeat(np.frombuffer(s, np.int32).astype(np.int64) - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                parts.append((np.frombuffer(x, np.uint64), np.repeat(np.frombuffer(d, np.int64), length), start.astype(np.int32)))
-            settled = batch.filter(batch.column("block").is_null()).select(names)
-            if settled.num_rows:
-                yield settled
-        if parts:
-            seed, doc, at = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            _, later, lead = _settle(seed, doc, at)
-            yield _factors(doc[later], at[later], doc[lead], at[lead])
-
-    found = dealt.mapInArrow(look, FACTOR)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "ref_doc", "ref_start")).alias("found")).withColumnRenamed("doc_id", "of")
-    met = d.join(found, F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))) == F.col("of"), "left").select("doc_id", "text", "found")
+    anchors = materialize(_repeated_anchors(d, width, n))
+    hot = anchors.where("hot IS NOT NULL").orderBy(F.desc("n"), "hot").limit(MOST_HOT).toPandas()["hot"].to_numpy(np.int64)
+    hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)).tobytes())
+    marks = anchors.where("hot IS NULL").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("marks").alias("marks"))
+    d = d.withColumn("h", F.xxhash64("text"))
+    own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
+    marked = d.join(marks, own == F.col("of")).select("doc_id", "h", "text", "marks")
+    # one exchange for both kinds of rows: passages go to their block, settled factors anywhere
+    dealt = _passages(marked, width, blocks, hot).repartition(n, F.coalesce(F.col("block"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)).cast("int"))).sortWithinPartitions("block")
+    found = _parsed(dealt, width).groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(F.struct("start", "length", "ref_doc", "ref_start")).alias("found"))
+    met = d.join(found, (own == F.col("of")) & (F.col("h") == F.col("of_h")), "left").select("doc_id", "text", "found")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
                 w = words(t)
-                phrases, spans = parse([tuple(x.values()) for x in f], width) if f else ([], [])
+                phrases, spans = parse([tuple(x.values()) for x in f]) if f else ([], [])
                 left, at = [], 0
                 for a, b in spans:
                     left += w[at:a]
                     at = b
                 left += w[at:]
-                for to, x in zip(out, (len(w), len(w) - len(left), b" ".join(left).decode(), len(phrases), [{"start": a, "end": b} for a, b in spans])):
+                for to, x in zip(out, (len(w), len(w) - len(left), b" ".join(left).decode("utf-8", "surrogatepass"), len(phrases), [{"start": a, "end": b} for a, b in spans])):
                     to.append(x)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64(), span)))], names=["doc_id", "n_words", "n_removed", "kept", "n_factors", "spans"])

@@ -100,8 +100,9 @@ def brute_windows(docs, width):
     return out
 
 
-@pytest.mark.parametrize("batch", [10000, 13])
-def test_substring_dedup(spark, texts, batch):
+@pytest.mark.parametrize("batch,hot", [(10000, 1000), (13, 1000), (13, 3)])
+def test_substring_dedup(spark, texts, monkeypatch, batch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)  # windows of frequent anchors go their own way
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
@@ -114,10 +115,25 @@ def test_substring_dedup(spark, texts, batch):
 
 
 def test_parse_joins_factors():
-    phrases, spans = substring_dedup.parse([(5, 2, 1, 9), (7, 1, 1, 11), (8, 1, 2, 0)], 20)
+    phrases, spans = substring_dedup.parse([(5, 21, 1, 9), (7, 20, 1, 11), (8, 20, 2, 0)])
     assert phrases == [(5, 22, 1, 9), (8, 20, 2, 0)] and spans == [(5, 28)]
 
 
+def test_greedy_factors():
+    a = list(range(40))
+    passages = [a, [99, *a[5:30], *a[10:33]], a[2:12]]
+    got = substring_dedup.factors([np.array(x) for x in passages], np.array([1, 2, 3]), np.array([0, 50, 0]), 4)
+    # the longest run first, then the window at its end that goes on elsewhere; 29, 10, 11, 12 is new
+    assert sorted(zip(*(x.tolist() for x in got))) == [(1, 1, 22, 0, 5), (1, 26, 20, 0, 10), (2, 0, 7, 0, 2)]
+
+
+def test_window_names_are_exact():
+    x = np.array([random.Random(4).randint(0, 2) for _ in range(3000)])
+    name = substring_dedup.window_names(x, 5)
+    exact = [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+    assert len(set(zip(exact, name.tolist()))) == len(set(exact)) == len(set(name.tolist()))
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
