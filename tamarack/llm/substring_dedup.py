@@ -43,8 +43,9 @@ BLOCKS_PER_PARTITION, SLICE_BYTES, LONGEST_RUN = 8, 3 << 20, 32
 #: Anchors that occur so often may be frequent ones; of them the most frequent are.
 HOT, MOST_HOT = 1000, 1 << 20
 NO_ID = np.iinfo(np.int64).min
-FACTOR = "doc_id long, h long, start int, length int, ref_doc long, ref_start int"
-FACTOR_TYPES = (("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()))
+#: Factors travel packed, some of a document in a row.
+PACKED = np.dtype([("start", "<i4"), ("length", "<i4"), ("ref_doc", "<i8"), ("ref_start", "<i4")])
+FACTORS = "doc_id long, h long, found binary"
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -193,14 +194,31 @@ def _repeated_anchors(docs: DataFrame, width: int, partitions: int) -> DataFrame
 
 
 
+def _packed(doc: np.ndarray, h: np.ndarray, start: np.ndarray, length: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> list[pa.Array]:
+    """Columns ``doc_id, h, found``; factors that go on where the one before ends, and in the same source, are joined."""
+    order = np.lexsort((start, h, doc))
+    doc, h, start, length, ref_doc, ref_start = (x[order].astype(np.int64) for x in (doc, h, start, length, ref_doc, ref_start))
+    same = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
+    on = same & (start[1:] <= start[:-1] + length[:-1]) & (ref_doc[1:] == ref_doc[:-1]) & (start[1:] - ref_start[1:] == start[:-1] - ref_start[:-1])
+    head = np.flatnonzero(np.r_[True, ~on]) if len(doc) else np.empty(0, np.int64)
+    rows = np.empty(len(head), PACKED)
+    if len(head):
+        rows["start"], rows["ref_doc"], rows["ref_start"] = start[head], ref_doc[head], ref_start[head]
+        rows["length"] = np.maximum.reduceat(start + length, head) - start[head]
+    doc, h = doc[head], h[head]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else head
+    ends = np.r_[first[1:], len(doc)].astype(np.int64)
+    return [pa.array(doc[first], pa.int64()), pa.array(h[first], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())]
+
+
 def _passages(marked: DataFrame, width: int, blocks: int, hot) -> DataFrame:
     """Passages for the blocks, packed (``block`` set), and factors settled within a slice (``block`` null)."""
-    names = [n for n, _ in FACTOR_TYPES] + ["block", "docs", "hs", "of", "starts", "texts"]
-    kinds = [t for _, t in FACTOR_TYPES] + [pa.int32(), *[pa.binary()] * 5]
+    names = ["doc_id", "h", "found", "block", "docs", "hs", "of", "starts", "texts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(hot.value, np.uint64)
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         for part in slices(batches):
             ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             h = part.column("h").to_numpy(zero_copy_only=False)
@@ -230,8 +248,8 @@ def _passages(marked: DataFrame, width: int, blocks: int, hot) -> DataFrame:
             later = np.flatnonzero((lead != np.arange(len(lead))) & ((ids[owner] != ids[owner[lead]]) | (at != at[lead])))
             if len(later):
                 f, o = lead[later], owner[later]
-                columns = (ids[o], h[o], at[later], length[later] + width - 1, ids[owner[f]], at[f])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(columns, FACTOR_TYPES)), *(pa.nulls(len(later), t) for t in kinds[6:])], names=names)
+                columns = _packed(ids[o], h[o], at[later], length[later] + width - 1, ids[owner[f]], at[f])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in kinds[3:])], names=names)
             # rows of the same place in one document stay, each with its own text's hash
             sent = np.flatnonzero((lead == np.arange(len(lead))) | ((ids[owner] == ids[owner[lead]]) & (at == at[lead])))
             order, edge = _dealt(to[sent], blocks)
@@ -240,9 +258,9 @@ def _passages(marked: DataFrame, width: int, blocks: int, hot) -> DataFrame:
                 x = sent[order[edge[b] : edge[b + 1]]]
                 mine, of = np.unique(owner[x], return_inverse=True)
                 rows.append((int(b), ids[mine].tobytes(), h[mine].tobytes(), of.astype(np.uint32).tobytes(), at[x].astype(np.int32).tobytes(), press(b"\n".join([texts[i] for i in x.tolist()]))))
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds[:6]), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds[6:]))], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds[:3]), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds[3:]))], names=names)
 
-    return marked.mapInArrow(scan, f"{FACTOR}, block int, docs binary, hs binary, of binary, starts binary, texts binary")
+    return marked.mapInArrow(scan, f"{FACTORS}, block int, docs binary, hs binary, of binary, starts binary, texts binary")
 
 
 def window_names(x: np.ndarray, width: int) -> np.ndarray:
@@ -308,7 +326,7 @@ def _parsed(dealt: DataFrame, width: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor().decompress
 
-        def found(rows: list) -> Iterator[pa.RecordBatch]:
+        def parsed(rows: list) -> Iterator[pa.RecordBatch]:
             doc, h, at, texts = [], [], [], []
             for d, hs, of, starts, packed in rows:
                 of = np.frombuffer(of, np.uint32)
@@ -326,37 +344,33 @@ def _parsed(dealt: DataFrame, width: int) -> DataFrame:
             later = np.flatnonzero((doc != doc[lead]) | (at != at[lead]))
             number: defaultdict[bytes, int] = defaultdict()
             number.default_factory = number.__len__
-            size = np.zeros(len(texts), np.int64)
             get = number.__getitem__
             mine = np.flatnonzero((doc == doc[lead]) & (at == at[lead]))
             parts = [list(map(get, texts[i].split(b" "))) for i in mine.tolist()]
-            for i in later.tolist():
-                size[i] = texts[i].count(b" ") + 1
-            yield batch_of(doc[later], h[later], at[later], size[later], doc[lead[later]], at[lead[later]])
+            size = np.array([texts[i].count(b" ") + 1 for i in later.tolist()], np.int64)
             p, k, run, q, j = factors([np.array(x, np.int64) for x in parts], doc[mine], at[mine], width)
             p, q = mine[p], mine[q]
-            yield batch_of(doc[p], h[p], at[p] + k, run + width - 1, doc[q], at[q] + j)
-
-        def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, FACTOR_TYPES)], names=[n for n, _ in FACTOR_TYPES])
+            whole = (doc[later], h[later], at[later], size, doc[lead[later]], at[lead[later]])
+            some = (doc[p], h[p], at[p] + k, run + width - 1, doc[q], at[q] + j)
+            yield pa.RecordBatch.from_arrays(_packed(*(np.concatenate(x) for x in zip(whole, some))), names=["doc_id", "h", "found"])
 
         at, held = None, []
         for batch in batches:
-            settled = batch.filter(batch.column("block").is_null()).select([n for n, _ in FACTOR_TYPES])
+            settled = batch.filter(batch.column("block").is_null()).select(["doc_id", "h", "found"])
             if settled.num_rows:
                 yield settled
             for block, *row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if block is None:
                     continue
                 if block != at and held:
-                    yield from found(held)
+                    yield from parsed(held)
                     held = []
                 at = block
                 held.append(row)
         if held:
-            yield from found(held)
+            yield from parsed(held)
 
-    return dealt.mapInArrow(look, FACTOR)
+    return dealt.mapInArrow(look, FACTORS)
 
 
 def parse(found: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -390,8 +404,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
     marked = d.join(marks, own == F.col("of")).select("doc_id", "h", "text", "marks")
     # one exchange for both kinds of rows: passages go to their block, settled factors anywhere
-    dealt = _passages(marked, width, blocks, hot).repartition(n, F.coalesce(F.col("block"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)).cast("int"))).sortWithinPartitions("block")
-    found = _parsed(dealt, width).groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(F.struct("start", "length", "ref_doc", "ref_start")).alias("found"))
+    dealt = _passages(marked, width, blocks, hot).repartition(n, F.coalesce(F.col("block"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 20)).cast("int"))).sortWithinPartitions("block")
+    found = _parsed(dealt, width).groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list("found").alias("found"))
     met = d.join(found, (own == F.col("of")) & (F.col("h") == F.col("of_h")), "left").select("doc_id", "text", "found")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +413,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
             out: tuple[list, ...] = ([], [], [], [], [])
             for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
                 w = words(t)
-                phrases, spans = parse([tuple(x.values()) for x in f]) if f else ([], [])
+                phrases, spans = parse(np.frombuffer(b"".join(f), PACKED).tolist()) if f else ([], [])
                 left, at = [], 0
                 for a, b in spans:
                     left += w[at:a]
