@@ -1,32 +1,37 @@
-"""Document fingerprints: a Merkle tree over pieces, paragraphs and sections of a text.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces of a text.
 
 A line is a paragraph; a blank line, or a paragraph whose digest says so, ends a section, and within a paragraph the
 words on both sides of a space say whether a piece ends there.  All cuts depend on the content near them, so that an
-edit changes the digests on its path to the root and no others.  Equal roots mean equal texts; of two trees the leaves
-that only one has locate the edit, and the share of text under common leaves (twice the common over the sum) is the
-likeness.
-
-Neighbours by ``doc_id`` are met without sorting all rows: rows are dealt by ranges of ids, and the first document of
-each range is sent to the range before it as well.  There are at most ``MOST_RANGES`` ranges.
-
-Defined cases: a null text is empty; two empty texts have likeness 1, an empty and another 0; rows of one id follow
-each other in the order of their texts, rows without an id come first; the only row's next document is itself; an empty
-table gives an empty result; other columns are not looked at.
+edit changes the digests on its path to the root and no others.  Equal roots mean equal texts.  Of two trees the
+branches that differ are followed down, section by section, then paragraph by paragraph, then piece by piece, each level
+compared in order: what is left are the places of the edits, moved, repeated and deleted paragraphs among them.  The
+likeness is the share of text under common leaves (twice the common over the sum).
+
+Neighbours by ``doc_id`` are met without sorting all rows: rows are dealt by ranges of ids with about as many rows each,
+and the first document of each range is sent to the range before it as well.  There are at most ``MOST_RANGES`` ranges:
+their bounds and first ids (two numbers each) come to the driver, and the first ids are broadcast.
+
+Defined cases: ids are whole numbers of any size (others raise, unless they can be cast); a null text is empty; two empty
+texts have likeness 1, an empty and another 0; rows of one id follow each other in the order of their texts, in one task
+that holds two of them at a time; rows without an id come first; the only row's next document is itself; an empty table
+gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamarack.llm.common import documents, shuffle_partitions, text_of
 
-RANGE_IDS, MOST_RANGES = 64, 100_000
+RANGES_PER_PARTITION, MOST_RANGES = 16, 20_000
 #: One space in so many ends a piece, one paragraph in so many ends a section.
 PIECE_SPACES, SECTION_PARAGRAPHS = 6, 8
 #: A piece has so many spaces at most; a text with no more than that has a piece for each word.
@@ -38,13 +43,16 @@ def _digest(data: bytes) -> bytes:
 
 
 class Tree:
-    """``root`` (bytes), ``sections`` ((digest, paragraphs) pairs) and ``leaves`` (digest, start and end in bytes)."""
+    """``root`` and the nodes of each level, from sections over paragraphs to pieces, as (digest, start, end) in bytes.
+
+    ``parts[k]`` says where the children of each node of level k begin in level k + 1.
+    """
 
-    __slots__ = ("root", "sections", "leaves", "size")
+    __slots__ = ("root", "levels", "parts", "size")
 
     def __init__(self, text: str):
         raw = text.encode("utf-8", "surrogatepass")
-        self.size, self.leaves, self.sections = len(raw), [], []
+        self.size = len(raw)
         b = np.frombuffer(raw, dtype=np.uint8)
         space = np.flatnonzero(b[2:-1] == 32) + 2 if len(b) > 3 else np.empty(0, np.int64)
         near = b[space - 1].astype(np.int64) * 29 + b[space - 2] * 13 + b[space + 1] * 7 if len(space) else space
@@ -53,29 +61,28 @@ class Tree:
             since = np.arange(len(space)) - np.maximum.accumulate(np.where(ends, np.arange(len(space)), 0))
             ends |= since % MOST_SPACES == MOST_SPACES - 1
         cuts = np.union1d(space[ends] + 1, np.flatnonzero(b == 10) + 1).tolist()
-        start, paragraph, section = 0, [], []
+        sections, paragraphs, leaves = [], [], []
+        section_parts, paragraph_parts = [0], [0]
 
         def end_section() -> None:
-            if section:
-                self.sections.append((_digest(b"s" + b"".join(section)), len(section)))
-                section.clear()
+            if (first := section_parts[-1]) < len(paragraphs):
+                sections.append((_digest(b"s" + b"".join(d for d, _, _ in paragraphs[first:])), paragraphs[first][1], paragraphs[-1][2]))
+                section_parts.append(len(paragraphs))
 
+        start = 0
         for end in [*cuts, len(raw)]:
             if end > start:
-                leaf = _digest(raw[start:end])
-                self.leaves.append((leaf, start, end))
-                paragraph.append(leaf)
-            if end > start and raw[end - 1] == 10 or end == len(raw):
-                blank = end - start <= 1 and len(paragraph) == 1 and raw[start:end] == b"\n"
-                if paragraph:
-                    node = _digest(b"p" + b"".join(paragraph))
-                    section.append(node)
-                    if blank or node[0] % SECTION_PARAGRAPHS == 0:
-                        end_section()
-                    paragraph = []
+                leaves.append((_digest(raw[start:end]), start, end))
+            if (end > start and raw[end - 1] == 10 or end == len(raw)) and (first := paragraph_parts[-1]) < len(leaves):
+                node = _digest(b"p" + b"".join(d for d, _, _ in leaves[first:]))
+                paragraphs.append((node, leaves[first][1], end))
+                paragraph_parts.append(len(leaves))
+                if raw[leaves[first][1] : end] == b"\n" or node[0] % SECTION_PARAGRAPHS == 0:
+                    end_section()
             start = end
         end_section()
-        self.root = _digest(b"r" + b"".join(d for d, _ in self.sections))
+        self.levels, self.parts = (sections, paragraphs, leaves), (section_parts, paragraph_parts)
+        self.root = _digest(b"r" + b"".join(d for d, _, _ in sections))
 
     def likeness(self, other: Tree) -> float:
         if self.root == other.root:
@@ -83,33 +90,90 @@ class Tree:
         if not self.size or not other.size:
             return 0.0
         mine, common = Counter(), 0
-        for d, a, b in self.leaves:
+        for d, a, b in self.levels[-1]:
             mine[d] += b - a
-        for d, a, b in other.leaves:
+        for d, a, b in other.levels[-1]:
             if left := mine.get(d):
                 common += min(left, b - a)
                 mine[d] = max(0, left - (b - a))
         return 2 * common / (self.size + other.size)
 
-    def first_change(self, other: Tree) -> int:
-        """Where, in bytes, the first leaf begins that the other tree lacks; -1 if there is none."""
-        theirs = {d for d, _, _ in other.leaves}
-        return next((a for d, a, _ in self.leaves if d not in theirs), -1)
+    def edits(self, other: Tree) -> list[tuple[int, int, int, int]]:
+        """Where the texts differ, in bytes: (start, end) here and (start, end) there, in order; none if the roots agree."""
+        if self.root == other.root:
+            return []
+        spans = [(0, len(self.levels[0]), 0, len(other.levels[0]))]
+        for level, (a, b) in enumerate(zip(self.levels, other.levels)):
+            x, y = [d for d, _, _ in a], [d for d, _, _ in b]
+            spans = [d for s in spans for d in _differing(x, y, *s)]
+            if level < len(self.parts):
+                mine, theirs = self.parts[level], other.parts[level]
+                spans = [(mine[i], mine[j], theirs[k], theirs[m]) for i, j, k, m in spans]
+        place = lambda nodes, size, i: nodes[i][1] if i < len(nodes) else size
+        a, b = self.levels[-1], other.levels[-1]
+        return [(place(a, self.size, i), place(a, self.size, j), place(b, other.size, k), place(b, other.size, m)) for i, j, k, m in spans]
+
+
+def _differing(x: list[bytes], y: list[bytes], a: int, b: int, c: int, d: int) -> list[tuple[int, int, int, int]]:
+    """The stretches of x[a:b] and y[c:d] that differ: between common ends and the nodes that occur once in both, in order."""
+    while a < b and c < d and x[a] == y[c]:
+        a, c = a + 1, c + 1
+    while a < b and c < d and x[b - 1] == y[d - 1]:
+        b, d = b - 1, d - 1
+    if a == b and c == d:
+        return []
+    if a == b or c == d:
+        return [(a, b, c, d)]
+    here, there = Counter(x[a:b]), Counter(y[c:d])
+    at = {v: k for k, v in enumerate(y[c:d], c) if there[v] == 1}
+    pairs = [(i, at[v]) for i, v in enumerate(x[a:b], a) if here[v] == 1 and v in at]
+    # the longest series of pairs that ascends on both sides
+    tails: list[int] = []
+    last: list[int] = []
+    before = []
+    for n, (_, k) in enumerate(pairs):
+        p = bisect_left(tails, k)
+        before.append(last[p - 1] if p else -1)
+        tails[p : p + 1], last[p : p + 1] = [k], [n]
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    if not chain:
+        return [(a, b, c, d)]
+    out = []
+    for i, k in [*reversed(chain), (b, d)]:
+        out += _differing(x, y, a, i, c, k)
+        a, c = min(i + 1, b), min(k + 1, d)
+    return out
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (range, head, doc_id, text) lying together by range, each range followed by the head of the next one."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    low, high = d.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(RANGE_IDS, -(-((high or 0) - (low or 0) + 1) // MOST_RANGES))
-    d = d.withColumn("range", F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {width}"), F.lit(-1)))
-    firsts = d.groupBy("range").agg(F.min("doc_id").alias("first"))
-    every = Window.orderBy(F.desc("range"))  # at most MOST_RANGES rows and one
-    last = F.max("range").over(Window.partitionBy())
-    heads = firsts.select(F.coalesce(F.lag(F.col("range"), -1).over(every), last).alias("to"), "first")
-    heads = d.join(heads, F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("to").alias("range"), F.lit(True).alias("head"), "doc_id", "text")
-    rows = d.select("range", F.lit(False).alias("head"), "doc_id", "text").union(heads)
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "range").sortWithinPartitions("range", "head", "doc_id", "text")
+    ranges = min(n * RANGES_PER_PARTITION, MOST_RANGES)
+    parts = [k / ranges for k in range(1, ranges)]
+    bounds = d.agg(F.percentile_approx("doc_id", parts, max(10_000, 10 * ranges)).alias("b")).first()["b"] if parts else []
+    bounds = np.unique(np.array(bounds or [], dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def range_of(i: pd.Series) -> pd.Series:
+        here = i.notna()
+        out = np.full(len(i), -1, dtype=np.int32)
+        out[here] = np.searchsorted(bounds, i[here].astype("int64").to_numpy(), side="right")
+        return pd.Series(out)
+
+    ids = d.select("doc_id").withColumn("range", range_of("doc_id"))
+    # at most MOST_RANGES rows and one for rows without an id
+    firsts = sorted((r["range"], r["first"]) for r in ids.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
+    to = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
+    heads = F.broadcast(spark.createDataFrame(to, "first long, range int"))
+    heads = d.join(heads, F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("range", "doc_id").agg(F.min("text").alias("text"))
+    rows = d.withColumn("range", range_of("doc_id")).select("range", F.lit(False).alias("head"), "doc_id", "text")
+    rows = rows.union(heads.select("range", F.lit(True).alias("head"), "doc_id", "text"))
+    return rows.repartition(n, "range").sortWithinPartitions("range", "head", "doc_id", "text")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,42 +181,47 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edit: the second half replaced by the beginning of the next document."""
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_sections", "n_leaves", "first_change")
+    """Fingerprints (roots) of each text and of its edit: the second half replaced by the beginning of the next document.
+
+    ``near_*`` are likenesses of whole trees.  ``first_change`` is the byte at which the first of the edit's ``n_edits``
+    places begins, as the tree tells it; -1 if there is none.
+    """
+    kinds = {
+        "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(),
+        "near_next": pa.float64(), "n_sections": pa.int64(), "n_paragraphs": pa.int64(), "n_leaves": pa.int64(), "n_edits": pa.int64(), "first_change": pa.int64(),
+    }
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # range, head, id, text, tree
         for batch in batches:
-            out = {n: [] for n in names}
+            out = []
             for at, head, i, t in zip(*(batch.column(c).to_pylist() for c in ("range", "head", "doc_id", "text"))):
-                if before and before[0] == at and before[1]:
-                    continue  # further rows of the head's id
                 row = (at, head, i, t, Tree(t))
                 if before and before[0] == at:
-                    own, n = before[3], len(before[3])
+                    _, _, own_id, own, tree = before
+                    n = len(own)
                     edited = own[: n - n // 2] + t[: n // 2]
-                    tree = Tree(edited)
-                    for name, x in zip(names, (before[2], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), before[4].root.hex(), tree.root.hex(), before[4].likeness(tree), before[4].likeness(row[4]), len(before[4].sections), len(before[4].leaves), before[4].first_change(tree))):
-                        out[name].append(x)
+                    new = Tree(edited)
+                    places = tree.edits(new)
+                    out.append((own_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), tree.root.hex(), new.root.hex(), tree.likeness(new), tree.likeness(row[4]), *map(len, tree.levels), len(places), places[0][0] if places else -1))
                 before = row
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names=list(names))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
-    return with_next(docs, doc_id, text).mapInArrow(scan, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, n_leaves long, first_change long")
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}" for n, t in kinds.items())
+    return with_next(docs, doc_id, text).mapInArrow(scan, schema)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The tree itself: root, section digests and leaves (digest, start and end in bytes), one row for each document."""
+    """The tree itself, one row for each document: root and the nodes of each level (digest, start and end in bytes)."""
+    levels = ("sections", "paragraphs", "leaves")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = pa.list_(pa.struct([("digest", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             trees = [Tree(t) for t in batch.column("text").to_pylist()]
-            leaf = pa.list_(pa.struct([("digest", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([t.root.hex() for t in trees], pa.string()), pa.array([[d.hex() for d, _ in t.sections] for t in trees], pa.list_(pa.string())), pa.array([[{"digest": d.hex(), "start": a, "end": b} for d, a, b in t.leaves] for t in trees], leaf)],
-                names=["doc_id", "root", "sections", "leaves"],
-            )
+            nodes = [pa.array([[{"digest": d.hex(), "start": a, "end": b} for d, a, b in t.levels[k]] for t in trees], node) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.root.hex() for t in trees], pa.string()), *nodes], names=["doc_id", "root", *levels])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return d.mapInArrow(scan, f"doc_id {kind}, root string, sections array<string>, leaves array<struct<digest: string, start: bigint, end: bigint>>")
+    return d.mapInArrow(scan, f"doc_id {kind}, root string, " + ", ".join(f"{n} array<struct<digest: string, start: bigint, end: bigint>>" for n in levels))

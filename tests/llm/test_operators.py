@@ -182,12 +182,50 @@ def test_fingerprints(spark, texts):
     assert np.mean([r["near_edited"] for r in long]) > 0.35 and np.mean([r["near_next"] for r in long]) < 0.1
 
 
-def test_tree_locates_an_edit():
-    a = "\n".join(f"paragraph {i} with some words of its own number {i * i}" for i in range(50))
-    b = a.replace("paragraph 30 with", "paragraph 30 without")
-    at = fingerprints.Tree(a).first_change(fingerprints.Tree(b))
-    assert 0 <= a.index("paragraph 30") - at < 60 or at >= a.index("paragraph 30") and at < a.index("paragraph 31")
-    assert fingerprints.Tree(a).likeness(fingerprints.Tree(b)) > 0.9
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 5], [10**15, *range(2000)], [7, 7, None, None, 3], [4]])
+def test_fingerprints_of_wide_and_missing_ids(spark, ids):
+    docs = [(i, f"text {k} of {i}") for k, i in enumerate(ids)]
+    got = rows(fingerprints.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")))
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)]
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[1][: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_tree_locates_edits():
+    lines = [f"paragraph {i} with some words of its own number {i * i}" for i in range(50)]
+    a = "\n".join(lines)
+
+    def places(b):
+        return fingerprints.Tree(a).edits(fingerprints.Tree(b))
+
+    for i in (0, 30, 49):
+        b = "\n".join(x.replace("some words", "some other words") if k == i else x for k, x in enumerate(lines))
+        at = len("\n".join(lines[:i])) + (i > 0)
+        (s, e, s2, e2), = places(b)
+        assert at <= s <= at + lines[i].index("some") and at < e <= at + len(lines[i]) + 1 and a[:s] == b[:s2] and a[e:] == b[e2:]
+    assert fingerprints.Tree(a).likeness(fingerprints.Tree(b)) > 0.9 and places(a) == []
+    two = "\n".join(x.replace("some", "no") if k in (10, 40) else x for k, x in enumerate(lines))
+    assert len(places(two)) == 2 and all("some" in a[s:e] for s, e, _, _ in places(two))
+    # swapped, deleted and repeated paragraphs: equal leaves in another order or number
+    swapped = "\n".join([*lines[:5], lines[6], lines[5], *lines[7:]])
+    assert places(swapped) and places(swapped)[0][0] >= a.index(lines[5]) and places(swapped)[-1][1] <= a.index(lines[7])
+    repeated = "\n".join([*lines[:20], lines[19], *lines[20:]])
+    assert places(repeated) and fingerprints.Tree(repeated).edits(fingerprints.Tree(a))
+    assert fingerprints.Tree("").edits(fingerprints.Tree("x y")) == [(0, 0, 0, 3)]
+
+
+def test_edits_put_texts_together_again():
+    rng = random.Random(8)
+    for _ in range(300):
+        x, y = ("".join(rng.choice(["a b ", "c d\n", "\n", "e f g ", "h\n"]) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        x = x if rng.random() < 0.5 else y[: len(y) // 2] + "zz " + y[len(y) // 3 :]
+        at, out = 0, ""
+        for s, e, s2, e2 in fingerprints.Tree(x).edits(fingerprints.Tree(y)):
+            out, at = out + x[at:s] + y[s2:e2], e
+        assert out + x[at:] == y
 
 
 # packing
