@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -23,19 +27,43 @@ def text_of(text: str | Column = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder; where none is set, as in tests, a temporary one."""
+    """The checkpoint folder; where none is set, a temporary one if all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tamarack-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tamarack-"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate table whose rows are not needed again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+#: Bytes of text that a task takes at once, at least a row.
+SLICE_BYTES = 3 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE_BYTES`` of text, at least a row each."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        part, at = size // SLICE_BYTES, 0
+        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+            if end > at:
+                yield batch.slice(at, end - at)
+            at = end
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet, whatever the case."""
     taken = {c.lower() for c in df.columns}

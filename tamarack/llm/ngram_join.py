@@ -3,25 +3,32 @@
 Two sets whose Jaccard similarity reaches a threshold must share many of the tokens that come first in any fixed order
 of all tokens: so many that tokens behind the prefixes cannot make up for what is missing.  Three orders are used.
 
-1. Equal sets are one class, known by a hash of the set.
-2. Order A puts frequent tokens last.  Prefix tokens are shuffled as postings; pairs of classes that share a token are
-   counted, and those with enough common prefix tokens are candidate links.  Tokens known to be very frequent, and
-   lists longer than ``LONGEST_LIST``, link all their classes to one of them instead, so no list makes all pairs.
-3. Candidate links fall into clusters.  A true link never leaves its cluster.  Texts of clustered classes are shuffled
-   to their cluster, and there a pair must pass the filters of the orders A, B and C before its sets are compared.
-   Large clusters are dealt out as pairs of blocks of bounded size.  Pairs already connected are not compared again.
-4. The links found are joined to components.
-
-The frequent tokens are a hint for order A, from counts within batches, of bounded size (``HINTS``); whatever it holds,
-the order is fixed and the result is whole.
-
-Defined cases: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
-shingle of all; repeated rows are linked with each other; rows of one doc_id are one document; an empty table gives an
-empty result; other columns are not looked at.
+1. Equal sets are one class, known by two 64-bit hashes of the set and named by its smallest doc_id.
+2. Order A puts frequent tokens last.  Prefix tokens are shuffled as packed postings, pairs of classes that share a token
+   are counted, and those with enough common prefix tokens are candidates.  Tokens known to be very frequent, and lists
+   longer than ``LONGEST_LIST``, only make each class a candidate with the list's first one and its next neighbours by
+   size, so no list makes all pairs; what this leaves out is looked for in step 5.
+3. The texts of candidate classes are met once, and their prefixes under all orders written to the shared folder.  A pair
+   stays if it passes the filters of A, B and C: these are small rows, and no text moves for a pair that fails one.
+4. Sets of pairs that stay are compared, first those of neighbours, then those whose parts are not connected yet.
+5. Classes that share a long list make a cluster.  Where a cluster is not connected yet, the classes outside its largest
+   component, as queries, meet the prefixes of all its classes of a fitting size, in blocks of ``BLOCK_ROWS`` classes; a
+   pair that passes all three filters is compared as well.  Then all links are joined to components.
+
+The frequent tokens are a hint for order A, from counts within batches, of bounded size (``HINTS``, 16 bytes each, 4 MB);
+whatever it holds, the order is fixed and the result is whole.
+
+Defined cases: ids are whole numbers (others raise, unless they can be cast); a null or empty text has an empty set and
+is linked with nothing; fewer words than a shingle make one shingle of all; repeated rows are linked with each other;
+rows of one doc_id are one document; rows without an id link like others, and a component of such rows alone has a null
+component_id if it has a set; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +36,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import documents, materialize, shuffle_partitions
+from tamarack.llm.common import documents, materialize, remove_folder, shared_folder, shuffle_partitions, slices
 from tamarack.llm.components import connected_components
 from tamarack.llm.shingles import hashes, mix, shingle_set, words
 
 WORDS, PERCENT = 5, 80
 LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
-#: Documents and tokens of a block of a large cluster.
-BLOCK_ROWS, BLOCK_TOKENS = 1000, 2_000_000
+#: Neighbours by size that a class of a long list is a candidate with, besides the list's first class.
+NEIGHBOURS = 3
+BLOCKS_PER_PARTITION, BLOCK_ROWS = 8, 16_000
 ORDERS = (1, 2, 3)
+NO_ID = np.iinfo(np.int64).max
+PAIR = "a1 long, a2 long, b1 long, b2 long, na int, nb int, common int"
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -56,218 +66,352 @@ def _lengths_fit(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.n
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _batch_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return [shingle_set(hashes(words(t, lower=True)), width) for t in batch.column("text").to_pylist()]
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    return tuple(np.array(x, dtype=np.uint64).view(np.int64) for x in ([x >> 64 for x in d], [x & (1 << 64) - 1 for x in d]))
 
 
 def _sets_and_hints(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its set's size and hash; and tokens that several sets of a batch hold, with their count."""
+    """Per document its set's size and hashes; and tokens that several sets of a batch hold, with their count."""
+    names = ["doc_id", "n", "s1", "s2", "token", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _batch_sets(batch, width)
-            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            ids, size = batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64())
-            low = np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64)
-            high = np.array([d >> 64 for d in digests], dtype=np.uint64)
-            none = lambda k: pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, size, _long(low), _long(high), none(len(sets)), none(len(sets))], names=["doc_id", "n", "s1", "s2", "token", "times"])
-            distinct = {d: s for d, s in zip(digests, sets)}.values()
+        none = lambda k: pa.nulls(k, pa.int64())
+        seen: Counter = Counter()
+        for batch in slices(batches):
+            sets = _sets(batch, width)
+            s1, s2 = _digests(sets)
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), none(k), none(k)], names=names)
+            distinct = {d: s for d, s in zip(zip(s1.tolist(), s2.tolist()), sets)}.values()
             tokens, times = np.unique(np.concatenate([*distinct, np.empty(0, np.uint64)]), return_counts=True)
-            tokens, times = tokens[times > 2], times[times > 2]
-            k = len(tokens)
-            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k), _long(tokens), pa.array(times, pa.int64())], names=["doc_id", "n", "s1", "s2", "token", "times"])
+            seen.update(dict(zip(tokens[times > 1].tolist(), times[times > 1].tolist())))
+            if len(seen) > 1 << 18:
+                seen = Counter({t: c for t, c in seen.items() if c > 2})
+        found = [(t, c) for t, c in seen.items() if c > 2]
+        k = len(found)
+        yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k), pa.array(np.array([t for t, _ in found], np.uint64).view(np.int64)), pa.array([c for _, c in found], pa.int64())], names=names)
 
     return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, token long, times long")
 
 
-def _postings(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
-    """Prefix tokens under order A: (token, class, n); for hot tokens one class of the batch and links of the others to it (kind 1)."""
+def _neighbours(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in lists (runs of equal tokens, by size): the list's first with each, and each with the next ones."""
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    lead = np.repeat(start, np.diff(np.r_[start, len(token)]))
+    a, b = [lead], [np.arange(len(token))]
+    for k in range(1, NEIGHBOURS + 1):
+        i = np.flatnonzero(token[k:] == token[:-k]) if len(token) > k else np.empty(0, np.int64)
+        a.append(i)
+        b.append(i + k)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+def _pair_batch(s1: np.ndarray, s2: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    swap = (s1[a] > s1[b]) | ((s1[a] == s1[b]) & (s2[a] > s2[b]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (s1[a], s2[a], s1[b], s2[b])), *(pa.array(x, pa.int32()) for x in (n[a], n[b], common))], names=["a1", "a2", "b1", "b2", "na", "nb", "common"])
+
+
+def _postings(docs: DataFrame, width: int, percent: int, hot, blocks: int) -> DataFrame:
+    """Prefix tokens under order A, packed by blocks of tokens; of hot tokens one class, and pairs within the batch."""
+    packed = ["block", "tokens", "of", "c1", "c2", "sizes"]
+    kinds = [pa.int32(), *[pa.binary()] * 5]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(hot.value[0], dtype=np.uint64)
-        rank = np.frombuffer(hot.value[1], dtype=np.int64)
-        for batch in batches:
-            classes: dict[int, np.ndarray] = {}
-            for s in _batch_sets(batch, width):
+        known, rank = np.frombuffer(hot.value[0], np.uint64), np.frombuffer(hot.value[1], np.int64)
+        for batch in slices(batches):
+            classes: dict[tuple[int, int], np.ndarray] = {}
+            sets = _sets(batch, width)
+            for key, s in zip(zip(*(x.tolist() for x in _digests(sets))), sets):
                 if len(s):
-                    classes.setdefault(xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1, s)
+                    classes.setdefault(key, s)
             if not classes:
                 continue
+            s1, s2 = (np.array(x, np.int64) for x in zip(*classes))
             size = np.array([len(s) for s in classes.values()])
             token, owner = np.concatenate(list(classes.values())), np.repeat(np.arange(len(size)), size)
-            at = np.searchsorted(known, token) if len(known) else np.zeros(len(token), np.int64)
-            is_hot = known[np.minimum(at, len(known) - 1)] == token if len(known) else np.zeros(len(token), bool)
-            place = np.where(is_hot, rank[np.minimum(at, len(known) - 1)] if len(known) else 0, 0)
+            at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
+            is_hot = known[at] == token if len(known) else np.zeros(len(token), bool)
+            place = np.where(is_hot, rank[at], 0) if len(known) else np.zeros(len(token), np.int64)
             order = np.lexsort((mix(token, ORDERS[0]), place, owner))
-            start = np.cumsum(size) - size
-            first = order[np.arange(len(order)) - np.repeat(start, size) < np.repeat(prefix_length(size, percent), size)]
+            first = order[np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(prefix_length(size, percent), size)]
             token, owner, is_hot = token[first], owner[first], is_hot[first]
-            name = np.array(list(classes), dtype=np.uint64)
-            # the classes of a hot token hang on one of the batch
+            # the classes of a hot token are paired here, and the first of them goes on alone
             ht, ho = token[is_hot], owner[is_hot]
-            lead_token, inverse = np.unique(ht, return_inverse=True)
-            lead = np.full(len(lead_token), np.iinfo(np.uint64).max, dtype=np.uint64)
-            np.minimum.at(lead, inverse, name[ho])
-            links = np.unique(np.stack([lead[inverse], name[ho]], axis=1), axis=0) if len(ht) else np.empty((0, 2), np.uint64)
-            links = links[links[:, 0] != links[:, 1]]
-            t = np.concatenate([token[~is_hot], lead_token, links[:, 0]])
-            c = np.concatenate([name[owner[~is_hot]], lead, links[:, 1]])
-            n = np.concatenate([size[owner[~is_hot]], np.zeros(len(lead) + len(links), np.int64)])
-            kind = np.concatenate([np.zeros(len(t) - len(links), np.int32), np.ones(len(links), np.int32)])
-            yield pa.RecordBatch.from_arrays([_long(t), _long(c), pa.array(n, pa.int32()), pa.array(kind, pa.int32())], names=["token", "class", "n", "kind"])
-
-    return docs.mapInArrow(scan, "token long, class long, n int, kind int")
+            by = np.lexsort((s2[ho], s1[ho], size[ho], ht))
+            ht, ho = ht[by], ho[by]
+            a, b = _neighbours(ht, size[ho])
+            pairs = np.unique(np.stack([ho[a], ho[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+            lead = np.flatnonzero(np.r_[True, ht[1:] != ht[:-1]]) if len(ht) else np.empty(0, np.int64)
+            token, owner, alone = np.r_[token[~is_hot], ht[lead]], np.r_[owner[~is_hot], ho[lead]], np.r_[np.zeros((~is_hot).sum(), bool), np.ones(len(lead), bool)]
+            block = (mix(token, 9) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            edge = np.searchsorted(block[order], np.arange(blocks + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(edge)):
+                x = order[edge[k] : edge[k + 1]]
+                mine, of = np.unique(owner[x] * 2 + alone[x], return_inverse=True)
+                c = mine >> 1
+                # a size below 0 marks a class that stands for a hot token's list
+                sizes = np.where(mine & 1, -size[c], size[c]).astype(np.int32)
+                rows.append((int(k), token[x].tobytes(), of.astype(np.uint32).tobytes(), s1[c].tobytes(), s2[c].tobytes(), sizes.tobytes()))
+            pair = _pair_batch(s1, s2, pairs[:, 0], pairs[:, 1], size, np.zeros(len(pairs), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.concat_arrays([pa.array([r[k] for r in rows], t), pa.nulls(len(pairs), t)]) for k, t in enumerate(kinds)), *(pa.concat_arrays([pa.nulls(len(rows), x.type), x]) for x in pair.columns)],
+                names=[*packed, *pair.schema.names],
+            )
+
+    return docs.mapInArrow(scan, f"block int, tokens binary, of binary, c1 binary, c2 binary, sizes binary, {PAIR}")
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with their common tokens here (n 0: linked through a long list)."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy() for c in ("token", "class", "n")) for b in batches]
-        if not parts:
-            return
-        token, name, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((name, token))
-        token, name, n = token[order], name[order], n[order].astype(np.int64)
+    """Pairs of classes with the number of tokens that they share here; 0 if they share a long list."""
+    names = ["a1", "a2", "b1", "b2", "na", "nb", "common"]
+
+    def met(rows: list) -> Iterator[pa.RecordBatch]:
+        token, s1, s2, n = [], [], [], []
+        for tokens, of, c1, c2, sizes in rows:
+            of = np.frombuffer(of, np.uint32)
+            token.append(np.frombuffer(tokens, np.uint64))
+            for to, x, kind in ((s1, c1, np.int64), (s2, c2, np.int64), (n, sizes, np.int32)):
+                to.append(np.frombuffer(x, kind)[of])
+        token, s1, s2, n = (np.concatenate(x) for x in (token, s1, s2, n))
+        # most tokens occur once
+        order = np.argsort(token, kind="stable")
+        t = token[order]
+        shared = np.zeros(len(t), bool)
+        shared[1:] |= t[1:] == t[:-1]
+        shared[:-1] |= t[1:] == t[:-1]
+        order = order[shared]
+        token, s1, s2, star, n = token[order], s1[order], s2[order], n[order] < 0, np.abs(n[order])
+        order = np.lexsort((s2, s1, n, token))
+        token, s1, s2, star, n = (x[order] for x in (token, s1, s2, star, n))
         fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-        token, name, n = token[fresh], name[fresh], n[fresh]
+        fresh[1:] = (token[1:] != token[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        token, s1, s2, star, n = (x[fresh] for x in (token, s1, s2, star, n))
+        if not len(token):
+            return
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[start, len(token)])
-        least_n = np.minimum.reduceat(n, start)
-        out = []
-        star = (length > LONGEST_LIST) | ((least_n == 0) & (length > 1))
-        for s, k in zip(start[star], length[star]):
-            out.append(np.stack([np.full(k - 1, name[s]), name[s + 1 : s + k], np.zeros(k - 1, np.int64), np.zeros(k - 1, np.int64), np.ones(k - 1, np.int64)]))
-        for k in np.unique(length[~star]):
-            if k < 2:
-                continue
+        far = (length > LONGEST_LIST) | np.logical_or.reduceat(star, start)
+        whole = np.flatnonzero(np.repeat(far, length))
+        a, b = _neighbours(token[whole], n[whole])
+        yield _pair_batch(s1, s2, whole[a], whole[b], n, np.zeros(len(a), np.int32))
+        for k in np.unique(length[~far]):
             i, j = np.triu_indices(k, 1)
-            heads = start[~star & (length == k)]
+            heads = start[~far & (length == k)]
             for some in np.array_split(heads, max(1, len(heads) * len(i) // 1_000_000)):
                 a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 fits = _lengths_fit(n[a], n[b], percent)
-                a, b = a[fits], b[fits]
-                out.append(np.stack([name[a], name[b], n[a], n[b], np.ones(len(a), np.int64)]))
-        if not out:
-            return
-        rows = np.concatenate(out, axis=1)
-        order = np.lexsort((rows[2], rows[1], rows[0]))
-        rows = rows[:, order]
-        head = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]) | (rows[2, 1:] != rows[2, :-1])]) if rows.shape[1] else np.empty(0, int)
-        if not len(head):
-            return
-        count = np.add.reduceat(rows[4], head)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[0, head], rows[1, head], rows[2, head], rows[3, head], count)], names=["a", "b", "na", "nb", "common"])
-
-    return postings.mapInArrow(join, "a long, b long, na long, nb long, common long")
-
-
-class _Cluster:
-    """Documents of one cluster (or of two of its blocks): finds the links by filters under all orders."""
-
-    def __init__(self, ids: list[int], blocks: list[int], sets: list[np.ndarray], percent: int):
-        self.ids, self.percent = ids, percent
-        self.block = np.array(blocks)
-        self.sets, self.n = sets, np.array([len(s) for s in sets])
-        self.root = list(range(len(ids)))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def links(self) -> Iterator[tuple[int, int]]:
-        """A forest of links: each joins two parts that were not connected yet."""
-        k, n = len(self.ids), self.n
-        length = prefix_length(n, self.percent)
-        indexes = []
-        for salt in ORDERS:
-            heads = [s[np.argsort(mix(s, salt), kind="stable")[:p]] for s, p in zip(self.sets, length)]
-            number = np.unique(np.concatenate(heads), return_inverse=True)[1]
-            owner = np.repeat(np.arange(k), length)
-            order = np.argsort(number, kind="stable")
-            starts = np.searchsorted(number[order], np.arange(number.max() + 2))
-            indexes.append((owner[order], starts, number, np.cumsum(length) - length))
-        across = len(set(self.block.tolist())) > 1
-        for i in range(k):
-            fits = _lengths_fit(n[i], n, self.percent)
-            fits[: i + 1] = False
-            if across:
-                fits &= self.block != self.block[i]
-            needed = least_common(n[i], n, self.percent)
-            for owner, starts, number, begin in indexes:
-                if not fits.any():
-                    break
-                own = number[begin[i] : begin[i] + length[i]]
-                common = np.bincount(np.concatenate([owner[starts[t] : starts[t + 1]] for t in own]), minlength=k)
-                fits &= common >= needed
-            for j in np.flatnonzero(fits):
-                if (a := self.find(i)) != (b := self.find(j)):
-                    both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-                    if 100 * both >= self.percent * (n[i] + n[j] - both):
-                        self.root[max(a, b)] = min(a, b)
-                        yield self.ids[i], self.ids[j]
-
-
-def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links within clusters, from rows (cluster, i, j, block, doc_id, text) that lie together."""
+                yield _pair_batch(s1, s2, a[fits], b[fits], n, np.ones(fits.sum(), np.int32))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            pairs = batch.filter(batch.column("block").is_null()).select(names)
+            if pairs.num_rows:
+                yield pairs
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "tokens", "of", "c1", "c2", "sizes"))):
+                if block is None:
+                    continue
+                if block != at and held:
+                    yield from met(held)
+                    held = []
+                at = block
+                held.append(row)
+        if held:
+            yield from met(held)
+
+    found = postings.mapInArrow(join, PAIR)
+    # a long list's pair is one, however many short lists it shares besides
+    return found.groupBy("a1", "a2", "b1", "b2", "na", "nb").agg(F.sum("common").alias("common"), F.min("common").alias("least"))
+
+
+def _prefixes(texts: DataFrame, width: int, percent: int, hot) -> DataFrame:
+    """``rep, n, heads, text``: the prefixes under the orders A, B and C, one after the other, as sorted 32-bit hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = np.frombuffer(hot.value[0], np.uint64), np.frombuffer(hot.value[1], np.int64)
+        for batch in slices(batches):
+            heads, n = [], []
+            for s in _sets(batch, width):
+                p, out = prefix_length(len(s), percent), []
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                place = np.where(known[at] == s, rank[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                for salt in ORDERS:
+                    key = mix(s, salt)
+                    order = np.lexsort((key, place)) if salt == ORDERS[0] else np.argsort(key, kind="stable")
+                    out.append(np.sort(s[order[:p]].astype(np.uint32)).tobytes())
+                heads.append(b"".join(out))
+                n.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n, pa.int64()), pa.array(heads, pa.binary()), batch.column("text")], names=["rep", "n", "heads", "text"])
+
+    return texts.mapInArrow(scan, "rep long, n long, heads binary, text string")
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two sorted arrays, repeated ones as often as both have them."""
+    both = np.intersect1d(x, y)
+    left = np.searchsorted(x, both, "right") - np.searchsorted(x, both)
+    right = np.searchsorted(y, both, "right") - np.searchsorted(y, both)
+    return int(np.minimum(left, right).sum())
+
+
+def _orders(heads: bytes) -> np.ndarray:
+    return np.frombuffer(heads, np.uint32).reshape(len(ORDERS), -1)
+
+
+def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, ha, hb) that pass the filters of all orders."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids: list, blocks: list, sets: list) -> pa.RecordBatch:
-            links = list(_Cluster(ids, blocks, sets, percent).links()) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            needed = least_common(n, m, percent)
+            fits = _lengths_fit(n, m, percent)
+            x, y = batch.column("ha"), batch.column("hb")
+            for i in np.flatnonzero(fits).tolist():
+                a, b = _orders(x[i].as_py()), _orders(y[i].as_py())
+                fits[i] = all(shared(p, q) >= needed[i] for p, q in zip(a, b))
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    return pairs.mapInArrow(check, "a long, b long")
 
-        at, held = None, ([], [], [])
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the similarity."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.empty(0))
+        for batch in slices(batches, "tb"):
+            keep = []
+            for a, t, u in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
+                if a != last[0]:
+                    last = (a, shingle_set(hashes(words(t, lower=True)), width))
+                x, y = last[1], shingle_set(hashes(words(u, lower=True)), width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (texts.select(F.col("rep").alias(k), F.col("text").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+def _residual(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a cluster's classes in different components that pass all filters, from (rep, cluster, part)."""
+    spark = members.sparkSession
+    parts = members.groupBy("cluster", "part").agg(F.count("*").alias("k"))
+    top = parts.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+    rows = members.join(top.select(F.col("cluster").alias("of"), "top"), F.col("cluster") == F.col("of")).join(heads, "rep")
+    # sets of fitting sizes are in one class of sizes or in neighbouring ones
+    rows = rows.withColumn("about", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    rows = materialize(rows.select("cluster", "part", "top", "about", "rep", "n", "heads"))
+    blocks = rows.groupBy("cluster", "about").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")).select(F.col("cluster").alias("c"), F.col("about").alias("o"), "blocks")
+    met = lambda x: x.join(blocks, (F.col("cluster") == F.col("c")) & (F.col("about") == F.col("o")))
+    own = met(rows).select("cluster", "about", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.lit(False).alias("query"), "part", "rep", "n", "heads")
+    asks = met(rows.where("part != top").withColumn("about", F.explode(F.expr("array(about - 1, about, about + 1)"))))
+    asks = asks.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("cluster", "about", "block", F.lit(True).alias("query"), "part", "rep", "n", "heads")
+    dealt = own.union(asks).repartition(shuffle_partitions(spark), "cluster", "about", "block").sortWithinPartitions("cluster", "about", "block", "query", "rep")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index = None, [], None
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
-            for key, doc, block, text in zip(keys, *(batch.column(c).to_pylist() for c in ("doc_id", "block", "text"))):
+            out = []
+            for *key, query, part, rep, n, head in zip(*(batch.column(c).to_pylist() for c in ("cluster", "about", "block", "query", "part", "rep", "n", "heads"))):
                 if key != at:
-                    yield found(*held)
-                    at, held = key, ([], [], [])
-                for to, x in zip(held, (doc, block, shingle_set(hashes(words(text, lower=True)), width))):
-                    to.append(x)
-        yield found(*held)
-
-    return rows.mapInArrow(check, "a long, b long")
+                    at, held, index = key, [], None
+                if not query:
+                    held.append((part, rep, n, _orders(head)))
+                    continue
+                if index is None and held:
+                    index = _Index(held)
+                if index is not None:
+                    out += index.partners(part, rep, n, _orders(head), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(look, "a long, b long").distinct()
+
+
+class _Index:
+    """The classes of a block, by the tokens of their prefixes under each order."""
+
+    def __init__(self, held: list[tuple]):
+        self.part, self.rep, self.n = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        self.heads = [h[3] for h in held]
+        self.orders = []
+        for k in range(len(ORDERS)):
+            tokens = np.concatenate([h[k] for h in self.heads])
+            owner = np.repeat(np.arange(len(held)), [h.shape[1] for h in self.heads])
+            order = np.argsort(tokens, kind="stable")
+            self.orders.append((tokens[order], owner[order]))
+
+    def partners(self, part: int, rep: int, n: int, heads: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        fits = _lengths_fit(n, self.n, percent) & (self.part != part)
+        needed = least_common(n, self.n, percent)
+        for (tokens, owner), own in zip(self.orders, heads):
+            if not fits.any():
+                return []
+            a, b = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+            common = np.zeros(len(self.n), np.int64)
+            for i, j in zip(a[b > a].tolist(), b[b > a].tolist()):
+                common += np.bincount(owner[i:j], minlength=len(common))
+            fits &= common >= needed
+        return [(min(rep, r), max(rep, r)) for r in self.rep[fits].tolist()]
 
 
 def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the set's size and the smallest id that links reach."""
     spark = docs.sparkSession
+    n = shuffle_partitions(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = materialize(_sets_and_hints(d, width))
     sets = scanned.where("token IS NULL").select("doc_id", "n", "s1", "s2")
     hints = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("k")).where(F.col("k") >= HOT)
     hints = sorted((r["token"] & (1 << 64) - 1, r["k"]) for r in hints.orderBy(F.desc("k"), "token").limit(HINTS).collect())
     hot = spark.sparkContext.broadcast((np.array([t for t, _ in hints], np.uint64).tobytes(), np.array([k for _, k in hints], np.int64).tobytes()))
-    postings = materialize(_postings(d, width, percent, hot))
-    pairs = _pairs(postings.where("kind = 0").select("token", "class", "n").repartition(shuffle_partitions(spark), "token"), percent)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.min("na").alias("least"))
-    length = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+    classes = materialize(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")))
+    postings = _postings(d, width, percent, hot, n * BLOCKS_PER_PARTITION)
+    dealt = postings.repartition(n, F.coalesce(F.col("block"), F.pmod(F.col("b1"), F.lit(1 << 20)).cast("int"))).sortWithinPartitions("block")
+    length = lambda x: f"({x} - ({percent} * {x} + 99) div 100 + 1)"
     needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} - greatest(na - {length('na')}, nb - {length('nb')})"
-    links = pairs.where(f"least = 0 OR common >= {needed}").select("a", "b")
-    links = links.union(postings.where("kind = 1").select(F.col("token").alias("a"), F.col("class").alias("b")))
-    clusters = connected_components(links)
-    # one document of each class, with its cluster
-    classes = materialize(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    members = materialize(classes.join(clusters, F.col("s1") == F.col("node")).select("rep", "n", F.col("label").alias("cluster")))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
-    sizes = sizes.where("k > 1").select(F.col("cluster").alias("of"), F.expr(f"greatest(ceil(k / {BLOCK_ROWS}), ceil(tokens / {BLOCK_TOKENS}))").alias("blocks"))
-    members = members.join(sizes, F.col("cluster") == F.col("of")).select("rep", "cluster", "blocks", F.expr("pmod(xxhash64(rep), blocks)").alias("block"))
-    texts = d.join(members, F.col("doc_id") == F.col("rep")).select("cluster", "blocks", "block", "doc_id", "text").dropDuplicates(["doc_id"])
-    texts = texts.withColumn("o", F.expr("explode(sequence(0L, blocks - 1))")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "text")
-    groups = texts.repartition(shuffle_partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    labels = connected_components(_verified(groups, width, percent))
-    best = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("best"))
+    pairs = _pairs(dealt, percent).where(f"least = 0 OR common >= {needed}")
+    name = lambda k: classes.select(F.col("s1").alias(f"{k}1"), F.col("s2").alias(f"{k}2"), F.col("rep").alias(k))
+    pairs = materialize(pairs.join(name("a"), ["a1", "a2"]).join(name("b"), ["b1", "b2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least"))
+    # the texts of candidates, met once
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = d.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, F.col("id") == F.col("rep")).select("rep", "text").dropDuplicates(["rep"])
+    folder = f"{shared_folder(spark)}/prefixes-{uuid.uuid4().hex}"
+    _prefixes(texts, width, percent, hot).write.option("compression", "zstd").parquet(folder)
+    known = spark.read.parquet(folder)
+    heads, texts = known.select("rep", "n", "heads"), known.select("rep", "text")
+    side = lambda k: heads.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("heads").alias(f"h{k}"))
+    passed = materialize(_filtered(pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), percent))
+    # neighbours first: each class with the next ones on both sides
+    near = passed.groupBy("b").agg(F.max("a").alias("a")).select("a", "b").union(passed.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
+    links = materialize(_verified(near, texts, width, percent))
+    part = connected_components(links)
+    label = lambda rows, k, to: rows.join(part.select(F.col("node").alias(f"{k}_"), F.col("label").alias(to)), F.col(k) == F.col(f"{k}_"), "left").drop(f"{k}_").withColumn(to, F.coalesce(to, k))
+    rest = label(label(passed, "a", "pa"), "b", "pb").where("pa != pb").select("a", "b")
+    more = materialize(_verified(rest, texts, width, percent))
+    if not more.isEmpty():
+        links = links.union(more)
+        part = connected_components(links)
+    # classes of long lists whose cluster is not connected yet
+    clusters = connected_components(pairs.where("least = 0").select("a", "b"))
+    members = label(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep", "part")
+    last = materialize(_verified(_residual(members, heads, percent), texts, width, percent))
+    if not last.isEmpty():
+        part = connected_components(links.union(last))
+    remove_folder(spark, folder)
+    best = classes.join(part, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("best"))
     found = sets.join(best, ["n", "s1", "s2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.nullif("best", F.lit(NO_ID))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,15 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import documents, materialize, shuffle_partitions
+from tamarack.llm.common import documents, materialize, shuffle_partitions, slices
 from tamarack.llm.shingles import hashes, mix, windows, words
 
 WIDTH, GROUP = 20, 8
-BLOCKS_PER_PARTITION, SLICE_BYTES, LONGEST_RUN = 8, 3 << 20, 32
+BLOCKS_PER_PARTITION, LONGEST_RUN = 8, 32
 #: Anchors that occur so often may be frequent ones; of them the most frequent are.
 HOT, MOST_HOT = 1000, 1 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -57,17 +56,6 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``SLICE_BYTES`` of text, at least a row each."""
-    for batch in batches:
-        size = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(float)))
-        part, at = (size // SLICE_BYTES).astype(np.int64), 0
-        for end in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
-            if end > at:
-                yield batch.slice(at, end - at)
-            at = end
-
-
 class Slice:
     """Words and windows of some documents; windows are those that lie within one."""
 
