@@ -10,7 +10,8 @@ of all tokens: so many that tokens behind the prefixes cannot make up for what i
    size, so no list makes all pairs; what this leaves out is looked for in step 5.
 3. The texts of candidate classes are met once, and their prefixes under all orders written to the shared folder.  A pair
    stays if it passes the filters of A, B and C: these are small rows, and no text moves for a pair that fails one.
-4. Sets of pairs that stay are compared, first those of neighbours, then those whose parts are not connected yet.
+4. Sets of pairs that stay are compared in groups that they connect, each text met once in a group.  Large groups are
+   dealt out in blocks; there, pairs of neighbours come first, and then those whose parts are not connected yet.
 5. Classes that share a long list make a cluster.  Where a cluster is not connected yet, the classes outside its largest
    component, as queries, meet the prefixes of all its classes of a fitting size, in blocks of ``BLOCK_ROWS`` classes; a
    pair that passes all three filters is compared as well.  Then all links are joined to components.
@@ -45,6 +46,8 @@ LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
 #: Neighbours by size that a class of a long list is a candidate with, besides the list's first class.
 NEIGHBOURS = 3
 BLOCKS_PER_PARTITION, BLOCK_ROWS = 8, 16_000
+#: Classes and tokens of a group whose sets are compared in one go.
+GROUP_ROWS, GROUP_TOKENS = 1000, 2_000_000
 ORDERS = (1, 2, 3)
 NO_ID = np.iinfo(np.int64).max
 PAIR = "a1 long, a2 long, b1 long, b2 long, na int, nb int, common int"
@@ -284,23 +287,40 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(check, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity."""
+def _verified(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """A forest of links within groups: pairs (cluster, block, a, b) whose sets reach the similarity and join two parts.
+
+    A group's texts are met and cut once each, before its pairs.
+    """
+    keys = ["cluster", "block"]
+    nodes = edges.select(*keys, F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep")
+    rows = nodes.select(*keys, F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(edges.select(*keys, "a", "b", F.lit(None).cast("string")))
+    dealt = rows.repartition(shuffle_partitions(edges.sparkSession), *keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first(), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0))
-        for batch in slices(batches, "tb"):
-            keep = []
-            for a, t, u in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                if a != last[0]:
-                    last = (a, shingle_set(hashes(words(t, lower=True)), width))
-                x, y = last[1], shingle_set(hashes(words(u, lower=True)), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        at, sets, root = None, {}, {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in slices(batches):
+            out = []
+            for *key, a, b, t in zip(*(batch.column(c).to_pylist() for c in (*keys, "a", "b", "text"))):
+                if key != at:
+                    at, sets, root = key, {}, {}
+                if b is None:
+                    sets[a], root[a] = shingle_set(hashes(words(t, lower=True)), width), a
+                elif (p := find(a)) != (q := find(b)):
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        root[max(p, q)] = min(p, q)
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    one, two = (texts.select(F.col("rep").alias(k), F.col("text").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return dealt.mapInArrow(check, "a long, b long")
 
 
 def _residual(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -392,20 +412,26 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     heads, texts = known.select("rep", "n", "heads"), known.select("rep", "text")
     side = lambda k: heads.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("heads").alias(f"h{k}"))
     passed = materialize(_filtered(pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), percent))
-    # neighbours first: each class with the next ones on both sides
-    near = passed.groupBy("b").agg(F.max("a").alias("a")).select("a", "b").union(passed.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
-    links = materialize(_verified(near, texts, width, percent))
+    # groups of candidates: small ones whole, large ones in blocks, first only each class with the next ones on both sides
+    near = connected_components(passed)
+    sizes = near.join(heads.select("rep", "n"), F.col("node") == F.col("rep")).groupBy("label").agg(F.expr(f"greatest(ceil(count(*) / {GROUP_ROWS}), ceil(sum(n) / {GROUP_TOKENS}))").alias("blocks"))
+    edges = passed.join(near, F.col("a") == F.col("node")).join(sizes, "label")
+    edges = materialize(edges.select(F.col("label").alias("cluster"), F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a", "b", "blocks"))
+    small, large = edges.where("blocks = 1").drop("blocks"), edges.where("blocks > 1").drop("blocks")
+    before = large.groupBy("b").agg(F.max_by(F.struct("cluster", "block", "a", "b"), "a").alias("e"))
+    after = large.groupBy("a").agg(F.min_by(F.struct("cluster", "block", "a", "b"), "b").alias("e"))
+    links = materialize(_verified(small.union(before.select("e.*")).union(after.select("e.*")).distinct(), texts, width, percent))
     part = connected_components(links)
     label = lambda rows, k, to: rows.join(part.select(F.col("node").alias(f"{k}_"), F.col("label").alias(to)), F.col(k) == F.col(f"{k}_"), "left").drop(f"{k}_").withColumn(to, F.coalesce(to, k))
-    rest = label(label(passed, "a", "pa"), "b", "pb").where("pa != pb").select("a", "b")
-    more = materialize(_verified(rest, texts, width, percent))
-    if not more.isEmpty():
-        links = links.union(more)
+    if not large.isEmpty():
+        rest = label(label(large, "a", "pa"), "b", "pb").where("pa != pb").drop("pa", "pb")
+        links = materialize(links.union(_verified(rest, texts, width, percent)))
         part = connected_components(links)
     # classes of long lists whose cluster is not connected yet
     clusters = connected_components(pairs.where("least = 0").select("a", "b"))
     members = label(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep", "part")
-    last = materialize(_verified(_residual(members, heads, percent), texts, width, percent))
+    found = _residual(members, heads, percent).select(F.col("a").alias("cluster"), F.pmod(F.col("b"), F.lit(GROUP_ROWS)).alias("block"), "a", "b")
+    last = materialize(_verified(found, texts, width, percent))
     if not last.isEmpty():
         part = connected_components(links.union(last))
     remove_folder(spark, folder)
