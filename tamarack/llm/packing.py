@@ -45,13 +45,13 @@ class Encoder:
     """Token ids of texts, as bytes of 16 or 32-bit numbers.
 
     No token of this tokenizer spans white space, so words are looked up; a new one is cut into its runs of letters,
-    digits and signs, and the tokenizer's model gives the ids of a run.  Words with anything but ASCII and Latin-1
+    digits and signs, and the tokenizer's model gives the ids of a run.  Words with anything but printable ASCII and Latin-1
     letters, and with the signs of special tokens, go through the whole tokenizer.
     """
 
     #: What Python's split takes for white space and the tokenizer does not.
     ODD = re.compile("[\x1c-\x1f]")
-    PLAIN = re.compile("[\x00-\x7e\xc0-\xff]*")
+    PLAIN = re.compile("[\x21-\x7e\xc0-\xff]*")
 
     def __init__(self, path: str, end: int):
         import regex
@@ -78,11 +78,13 @@ class Encoder:
         return ids
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one run, and seen for the first time
+            return array(self.code, [t.id for t in self.tokenize(word.lower())]).tobytes()
         if not self.PLAIN.fullmatch(word) or "<|" in word:
             return self._whole(word)
         out = []
         for run in self.cut(word.lower()):
-            if (ids := self.runs.get(run)) is None:
+            if (ids := self.runs.get(run) or self.known.get(run)) is None:
                 ids = self._run(run)
             out.append(ids)
         return b"".join(out)

@@ -261,6 +261,15 @@ def test_packing(spark, texts):
     assert sorted(totals)[1:] == [4096] * (len(totals) - 1) and min(totals) <= 4096
 
 
+def test_encoder_agrees_with_the_tokenizer_on_odd_characters():
+    encode, rng = packing.Encoder(packing.tokenizer_path(), 2), random.Random(1)
+    odd = [*map(chr, range(256)), "\u2003", "\u3000", "\ufeff", "\u200b", "\u0130", "\u01c5", "\u2028"]
+    cases = ["ab\x00cd x\x1b[0m", *(f"a{c}b {c} c{c}" for c in odd)]
+    cases += ["".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("abc DEF 12 .'s ") for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    for t in cases:
+        assert np.frombuffer(encode(t), encode.type).tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
 def test_hilbert_is_a_walk():
     grid = np.array([(x, y) for x in range(16) for y in range(16)])
     key = packing.hilbert(grid, 4)
