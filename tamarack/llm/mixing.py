@@ -3,7 +3,8 @@
 Each source's documents are shuffled by a hash and laid on a line of words, which is cut into blocks of equal length.
 Slot t of the schedule takes the golden-ratio point ``frac((t + 1) * phi)`` through the sources' cumulative shares; the
 r-th slot of a source plays the r-th block of its line, beginning anew when the line is used up, until the source's
-target is met to the word.  Ranks within a source are counted in chunks of the schedule and line positions in salts of
+target is met to the word.  The schedule says when a document is played (its first slots by round), and the mix itself is
+sorted by these slots, so that every stretch of it holds the sources near their shares.  Ranks within a source are counted in chunks of the schedule and line positions in salts of
 the hash, each with a running sum over the few chunk or salt totals, so no source is gathered in one task.
 
 Defined cases: a null text has size 0; a null source is the last source; a document of size 0 is never taken; repeated
@@ -55,7 +56,7 @@ def plan(totals: list[tuple[str | None, int]], weights: tuple = WEIGHTS, share:
 
 
 def schedule(spark: SparkSession, p: pd.DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """The slots in playing order: ``slot``, source ``number``, ``rank`` in the source, ``block`` and its ``words``.
+    """The slots in playing order: ``slot``, source ``number``, ``rank`` in the source, ``round``, ``block`` and its ``words``.
 
     A source whose points fall short of its slots by the discrepancy of the sequence gets the rest at the end.
     """
@@ -91,11 +92,14 @@ def schedule(spark: SparkSession, p: pd.DataFrame, block: int = BLOCK_WORDS) ->
     s = drawn.select("slot", "number", "rank", "source_size", "quota", "blocks").unionByName(missing.drop("slots"))
     s = s.withColumn("block", F.expr("rank % blocks"))
     start = f"(rank div blocks) * source_size + block * {block}"
-    return s.select("slot", "number", "rank", "block", F.expr(f"least({block}L, source_size - block * {block}, quota - ({start}))").alias("words"))
+    return s.select("slot", "number", "rank", F.expr("rank div blocks").alias("round"), "block", F.expr(f"least({block}L, source_size - block * {block}, quota - ({start}))").alias("words"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, times: int = MOST_TIMES, block: int = BLOCK_WORDS, keep: tuple = ()) -> DataFrame:
-    """One row for each document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and the columns ``keep``.
+    """One row for each document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``slots`` and the columns ``keep``.
+
+    ``slots`` are the places in the schedule where the document begins to be played, one for each round, and
+    ``first_slot`` is the first of them; null if it is not taken.
 
     All of ``keep`` should be small: sizes are counted once and written to the shared checkpoint folder.
     """
@@ -105,7 +109,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     p = plan(totals, weights, share, times, block)
     known = spark.createDataFrame(p.astype({"source": object}).where(p.notna(), None), "number long, source string, source_size long, target double, quota long, blocks long, slots long")
-    d = sized.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
+    d = sized.join(known.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known", "slots", "blocks")
     # positions on the source's line: salts in the order of the hash, then documents within a salt
     d = d.withColumn("key", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("salt", F.substring("key", 1, 3))
     salts = d.groupBy("number", "salt").agg(F.sum("size").alias("n"))
@@ -116,21 +120,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     # a document's part of each block that it lies in, met with the slots that play the block
     parts = d.where("size > 0").select("row", "number", "at", "size", F.expr(f"explode(sequence(at div {block}, (at + size - 1) div {block}))").alias("block"))
     parts = parts.select("row", "number", "block", F.expr(f"greatest(at - block * {block}, 0L)").alias("a"), F.expr(f"least(at + size - block * {block}, {block}L)").alias("b"))
-    plays = schedule(spark, p, block).groupBy("number", "block", "words").agg(F.count("*").alias("n"))
-    taken = parts.join(plays, ["number", "block"]).groupBy("row").agg(F.sum(F.expr("n * greatest(least(b, words) - a, 0L)")).alias("taken"))
-    return d.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+    plays = schedule(spark, p, block).select("number", "round", "block", "words", "slot")
+    played = parts.join(plays, ["number", "block"]).where("words > a")
+    taken = played.groupBy("row").agg(F.sum(F.expr("least(b, words) - a")).alias("taken"), F.collect_list(F.struct("round", "slot")).alias("plays"))
+    # the first slot of each round; there are at most ``times`` rounds
+    slots = "transform(array_sort(array_distinct(plays.round)), r -> array_min(transform(filter(plays, x -> x.round = r), x -> x.slot)))"
+    taken = taken.select("row", "taken", F.expr(slots).alias("slots"))
+    found = d.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slots", *keep)
+    return found.withColumn("first_slot", F.expr("get(slots, 0)"))
 
 
 def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The mix itself with the columns of ``docs``: whole copies, and for the one document at which a source's target is met, its first words.
+    """The mix itself, sorted by slot, with the columns of ``docs``: whole copies, and for the one document at which a source's target is met, its first words.
 
     Rows are met with their decision by ``doc_id`` and a hash of the text; equal rows get equal shares of what they have together.
     """
-    h, got, n, k, own, key = (free_name(docs, x) for x in ("_h", "_taken", "_size", "_k", "_own", "_key"))
+    h, got, n, k, own, key, at = (free_name(docs, x) for x in ("_h", "_taken", "_size", "_k", "_own", "_key", "_slots"))
     keyed = docs.withColumn(h, F.xxhash64(text_of(text), F.col(source).cast("string")))
     m = mix(keyed, text, source, doc_id, keep=(h,), **how)
-    m = m.groupBy("doc_id", h).agg(F.max("size").alias(n), F.sum("taken").alias("all"), F.count("*").alias("rows"))
-    m = m.select(F.col("doc_id").alias(own), F.col(h).alias(key), F.col(n), (F.col("all") / F.col("rows")).cast("long").alias(got)).where(F.col(got) > 0)
+    m = m.groupBy("doc_id", h).agg(F.max("size").alias(n), F.sum("taken").alias("all"), F.count("*").alias("rows"), F.min("slots").alias(at))
+    m = m.select(F.col("doc_id").alias(own), F.col(h).alias(key), F.col(n), F.col(at), (F.col("all") / F.col("rows")).cast("long").alias(got)).where(F.col(got) > 0)
     d = keyed.join(m, keyed[doc_id].eqNullSafe(F.col(own)) & (keyed[h] == F.col(key)))
     d = d.withColumn(k, F.explode(F.expr(f"sequence(1L, ({got} + {n} - 1) div {n})")))
     words = F.expr(f"{got} - ({k} - 1) * {n}")
@@ -138,11 +147,12 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_i
     out = d.withColumn(text, part)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*docs.columns)
+    place = F.expr(f"coalesce(get({at}, CAST({k} AS int) - 1), get({at}, 0))")
+    return out.orderBy(place, F.col(doc_id), F.col(k)).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("row")
+    return mix(documents(spark, sf_dir)).drop("row", "slots")
 
 
 ORACLE = r"""
@@ -154,11 +164,25 @@ r AS (SELECT *, CAST(2 * n AS DOUBLE) / w AS ratio, 1.5::DOUBLE * sum(n) OVER ()
     FROM w WINDOW o AS (ORDER BY CAST(2 * n AS DOUBLE) / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (total - caps) / CAST(rest AS DOUBLE) AS level FROM r),
 f AS (SELECT first(level ORDER BY ratio, i) AS level FROM l WHERE ratio >= level),
-t AS (SELECT source, n, CASE WHEN ratio >= (SELECT level FROM f) THEN w * (SELECT level FROM f) ELSE CAST(2 * n AS DOUBLE) END AS target FROM l),
+t AS (SELECT source, n, i, CASE WHEN ratio >= (SELECT level FROM f) THEN w * (SELECT level FROM f) ELSE CAST(2 * n AS DOUBLE) END AS target FROM l),
 q AS (SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(t.n AS BIGINT) AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-    CAST(size * (quota // greatest(source_size, 1)) + greatest(0, least(size, quota - (quota // greatest(source_size, 1)) * source_size - pos)) AS BIGINT) AS taken
-FROM q
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+    t.i AS number
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT DISTINCT number, source_size AS n, quota, CAST(ceil(source_size / 2048) AS BIGINT) AS blocks FROM q),
+z AS (SELECT *, quota // greatest(n, 1) AS whole FROM c),
+y AS (SELECT *, whole * blocks + CAST(ceil((quota - whole * n) / 2048) AS BIGINT) AS slots FROM z),
+u AS (SELECT *, sum(slots) OVER (ORDER BY number) / CAST(sum(slots) OVER () AS DOUBLE) AS bound, sum(slots) OVER () AS total, max(number) OVER () AS most FROM y),
+g AS (SELECT t, least((SELECT count(*) FROM u WHERE u.bound <= (t + 1) * 0.6180339887498949::DOUBLE - floor((t + 1) * 0.6180339887498949::DOUBLE)), (SELECT max(most) FROM u)) AS number
+    FROM (SELECT unnest(range(0, CAST((SELECT coalesce(max(total), 0) FROM u) AS BIGINT))) AS t)),
+h AS (SELECT t AS slot, number, row_number() OVER (PARTITION BY number ORDER BY t) - 1 AS rank FROM g),
+m AS (SELECT u.total + u.number AS slot, u.number, unnest(range(CAST((SELECT count(*) FROM h WHERE h.number = u.number) AS BIGINT), CAST(u.slots AS BIGINT))) AS rank FROM u),
+p AS (SELECT a.slot, a.number, a.rank % u.blocks AS block, least(2048, u.n - (a.rank % u.blocks) * 2048, u.quota - (a.rank // u.blocks) * u.n - (a.rank % u.blocks) * 2048) AS words
+    FROM (SELECT * FROM h UNION ALL SELECT * FROM m) a JOIN u ON u.number = a.number WHERE a.rank < u.slots),
+e AS (SELECT doc_id, number, pos, size, unnest(range(CAST(pos // 2048 AS BIGINT), CAST((pos + size - 1) // 2048 + 1 AS BIGINT))) AS block FROM q WHERE size > 0),
+f1 AS (SELECT e.doc_id, min(p.slot) AS first_slot FROM e JOIN p ON p.number = e.number AND p.block = e.block WHERE p.words > greatest(e.pos - e.block * 2048, 0) GROUP BY e.doc_id)
+SELECT q.doc_id, size, source_size, target,
+    CAST(size * (quota // greatest(source_size, 1)) + greatest(0, least(size, quota - (quota // greatest(source_size, 1)) * source_size - pos)) AS BIGINT) AS taken,
+    CAST(f1.first_slot AS BIGINT) AS first_slot
+FROM q LEFT JOIN f1 ON f1.doc_id = q.doc_id
 """

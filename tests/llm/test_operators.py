@@ -303,6 +303,27 @@ def test_mixing(spark, sf_dir, block):
     assert out.columns == d.columns and out.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == sum(taken.values())
 
 
+def test_the_schedule_orders_the_mix(spark, sf_dir, monkeypatch):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    slots = {r["doc_id"]: r["first_slot"] for r in rows(mixing.mix(d, block=200))}
+    mixed = rows(mixing.apply_mix(d, block=200).select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
+    first = list(dict.fromkeys(r["doc_id"] for r in mixed))
+    assert [slots[i] for i in first] == sorted(slots[i] for i in first) and all((slots[i] is None) == (i not in set(first)) for i in slots)
+    total, share = sum(r["n"] for r in mixed), Counter()
+    for r in mixed:
+        share[r["source"]] += r["n"] / total
+    # half of the mix has nearly the shares of the whole
+    at, seen = 0, Counter()
+    for r in mixed:
+        if at < total / 2:
+            seen[r["source"]] += r["n"]
+        at += r["n"]
+    assert all(abs(seen[x] / sum(seen.values()) - p) < 0.08 for x, p in share.items())
+    monkeypatch.setattr(mixing, "GOLDEN", 0.123)
+    other = {r["doc_id"]: r["first_slot"] for r in rows(mixing.mix(d, block=200))}
+    assert sum(other[i] != slots[i] for i in slots) > len(slots) / 4
+
+
 def test_schedule_spreads_sources(spark):
     p = mixing.plan([("a", 60000), ("b", 60000), ("c", 60000)], block=100)
     s = sorted(((r["slot"], r["number"]) for r in rows(mixing.schedule(spark, p, block=100))))
