@@ -394,7 +394,7 @@ def test_license_base(spark, texts):
 
 
 def test_license_rules(spark):
-    assert len(license_scans.rules()) > 200
+    assert len(license_scans.rules()) > 300 and len({r["pattern"] for r in license_scans.rules()}) == len(license_scans.rules())
     t = "SPDX-License-Identifier: MPL-2.0 and licensed under the Apache License, Version 2.0. Creative Commons Attribution-NonCommercial license"
     labels = rows(license_scans.license_scans(spark.createDataFrame([(1, t)], "doc_id long, text string")))[0]["licenses"]["labels"].split(",")
     assert {"mpl", "apache", "cc-by-nc"} <= set(labels) and "cc-by" not in labels
@@ -441,6 +441,27 @@ def test_license_gate_lets_every_rule_through(spark):
         assert r["doc_id"] in r["licenses"]["labels"].split(",") and r["licenses"]["score"] > 0
 
 
+def brute_detections(t):
+    low, found = t.translate(AZ), []
+    for r in license_scans.rules():
+        if any(all(w in low for w in k) for k in r["keys"]):
+            found += [(-r["priority"], m.start() - m.end(), m.start(), r["label"]) for m in re.finditer(r["pattern"], low) if m.end() > m.start()]
+    kept = []
+    for _, n, b, label in sorted(found):
+        e = b - n
+        if not any(x <= b and e <= y or b <= x and y <= e for x, y, _ in kept):
+            kept.append((b, e, label))
+    return [f"{b}:{e}:{label}" for b, e, label in sorted(kept)]
+
+
+def test_license_detections(spark, texts):
+    rng = random.Random(11)
+    parts = ["Licensed under the", "terms of", "GNU", "General Public License", "GPL", "Apache License", "version 2.0", "MIT License", "CC BY-SA 4.0", "or later", "\n", "  ", "see", "the", "SPDX-License-Identifier:", "MPL-2.0", "copyright (c) 2020", "all rights\n reserved", "BSD", "é", "Permission is hereby granted, free of charge,", "public domain"]
+    docs = [*texts.items(), *((10**6 + k, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))) for k in range(400))]
+    got = {r["doc_id"]: r["licenses"]["detections"] for r in rows(license_scans.license_scans(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert {i: brute_detections(t) for i, t in docs} == got
+
+
 # line dedup
 
 
