@@ -7,8 +7,9 @@
    weights of the strongest tokens of its text, each as it stands and as restored.
 
 Labels are learned only from rows that are not held out, of those from at most ``TRAIN_ROWS`` with the smallest hashes:
-three quarters give the weights, a quarter the logistic function.  The trigram table has at most 64 ** 3 entries and the
-weight table ``MOST_WEIGHTS``, whatever the input; both are broadcast.
+three quarters give the weights, a quarter the logistic function.  The trigram table has at most 64 ** 3 entries, and the
+weight table no more than the words of at most ``TRAIN_ROWS`` texts that ``LEAST_ROWS`` toxic ones hold, whatever the
+input; both are broadcast.
 
 Defined cases: a null or empty text gets the score of a text without any weighted token; rows without a label and labels
 without a row are not learned from; repeated labels of one id count as toxic if one says so; without labels of both
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamarack.llm.common import documents
 
-TRAIN_ROWS, MOST_WEIGHTS, KNOWN_TOKENS = 40_000, 100_000, 200_000
+TRAIN_ROWS, KNOWN_TOKENS = 40_000, 200_000
 HELD_OUT_OF = 5
 LEAST_ROWS, PRIOR_ROWS = 4, 4.0
 #: Lengths of the beginnings of words that count as features.
@@ -42,7 +43,7 @@ SEPARATORS = ".-_*~'’·"
 _BOUNDARY, _OTHER = 0, 63
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _LETTERS = r"[^\W\d_]"
-_ODD = re.compile(rf"{_LETTERS}[0-9@$!|+(€£]+{_LETTERS}|^[@$!|0-9(]{{1,2}}{_LETTERS}{{2}}|{_LETTERS}{{2}}[0-9@$!]{{1,2}}$|({_LETTERS})\1\1|{_LETTERS}[.\-_*~]{_LETTERS}[.\-_*~]{_LETTERS}|{_LETTERS}[*_~·]{_LETTERS}")
+_ODD = re.compile(rf"{_LETTERS}[0-9@$!|+(€£]+{_LETTERS}|^[@$!|0-9(]{{1,2}}{_LETTERS}{{2}}|{_LETTERS}{{2}}[0-9@$!]{{1,2}}$|({_LETTERS})\1\1|{_LETTERS}[.\-_*~]{_LETTERS}[.\-_*~]{_LETTERS}|{_LETTERS}[.*_~·]{_LETTERS}|(?:^|[.\-_*~])[\w@$!|][.\-_*~][\w@$!|](?:[.\-_*~][\w@$!|])+(?![\w@$!|])")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_]+\S)(?:[ .\-_]+\S)+(?!\S)")
 
 
@@ -200,8 +201,7 @@ def _weights(sample: DataFrame, model, base_rate: float) -> dict[str, float]:
     c = sample.mapInArrow(count, "f string, one long, n long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("n").alias("n"))
     share = (F.col("one") + PRIOR_ROWS * base_rate) / (F.col("n") + PRIOR_ROWS)
     c = c.where(F.col("one") >= LEAST_ROWS).withColumn("w", F.log(share / (1 - share)) - math.log(base_rate / (1 - base_rate)))
-    rows = c.where("w > 1").orderBy(F.desc("w"), "f").limit(MOST_WEIGHTS).collect()
-    return {r["f"]: r["w"] for r in rows}
+    return {r["f"]: r["w"] for r in c.where("w > 1").select("f", "w").collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -480,7 +480,7 @@ def test_decoder(spark, texts):
     words = "stupid idiot moron worthless pathetic and the other nice person"
     docs = spark.createDataFrame([(t,) for t in texts.values()] + [(words,)] * 200, "text string")
     tokens = toxicity.Tokens(toxicity.log_model(toxicity.count_trigrams(docs)))
-    assert [tokens.restored(w) for w in ("1d1ot", "m0r0n", "stuuupid", "p.e.r.s.o.n", "nice")] == ["idiot", "moron", "stupid", "person", None]
+    assert [tokens.restored(w) for w in ("1d1ot", "m0r0n", "stuuupid", "p.e.r.s.o.n", "nice", "1.d.1.o.t", "s.7.u.p.1.d", "i-d-1-0-t", "id.iot", "3.14", "well-known")] == ["idiot", "moron", "stupid", "person", None, "idiot", "stupid", "idiot", "idiot", None, None]
     assert "m.o.r.o.n" in tokens.tokens("a the m o r o n is")
 
 
@@ -505,6 +505,18 @@ def test_toxicity_learns(spark):
     assert {r["score"] for r in rows(none)} == {0.0}
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Labels that were not learned from, on the largest test table: 825 rows."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op4_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    y, score = got["toxic"].to_numpy(), got["score"].to_numpy()
+    rank = got["score"].rank().to_numpy()
+    auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    hit = got["predicted"].to_numpy() == 1
+    assert len(y) > 500 and auc > 0.95 and y[hit].mean() > 0.9 and hit[y == 1].mean() > 0.85 and ((score >= 0) & (score <= 1)).all()
+
+
 # edge cases of all
 
 OPERATORS = {
