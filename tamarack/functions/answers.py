@@ -91,3 +91,8 @@ def backoff_seconds(kind: Column | str, attempt: Column | str, retry_after: Colu
     n = col(attempt)
     own = F.when(col(kind) == "rate_limited", F.least(20 * n, F.lit(60))).otherwise(F.least(F.pow(F.lit(2), n), F.lit(30)))
     return F.coalesce(retry_after, own).cast("double") if retry_after is not None else own.cast("double")
+
+
+def strict_greatest(*columns: Column | str) -> Column:
+    """The greatest of the values; null if any of them is, which the built-in function skips."""
+    return F.when(F.array_position(F.array(*(col(c).isNull() for c in columns)), F.lit(True)) == 0, F.greatest(*map(col, columns)))

@@ -57,7 +57,7 @@ def strip_tags(x: Column | str) -> Column:
 
 def image_reference(src: Column | str) -> Column:
     """``kind/name`` of an image path: its folder and file name, null without a name."""
-    clean = F.regexp_replace(F.translate(trim_all(src), "\\", "/"), r"/\.(?=/)|//+", "/")
+    clean = F.regexp_replace(F.translate(trim_all(src), "\\", "/"), r"/(?:\./|/)+", "/")
     kind, name = F.regexp_extract(clean, r"([^/]+)/[^/]+$", 1), F.regexp_extract(clean, r"([^/]+)$", 1)
     return F.when(name != "", F.concat(F.when(kind.isin("", "."), "未知").otherwise(kind), F.lit("/"), name))
 
@@ -207,7 +207,11 @@ def token_hash(x: Column | str) -> Column:
     return F.sha2(col(x), 256)
 
 
+def ascii_lower(x: Column | str) -> Column:
+    """A-Z in lower case, all other letters as they are."""
+    return F.translate(col(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def like_literal(x: Column | str, term: str) -> Column:
     """Contains, ASCII letters of either case, with the term's wildcards taken literally."""
-    escaped = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return F.ilike(col(x), F.lit(f"%{escaped}%"))
+    return F.contains(ascii_lower(x), ascii_lower(F.lit(term)))

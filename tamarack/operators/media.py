@@ -23,19 +23,24 @@ def resolve_placeholders(rows: DataFrame, key: str, text: str, images: DataFrame
     """``key, text`` with placeholders replaced by the images' texts, and counts of what was and was not replaced.
 
     ``images`` has url, engine (formula or text) and tex; an image that was read but holds no text counts as ``no_text``.
-    The text is cut at the placeholders, the pieces meet their images by a join and are put together in order.
+    What an image shows is worked out once for each image.  Texts are cut at the placeholders, the pieces meet their
+    images by a join and are put together in order; rows without a placeholder pass by, and rows of equal keys stay apart.
     """
-    pieces = rows.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"(?=⟦IMG:)|(?<=⟧)")).alias("at", "piece"))
+    counts = ("formula", "figure", "no_text", "formula_missing", "figure_missing")
+    body = F.coalesce(text, F.lit(""))
+    plain = rows.where(~body.contains("⟦IMG:")).select(key, body.alias("resolved"), *(F.lit(0).cast("long").alias(c) for c in counts))
+    pieces = rows.where(body.contains("⟦IMG:")).select(key, F.monotonically_increasing_id().alias("_row"), body.alias("_t"))
+    pieces = pieces.select(key, "_row", F.posexplode(F.split("_t", r"(?=⟦IMG:)|(?<=⟧)")).alias("at", "piece"))
     url = F.regexp_extract("piece", "^" + PLACEHOLDER + "$", 1)
     pieces = pieces.withColumn("url", F.when(url != "", url))
-    known = images.select(F.col("url").alias("known"), "engine", "tex")
-    p = pieces.join(known, F.col("url") == F.col("known"), "left")
     shown = F.when(F.col("engine") == "formula", display_tex("tex")).otherwise(F.col("tex"))
-    p = p.withColumn("shown", F.when(F.coalesce(shown, F.lit("")) != "", shown).otherwise(F.col("piece")))
+    known = images.select(F.col("url").alias("known"), "engine", "tex", F.when(F.coalesce(shown, F.lit("")) != "", shown).alias("shown"))
+    p = pieces.join(known, F.col("url") == F.col("known"), "left").withColumn("shown", F.coalesce("shown", "piece"))
     hit = F.col("url").isNotNull() & F.col("known").isNotNull()
     some = F.coalesce(F.col("tex"), F.lit("")) != ""
     figure = F.col("url").startswith("题目图/")
-    g = p.groupBy(key).agg(
+    g = p.groupBy("_row").agg(
+        F.any_value(key).alias(key),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), "").alias("resolved"),
         F.count_if(hit & some & (F.col("engine") == "formula")).alias("formula"),
         F.count_if(hit & some & (F.col("engine") != "formula")).alias("figure"),
@@ -43,7 +48,7 @@ def resolve_placeholders(rows: DataFrame, key: str, text: str, images: DataFrame
         F.count_if(F.col("url").isNotNull() & F.col("known").isNull() & ~figure).alias("formula_missing"),
         F.count_if(F.col("url").isNotNull() & F.col("known").isNull() & figure).alias("figure_missing"),
     )
-    return g
+    return g.drop("_row").unionByName(plain)
 
 
 def ocr_worklist(images: DataFrame, retry_errors: bool = False) -> DataFrame:

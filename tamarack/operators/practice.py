@@ -111,3 +111,91 @@ def one_model_per_bucket(rows: DataFrame, bucket: str, engine: str, model: str,
                 yield label(model if pd.isna(m) else m, part)
 
     return rows.repartition(bucket).mapInPandas(run, schema)
+
+
+def user_stats(answers: DataFrame, wrong: DataFrame, favorites: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row for each user: answered and right ones, questions to review, favourites and submitted sessions.
+
+    ``answers`` has user_id, user_answer and is_correct, ``wrong`` user_id and resolved, ``favorites`` user_id and
+    ``sessions`` user_id and submitted_at.  An answer counts unless it is empty; one of blanks counts here.
+    """
+    counts = (
+        answers.where("user_answer != ''").groupBy("user_id").agg(F.count("*").alias("answered"), F.sum(F.col("is_correct").cast("int")).alias("correct")),
+        wrong.where("NOT resolved").groupBy("user_id").agg(F.count("*").alias("wrong")),
+        favorites.groupBy("user_id").agg(F.count("*").alias("favorites")),
+        sessions.where("submitted_at IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("sessions")),
+    )
+    return reduce(lambda a, b: a.join(b, "user_id", "full"), counts).fillna(0)
+
+
+def labelled_answers(answers: DataFrame, sessions: DataFrame, labels: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Answers of submitted sessions with the concept of their question's newest label; blanks and unknown concepts go."""
+    s = sessions.where("submitted_at IS NOT NULL").select(F.col("id").alias("session_id"), "user_id")
+    newest = labels.groupBy("question_id").agg(F.max_by(F.struct("subject", "tertiary"), "id").alias("l")).select("question_id", "l.*")
+    c = concepts.select(F.col("id").alias("concept_id"), F.col("module").alias("subject"), F.col("name").alias("tertiary"))
+    a = answers.where("user_answer != ''").select("session_id", "question_id", "is_correct")
+    return a.join(s, "session_id").join(newest, "question_id").join(c, ["subject", "tertiary"])
+
+
+def weak_in_order(groups: DataFrame, user: str, place: str, least: int = 5, k: int = 3) -> DataFrame:
+    """Each user's k weakest groups of those with enough answers; of equal ones those that come first in the given order."""
+    ratio = F.col("correct").cast("double") / F.col("answered")
+    w = Window.partitionBy(user).orderBy(ratio, place)
+    return groups.where(F.col("answered") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hidden_view(questions: DataFrame) -> DataFrame:
+    """What a question shows before it is answered: no answer, explanation or marks; a judgement has its two fixed options."""
+    fixed = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(v).alias("content")) for k, v in (("A", "正确"), ("B", "错误"))))
+    shown = F.transform("options", lambda o: F.struct(o["label"].alias("label"), o["content"].alias("content")))
+    return questions.select("id", "module", "stem", "answer_type", F.when(F.col("answer_type") == "judge", fixed).otherwise(shown).alias("options"))
+
+
+def revealed(questions: DataFrame, answers: DataFrame, user: str = "user_id") -> DataFrame:
+    """Answer and explanation of the questions that a user has answered in a submitted session."""
+    seen = answers.where("user_answer != '' AND submitted_at IS NOT NULL").select(user, F.col("question_id").alias("id")).distinct()
+    return seen.join(questions.select("id", "answer", "explanation"), "id")
+
+
+def alive(sessions: DataFrame, now: Column) -> DataFrame:
+    return sessions.where(F.col("expires_at") > now)
+
+
+def engine_totals(calls: DataFrame) -> DataFrame:
+    """Each model's share of a run: questions by outcome, tokens, cost, time and the buckets that it worked on."""
+    is_ = lambda s: F.count_if(F.col("status") == s).alias(s)
+    sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "cost_usd", "duration_sec"))
+    return calls.groupBy("model").agg(F.count("*").alias("questions"), is_("ok"), is_("failed"), is_("skipped"), *sums, F.array_sort(F.collect_set("bucket")).alias("buckets"))
+
+
+def related_concepts(cards: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Concepts that a card's list of confusable ones names, in its module; 0 where none has the name."""
+    items = F.coalesce(F.from_json("confusable", "array<struct<`考点`: string, `区分信号`: string>>"), F.array())
+    c = cards.select("id", "module", F.posexplode(items).alias("at", "x")).select("id", "module", "at", F.coalesce("x.考点", F.lit("")).alias("name"), F.coalesce("x.区分信号", F.lit("")).alias("signal"))
+    known = concepts.groupBy(F.col("name").alias("_n"), F.col("module").alias("_m")).agg(F.min("id").alias("concept_id"))
+    return c.join(known, (F.col("name") == F.col("_n")) & (F.col("module") == F.col("_m")), "left").select("id", "at", "name", "signal", F.coalesce("concept_id", F.lit(0)).alias("concept_id"))
+
+
+#: The ranges of a profile's numbers and the choices it has, and the longest texts.
+PROFILE_RANGES = {"avatar_id": (0, 7), "daily_questions": (5, 200), "daily_minutes": (5, 180)}
+PROFILE_CHOICES = {"default_limit": (10, 20, 50), "reading_size": (16, 18, 20)}
+PROFILE_LENGTHS = {"nickname": 40, "bio": 200, "exam_name": 40}
+
+
+def profile_faults(today: Column) -> Column:
+    """What is wrong with a profile's columns, in order; ``stored_exam_date`` is the date that it has already."""
+    day = F.col("exam_date").try_cast("date")
+    kept = day.isNotNull() & (F.col("exam_date") == F.col("stored_exam_date")) & (day <= today)
+    fits = day.isNotNull() & (F.date_format(day, "yyyy-MM-dd") == F.col("exam_date")) & (day > today) & (day <= F.add_months(today, 60))
+    rules = {c: ~F.col(c).between(a, b) for c, (a, b) in PROFILE_RANGES.items()}
+    rules |= {c: ~F.col(c).isin(*v) for c, v in PROFILE_CHOICES.items()} | {c: F.length(c) > n for c, n in PROFILE_LENGTHS.items()}
+    rules["exam_date"] = (F.col("exam_date") != "") & ~F.coalesce(kept | fits, F.lit(False))
+    return F.filter(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())), lambda x: x.isNotNull())
+
+
+def overall_convergence(groups: DataFrame) -> DataFrame:
+    """One row for all groups of ``labels.convergence``: totals of all and of those with several rows, and the names that never converge."""
+    several = F.col("n") > 1
+    name = groups.columns[0]
+    totals = [F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias(f"{label}_{c}") for label, cond in (("all", F.lit(True)), ("several", several)) for c in ("n", "d")]
+    return groups.agg(*totals, F.count_if(several).alias("several_groups"), F.array_join(F.array_sort(F.collect_list(F.when(several & (F.col("n") == F.col("d")), F.col(name)))), ",").alias("never"))

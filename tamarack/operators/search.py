@@ -16,10 +16,15 @@ def contains_term(rows: DataFrame, text: str, term: str) -> DataFrame:
 
 
 def trigram_index(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Postings (gram, key): distinct lower-case trigrams of each text."""
-    t = f"lower(coalesce(`{text}`, ''))"
-    grams = F.expr(f"CASE WHEN length({t}) >= 3 THEN array_distinct(transform(sequence(1, length({t}) - 2), i -> substring({t}, i, 3))) END")
-    return rows.select(F.explode(grams).alias("gram"), F.col(key))
+    """Postings (gram, key): distinct lower-case trigrams of each text, cut in one pass over it."""
+    low = rows.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
+    grams = F.array_distinct(F.regexp_extract_all("_low", F.lit("(?s)(?=(...))."), F.lit(1)))
+    return low.select(F.explode(grams).alias("gram"), F.col(key))
+
+
+def write_trigram_index(rows: DataFrame, key: str, text: str, path: str) -> None:
+    """The index as a table sorted by gram, so that a search reads only the row groups of its grams."""
+    trigram_index(rows, key, text).repartition("gram").sortWithinPartitions("gram").write.parquet(path)
 
 
 def trigram_search(index: DataFrame, rows: DataFrame, key: str, text: str, term: str) -> DataFrame:

@@ -154,11 +154,13 @@ def streak_longest_current(spark, sf_dir):
     return study.streaks(e, "user_id", F.lit(TODAY))
 
 
-@query(f"""WITH s AS (SELECT CAST(unnest(generate_series(DATE '2023-11-02', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), e AS (SELECT {SQL_DAY} AS day, count(*) AS n FROM events WHERE user_id = 8 GROUP BY 1)
-SELECT s.day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN n < 5 THEN 1 WHEN n < 20 THEN 2 WHEN n < 50 THEN 3 ELSE 4 END AS level FROM s LEFT JOIN e ON s.day = e.day""")
+@query(f"""WITH s AS (SELECT CAST(unnest(generate_series(DATE '2023-11-02', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), u AS (SELECT DISTINCT user_id FROM events),
+e AS (SELECT user_id, {SQL_DAY} AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT u.user_id, s.day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN n < 5 THEN 1 WHEN n < 20 THEN 2 WHEN n < 50 THEN 3 ELSE 4 END AS level FROM u CROSS JOIN s LEFT JOIN e ON s.day = e.day AND u.user_id = e.user_id""")
 def trend_day_spine(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id = 8").groupBy(D.local_day("ts").alias("day")).agg(F.count("*").alias("n"))
-    return study.with_all(e, study.day_spine(spark, date(2023, 11, 2), TODAY), "day", ["n"]).withColumn("level", D.activity_level("n"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", D.local_day("ts").alias("day")).agg(F.count("*").alias("n"))
+    spine = e.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(date(2023, 11, 2)), F.lit(TODAY))))
+    return spine.join(e, ["user_id", "day"], "left").fillna(0, ["n"]).withColumn("level", D.activity_level("n"))
 
 
 def _days(spark, sf_dir):
@@ -240,26 +242,14 @@ def mastery_by_concept(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT event_type AS name, CASE WHEN user_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS module, event_id, value FROM events),
-f AS (SELECT module, name, arg_max(CAST(value AS VARCHAR) = '' , event_id) AS x, count(*) AS n_labels FROM c GROUP BY 1, 2),
+f AS (SELECT module, name, 's' || arg_max(CAST(floor(value) AS BIGINT), event_id) AS secondary, count(*) AS n_labels FROM c GROUP BY 1, 2),
 s(id, module, name) AS (VALUES (5, 'm0', 'click'), (9, 'm1', 'gone')),
-j AS (SELECT coalesce(f.module, s.module) AS module, coalesce(f.name, s.name) AS name, s.id AS old, coalesce(f.n_labels, 0) AS n_labels FROM f FULL JOIN s ON f.module = s.module AND f.name = s.name)
-SELECT CAST(CASE WHEN old IS NOT NULL THEN old ELSE 9 + row_number() OVER (PARTITION BY old IS NOT NULL ORDER BY module, name) END AS BIGINT) AS id, module, name, n_labels FROM j""")
+j AS (SELECT coalesce(f.module, s.module) AS module, coalesce(f.name, s.name) AS name, s.id AS old, f.secondary, coalesce(f.n_labels, 0) AS n_labels FROM f FULL JOIN s ON f.module = s.module AND f.name = s.name)
+SELECT CAST(CASE WHEN old IS NOT NULL THEN old ELSE 9 + row_number() OVER (PARTITION BY old IS NOT NULL ORDER BY module, name) END AS BIGINT) AS id, module, name, secondary, n_labels FROM j""")
 def refresh_concepts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "m0").otherwise("m1").alias("subject"), F.col("event_type").alias("tertiary"), F.col("event_type").alias("secondary"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "m0").otherwise("m1").alias("subject"), F.col("event_type").alias("tertiary"), F.concat(F.lit("s"), F.floor("value").cast("string")).alias("secondary"))
     stored = spark.createDataFrame([(5, "m0", "click"), (9, "m1", "gone")], "id long, module string, name string")
-    return study.refresh_concepts(e, stored).drop("secondary")
-
-
-@query(f"""WITH u AS (SELECT user_id, count(*) AS answered FROM events GROUP BY 1), m AS (SELECT user_id, count(*) AS modules FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1),
-t AS (SELECT u.user_id, answered, 0 AS longest, coalesce(modules, 0) AS modules FROM u LEFT JOIN m ON u.user_id = m.user_id)
-SELECT user_id, name, CAST(least(v, goal) AS BIGINT) AS progress, CAST(goal AS BIGINT) AS goal, v >= goal AS reached FROM (
-SELECT user_id, 'first_answer' AS name, answered AS v, 1 AS goal FROM t UNION ALL SELECT user_id, 'hundred_answers', answered, 100 FROM t UNION ALL SELECT user_id, 'thousand_answers', answered, 1000 FROM t
-UNION ALL SELECT user_id, 'week_streak', longest, 7 FROM t UNION ALL SELECT user_id, 'month_streak', longest, 30 FROM t UNION ALL SELECT user_id, 'all_modules', modules, 6 FROM t)""")
-def milestones(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    five = e.groupBy("user_id", "event_type").count().where("count >= 5").groupBy("user_id").agg(F.count("*").alias("modules_with_five"))
-    t = e.groupBy("user_id").agg(F.count("*").alias("answered")).join(five, "user_id", "left").fillna(0).withColumn("longest", F.lit(0))
-    return study.milestones(t)
+    return study.refresh_concepts(e, stored)
 
 
 @query(f"""WITH u AS (SELECT user_id, count(*) AS answered FROM events GROUP BY 1), m AS (SELECT user_id, count(*) AS modules FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1),
@@ -269,11 +259,14 @@ t AS (SELECT u.user_id, answered, coalesce(longest, 0) AS longest, coalesce(modu
 SELECT user_id, name, CAST(least(v, goal) AS BIGINT) AS progress, CAST(goal AS BIGINT) AS goal, v >= goal AS reached FROM (
 SELECT user_id, 'first_answer' AS name, answered AS v, 1 AS goal FROM t UNION ALL SELECT user_id, 'hundred_answers', answered, 100 FROM t UNION ALL SELECT user_id, 'thousand_answers', answered, 1000 FROM t
 UNION ALL SELECT user_id, 'week_streak', longest, 7 FROM t UNION ALL SELECT user_id, 'month_streak', longest, 30 FROM t UNION ALL SELECT user_id, 'all_modules', modules, 6 FROM t)""")
-def milestones_with_streaks(spark, sf_dir):
-    """``milestones`` with the longest run of active days, which that query and its SQL leave at 0."""
+def milestones(spark, sf_dir):
     return study.milestones(milestone_totals(table(spark, sf_dir, "events")))
 
 
+#: The name under which the query with streaks was first kept.
+QUERIES["milestones_with_streaks"], ORACLES["milestones_with_streaks"] = milestones, ORACLES["milestones"]
+
+
 def milestone_totals(e: DataFrame) -> DataFrame:
     """answered, longest and modules_with_five by user."""
     five = e.groupBy("user_id", "event_type").count().where("count >= 5").groupBy("user_id").agg(F.count("*").alias("modules_with_five"))
@@ -555,3 +548,6 @@ def media_coverage(spark, sf_dir):
     image = lambda m: F.when(F.col("doc_id") % m == 0, "⟦IMG:公式/1⟧").otherwise("x")
     d = table(spark, sf_dir, "documents").select(image(2).alias("stem"), F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 4 != 0), "⟦IMG:公式/1⟧").otherwise("x").alias("shown"))
     return media.coverage(d, "stem", "shown")
+
+
+from tamarack.plans import practice_registry  # noqa: E402, F401  adds its queries to those above
