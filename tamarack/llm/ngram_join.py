@@ -6,14 +6,14 @@ of all tokens: so many that tokens behind the prefixes cannot make up for what i
 1. Equal sets are one class, known by two 64-bit hashes of the set and named by its smallest doc_id.
 2. Order A puts frequent tokens last.  Prefix tokens are shuffled as packed postings, pairs of classes that share a token
    are counted, and those with enough common prefix tokens are candidates.  Tokens known to be very frequent, and lists
-   longer than ``LONGEST_LIST``, only make each class a candidate with the list's first one and its next neighbours by
-   size, so no list makes all pairs; what this leaves out is looked for in step 5.
+   longer than ``LONGEST_LIST``, only make each class a candidate with its next neighbour by size, so no list makes all
+   pairs; what this leaves out is looked for in step 5.
 3. The texts of candidate classes are met once, and their prefixes under all orders written to the shared folder.  A pair
    stays if it passes the filters of A, B and C: these are small rows, and no text moves for a pair that fails one.
 4. Sets of pairs that stay are compared in groups that they connect, each text met once in a group.  Large groups are
    dealt out in blocks; there, pairs of neighbours come first, and then those whose parts are not connected yet.
-5. Classes that share a long list make a cluster.  Where a cluster is not connected yet, the classes outside its largest
-   component, as queries, meet the prefixes of all its classes of a fitting size, in blocks of ``BLOCK_ROWS`` classes; a
+5. Classes that share a long list are in one group.  Where such a group is not connected yet, the classes outside its
+   largest component, as queries, meet the prefixes of all its classes of a fitting size, in blocks of ``BLOCK_ROWS`` classes; a
    pair that passes all three filters is compared as well.  Then all links are joined to components.
 
 The frequent tokens are a hint for order A, from counts within batches, of bounded size (``HINTS``, 16 bytes each, 4 MB);
@@ -43,8 +43,6 @@ from tamarack.llm.shingles import hashes, mix, shingle_set, words
 
 WORDS, PERCENT = 5, 80
 LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
-#: Neighbours by size that a class of a long list is a candidate with, besides the list's first class.
-NEIGHBOURS = 3
 BLOCKS_PER_PARTITION, BLOCK_ROWS = 8, 16_000
 #: Classes and tokens of a group whose sets are compared in one go.
 GROUP_ROWS, GROUP_TOKENS = 1000, 2_000_000
@@ -102,17 +100,10 @@ def _sets_and_hints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, token long, times long")
 
 
-def _neighbours(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in lists (runs of equal tokens, by size): the list's first with each, and each with the next ones."""
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
-    lead = np.repeat(start, np.diff(np.r_[start, len(token)]))
-    a, b = [lead], [np.arange(len(token))]
-    for k in range(1, NEIGHBOURS + 1):
-        i = np.flatnonzero(token[k:] == token[:-k]) if len(token) > k else np.empty(0, np.int64)
-        a.append(i)
-        b.append(i + k)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
+def _neighbours(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in lists (runs of equal tokens): as lists keep one order of all classes, mostly the same pairs."""
+    a = np.flatnonzero(token[1:] == token[:-1])
+    return a, a + 1
 
 
 def _pair_batch(s1: np.ndarray, s2: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
@@ -149,7 +140,7 @@ def _postings(docs: DataFrame, width: int, percent: int, hot, blocks: int) -> Da
             ht, ho = token[is_hot], owner[is_hot]
             by = np.lexsort((s2[ho], s1[ho], size[ho], ht))
             ht, ho = ht[by], ho[by]
-            a, b = _neighbours(ht, size[ho])
+            a, b = _neighbours(ht)
             pairs = np.unique(np.stack([ho[a], ho[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             lead = np.flatnonzero(np.r_[True, ht[1:] != ht[:-1]]) if len(ht) else np.empty(0, np.int64)
             token, owner, alone = np.r_[token[~is_hot], ht[lead]], np.r_[owner[~is_hot], ho[lead]], np.r_[np.zeros((~is_hot).sum(), bool), np.ones(len(lead), bool)]
@@ -204,7 +195,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
         length = np.diff(np.r_[start, len(token)])
         far = (length > LONGEST_LIST) | np.logical_or.reduceat(star, start)
         whole = np.flatnonzero(np.repeat(far, length))
-        a, b = _neighbours(token[whole], n[whole])
+        a, b = _neighbours(token[whole])
         yield _pair_batch(s1, s2, whole[a], whole[b], n, np.zeros(len(a), np.int32))
         for k in np.unique(length[~far]):
             i, j = np.triu_indices(k, 1)
@@ -352,10 +343,10 @@ def _residual(members: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
                 if index is None and held:
                     index = _Index(held)
                 if index is not None:
-                    out += index.partners(part, rep, n, _orders(head), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    out += [(key[0], a, b) for a, b in index.partners(part, rep, n, _orders(head), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1, 2)], names=["cluster", "a", "b"])
 
-    return dealt.mapInArrow(look, "a long, b long").distinct()
+    return dealt.mapInArrow(look, "cluster long, a long, b long").distinct()
 
 
 class _Index:
@@ -413,10 +404,12 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     side = lambda k: heads.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("heads").alias(f"h{k}"))
     passed = materialize(_filtered(pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), percent))
     # groups of candidates: small ones whole, large ones in blocks, first only each class with the next ones on both sides
-    near = connected_components(passed)
-    sizes = near.join(heads.select("rep", "n"), F.col("node") == F.col("rep")).groupBy("label").agg(F.expr(f"greatest(ceil(count(*) / {GROUP_ROWS}), ceil(sum(n) / {GROUP_TOKENS}))").alias("blocks"))
-    edges = passed.join(near, F.col("a") == F.col("node")).join(sizes, "label")
-    edges = materialize(edges.select(F.col("label").alias("cluster"), F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a", "b", "blocks"))
+    weak = pairs.where("least = 0").select("a", "b")
+    near = connected_components(passed.union(weak))
+    group = near.join(heads.select("rep", "n"), F.col("node") == F.col("rep"))
+    sizes = group.groupBy("label").agg(F.expr(f"greatest(ceil(count(*) / {GROUP_ROWS}), ceil(sum(n) / {GROUP_TOKENS}))").alias("blocks"))
+    grouped = lambda rows: rows.join(sizes, "label").select(F.col("label").alias("cluster"), F.expr("pmod(xxhash64(a), blocks)").alias("block"), "a", "b", "blocks")
+    edges = materialize(grouped(passed.join(near, F.col("a") == F.col("node"))))
     small, large = edges.where("blocks = 1").drop("blocks"), edges.where("blocks > 1").drop("blocks")
     before = large.groupBy("b").agg(F.max_by(F.struct("cluster", "block", "a", "b"), "a").alias("e"))
     after = large.groupBy("a").agg(F.min_by(F.struct("cluster", "block", "a", "b"), "b").alias("e"))
@@ -427,10 +420,10 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
         rest = label(label(large, "a", "pa"), "b", "pb").where("pa != pb").drop("pa", "pb")
         links = materialize(links.union(_verified(rest, texts, width, percent)))
         part = connected_components(links)
-    # classes of long lists whose cluster is not connected yet
-    clusters = connected_components(pairs.where("least = 0").select("a", "b"))
-    members = label(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep", "part")
-    found = _residual(members, heads, percent).select(F.col("a").alias("cluster"), F.pmod(F.col("b"), F.lit(GROUP_ROWS)).alias("block"), "a", "b")
+    # groups with long lists that are not connected yet
+    long = near.join(weak.select("a").distinct(), F.col("node") == F.col("a"), "left_semi").select(F.col("label").alias("of")).distinct()
+    members = label(near.join(long, F.col("label") == F.col("of"), "left_semi").select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep", "part")
+    found = grouped(_residual(members, heads, percent).withColumnRenamed("cluster", "label")).drop("blocks")
     last = materialize(_verified(found, texts, width, percent))
     if not last.isEmpty():
         part = connected_components(links.union(last))
