@@ -6,7 +6,7 @@ of all tokens: so many that tokens behind the prefixes cannot make up for what i
 1. Equal sets are one class, known by two 64-bit hashes of the set and named by its smallest doc_id.
 2. Order A puts frequent tokens last.  Prefix tokens are shuffled as packed postings, pairs of classes that share a token
    are counted, and those with enough common prefix tokens are candidates.  Tokens known to be very frequent, and lists
-   longer than ``LONGEST_LIST``, only make each class a candidate with its next neighbour by size, so no list makes all
+   longer than ``LONGEST_LIST``, only make each class a candidate with the list's first one by size, so no list makes all
    pairs; what this leaves out is looked for in step 5.
 3. The texts of candidate classes are met once, and their prefixes under all orders written to the shared folder.  A pair
    stays if it passes the filters of A, B and C: these are small rows, and no text moves for a pair that fails one.
@@ -100,10 +100,12 @@ def _sets_and_hints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, token long, times long")
 
 
-def _neighbours(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours in lists (runs of equal tokens): as lists keep one order of all classes, mostly the same pairs."""
-    a = np.flatnonzero(token[1:] == token[:-1])
-    return a, a + 1
+def _with_first(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the first place of a list (a run of equal tokens) with each other: as lists keep one order of all classes, mostly the same pairs."""
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    lead = np.repeat(start, np.diff(np.r_[start, len(token)]))
+    each = np.flatnonzero(lead != np.arange(len(token)))
+    return lead[each], each
 
 
 def _pair_batch(s1: np.ndarray, s2: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
@@ -140,7 +142,7 @@ def _postings(docs: DataFrame, width: int, percent: int, hot, blocks: int) -> Da
             ht, ho = token[is_hot], owner[is_hot]
             by = np.lexsort((s2[ho], s1[ho], size[ho], ht))
             ht, ho = ht[by], ho[by]
-            a, b = _neighbours(ht)
+            a, b = _with_first(ht)
             pairs = np.unique(np.stack([ho[a], ho[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             lead = np.flatnonzero(np.r_[True, ht[1:] != ht[:-1]]) if len(ht) else np.empty(0, np.int64)
             token, owner, alone = np.r_[token[~is_hot], ht[lead]], np.r_[owner[~is_hot], ho[lead]], np.r_[np.zeros((~is_hot).sum(), bool), np.ones(len(lead), bool)]
@@ -195,7 +197,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
         length = np.diff(np.r_[start, len(token)])
         far = (length > LONGEST_LIST) | np.logical_or.reduceat(star, start)
         whole = np.flatnonzero(np.repeat(far, length))
-        a, b = _neighbours(token[whole])
+        a, b = _with_first(token[whole])
         yield _pair_batch(s1, s2, whole[a], whole[b], n, np.zeros(len(a), np.int32))
         for k in np.unique(length[~far]):
             i, j = np.triu_indices(k, 1)
