@@ -13,8 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label, so long chains shrink
     by halves.  Labels are pre-aggregated before the shuffle and written to the shared checkpoint folder every round.
     """
-    both = links.where("a != b").select("a", "b")
-    both = materialize(both.union(both.select("b", "a")).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # one pass over the links, where a union makes two
+    both = materialize(links.where("a != b").select(ways.alias("way")).select("way.a", "way.b").distinct())
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
