@@ -38,6 +38,8 @@ LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
 #: Documents and tokens of a block of a large cluster.
 BLOCK_ROWS, BLOCK_TOKENS = 1000, 2_000_000
 ORDERS = (1, 2, 3)
+#: Words of 64 bits in the map of hashed ids that keeps texts outside clusters from being shuffled: the bound of what is broadcast.
+MAP_WORDS = 1 << 19
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -175,13 +177,7 @@ class _Cluster:
         self.ids, self.percent = ids, percent
         self.block = np.array(blocks)
         self.sets, self.n = sets, np.array([len(s) for s in sets])
-        self.root = list(range(len(ids)))
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
+        self.part = np.arange(len(ids))
 
     def links(self) -> Iterator[tuple[int, int]]:
         """A forest of links: each joins two parts that were not connected yet."""
@@ -199,6 +195,7 @@ class _Cluster:
         for i in range(k):
             fits = _lengths_fit(n[i], n, self.percent)
             fits[: i + 1] = False
+            fits &= self.part != self.part[i]
             if across:
                 fits &= self.block != self.block[i]
             needed = least_common(n[i], n, self.percent)
@@ -209,10 +206,10 @@ class _Cluster:
                 common = np.bincount(np.concatenate([owner[starts[t] : starts[t + 1]] for t in own]), minlength=k)
                 fits &= common >= needed
             for j in np.flatnonzero(fits):
-                if (a := self.find(i)) != (b := self.find(j)):
+                if (a := self.part[i]) != (b := self.part[j]):
                     both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
                     if 100 * both >= self.percent * (n[i] + n[j] - both):
-                        self.root[max(a, b)] = min(a, b)
+                        self.part[self.part == b] = a
                         yield self.ids[i], self.ids[j]
 
 
@@ -238,6 +235,16 @@ def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _texts(d: DataFrame, members: DataFrame) -> DataFrame:
+    """The members with their text.  A bit map of their hashed ids, of at most ``MAP_WORDS`` rows, is broadcast, so that
+    hardly any other text is shuffled; the join that follows makes the rows exact, however full the map is."""
+    at = lambda c: F.expr(f"pmod(xxhash64({c}), {64 * MAP_WORDS}L)")
+    bits = members.select(at("rep").alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    likely = d.withColumn("at", at("doc_id")).join(F.broadcast(bits), F.expr("at div 64") == F.col("word")).where("shiftright(bits, int(at % 64)) & 1 = 1").select("doc_id", "text")
+    return likely.join(members, F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
+
+
 def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the set's size and the smallest id that links reach."""
     spark = docs.sparkSession
@@ -260,9 +267,8 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     members = materialize(classes.join(clusters, F.col("s1") == F.col("node")).select("rep", "n", F.col("label").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
     sizes = sizes.where("k > 1").select(F.col("cluster").alias("of"), F.expr(f"greatest(ceil(k / {BLOCK_ROWS}), ceil(tokens / {BLOCK_TOKENS}))").alias("blocks"))
-    members = members.join(sizes, F.col("cluster") == F.col("of")).select("rep", "cluster", "blocks", F.expr("pmod(xxhash64(rep), blocks)").alias("block"))
-    texts = d.join(members, F.col("doc_id") == F.col("rep")).select("cluster", "blocks", "block", "doc_id", "text").dropDuplicates(["doc_id"])
-    texts = texts.withColumn("o", F.expr("explode(sequence(0L, blocks - 1))")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "text")
+    members = materialize(members.join(sizes, F.col("cluster") == F.col("of")).select("rep", "cluster", "blocks", F.expr("pmod(xxhash64(rep), blocks)").alias("block")))
+    texts = _texts(d, members).withColumn("o", F.expr("explode(sequence(0L, blocks - 1))")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "text")
     groups = texts.repartition(shuffle_partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     labels = connected_components(_verified(groups, width, percent))
     best = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("best"))

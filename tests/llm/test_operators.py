@@ -63,10 +63,10 @@ def brute_components(docs, width, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width,percent,limits", [(4, 85, None), (5, 80, None), (2, 60, (3, 3, 3))])
+@pytest.mark.parametrize("width,percent,limits", [(4, 85, None), (5, 80, None), (2, 60, (3, 3, 3, 1))])
 def test_ngram_join(spark, texts, monkeypatch, width, percent, limits):
-    if limits:  # long lists, hot tokens and large clusters take their own ways
-        for name, v in zip(("LONGEST_LIST", "HOT", "BLOCK_ROWS"), limits):
+    if limits:  # long lists, hot tokens and large clusters take their own ways; the map of ids is full
+        for name, v in zip(("LONGEST_LIST", "HOT", "BLOCK_ROWS", "MAP_WORDS"), limits):
             monkeypatch.setattr(ngram_join, name, v)
     rng = random.Random(3)
     base = [f"t{k}" for k in range(60)]
