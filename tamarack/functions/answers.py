@@ -81,6 +81,16 @@ def cost_usd(tokens_in: Column | str, tokens_out: Column | str, price_in: Column
     return (col(tokens_in) * col(price_in) + col(tokens_out) * col(price_out)) / 1000.0
 
 
+def parse_pricing(text: Column | str) -> Column:
+    """``input,output`` in dollars per thousand tokens; null unless both are decimal numbers.
+
+    The words for infinity and hexadecimal numbers are not prices and give null.
+    """
+    parts = F.transform(F.split(col(text), ",", -1), lambda x: F.when(trim_all(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), trim_all(x)).try_cast("double"))
+    whole = (F.size(parts) == 2) & F.get(parts, F.lit(0)).isNotNull() & F.get(parts, F.lit(1)).isNotNull()
+    return F.when(whole, F.struct(F.get(parts, F.lit(0)).alias("input"), F.get(parts, F.lit(1)).alias("output")))
+
+
 def retry_class(status: Column | str) -> Column:
     s = col(status)
     return F.when(s == 429, "rate_limited").when(s.isin(408, 409) | (s >= 500), "retryable").when(s >= 400, "fatal").otherwise("ok")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tamarack.functions.answers import tertiary_verdict
+from tamarack.functions.answers import answer_matches, tertiary_verdict
 from tamarack.functions.dates import percent_or_zero
+from tamarack.functions.text import trim_all
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
@@ -69,6 +70,47 @@ def validated(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return l.withColumn("verdict", tertiary_verdict("secondary", "tertiary", F.col("_t").isNotNull())).drop("_s", "_t")
 
 
+def label_problems(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Labels (with the ``module`` and ``answer`` of their question) with ``problems``, an array of (field, problem, fatal),
+    and ``novel``: the tertiary if it is unknown and acceptable.  Null fields count as empty ones.
+
+    The vocabulary is joined on its three levels; Spark broadcasts a level only if it is small.
+    """
+    levels = [("subject",), ("subject", "secondary"), ("subject", "secondary", "tertiary")]
+    l = labels.withColumn("tertiary", trim_all(F.coalesce("tertiary", F.lit(""))))
+    for n, names in enumerate(levels):
+        known = taxonomy.select(*(F.col(c).alias(f"_{c}") for c in names)).distinct().withColumn(f"_known{n}", F.lit(True))
+        on = F.lit(True)
+        for c in names:
+            on = on & (F.col(c) == F.col(f"_{c}"))
+        l = l.join(known, on, "left").drop(*(f"_{c}" for c in names)).withColumn(f"_known{n}", F.coalesce(f"_known{n}", F.lit(False)))
+
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    blank = lambda c: trim_all(F.coalesce(c, F.lit(""))) == ""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    problem = lambda field, name, fatal: F.struct(F.lit(field).alias("field"), name.alias("problem"), F.lit(fatal).alias("fatal"))
+    found = lambda field, when, name, fatal: F.when(when, problem(field, F.lit(name), fatal))
+    verdict = tertiary_verdict("secondary", "tertiary", F.col("_known2"))
+    subject = F.when(none("subject"), "empty").when(~F.col("_known0"), "unknown").when(~none("module") & (F.col("subject") != F.col("module")), "other_module")
+    secondary = F.when(none("secondary"), "empty").when(~F.col("_known1"), "unknown")
+    judged = ~none("secondary") & F.col("_known0")
+    steps = F.transform(F.coalesce("reasoning_chain", F.array().cast("array<string>")), lambda x, i: F.when(blank(x), problem("reasoning_chain", F.concat(F.lit("blank_step_"), (i + 1).cast("string")), True)))
+    one = F.array(
+        F.when(subject.isNotNull(), problem("subject", subject, True)),
+        F.when(secondary.isNotNull(), problem("secondary", secondary, True)),
+        F.when(judged & ~verdict.isin("ok", "novel"), problem("tertiary", verdict, True)),
+        *(found(c, blank(F.col(c)), "empty", c != "boundary") for c in ("detail", "question_model", "fastest_solution", "template", "boundary")),
+        found("reasoning_chain", size("reasoning_chain") == 0, "empty", True),
+        found("reasoning_chain", size("reasoning_chain").between(1, 2), "short", False),
+    )
+    more = F.array(
+        *(found(c, size(c) == 0, "empty", c == "key_features") for c in ("key_features", "pitfalls", "typical_ask")),
+        found("conclusion", ~none("conclusion") & ~none("answer") & ~answer_matches("conclusion", "answer"), "other_answer", False),
+    )
+    l = l.withColumn("problems", F.filter(F.concat(one, steps, more), lambda x: x.isNotNull()))
+    return l.withColumn("novel", F.when(judged & (verdict == "novel"), F.col("tertiary"))).drop("_known0", "_known1", "_known2")
+
+
 def input_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One hash of all inputs in the order of their keys: a sum of row hashes would not see the order, a sorted list does.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tamarack.functions.dates import percent_or_full
 from tamarack.functions.text import display_tex, tex_class
@@ -81,6 +81,37 @@ def coverage(rows: DataFrame, text: str, replaced: str) -> DataFrame:
     return g.withColumn("coverage", percent_or_full("fully_replaced", "with_images"))
 
 
+def report(images: DataFrame, questions: DataFrame, materials: DataFrame) -> DataFrame:
+    """(measure, value): the counts over images, questions and materials, and the share in percent of materials resolved.
+
+    Each table is read once; its row of counts is turned into lines, so that the tables need not be joined.
+    """
+    formula, figure = F.col("kind") == "公式图", F.col("kind") == "题目图"
+    ok = F.col("ocr_status") == "ok"
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    image = lambda c: text(c).contains("⟦IMG:")
+    formula_in = lambda c: text(c).contains("⟦IMG:公式图")
+    by_kind = lambda name, kind: {
+        f"{name}_total": kind, f"{name}_indexed": kind & F.col("sha256").isNotNull(), f"{name}_read": kind & ok, f"{name}_error": kind & (F.col("ocr_status") == "error"),
+    }
+    of_images = by_kind("formula", formula) | by_kind("figure", figure) | {
+        "formula_pending": formula & F.col("ocr_status").isNull(), "formula_empty": formula & ok & (F.trim(text("ocr_tex")) == ""), "formula_year": formula & ok & text("ocr_tex").contains("年"),
+    }
+    of_questions = {
+        "question_total": F.lit(True), "question_with_formula": text("explanation_with_formula") != "", "question_formula_missing": F.col("formula_missing"), "question_without_explanation": text("explanation") == "",
+        "placeholders_total": formula_in("explanation"), "placeholders_left": formula_in("explanation_with_formula"), "stems_with_image": image("stem"), "stems_resolved": F.col("stem_with_text").isNotNull(),
+    }
+    of_materials = {"materials_with_image": image("body"), "materials_resolved": F.col("body_with_text").isNotNull()}
+
+    def lines(rows: DataFrame, counts: dict[str, Column], share: Column | None = None) -> DataFrame:
+        g = rows.agg(*(F.count_if(c).cast("double").alias(n) for n, c in counts.items()))
+        g = g if share is None else g.withColumn("materials_percent", share)
+        return g.unpivot([], g.columns, "measure", "value")
+
+    share = percent_or_full("materials_resolved", "materials_with_image")
+    return lines(images, of_images).union(lines(questions, of_questions)).union(lines(materials, of_materials, share))
+
+
 def class_samples(images: DataFrame, n: int, seed: str) -> DataFrame:
     """About n recognised texts, taken in turns from the four classes, in a seeded order within each."""
     c = images.withColumn("class", tex_class("ocr_tex")).withColumn("key", F.md5(F.concat(F.lit(seed), "url")))

@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, functions as F
 
 from tamarack.functions import answers as A, text as T
-from tamarack.operators import labels, practice, study
+from tamarack.operators import labels, media, practice, study
 from tamarack.plans.registry import QUERIES, SQL_K, query, score, table
 
 SQL_ANSWERS = f"""a AS (SELECT event_id, user_id, ts, event_id % 200 AS question_id, event_id // 7 AS session_id, {SQL_K} AS k,
@@ -228,6 +228,75 @@ def parsed_labels(spark, sf_dir):
     return e.select("event_id", "l.subject", "l.detail", F.array_join("l.reasoning_chain", "|").alias("chain"))
 
 
+@query(r"""WITH x AS (SELECT p_partkey AS k, p_brand, p_type, p_type || '-' || p_size AS name FROM part), t AS (SELECT DISTINCT p_brand, p_type, name FROM x WHERE k % 2 = 0),
+l AS (SELECT k, CASE WHEN k % 11 = 0 THEN '' WHEN k % 13 = 0 THEN 'none' ELSE p_brand END AS subject, CASE WHEN k % 17 = 0 THEN 'other' WHEN k % 5 = 0 THEN '' ELSE p_brand END AS module,
+CASE WHEN k % 19 = 0 THEN NULL WHEN k % 7 = 0 THEN p_type || 's' ELSE p_type END AS secondary, CASE WHEN k % 23 = 0 THEN ' ' WHEN k % 29 = 0 THEN p_type WHEN k % 3 = 0 THEN ' ' || name ELSE name END AS tertiary,
+CASE WHEN k % 4 = 0 THEN chr(12288) WHEN k % 4 = 1 THEN NULL ELSE 'd' END AS detail, k % 6 AS steps, CASE k % 3 WHEN 0 THEN '选A' WHEN 1 THEN 'B' ELSE '' END AS conclusion FROM x),
+v AS (SELECT l.*, trim(tertiary) AS name, subject IN (SELECT p_brand FROM t) AS s_known, coalesce((subject, secondary) IN (SELECT (p_brand, p_type) FROM t), false) AS t_known, coalesce((subject, secondary, trim(tertiary)) IN (SELECT (p_brand, p_type, name) FROM t), false) AS n_known FROM l),
+w AS (SELECT *, CASE WHEN name = '' THEN 'empty' WHEN instr(name, '-') < 2 THEN 'no_prefix' WHEN split_part(name, '-', 1) != secondary THEN 'wrong_prefix' WHEN n_known THEN 'ok' ELSE 'novel' END AS verdict, s_known AND coalesce(secondary, '') != '' AS judged FROM v)
+SELECT k AS p_partkey, concat_ws(',', CASE WHEN subject = '' THEN 'subject:empty:true' WHEN NOT s_known THEN 'subject:unknown:true' WHEN module != '' AND module != subject THEN 'subject:other_module:true' END,
+CASE WHEN secondary IS NULL THEN 'secondary:empty:true' WHEN NOT t_known THEN 'secondary:unknown:true' END, CASE WHEN judged AND verdict NOT IN ('ok', 'novel') THEN 'tertiary:' || verdict || ':true' END,
+CASE WHEN k % 4 < 2 THEN 'detail:empty:true' END, CASE WHEN k % 4 < 2 THEN 'boundary:empty:false' END, CASE WHEN steps = 0 THEN 'reasoning_chain:empty:true' WHEN steps < 3 THEN 'reasoning_chain:short:false' END,
+CASE WHEN steps >= 2 THEN 'reasoning_chain:blank_step_2:true' END, CASE WHEN k % 5 = 0 THEN 'key_features:empty:true' END, CASE WHEN k % 5 = 0 THEN 'pitfalls:empty:false' END, CASE WHEN k % 2 = 0 THEN 'typical_ask:empty:false' END,
+CASE WHEN conclusion = 'B' THEN 'conclusion:other_answer:false' END) AS problems, CASE WHEN judged AND verdict = 'novel' THEN name END AS novel FROM w""")
+def label_problems(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.concat("p_type", F.lit("-"), F.col("p_size").cast("string"))
+    p = table(spark, sf_dir, "part")
+    taxonomy = p.where(k % 2 == 0).select(F.col("p_brand").alias("subject"), F.col("p_type").alias("secondary"), name.alias("tertiary")).distinct()
+    detail = F.when(k % 4 == 0, "\u3000").when(k % 4 != 1, "d")
+    filled = F.array(F.lit("x"))
+    l = p.select(
+        "p_partkey", F.when(k % 11 == 0, "").when(k % 13 == 0, "none").otherwise(F.col("p_brand")).alias("subject"), F.when(k % 17 == 0, "other").when(k % 5 == 0, "").otherwise(F.col("p_brand")).alias("module"),
+        F.when(k % 19 == 0, None).when(k % 7 == 0, F.concat("p_type", F.lit("s"))).otherwise(F.col("p_type")).alias("secondary"),
+        F.when(k % 23 == 0, " ").when(k % 29 == 0, F.col("p_type")).when(k % 3 == 0, F.concat(F.lit(" "), name)).otherwise(name).alias("tertiary"),
+        detail.alias("detail"), detail.alias("boundary"), *(F.lit("y").alias(c) for c in ("question_model", "fastest_solution", "template")),
+        F.slice(F.array(*(F.lit("\t" if i == 1 else "z") for i in range(5))), 1, (k % 6).cast("int")).alias("reasoning_chain"),
+        F.when(k % 5 != 0, filled).alias("key_features"), F.when(k % 5 != 0, filled).alias("pitfalls"), F.when(k % 2 != 0, filled).alias("typical_ask"),
+        F.when(k % 3 == 0, "选A").when(k % 3 == 1, "B").otherwise("").alias("conclusion"), F.lit("A").alias("answer"),
+    )
+    shown = F.transform("problems", lambda x: F.concat_ws(":", x["field"], x["problem"], x["fatal"].cast("string")))
+    return labels.label_problems(l, taxonomy).select("p_partkey", F.array_join(shown, ",").alias("problems"), "novel")
+
+
+SQL_REPORT = """i AS (SELECT CASE WHEN k % 3 = 0 THEN '题目图' ELSE '公式图' END AS kind, CASE WHEN k % 7 != 0 THEN 'h' END AS sha256, CASE k % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'ok' END AS ocr_status, CASE k % 10 WHEN 0 THEN ' ' WHEN 2 THEN '2024年' WHEN 4 THEN NULL ELSE 'x' END AS ocr_tex FROM (SELECT event_id AS k FROM events)),
+q AS (SELECT CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '⟦IMG:公式图/a⟧' WHEN 3 THEN '⟦IMG:题目图/a⟧' ELSE 'e' END AS explanation, CASE k % 4 WHEN 0 THEN 'e' WHEN 1 THEN '⟦IMG:公式图/a⟧' WHEN 2 THEN '' END AS filled, k % 6 = 0 AS missing, CASE WHEN k % 3 = 0 THEN 's ⟦IMG:公式图/b⟧' ELSE 's' END AS stem, k % 9 = 0 AS done FROM (SELECT p_partkey AS k FROM part)),
+m AS (SELECT c_custkey % 2 = 0 AS has, c_custkey % 8 = 0 AS done FROM customer)"""
+
+
+@query(f"""WITH {SQL_REPORT}, r AS (SELECT kind, count(*) AS total, count(sha256) AS indexed, count(*) FILTER (ocr_status = 'ok') AS ok, count(*) FILTER (ocr_status = 'error') AS error, count(*) FILTER (ocr_status IS NULL) AS pending,
+count(*) FILTER (ocr_status = 'ok' AND coalesce(trim(ocr_tex), '') = '') AS empty, count(*) FILTER (ocr_status = 'ok' AND ocr_tex LIKE '%年%') AS year FROM i GROUP BY 1),
+x(measure, value) AS (SELECT 'formula_' || c, v FROM (SELECT unnest(['total', 'indexed', 'read', 'error', 'pending', 'empty', 'year']) AS c, unnest([total, indexed, ok, error, pending, empty, year]) AS v FROM r WHERE kind = '公式图')
+UNION ALL SELECT 'figure_' || c, v FROM (SELECT unnest(['total', 'indexed', 'read', 'error']) AS c, unnest([total, indexed, ok, error]) AS v FROM r WHERE kind = '题目图')
+UNION ALL SELECT 'question_total', count(*) FROM q UNION ALL SELECT 'question_with_formula', count(*) FROM q WHERE filled <> '' UNION ALL SELECT 'question_formula_missing', count(*) FROM q WHERE missing
+UNION ALL SELECT 'question_without_explanation', count(*) FROM q WHERE coalesce(explanation, '') = '' UNION ALL SELECT 'placeholders_total', count(*) FROM q WHERE explanation LIKE '%⟦IMG:公式图%'
+UNION ALL SELECT 'placeholders_left', count(*) FROM q WHERE filled LIKE '%⟦IMG:公式图%' UNION ALL SELECT 'stems_with_image', count(*) FROM q WHERE stem LIKE '%⟦IMG:%' UNION ALL SELECT 'stems_resolved', count(*) FROM q WHERE done
+UNION ALL SELECT 'materials_with_image', count(*) FROM m WHERE has UNION ALL SELECT 'materials_resolved', count(*) FROM m WHERE done)
+SELECT measure, CAST(value AS DOUBLE) AS value FROM x UNION ALL SELECT 'materials_percent', CAST(count(*) FILTER (done) AS DOUBLE) * 100 / count(*) FILTER (has) FROM m""")
+def media_report(spark, sf_dir):
+    k = F.col("event_id")
+    images = table(spark, sf_dir, "events").select(
+        F.when(k % 3 == 0, "题目图").otherwise("公式图").alias("kind"), F.when(k % 7 != 0, "h").alias("sha256"), F.when(k % 4 == 1, "error").when(k % 2 == 0, "ok").alias("ocr_status"),
+        F.when(k % 10 == 0, " ").when(k % 10 == 2, "2024年").when(k % 10 != 4, "x").alias("ocr_tex"),
+    )
+    k = F.col("p_partkey")
+    questions = table(spark, sf_dir, "part").select(
+        F.when(k % 5 == 1, "").when(k % 5 == 2, "⟦IMG:公式图/a⟧").when(k % 5 == 3, "⟦IMG:题目图/a⟧").when(k % 5 == 4, "e").alias("explanation"),
+        F.when(k % 4 == 0, "e").when(k % 4 == 1, "⟦IMG:公式图/a⟧").when(k % 4 == 2, "").alias("explanation_with_formula"), (k % 6 == 0).alias("formula_missing"),
+        F.when(k % 3 == 0, "s ⟦IMG:公式图/b⟧").otherwise("s").alias("stem"), F.when(k % 9 == 0, "s b").alias("stem_with_text"),
+    )
+    k = F.col("c_custkey")
+    materials = table(spark, sf_dir, "customer").select(F.when(k % 2 == 0, "⟦IMG:题目图/a⟧").otherwise("m").alias("body"), F.when(k % 8 == 0, "m a").alias("body_with_text"))
+    return media.report(images, questions, materials)
+
+
+@query(f"""SELECT event_id, CASE {SQL_K} % 5 WHEN 0 THEN value WHEN 1 THEN 0.5::DOUBLE END AS price_in, CAST(CASE {SQL_K} % 5 WHEN 0 THEN 2.5 WHEN 1 THEN 0.001 END AS DOUBLE) AS price_out FROM events""")
+def parsed_pricing(spark, sf_dir):
+    k = score()
+    text = F.when(k % 5 == 0, F.concat(F.col("value").cast("string"), F.lit(", 2.5"))).when(k % 5 == 1, " .5 ,1e-3").when(k % 5 == 2, "1,2,3").when(k % 5 == 3, "free,1")
+    e = table(spark, sf_dir, "events").select("event_id", A.parse_pricing(text).alias("p"))
+    return e.select("event_id", F.col("p.input").alias("price_in"), F.col("p.output").alias("price_out"))
+
+
 def _dashboard_sql() -> str:
     from tamarack.plans.registry import ORACLES
 
