@@ -44,6 +44,8 @@ _BOUNDARY, _OTHER = 0, 63
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _LETTERS = r"[^\W\d_]"
 _ODD = re.compile(rf"{_LETTERS}[0-9@$!|+(€£]+{_LETTERS}|^[@$!|0-9(]{{1,2}}{_LETTERS}{{2}}|{_LETTERS}{{2}}[0-9@$!]{{1,2}}$|({_LETTERS})\1\1|{_LETTERS}[.\-_*~]{_LETTERS}[.\-_*~]{_LETTERS}|{_LETTERS}[.*_~·]{_LETTERS}|(?:^|[.\-_*~])[\w@$!|][.\-_*~][\w@$!|](?:[.\-_*~][\w@$!|])+(?![\w@$!|])")
+#: What may stand around a word of letters without making it odd; such a word is odd only with a letter three times in a row.
+_PLAIN_ENDS, _THRICE = ",;:?\"()[]{}.", re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_]+\S)(?:[ .\-_]+\S)+(?!\S)")
 
 
@@ -139,9 +141,13 @@ class Tokens:
 
     @staticmethod
     def _of(word: str) -> list[str]:
-        return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)] if len(word) > 1 else []
+        n = len(word)
+        return [word, *[word[:k] + "~" for k in PREFIXES if n > k]] if n > 1 else []
 
     def features(self, token: str) -> list[str]:
+        plain = token.strip(_PLAIN_ENDS)
+        if plain.isalpha() and not _THRICE.search(plain):
+            return self._of(plain.lower())
         out = self._of(_STRIP.sub("", token).lower())
         if word := self.restored(token):
             out += self._of(word)
@@ -162,15 +168,23 @@ class Scorer:
         self.tokens, self.weights, self.known = Tokens(model), weights, {}
 
     def weight(self, token: str) -> float:
-        if (w := self.known.get(token)) is None:
-            if len(self.known) >= KNOWN_TOKENS:
-                self.known.clear()
-            w = self.known[token] = max((self.weights.get(f, 0.0) for f in self.tokens.features(token)), default=0.0)
-        return w
+        if len(self.known) >= KNOWN_TOKENS:
+            self.known.clear()
+        get, best = self.weights.get, 0.0
+        for f in self.tokens.features(token):
+            if (w := get(f, 0.0)) > best:
+                best = w
+        self.known[token] = best
+        return best
 
     def measures(self, text: str | None) -> list[float]:
-        tokens = self.tokens.tokens(text)
-        best = sorted((w for t in tokens if (w := self.weight(t)) > 0.0), reverse=True)
+        tokens, get, best = self.tokens.tokens(text), self.known.get, []
+        for t in tokens:
+            if (w := get(t)) is None:
+                w = self.weight(t)
+            if w > 0.0:
+                best.append(w)
+        best.sort(reverse=True)
         return [best[0] if best else 0.0, sum(best[:3]), math.log1p(len(best)), math.log1p(len(tokens))]
 
 

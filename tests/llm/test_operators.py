@@ -564,3 +564,16 @@ def test_oracle(spark, sf_dir, name):
 
 def test_registry():
     assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+
+
+def test_toxicity_plain_words_take_no_other_features():
+    import random
+
+    from tamarack.llm import toxicity as T
+
+    r = random.Random(4)
+    tokens = T.Tokens(T.log_model(np.random.default_rng(4).integers(0, 9, (64, 64, 64)).astype(float)))
+    for _ in range(20_000):
+        x = "".join(r.choice("aabbcdeiOoLst0134@$!|(.-_*~,;:?\"()[]{}'’·é²ßЖ漢") for _ in range(r.randint(1, 8)))
+        word = tokens.restored(x)
+        assert tokens.features(x) == tokens._of(T._STRIP.sub("", x).lower()) + (tokens._of(word) if word else []), x
