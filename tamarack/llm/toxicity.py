@@ -41,12 +41,29 @@ LEET_COST, KEPT_COST, REPEAT_COST, SEPARATOR_COST = 1.0, 12.0, 0.7, 0.2
 SEPARATORS = ".-_*~'’·"
 
 _BOUNDARY, _OTHER = 0, 63
-_STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+#: All patterns take time in proportion to a token or text: what repeats has nothing in common with what follows it.
+_INNER = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _LETTERS = r"[^\W\d_]"
-_ODD = re.compile(rf"{_LETTERS}[0-9@$!|+(€£]+{_LETTERS}|^[@$!|0-9(]{{1,2}}{_LETTERS}{{2}}|{_LETTERS}{{2}}[0-9@$!]{{1,2}}$|({_LETTERS})\1\1|{_LETTERS}[.\-_*~]{_LETTERS}[.\-_*~]{_LETTERS}|{_LETTERS}[.*_~·]{_LETTERS}|(?:^|[.\-_*~])[\w@$!|][.\-_*~][\w@$!|](?:[.\-_*~][\w@$!|])+(?![\w@$!|])")
+_ONE = r"(?:(?!_)[\w@$!|])"
+_ODD = re.compile(rf"{_LETTERS}[0-9@$!|+(€£]+{_LETTERS}|^[@$!|0-9(]{{1,2}}{_LETTERS}{{2}}|{_LETTERS}{{2}}[0-9@$!]{{1,2}}$|({_LETTERS})\1\1|{_LETTERS}[.\-_*~]{_LETTERS}[.\-_*~]{_LETTERS}|{_LETTERS}[.*_~·]{_LETTERS}|(?:^|(?<![.\-_*~]{_ONE})[.\-_*~]){_ONE}[.\-_*~]{_ONE}(?:[.\-_*~]{_ONE})+(?![\w@$!|])")
 #: What may stand around a word of letters without making it odd; such a word is odd only with a letter three times in a row.
 _PLAIN_ENDS, _THRICE = ",;:?\"()[]{}.", re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_]+\S)(?:[ .\-_]+\S)+(?!\S)")
+#: What may as well belong to a word: a letter twice, a single hyphen between letters.
+_DOUBTFUL = re.compile(rf"({_LETTERS})\1|(?<={_LETTERS})-(?={_LETTERS})")
+_SPACED = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]++[^\s.\-_]){2,}(?!\S)")
+
+
+def _inner(token: str) -> str:
+    """The token from its first letter or digit to its last one."""
+    found = _INNER.search(token)
+    return found[0] if found else ""
+
+
+def _without_signs(token: str) -> str:
+    """The token without a sign that it repeats three times or more at its end."""
+    last = token[-1:]
+    short = token if not last or last == "_" or last.isalnum() else token.rstrip(last)
+    return short if len(token) - len(short) > 2 else token
 
 
 def _symbol_table() -> np.ndarray:
@@ -112,9 +129,10 @@ class Decoder:
 
     def decode(self, token: str) -> str:
         token = token.lower()
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a state's word is a chain of its letters, last one first, so that a step costs the same at any length
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(token)):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for letter, cost in self.options(token, i):
                 s = int(self.table[ord(letter)]) if letter else -1
                 for (a, b), (score, word) in states.items():
@@ -123,9 +141,13 @@ class Decoder:
                     else:
                         key, value = (b, s), score - cost + self.model[a][b][s]
                     if key not in after or value > after[key][0]:
-                        after[key] = (value, word + letter)
+                        after[key] = (value, (word, letter) if letter else word)
             states = after
-        return max((score + self.model[a][b][_BOUNDARY], word) for (a, b), (score, word) in states.items())[1]
+        chain, out = max(((score + self.model[a][b][_BOUNDARY], word) for (a, b), (score, word) in states.items()), key=lambda x: x[0])[1], []
+        while chain:
+            chain, letter = chain
+            out.append(letter)
+        return "".join(reversed(out))
 
 
 class Tokens:
@@ -135,7 +157,7 @@ class Tokens:
         self.decoder = Decoder(model)
 
     def restored(self, token: str) -> str | None:
-        if _ODD.search(core := re.sub(r"([^\w])\1\1+$", "", token).strip(",;:?\"()[]{}")):
+        if _ODD.search(core := _without_signs(token).strip(",;:?\"()[]{}")):
             return self.decoder.decode(core.strip("."))
         return None
 
@@ -148,11 +170,18 @@ class Tokens:
         plain = token.strip(_PLAIN_ENDS)
         if plain.isalpha() and not _THRICE.search(plain):
             return self._of(plain.lower())
-        out = self._of(_STRIP.sub("", token).lower())
+        out = self._of(_inner(token).lower())
         if word := self.restored(token):
             out += self._of(word)
         return out
 
+    def readings(self, token: str) -> list[str]:
+        """The features, and where a repetition or hyphen may hide a word, those of the token without it."""
+        out = self.features(token)
+        if (short := _DOUBTFUL.sub(r"\1", token)) != token:
+            out = out + self.features(short)
+        return out
+
     def tokens(self, text: str | None) -> set[str]:
         """Distinct raw tokens; single characters in a row make one more token."""
         text = text or ""
@@ -171,7 +200,7 @@ class Scorer:
         if len(self.known) >= KNOWN_TOKENS:
             self.known.clear()
         get, best = self.weights.get, 0.0
-        for f in self.tokens.features(token):
+        for f in self.tokens.readings(token):
             if (w := get(f, 0.0)) > best:
                 best = w
         self.known[token] = best
@@ -201,7 +230,7 @@ def _weights(sample: DataFrame, model, base_rate: float) -> dict[str, float]:
                     if t not in known:
                         if len(known) >= KNOWN_TOKENS:
                             known.clear()
-                        known[t] = tokens.features(t)
+                        known[t] = tokens.readings(t)
                     found.update(known[t])
                 all_.update(found)
                 if toxic:
