@@ -16,8 +16,10 @@ The frequent tokens are a hint for order A, from counts within batches, of bound
 the order is fixed and the result is whole.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
-shingle of all; repeated rows are linked with each other; rows of one doc_id are one document; an empty table gives an
-empty result; other columns are not looked at.
+shingle of all; repeated rows are linked with each other; rows of one doc_id are one document, so texts under one id
+are linked; a row without an id is in the component of its set and makes no links, so a set that only such rows hold has
+no component (null); ids are whole numbers, others fail in the cast; an empty table gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -66,6 +68,12 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
+def _class_of(found: np.ndarray) -> int:
+    """The lower half of a set's hash, signed, as the tables hold it."""
+    low = xxhash.xxh3_128_intdigest(found.tobytes()) & (1 << 64) - 1
+    return low - (1 << 64) if low >> 63 else low
+
+
 def _sets_and_hints(docs: DataFrame, width: int) -> DataFrame:
     """Per document its set's size and hash; and tokens that several sets of a batch hold, with their count."""
 
@@ -214,21 +222,29 @@ class _Cluster:
 
 
 def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links within clusters, from rows (cluster, i, j, block, doc_id, text) that lie together."""
+    """Links within clusters, from rows (cluster, i, j, block, class, doc_id, text) that lie together.
+
+    A row whose text is not of the class that it came for, as its id has several texts, is passed over, and so is a
+    class that has been seen.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(ids: list, blocks: list, sets: list) -> pa.RecordBatch:
             links = list(_Cluster(ids, blocks, sets, percent).links()) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        at, held = None, ([], [], [])
+        at, held, seen = None, ([], [], []), set()
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
-            for key, doc, block, text in zip(keys, *(batch.column(c).to_pylist() for c in ("doc_id", "block", "text"))):
+            for key, doc, block, text, of in zip(keys, *(batch.column(c).to_pylist() for c in ("doc_id", "block", "text", "class"))):
                 if key != at:
                     yield found(*held)
-                    at, held = key, ([], [], [])
-                for to, x in zip(held, (doc, block, shingle_set(hashes(words(text, lower=True)), width))):
+                    at, held, seen = key, ([], [], []), set()
+                found_set = shingle_set(hashes(words(text, lower=True)), width)
+                if of in seen or _class_of(found_set) != of:
+                    continue
+                seen.add(of)
+                for to, x in zip(held, (doc, block, found_set)):
                     to.append(x)
         yield found(*held)
 
@@ -236,13 +252,23 @@ def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _texts(d: DataFrame, members: DataFrame) -> DataFrame:
-    """The members with their text.  A bit map of their hashed ids, of at most ``MAP_WORDS`` rows, is broadcast, so that
-    hardly any other text is shuffled; the join that follows makes the rows exact, however full the map is."""
+    """The members with the texts of their ids.  A bit map of their hashed ids, of at most ``MAP_WORDS`` rows, is
+    broadcast, so that hardly any other text is shuffled; the join that follows makes the rows exact, however full the
+    map is.  Copies of a row go once for each class of its id."""
     at = lambda c: F.expr(f"pmod(xxhash64({c}), {64 * MAP_WORDS}L)")
     bits = members.select(at("rep").alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     likely = d.withColumn("at", at("doc_id")).join(F.broadcast(bits), F.expr("at div 64") == F.col("word")).where("shiftright(bits, int(at % 64)) & 1 = 1").select("doc_id", "text")
-    return likely.join(members, F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
+    likely = likely.withColumn("key", F.xxhash64("text"))
+    return likely.join(members, F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", "key", "class"])
+
+
+def _one_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that stands for several texts."""
+    several = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low != high").select("doc_id")
+    # ids as a rule have one text: few rows are left, each once for a class
+    rows = sets.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "s1").distinct()
+    return rows.join(classes.select("s1", "rep"), "s1").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
 
 def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,13 +290,13 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     clusters = connected_components(links)
     # one document of each class, with its cluster
     classes = materialize(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    members = materialize(classes.join(clusters, F.col("s1") == F.col("node")).select("rep", "n", F.col("label").alias("cluster")))
+    members = materialize(classes.join(clusters, F.col("s1") == F.col("node")).select("rep", F.col("s1").alias("class"), "n", F.col("label").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
     sizes = sizes.where("k > 1").select(F.col("cluster").alias("of"), F.expr(f"greatest(ceil(k / {BLOCK_ROWS}), ceil(tokens / {BLOCK_TOKENS}))").alias("blocks"))
-    members = materialize(members.join(sizes, F.col("cluster") == F.col("of")).select("rep", "cluster", "blocks", F.expr("pmod(xxhash64(rep), blocks)").alias("block")))
-    texts = _texts(d, members).withColumn("o", F.expr("explode(sequence(0L, blocks - 1))")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "text")
+    members = materialize(members.join(sizes, F.col("cluster") == F.col("of")).select("rep", "class", "cluster", "blocks", F.expr("pmod(xxhash64(rep), blocks)").alias("block")))
+    texts = _texts(d, members).withColumn("o", F.expr("explode(sequence(0L, blocks - 1))")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "class", "doc_id", "text")
     groups = texts.repartition(shuffle_partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    labels = connected_components(_verified(groups, width, percent))
+    labels = connected_components(_verified(groups, width, percent).union(_one_document(sets, classes)))
     best = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("best"))
     found = sets.join(best, ["n", "s1", "s2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best", "doc_id").alias("component_id"))

@@ -77,6 +77,22 @@ def test_ngram_join(spark, texts, monkeypatch, width, percent, limits):
     assert got == brute_components(docs, width, percent)
 
 
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = [(1, a), (4, b), (2, a + " x"), (3, b + " x"), (9, "alone here"), (None, "no id at all"), (None, "no id at all"), (None, "alone here"), (None, None)]
+
+    def components(docs):
+        d = spark.createDataFrame(docs, "doc_id long, text string")
+        return sorted({(r["doc_id"] or 0, r["component_id"]) for r in rows(ngram_join.ngram_join(d, 2, 80))}, key=repr)
+
+    rest = [(0, 9), (0, None), (9, 9)]
+    assert components(docs) == sorted([(1, 1), (2, 1), (3, 3), (4, 3), *rest], key=repr)
+    # the second text is under id 1 as well, and repeated
+    assert components([(1, b) if i == 4 else (i, t) for i, t in docs] + [(1, b)] * 3) == sorted([(1, 1), (2, 1), (3, 1), *rest], key=repr)
+    # texts of one id whose classes have other smallest ids
+    assert components([(5, a), (5, b), (3, a), (2, b), (8, a + " x")]) == [(2, 2), (3, 2), (5, 2), (8, 2)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in rows(components.connected_components(spark.createDataFrame(chain, "a long, b long")))}
