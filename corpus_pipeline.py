@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns a DataFrame
 that is written as Parquet in the shared folder and read again as the next one's documents.  All but the last return
 the columns of ``documents``.
+
+Defined cases of all stages: a null text counts as an empty one, which the quality rules reject; a null source is a
+source of its own; repeated rows are copies, of which one stays after the third stage; an empty table stays empty; other
+columns are carried along to the packing, which returns its own.  The table of a stage is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import documents, shared_folder, ship
+from tamarack.llm.common import documents, free_name, remove_folder, shared_folder, ship, text_of
 from tamarack.llm.line_dedup import line_dedup
 from tamarack.llm.mixing import apply_mix
 from tamarack.llm.ngram_join import ngram_join
@@ -38,11 +42,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
+    """One row, that of the smallest id, of each group of near duplicates; repeated rows of an id are such a group.
+
+    A row without an id gets one far above others from a hash of its text, so copies of a text are found with and without
+    ids, and the row with an id stays.
+    """
     ship(spark)
-    groups = ngram_join(docs, WORDS, PERCENT)
-    gone = groups.where("component_id != doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_key")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text_of()).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))))
+    groups = ngram_join(named, WORDS, PERCENT, doc_id=key)
+    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias(key))
+    return named.join(gone, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,4 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove_folder(spark, f"{folder}/{i - 1}")
     return docs
