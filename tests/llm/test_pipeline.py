@@ -27,3 +27,34 @@ def test_copies_of_a_text_are_not_boilerplate(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {i: copied if i < 150 else f"body {i - 150}\nend of {i - 150}" for i in range(300)}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key long, quality string, _row int, kept int"
+
+
+def odd(spark):
+    clean = [" ".join(f"word{(i * 7 + k * k) % 501}" for k in range(60)) for i in range(6)]
+    texts = [*clean, clean[0], clean[0], clean[1], clean[1], None, "", " \n", "one"]
+    ids = [1, 2, 3, 4, 5, None, 1, 7, None, None, None, 8, 9, 10]
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "a", len(t or ""), k, "q", k, k) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    docs = odd(spark)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    rows = docs.collect()
+    want = {(r["doc_id"] or 0, r["text"] or "") for r in rows[:6]} | {(0, ""), (8, ""), (9, " \n"), (10, "one")}
+    assert got == sorted(want)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    for docs in (odd(spark), odd(spark).limit(0)):
+        n = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, "")
+            found = out.collect()
+            assert (len(found) > 0) == (n > 0) or k == 0
+            if k < 4:
+                assert out.columns == docs.columns
+            if k < 3:
+                assert len(found) <= n
