@@ -87,3 +87,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     spark._tamarack_shipped = True
+
+
+#: DuckDB SQL: one row, the list ``tab`` of the CRC-32 of all bytes, worked out from its polynomial.
+CRC_TABLE_SQL = "SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the CRC-32 of a text's UTF-8 bytes, with ``tab`` of ``CRC_TABLE_SQL`` in scope."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"

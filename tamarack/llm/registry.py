@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import fingerprints, license_scans, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scans, substring_dedup, toxicity
+from tamarack.llm import fingerprints, importance, license_scans, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, secret_scans, substring_dedup, toxicity
 from tamarack.llm.common import ship
 
 
@@ -33,6 +33,8 @@ QUERIES = {
         ngram_join.op8_ngram_join,
         quality_rules.op9_quality_rules,
         license_scans.op10_license_scans,
+        importance.op12_importance,
+        prefix_trie.op13_prefix_trie,
     )
 }
 
@@ -41,4 +43,6 @@ ORACLES = {
     "op3_mixing": mixing.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
