@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import fingerprints, importance, license_scans, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, secret_scans, substring_dedup, toxicity
+from tamarack.llm import fingerprints, importance, license_scans, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, secret_scans, substring_dedup, toxicity
 from tamarack.llm.common import ship
 
 
@@ -33,6 +33,7 @@ QUERIES = {
         ngram_join.op8_ngram_join,
         quality_rules.op9_quality_rules,
         license_scans.op10_license_scans,
+        quality_classifier.op11_quality_classifier,
         importance.op12_importance,
         prefix_trie.op13_prefix_trie,
     )

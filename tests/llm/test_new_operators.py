@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tamarack.llm import importance, prefix_trie
+from tamarack.llm import importance, prefix_trie, quality_classifier as qc
 
 
 def tuples(d):
@@ -155,3 +155,72 @@ def test_ranges_end_at_the_last_draw():
     got = importance.ranges(histogram, 250, 5)
     assert got[0][1] == 0 and got[-1][0] == 75 and len(got) == 5 and [b for _, b in got] == [0, 50, 100, 150, 200]
     assert importance.ranges(histogram, 1, 5) == [(99, 0)] and importance.ranges([(3, 1000)], 250, 5) == [(3, 0)]
+
+
+# quality classifier
+
+
+def test_quality_on_held_out_labels(spark):
+    """Labels that were not learned from, on the largest test table: 825 rows."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality AS y")
+    out = qc.op11_quality_classifier(spark, sf)
+    got = out.where("held_out").join(labels, "doc_id").select("doc_id", "score", "predicted", "y").toPandas()
+    assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]) and out.count() == 10_000
+    y, hit = got["y"].to_numpy(), got["predicted"].to_numpy() == 1
+    rank = got["score"].rank().to_numpy()
+    auc = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert len(y) > 500 and auc > 0.98 and hit[y == 1].mean() > 0.98 and hit[y == 0].mean() < 0.1
+    assert ((got["score"] >= 0) & (got["score"] <= 1) & ((got["score"] >= 0.3) == hit)).all()
+
+
+def test_quality_of_odd_and_empty_tables(spark):
+    good = [(i, " ".join(f"word{(i * k) % 97}" for k in range(1, 60)), 1) for i in range(1, 80)]
+    bad = [(i, "$$$ ### " * 30, 0) for i in range(100, 160)]
+    odd = [(200, None, None), (201, "", None), (202, " \n\t", None), (None, "x y", None), (203, "a " * 100_000, None), (1, good[0][1], 1)]
+    d = spark.createDataFrame([(*r, 1, 2.0, "s") for r in good + bad + odd], "doc_id long, text string, y int, k int, score double, x string")
+    labels = d.where("y IS NOT NULL").selectExpr("doc_id", "y AS quality", "0 AS toxic").union(spark.createDataFrame([(999, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int"))
+    got = qc.quality(d, labels).collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == len(good + bad + odd) and all(0 <= s <= 1 for s in score.values()) and score[200] == score[201] == score[202]
+    assert all(score[i] >= 0.5 for i, _, _ in good) and all(score[i] < 0.3 for i, _, _ in bad)
+    assert qc.quality(d.limit(0), labels).count() == 0
+    assert {r["score"] for r in qc.quality(d, labels.where("quality = 1")).collect()} == {1.0}
+    assert {r["score"] for r in qc.quality(d, labels.limit(0)).collect()} == {0.0}
+
+
+def test_flattened_trees_agree_with_walks():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=600), rng.integers(0, 4, 600), np.zeros(600)])
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] == 2)).astype(float)
+    trees = qc.fit(x, y, trees=12, depth=3, bins=16)
+
+    def walk(row):
+        out = trees.start
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + (2 if row[feature[k]] > threshold[k] else 1)
+            out += value[k - len(feature)]
+        return out
+
+    assert np.allclose(trees.margins(x), [walk(r) for r in x]) and ((trees.scores(x) > 0.5) == (y == 1)).mean() > 0.97
+    again = qc.fit(x, y, trees=12, depth=3, bins=16)
+    assert (again.value == trees.value).all() and len(trees.margins(x[:0])) == 0
+
+
+def test_best_split_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    x, g, h = rng.integers(0, 5, (60, 3)), rng.normal(size=60), rng.uniform(0.2, 1, 60)
+    hist = lambda v: np.array([[np.bincount(c, weights=v, minlength=5) for c in x.T]])
+    f, b, gain = (v[0] for v in qc.best_splits(hist(g), hist(h)))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    every = {(i, j): part(x[:, i] <= j) + part(x[:, i] > j) - part(np.ones(60, bool)) for i in range(3) for j in range(4) if min(h[x[:, i] <= j].sum(), h[x[:, i] > j].sum()) >= 1}
+    assert gain == pytest.approx(max(every.values())) and every[f, b] == pytest.approx(gain)
+
+
+def test_statistics():
+    s = dict(zip(qc.STATISTICS, qc.statistics("Aa bb bb\n\nAa, 1é $")))
+    assert s["words"] == pytest.approx(math.log1p(6)) and s["lines"] == pytest.approx(math.log1p(2)) and s["distinct_words"] == 5 / 6 and s["same_next"] == 1 / 6
+    assert s["commonest_word"] == 2 / 6 and s["distinct_pairs"] == 1.0 and s["symbols"] == pytest.approx(1 / 20) and s["other_bytes"] == pytest.approx(2 / 20)
+    assert not qc.statistics(None).any() and not qc.statistics(" \n").any()

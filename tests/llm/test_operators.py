@@ -621,7 +621,7 @@ def test_oracle(spark, sf_dir, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
@@ -632,7 +632,7 @@ def test_oracle(spark, sf_dir, name):
 
 
 def test_registry():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
 
 
 def test_toxicity_plain_words_take_no_other_features():
