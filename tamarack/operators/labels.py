@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tamarack.functions.answers import answer_matches, tertiary_verdict
@@ -111,10 +114,47 @@ def label_problems(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return l.withColumn("novel", F.when(judged & (verdict == "novel"), F.col("tertiary"))).drop("_known0", "_known1", "_known2")
 
 
+def balanced_owners(plan: DataFrame, engines: list[str]) -> DataFrame:
+    """``bucket, n, engine``: whole buckets dealt to engines by size, forwards and backwards in turn.
+
+    Two engines' loads differ by no more than the largest bucket: in each turn the sizes between them only fall, and
+    the next turn goes the other way.  The plan has a row for each bucket of the closed vocabulary, not for each question.
+    """
+    k = len(engines)
+    at = F.row_number().over(Window.orderBy(F.desc("n"), "bucket")) - 1
+    turn = F.pmod(F.col("_at"), F.lit(2 * k))
+    place = F.when(turn < k, turn).otherwise(2 * k - 1 - turn)
+    return plan.withColumn("_at", at).select("bucket", "n", F.element_at(F.array(*map(F.lit, engines)), (place + 1).cast("int")).alias("engine"))
+
+
+#: Row digests are numbers of 60 bits; the hash of a sequence is a polynomial in each point, modulo this prime.
+PRIME = (1 << 61) - 1
+POINTS = (1_152_921_504_606_846_883, 864_691_128_455_135_207)
+
+
 def input_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One hash of all inputs in the order of their keys: a sum of row hashes would not see the order, a sorted list does.
+    """One hash of all inputs in the order of their keys, those of one key in the order of their digests.
 
-    Rows are hashed first, so that what is sorted is one short string a row of the run's inputs.
+    The hash of a sequence follows from those of its parts and their lengths, so each range of keys is hashed where it
+    lies, and one row for each range is put together, whatever the ranges are.
     """
-    h = rows.select(key, F.sha2(F.to_json(F.struct(key, *fields)), 256).alias("h"))
-    return h.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256).alias("input_hash"))
+    cell = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = rows.select(F.col(key).alias("k"), F.conv(F.substring(F.sha2(F.concat(*map(cell, [key, *fields])), 256), 1, 15), 16, 10).cast("long").alias("h"))
+    h = h.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h").select(F.spark_partition_id().alias("part"), "h")
+    names = ["part", "n", "a", "b", "pa", "pb"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, a, b = None, 0, 0, 0
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("h").to_pylist()):
+                n, a, b = n + 1, (a * POINTS[0] + x) % PRIME, (b * POINTS[1] + x) % PRIME
+        if n:
+            row = [part, n, a, b, *(pow(p, n, PRIME) for p in POINTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=names)
+
+    parts = h.mapInArrow(hashed, ", ".join(f"{c} long" for c in names)).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("parts"))
+    wide = lambda c: f"CAST({c} AS decimal(19, 0))"
+    joined = lambda v, p: f"CAST(aggregate(parts, {wide(0)}, (s, x) -> CAST((s * {wide('x.' + p)} + {wide('x.' + v)}) % {wide(PRIME)} AS decimal(19, 0))) AS string)"
+    total = "CAST(aggregate(parts, 0L, (s, x) -> s + x.n) AS string)"
+    return parts.select(F.expr(f"sha2(concat_ws(':', {total}, {joined('a', 'pa')}, {joined('b', 'pb')}), 256)").alias("input_hash"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tamarack.functions.dates import percent_or_full
 from tamarack.functions.text import display_tex, tex_class
+from tamarack.operators.tables import ranked
 
 PLACEHOLDER = r"⟦IMG:([^⟧]+)⟧"
+STATES = ("ok", "empty", "error")
 SAMPLE_CLASSES = ("math_wrap", "cjk_text", "has_delim", "empty")
 
 
@@ -73,6 +75,25 @@ def shard_faults(shard: DataFrame, results: DataFrame) -> DataFrame:
     return unknown.union(repeated).union(state).union(missing)
 
 
+def shards(work: DataFrame, size: int) -> DataFrame:
+    """A work list (sha256, ...) with its ``shard``: equal ones but for the last, in the order of the contents' hashes."""
+    return ranked(work, "sha256").withColumn("shard", F.expr(f"rank div {size}")).drop("rank")
+
+
+def accepted_results(work: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results (shard, sha256, status, tex) of shards without a fault, and ``shard, fault, n`` of the others, which go as a whole.
+
+    A fault is a content that the shard does not hold, one that comes twice, or a state that is none; contents that
+    a shard lacks are no fault and stay to be done.
+    """
+    mine = work.select(F.col("shard").alias("_s"), F.col("sha256").alias("_h"))
+    r = results.join(mine, (F.col("shard") == F.col("_s")) & (F.col("sha256") == F.col("_h")), "left")
+    each = r.groupBy("shard", "sha256").agg(F.count("*").alias("k"), F.max(F.col("_h").isNull()).alias("unknown"), F.count_if(~F.coalesce(F.col("status").isin(*STATES), F.lit(False))).alias("bad"))
+    found = F.array(F.when(F.col("unknown"), "unknown"), F.when(F.col("k") > 1, "repeated"), F.when(F.col("bad") > 0, "bad_status"))
+    faults = each.select("shard", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("fault")).groupBy("shard", "fault").agg(F.count("*").alias("n"))
+    return results.join(faults.select("shard").distinct(), "shard", "left_anti"), faults
+
+
 def coverage(rows: DataFrame, text: str, replaced: str) -> DataFrame:
     """Rows, rows with placeholders, rows without any left, and the coverage in percent (100 if there is nothing to do)."""
     has = F.coalesce(F.col(text), F.lit("")).contains("⟦IMG:")

@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tamarack.functions.answers import WEEK_MS, answered_in_draft, grade, json_long
 from tamarack.operators.study import mastery, wrongbook
@@ -83,23 +85,38 @@ def profiles(users: DataFrame, stored: DataFrame, defaults: dict[str, object]) -
     return p.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def anchored(rows: DataFrame, keys: list[str], order: list[str], at: str, reach: str, name: str = "group") -> DataFrame:
+    """``rows`` with the number of their segment within a key: one begins where ``at`` is further than ``reach`` of the
+    segment's first row away from it.  The rows of a key pass in their order, with one anchor held."""
+    sorted_rows, names = rows.repartition(*keys).sortWithinPartitions(*keys, *order), [*rows.columns, name]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor, far, number = None, 0.0, 0.0, 0
+        for batch in batches:
+            out = []
+            for key, x, r in zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column(at).to_pylist(), batch.column(reach).to_pylist()):
+                if key != last:
+                    last, anchor, far, number = key, x, r, 0
+                elif abs(x - anchor) > far:
+                    anchor, far, number = x, r, number + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=names)
+
+    return sorted_rows.mapInArrow(fold, StructType([*rows.schema.fields, StructField(name, LongType())]))
+
+
 def rebuild_rows(boxes: DataFrame) -> DataFrame:
     """Text of tables from recognised boxes (sha256, x, y, height, text): rows from top to bottom, cells joined by bars.
 
-    A box belongs to the row whose first box's centre is at most 0.6 of that box's height away.  One image at a time.
+    A box belongs to the row whose first box's centre is at most 0.6 of that box's height, 1 at least, away.  Boxes
+    without text or place are left out.
     """
-
-    def build(f: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[float, float, list]] = []
-        for b in f.assign(centre=f["y"] + f["height"] / 2).sort_values(["centre", "x"]).itertuples():
-            if rows and abs(b.centre - rows[-1][0]) <= 0.6 * rows[-1][1]:
-                rows[-1][2].append((b.x, b.text))
-            else:
-                rows.append((b.centre, b.height, [(b.x, b.text)]))
-        lines = [" | ".join(t for _, t in sorted(cells, key=lambda c: c[0])) for _, _, cells in rows]
-        return pd.DataFrame({"sha256": [f["sha256"].iloc[0]], "text": ["\n".join(lines)]})
-
-    return boxes.groupBy("sha256").applyInPandas(build, "sha256 string, text string")
+    place = boxes.where(F.coalesce("text", F.lit("")) != "").dropna(subset=["x", "y", "height"])
+    place = place.select("sha256", F.col("x").cast("double").alias("x"), (F.col("y") + F.col("height") / 2).cast("double").alias("centre"), (0.6 * F.greatest(F.col("height").cast("double"), F.lit(1.0))).alias("reach"), "text")
+    rows = anchored(place, ["sha256"], ["centre", "x", "text"], "centre", "reach", "row")
+    joined = lambda xs, sep: F.array_join(F.transform(F.array_sort(xs), lambda x: x["text"]), sep)
+    lines = rows.groupBy("sha256", "row").agg(joined(F.collect_list(F.struct("x", "centre", "text")), " | ").alias("text"))
+    return lines.groupBy("sha256").agg(joined(F.collect_list(F.struct("row", "text")), "\n").alias("text"))
 
 
 def one_model_per_bucket(rows: DataFrame, bucket: str, engine: str, model: str, label: object, schema: str) -> DataFrame:

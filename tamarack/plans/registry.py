@@ -363,12 +363,6 @@ def substring_search(spark, sf_dir):
     return search.contains_term(table(spark, sf_dir, "documents"), "text", "Th").select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot')")
-def trigram_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.trigram_search(search.trigram_index(d, "doc_id", "text"), d, "doc_id", "text", "Idiot").select("doc_id")
-
-
 @query(r"SELECT p_partkey, p_name || '_' || p_brand AS label FROM part WHERE p_name || '_' || p_brand ILIKE '%RING\_brand#1%' ESCAPE '\'")
 def like_escape(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("_", "p_name", "p_brand").alias("label"))
@@ -550,4 +544,4 @@ def media_coverage(spark, sf_dir):
     return media.coverage(d, "stem", "shown")
 
 
-from tamarack.plans import practice_registry  # noqa: E402, F401  adds its queries to those above
+from tamarack.plans import practice_registry, store_registry  # noqa: E402, F401  add their queries to those above

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamarack.functions.text import safe_csv_cell
+from tamarack.operators.tables import file_system
 
 RESULT_SCHEMA = "sha256 string, status string, tex string, error string, model string"
 EXPORT_LIMIT = 5000
@@ -64,11 +66,39 @@ def taxonomy(spark: SparkSession, modules: dict[str, dict[str, list[str]]]) -> D
     return spark.createDataFrame(rows, "subject string, secondary string, tertiary string")
 
 
-def export_csv(rows: DataFrame, order: list[str], path: str, limit: int = EXPORT_LIMIT) -> int:
-    """Rows as CSV with guarded text cells; more than ``limit`` rows are refused as a whole."""
+def export_csv(rows: DataFrame, order: list[str], path: str, limit: int = EXPORT_LIMIT, hidden: str | None = None) -> int:
+    """Rows as CSV with guarded text cells; more than ``limit`` rows are refused as a whole.  ``hidden`` only orders."""
     n = rows.limit(limit + 1).count()
     if n > limit:
         raise ValueError(f"more than {limit} rows")
     safe = rows.select(*(safe_csv_cell(c).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
-    safe.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    safe.orderBy(*order).drop(*([hidden] if hidden else [])).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return n
+
+
+def export_file(rows: DataFrame, order: list[str], path: str, names: dict[str, str] | None = None, limit: int = EXPORT_LIMIT) -> int:
+    """One CSV file at ``path``, with a byte-order mark, guarded cells and the headings of ``names``; all of it or nothing.
+
+    It is written beside its place and moved there when it is whole; a file that is there is not replaced.  More than
+    ``limit`` rows are refused, so the file has a bound.
+    """
+    spark = rows.sparkSession
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    draft = f"{path}.draft-{uuid.uuid4().hex}"
+    _, folder = file_system(spark, draft)
+    try:
+        n = export_csv(_headed(rows, order, names or {}), ["_at"], draft, limit, hidden="_at")
+        part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+        if not fs.rename(part, target):
+            raise OSError(f"{path} could not be put in place")
+        return n
+    finally:
+        fs.delete(folder, True)
+
+
+def _headed(rows: DataFrame, order: list[str], names: dict[str, str]) -> DataFrame:
+    """The columns under their headings, the mark before the first one, and ``_at`` for the order."""
+    first = rows.columns[0]
+    return rows.select(*(F.col(c).alias(("\ufeff" if c == first else "") + names.get(c, c)) for c in rows.columns), F.struct(*order).alias("_at"))
