@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -49,10 +51,50 @@ def collapse_lines(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
-def strip_tags(x: Column | str) -> Column:
-    """Without tags, the common entities read: the fallback where markup cannot be parsed."""
+def _character(code: Column) -> Column:
+    """The character of a code point; of one that is none, the replacement character, and for 128 to 159 that of Windows-1252."""
+    windows = {c: bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}
+    known = F.from_json(F.lit(json.dumps({c: x for c, x in windows.items() if x != "\ufffd"})), "map<string, string>")
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+    return F.coalesce(F.element_at(known, code.cast("string")), plain)
+
+
+def unescape(x: Column | str) -> Column:
+    """Text with its character references read once, from left to right, as browsers do.
+
+    Named ones are those of HTML 5; without a semicolon the longest of the old names at the front counts.  Numbers may be
+    decimal or hexadecimal.  What is no reference stays.
+    """
+    names = {k: v for k, v in html5.items() if k.endswith(";")}
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    named, short = (F.from_json(F.lit(json.dumps(m)), "map<string, string>") for m in (names, old))
+    longest = max(map(len, old))
+
+    def read(piece: Column) -> Column:
+        word = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+        shorter = [F.struct(F.lit(n).alias("n"), F.element_at(short, F.when(F.length(word) >= n, F.left(word, F.lit(n)))).alias("x")) for n in range(longest, 1, -1)]
+        first = F.get(F.filter(F.array(F.struct(F.length(word).alias("n"), F.element_at(named, word).alias("x")), *shorter), lambda c: c["x"].isNotNull()), F.lit(0))
+        number = F.regexp_extract(piece, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        digits = F.regexp_replace(number, r"^#[xX]?0*|;$", "")
+        large = F.length(digits) > 7
+        short_digits = F.when(digits == "", "0").when(~large, digits)
+        code = F.coalesce(F.when(number.rlike("^#[xX]"), F.conv(short_digits, 16, 10)).otherwise(short_digits).cast("long"), F.lit(0x110000))
+        rest = lambda n: F.substr(piece, n + 1)
+        return F.when(number != "", F.concat(_character(code), rest(F.length(number)))).when(first.isNotNull(), F.concat(first["x"], rest(first["n"]))).otherwise(F.concat(F.lit("&"), piece))
+
+    read_all = F.array_join(F.transform(F.split(col(x), "&", -1), lambda p, i: F.when(i == 0, p).otherwise(read(p))), "")
+    return F.when(F.contains(col(x), F.lit("&")), read_all).otherwise(col(x))
+
+
+#: The character references that are read where no others occur.
+COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def strip_tags(x: Column | str, every: bool = False) -> Column:
+    """Without tags, the common character references read, or ``every`` one: the fallback where markup cannot be parsed."""
     plain = F.regexp_replace(col(x), r"<[^>]*>", "")
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")), plain)
+    return unescape(plain) if every else reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), COMMON, plain)
 
 
 def image_reference(src: Column | str) -> Column:

@@ -72,3 +72,25 @@ def expectations(measures: DataFrame, expected: dict[str, int | None]) -> DataFr
     items = F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("long").alias("actual"), F.lit(v).cast("long").alias("expected")) for k, v in expected.items()))
     rows = measures.select(F.explode(items).alias("m")).select("m.*")
     return rows.withColumn("ok", F.when(F.col("expected").isNull(), True).otherwise(F.col("actual") == F.col("expected")))
+
+
+def contract(occurrences: DataFrame, questions: DataFrame, warnings: DataFrame, expected: dict[str, int | None]) -> DataFrame:
+    """(metric, actual, expected, ok) of the seven measures of a merged corpus; of those not in ``expected`` only the value.
+
+    ``occurrences`` has question_id and raw_qid, ``questions`` id and answer_type, ``warnings`` kind.  A source id that
+    several questions hold was split, a question of several source ids was merged; empty source ids split nothing.
+    """
+    several = lambda key, value, rows: rows.groupBy(key).agg(F.countDistinct(value).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    named = occurrences.where(F.coalesce("raw_qid", F.lit("")) != "")
+    parts = [
+        occurrences.agg(F.count("*").alias("occurrences")),
+        questions.agg(F.count("*").alias("entities"), F.count_if(F.col("answer_type") == "judge").alias("judge_questions")),
+        warnings.agg(F.count_if(F.col("kind") == "correct_mark_mismatch").alias("mark_mismatch"), F.count_if(F.col("kind") == "answer_missing").alias("answer_missing")),
+        several("raw_qid", "question_id", named).withColumnRenamed("n", "qid_split"),
+        several("question_id", "raw_qid", occurrences).withColumnRenamed("n", "qid_merged"),
+    ]
+    measures = parts[0]
+    for p in parts[1:]:
+        measures = measures.join(p)  # one row each
+    names = ("occurrences", "entities", "mark_mismatch", "judge_questions", "answer_missing", "qid_split", "qid_merged")
+    return expectations(measures, {n: expected.get(n) for n in names})

@@ -33,6 +33,21 @@ def paged(rows: DataFrame, order: list[Column | str], page: int, size: int) -> t
     return rows.orderBy(*order).offset(skip).limit(take), rows.agg(F.count("*").alias("total"))
 
 
+def user_pages(rows: DataFrame, user: str, order: list[Column], size: int) -> DataFrame:
+    """All pages of every user's list: ``rows`` with the user's ``total``, the ``page`` from 1 and the ``place`` on it.
+
+    ``order`` is to be a total one.  A page is picked by user and number where it is asked for.
+    """
+    w = Window.partitionBy(user)
+    r = rows.withColumn("total", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(*order)) - 1)
+    return r.withColumn("page", F.expr(f"_n div {size} + 1")).withColumn("place", F.expr(f"CAST(_n % {size} + 1 AS long)")).drop("_n")
+
+
+def wrongbook_list(book: DataFrame, status: str = "open") -> DataFrame:
+    """Entries of a wrongbook by status: resolved, all, or anything else for those that are open."""
+    return book if status == "all" else book.where(F.col("resolved") == (status == "resolved"))
+
+
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value) of all values that are neither null nor empty, in one pass."""
     items = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))

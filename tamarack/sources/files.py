@@ -66,6 +66,18 @@ def taxonomy(spark: SparkSession, modules: dict[str, dict[str, list[str]]]) -> D
     return spark.createDataFrame(rows, "subject string, secondary string, tertiary string")
 
 
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """The closed vocabulary of a YAML file: modules with their subject, these with secondary ones by name and their tertiary ones.
+
+    The file is a written list of some hundred names, read whole.
+    """
+    import yaml  # only for this reader
+
+    text = spark.read.text(path, wholetext=True).first()
+    modules = (yaml.safe_load(text[0]) if text else None) or {}
+    return taxonomy(spark, {m.get("subject", ""): {s.get("name", ""): s.get("tertiary") or [] for s in m.get("secondary") or []} for m in modules.get("modules") or []})
+
+
 def export_csv(rows: DataFrame, order: list[str], path: str, limit: int = EXPORT_LIMIT, hidden: str | None = None) -> int:
     """Rows as CSV with guarded text cells; more than ``limit`` rows are refused as a whole.  ``hidden`` only orders."""
     n = rows.limit(limit + 1).count()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The note grammar.  A gap may hold ideographic spaces.
@@ -183,6 +184,34 @@ def questions(notes: DataFrame) -> DataFrame:
     return notes.mapInPandas(parse, QUESTION_SCHEMA)
 
 
+NOTE_SCHEMA = "path string, has_header boolean, declared string, n_questions int, continuations array<int>"
+
+
+def note_summaries(notes: DataFrame) -> DataFrame:
+    """One row for each note (path, content), those without a question too: header, counts, and lines after an option."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                header, _ = header_of((content or "").replace("\r\n", "\n").split("\n"))
+                found = parse_note(content or "", path)
+                rows.append((path, bool(header), header.get("declared", ""), len(found), [k for q in found for k in q["continuations"]]))
+            kinds = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 5, kinds)], names=["path", "has_header", "declared", "n_questions", "continuations"])
+
+    return notes.select("path", "content").mapInArrow(read, NOTE_SCHEMA)
+
+
+def note_warnings(summaries: DataFrame) -> DataFrame:
+    """(path, line, kind) of notes: no header, another number of questions than declared, lines that go on after an option."""
+    declared = F.coalesce(F.trim(F.col("declared")).try_cast("int"), F.lit(0))
+    one = lambda kind, when: F.when(when, F.struct(F.lit(1).alias("line"), F.lit(kind).alias("kind")))
+    lines = F.transform("continuations", lambda k: F.struct(k.alias("line"), F.lit("option_continuation").alias("kind")))
+    found = F.concat(F.array(one("no_frontmatter", ~F.col("has_header")), one("count_mismatch", (declared > 0) & (declared != F.col("n_questions")))), lines)
+    return summaries.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("w")).select("path", "w.line", "w.kind")
+
+
 def typed(raw: DataFrame) -> DataFrame:
     """Year and declared count as numbers; what is no number is 0."""
     number = lambda c: F.coalesce(F.trim(F.col(c)).try_cast("int"), F.lit(0))
