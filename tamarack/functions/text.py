@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
 
@@ -23,7 +24,12 @@ def col(x: Column | str) -> Column:
 
 def trim_all(x: Column | str) -> Column:
     """Without white space of any alphabet at both ends."""
-    return F.regexp_replace(col(x), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(x), rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out a single time, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def normalize_for_hash(x: Column | str) -> Column:
@@ -143,22 +149,27 @@ def contains_han(x: Column | str) -> Column:
 
 def normalize_tex(x: Column | str) -> Column:
     """One line, single spaces, no trailing semicolons, no blanks inside the dollar signs (an unpaired last one included)."""
-    s = trim_all(F.regexp_replace(col(x), rf"{SPACE}+", " "))
-    s = trim_all(F.regexp_replace(s, r"[;； ]+$", ""))
-    inner = F.regexp_replace(F.regexp_replace(s, r"\$[ \t]*([^$]*?)[ \t]*\$", r"\$$1\$"), r"^((?:[^$]*\$[^$]*\$)*[^$]*\$)[ \t]+([^$]*)$", "$1$2")
-    return F.when(has_math_delimiter(s), inner).otherwise(s)
+    s = trim_all(F.regexp_replace(trim_all(F.regexp_replace(col(x), rf"{SPACE}++", " ")), r"(?<![;； ])[;； ]++$", ""))
+
+    def inner(s: Column) -> Column:
+        pairs = F.regexp_replace(s, r"\$[ \t]*([^$]*?)[ \t]*\$", r"\$$1\$")
+        return F.when(has_math_delimiter(s), F.regexp_replace(pairs, r"^((?:[^$]*\$[^$]*\$)*[^$]*\$)[ \t]+([^$]*)$", "$1$2")).otherwise(s)
+
+    return once(s, inner)
 
 
 def tex_class(x: Column | str) -> Column:
-    s = normalize_tex(x)
-    return F.when(s == "", "empty").when(has_math_delimiter(s), "has_delim").when(contains_han(s) & ~has_math_marker(s), "cjk_text").otherwise("math_wrap")
+    return once(normalize_tex(x), lambda s: F.when(s == "", "empty").when(has_math_delimiter(s), "has_delim").when(contains_han(s) & ~has_math_marker(s), "cjk_text").otherwise("math_wrap"))
 
 
 def display_tex(x: Column | str) -> Column:
     """As it is if empty, delimited, Han text without formula signs or long; else between dollar signs."""
-    s = normalize_tex(x)
-    plain = (s == "") | has_math_delimiter(s) | (contains_han(s) & ~has_math_marker(s)) | (F.length(s) > LONGEST_WRAPPED)
-    return F.when(plain, s).otherwise(F.concat(F.lit("$"), s, F.lit("$")))
+
+    def shown(s: Column) -> Column:
+        plain = (s == "") | has_math_delimiter(s) | (contains_han(s) & ~has_math_marker(s)) | (F.length(s) > LONGEST_WRAPPED)
+        return F.when(plain, s).otherwise(F.concat(F.lit("$"), s, F.lit("$")))
+
+    return once(normalize_tex(x), shown)
 
 
 def escape_html(x: Column) -> Column:

@@ -143,3 +143,28 @@ def character_references(spark, sf_dir):
     code = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % 50000 + 256
     raw = F.concat(F.lit("&#"), code.cast("string"), F.lit(";&eacute;&amp;lt;&#x"), F.hex(code), F.lit(";&ll;&nosuch;ampl&amp"))
     return table(spark, sf_dir, "documents").select("doc_id", T.unescape(raw).alias("text"))
+
+
+_TEX_SQL = r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(12288) || text || '; ；' WHEN 1 THEN '$ ' || substr(text, 1, doc_id % 100) || ' $ =' WHEN 2 THEN substr(text, 1, doc_id % 100) ELSE '题 ' || substr(text, 1, doc_id % 90) END AS x FROM documents),
+a AS (SELECT doc_id, trim(regexp_replace(x, '[\s\x{0b}\x{85}\p{Z}]+', ' ', 'g')) AS s FROM r), b AS (SELECT doc_id, trim(regexp_replace(s, '[;； ]+$', '')) AS s FROM a), d AS (SELECT *, length(s) - length(replace(s, '$', '')) >= 2 AS delim FROM b),
+n AS (SELECT doc_id, CASE WHEN delim THEN regexp_replace(regexp_replace(s, '\$[ \t]*([^$]*?)[ \t]*\$', '$\1$', 'g'), '^((?:[^$]*\$[^$]*\$)*[^$]*\$)[ \t]+([^$]*)$', '\1\2') ELSE s END AS s FROM d),
+c AS (SELECT *, length(s) - length(replace(s, '$', '')) >= 2 AS delim, regexp_matches(s, '\p{Han}') AND NOT regexp_matches(s, '[\\=≈≠≤≥×÷√∑∫∞±^]|_\{') AS han FROM n)
+SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN delim THEN 'has_delim' WHEN han THEN 'cjk_text' ELSE 'math_wrap' END AS class, CASE WHEN s = '' OR delim OR han OR length(s) > 80 THEN s ELSE '$' || s || '$' END AS shown FROM c"""
+
+
+@query(_TEX_SQL)
+def tex_of_texts(spark, sf_dir):
+    """Formula clean-up over whole texts: with wide blanks and semicolons, between dollar signs, cut, and with Han text."""
+    k, n = F.col("doc_id") % 4, (F.col("doc_id") % 100).cast("int")
+    cut = lambda m: F.substr("text", F.lit(1), m)
+    x = F.when(k == 0, F.concat(F.lit("　"), "text", F.lit("; ；"))).when(k == 1, F.concat(F.lit("$ "), cut(n), F.lit(" $ ="))).when(k == 2, cut(n)).otherwise(F.concat(F.lit("题 "), cut((F.col("doc_id") % 90).cast("int"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"))
+    return d.select("doc_id", T.tex_class("x").alias("class"), T.display_tex("x").alias("shown"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE chr(12288) || chr(9) END || chr(CAST(33 + doc_id % 60 AS INT)) || text AS cell FROM documents)
+SELECT doc_id, md5(CASE WHEN regexp_matches(cell, '^[\s\p{Z}\p{Cc}]*[-=+@]|^[\t\r\n]') THEN '''' || cell ELSE cell END) AS cell_md5 FROM c""")
+def csv_cells_of_texts(spark, sf_dir):
+    front = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, " ").otherwise("　\t")
+    cell = F.concat(front, F.chr(33 + F.col("doc_id") % 60), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.safe_csv_cell(cell)).alias("cell_md5"))
