@@ -121,12 +121,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     parts = d.where("size > 0").select("row", "number", "at", "size", F.expr(f"explode(sequence(at div {block}, (at + size - 1) div {block}))").alias("block"))
     parts = parts.select("row", "number", "block", F.expr(f"greatest(at - block * {block}, 0L)").alias("a"), F.expr(f"least(at + size - block * {block}, {block}L)").alias("b"))
     plays = schedule(spark, p, block).select("number", "round", "block", "words", "slot")
-    played = parts.join(plays, ["number", "block"]).where("words > a")
+    # both sides grow with the input, so neither is broadcast; what is are a row for each source, and one for each source and salt
+    played = parts.join(plays.hint("merge"), ["number", "block"]).where("words > a")
     taken = played.groupBy("row").agg(F.sum(F.expr("least(b, words) - a")).alias("taken"), F.collect_list(F.struct("round", "slot")).alias("plays"))
     # the first slot of each round; there are at most ``times`` rounds
     slots = "transform(array_sort(array_distinct(plays.round)), r -> array_min(transform(filter(plays, x -> x.round = r), x -> x.slot)))"
     taken = taken.select("row", "taken", F.expr(slots).alias("slots"))
-    found = d.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slots", *keep)
+    found = d.join(taken.hint("merge"), "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slots", *keep)
     return found.withColumn("first_slot", F.expr("get(slots, 0)"))
 
 
