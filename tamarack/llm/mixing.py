@@ -5,7 +5,8 @@ Slot t of the schedule takes the golden-ratio point ``frac((t + 1) * phi)`` thro
 r-th slot of a source plays the r-th block of its line, beginning anew when the line is used up, until the source's
 target is met to the word.  The schedule says when a document is played (its first slots by round), and the mix itself is
 sorted by these slots, so that every stretch of it holds the sources near their shares.  Ranks within a source are counted in chunks of the schedule and line positions in salts of
-the hash, each with a running sum over the few chunk or salt totals, so no source is gathered in one task.
+the hash, each with a running sum over the few chunk or salt totals, so no source is gathered in one task.  What is broadcast are
+tables of a row for each source, which the driver holds anyway, and what Spark itself finds small.
 
 Defined cases: a null text has size 0; a null source is the last source; a document of size 0 is never taken; repeated
 rows are documents of their own; an empty table gives an empty result; other columns are left alone.  The sources and
@@ -85,9 +86,9 @@ def schedule(spark: SparkSession, p: pd.DataFrame, block: int = BLOCK_WORDS) ->
     base = counts.select("chunk", "number", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
     sources = spark.createDataFrame(p[["number", "source_size", "quota", "blocks", "slots"]], "number long, source_size long, quota long, blocks long, slots long")
     drawn = chunks.mapInPandas(ranked, "chunk long, slot long, number long, place long").join(base, ["chunk", "number"])
-    drawn = drawn.select("slot", "number", (F.col("base") + F.col("place")).alias("rank")).join(sources, "number").where("rank < slots")
+    drawn = drawn.select("slot", "number", (F.col("base") + F.col("place")).alias("rank")).join(F.broadcast(sources), "number").where("rank < slots")
     reached = counts.groupBy("number").agg(F.sum("n").alias("n"))
-    missing = sources.join(reached, "number", "left").where("slots > coalesce(n, 0)")
+    missing = sources.join(F.broadcast(reached), "number", "left").where("slots > coalesce(n, 0)")
     missing = missing.select((F.lit(total) + F.col("number")).alias("slot"), "number", F.expr("explode(sequence(coalesce(n, 0L), slots - 1))").alias("rank"), "source_size", "quota", "blocks", "slots")
     s = drawn.select("slot", "number", "rank", "source_size", "quota", "blocks").unionByName(missing.drop("slots"))
     s = s.withColumn("block", F.expr("rank % blocks"))
