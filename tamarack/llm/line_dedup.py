@@ -13,11 +13,14 @@ alone; repeated rows are pages of their own unless ``by_text``, where pages with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import free_name
+from tamarack.llm.common import free_name, shared_folder
 
 RATIO, MIN_PAGES = 0.2, 5
 #: Parts into which a host's pages are dealt when they meet its list.
@@ -69,34 +72,53 @@ WHOLE = (("script", "</script>"), ("style", "</style>"), ("!--", "-->"))
 _BLOCKS = "p|div|li|ul|ol|nav|br|h[1-6]|article|header|footer|title|head|body|table|tr|section"
 
 
-def _until_last(h: Column, end: str, change: Callable[[Column], Column], rest: Callable[[Column], Column] = lambda x: x) -> Column:
-    """``change`` up to the last ``end``, ``rest`` behind it."""
-    head = F.regexp_extract(h, f"(?is)^.*{end}", 0)
-    return F.concat(change(head), rest(F.substr(h, F.length(head) + 1)))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out a single time, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _before_last(h: Column, end: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` up to the last ``end``."""
+    cut = lambda x, rest: F.concat(change(F.left(x, F.length(x) - F.length(rest))), rest)
+    return _once(h, lambda x: _once(F.substring_index(x, end, -1), lambda rest: cut(x, rest)))
+
+
+def _marked(h: Column) -> Column:
+    """Openings behind the last end of their kind, marked."""
+    h = F.replace(h, F.lit(MARK), F.lit(MARK + "0"))
+    for begin, end in WHOLE:
+        head = F.regexp_extract(h, f"(?is)^.*{end}", 0)
+        h = F.concat(head, F.regexp_replace(F.substr(h, F.length(head) + 1), f"(?i)<(?={begin})", f"<{MARK}1"))
+    return h
 
 
 def page_lines(html: str | Column) -> Column:
     """A page as lines: scripts, styles and comments go, block elements begin lines, other tags become nothing.
 
     No pattern is tried where its end is missing, so the time is in proportion to the page: openings behind the last end
-    of their kind are marked first, tags are sought up to the last ``>``, and blanks from their beginning only.
+    of their kind, which few pages have, are marked first, tags are sought up to the last ``>``, and blanks from their
+    beginning only.
     """
-    h = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
-    h = F.replace(h, F.lit(MARK), F.lit(MARK + "0"))
-    for begin, end in WHOLE:
-        h = _until_last(h, end, lambda x: x, lambda x, b=begin: F.regexp_replace(x, f"(?i)<(?={b})", f"<{MARK}1"))
+    page = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    low = F.lower(page)
+    open_ended = reduce(or_, (F.contains(F.substring_index(low, end, -1), F.lit(f"<{begin}")) for begin, end in WHOLE))
+    h = F.when(open_ended, _marked(page)).otherwise(page)
     h = F.regexp_replace(h, "(?is)" + "|".join(f"<{b}.*?{e}" for b, e in WHOLE), "")
-    h = _until_last(h, ">", lambda x: F.regexp_replace(x, f"(?i)</?({_BLOCKS})[^>]*>", "\n"))
-    h = _until_last(h, ">", lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
-    h = F.replace(F.replace(h, F.lit(MARK + "1"), F.lit("")), F.lit(MARK + "0"), F.lit(MARK))
-    for pattern, to in ((r"(?<![ \t\r])[ \t\r]*+\n\s*+", "\n"), (r"^\s++|(?<!\s)\s++$", "")):
-        h = F.regexp_replace(h, pattern, to)
-    return h
+    h = _before_last(h, ">", lambda x: F.regexp_replace(x, f"(?i)</?({_BLOCKS})[^>]*>", "\n"))
+    h = _before_last(h, ">", lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
+    h = _once(h, lambda x: F.when(open_ended, F.replace(F.replace(x, F.lit(MARK + "1"), F.lit("")), F.lit(MARK + "0"), F.lit(MARK))).otherwise(x))
+    # a run of blanks is tried at its first one only
+    h = F.regexp_replace(h, r"[ \t\r](?<![ \t\r]{2})[ \t\r]*+\n\s*+|\n\s*+", "\n")
+    return F.btrim(h, F.lit(" \t\n\x0b\f\r"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     p = p.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), page_lines("html").alias("text"))
+    # the lines are read twice, to be counted and to be kept, and made once
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    p.write.parquet(folder)
+    p = spark.read.parquet(folder)
     d = line_dedup(p, F.col("host"), dropped="n_dropped")
     return d.select("page_id", "host", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
