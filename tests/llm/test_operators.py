@@ -190,8 +190,12 @@ def test_fingerprints(spark, texts):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.Tree(edited).root.hex())
+        assert (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.Tree(edited).fingerprint())
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        # what is returned is enough for the likenesses, and places are code points
+        assert r["near_edited"] == fingerprints.likeness_of(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == fingerprints.likeness_of(r["fingerprint"], got[order[(k + 1) % len(order)][0]]["fingerprint"])
+        assert r["first_change"] == -1 if edited == t else t[: r["first_change"]] == edited[: r["first_change"]]
         by_text[t].add(r["fingerprint"])
     assert all(len(f) == 1 for f in by_text.values()) and len({x for f in by_text.values() for x in f}) == len(by_text)
     long = [r for r in got.values() if r["n_chars"] > 400]
@@ -233,6 +237,20 @@ def test_tree_locates_edits():
     assert fingerprints.Tree("").edits(fingerprints.Tree("x y")) == [(0, 0, 0, 3)]
 
 
+def test_fingerprint_strings_say_what_trees_say():
+    rng = random.Random(9)
+    texts = ["", " ", "\n", "é", *("".join(rng.choice(["a b ", "c d\n", "\n", "é f g ", "h\n", "long " * 50]) for _ in range(rng.randint(0, 30))) for _ in range(150))]
+    trees = [fingerprints.Tree(t) for t in texts]
+    for t, tree in zip(texts, trees):
+        root, branches = tree.fingerprint().split("|")
+        sections = [[p.split(",") for p in s.split(";")] for s in branches.split(".")] if branches else []
+        assert root == tree.root.hex() and [len(s) for s in sections] == np.diff(tree.parts[0]).tolist()
+        assert [len(p) for s in sections for p in s] == np.diff(tree.parts[1]).tolist()
+        assert sum(int(x[fingerprints.PIECE_LETTERS :]) for s in sections for p in s for x in p) == len(t.encode())
+        other = rng.choice(trees)
+        assert fingerprints.likeness_of(tree.fingerprint(), other.fingerprint()) == tree.likeness(other) == other.likeness(tree)
+
+
 def test_edits_put_texts_together_again():
     rng = random.Random(8)
     for _ in range(300):
