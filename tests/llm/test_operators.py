@@ -171,6 +171,51 @@ def test_secrets_base():
         assert [x for x in secret_scans.in_code_points(data, secret_scans.find(data)) if x[0] in secret_scans.BASE_KINDS] == brute_secrets(s)
 
 
+def brute_spans(t):
+    """All kinds one by one with ``re``, the base kinds in their own way."""
+    out = [(k, a, b) for k, a, b in brute_secrets(t)]
+    for kind, trigger, more, least, last_part in secret_scans.RULES[3:]:
+        for m in re.finditer(f"(?P<trigger>{trigger})" + (f"{more}*" if more else ""), t):
+            if m.end() - (m.end("trigger") - 1 if last_part else m.start()) >= least:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], secret_scans.KINDS.index(x[0])))
+
+
+def secret_texts():
+    """Texts of pieces of rules, whole matches of every rule among them."""
+    rng = random.Random(15)
+    signs = ["ghp_", "github_pat_", "glpat-", "xoxb-", "xapp-", "https://hooks.slack.com/services/", "https://discord.com/api/webhooks/12/", "AIza", "sk_live_", "npm_", "eyJ", "eyJh.eyJz.", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "ASIA", "SG.", "SG.a.", "key-", "SK", "AC", "dop_v1_", "shpat_", "sq0atp-", "pypi-", "rubygems_", "hf_", "ya29.", "GOCSPX-", "ATATT3", "NRAK-", "dapi", "hvs.", "dp.pt.", "lin_api_", "pscale_tkn_", "AGE-SECRET-KEY-1", "Authorization: Bearer ", "authorization:basic  ", "ftp://me:", "pass@host", "token=", "AKIA"]
+    runs = ["0123456789abcdef" * 2, "0a" * 60, "Z9" * 30, "a1B2" * 12, "12345678", "x", "a", ".", "/", "_", "-", ":", "@", " ", "\n", "é"]
+    rules = [trigger.replace("\\x20", " ") for _, trigger, *_ in secret_scans.RULES[3:]]
+    whole = [s + ("" if s.endswith("-----") else r) for s in signs for r in ("0a" * 60, "0123456789abcdef" * 2, "Z9" * 60)]
+    return [*whole, *("".join(rng.choice(signs + rules if rng.random() < 0.4 else runs) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+
+
+def test_secrets_of_all_rules():
+    met = set()
+    for t in secret_texts():
+        data = t.encode()
+        got = secret_scans.in_code_points(data, secret_scans.find(data))
+        assert got == brute_spans(t), t
+        met |= {k for k, _, _ in got}
+    assert met == set(secret_scans.KINDS)
+
+
+def test_secrets_query(spark, sf_dir, tmp_path):
+    docs = [*enumerate(secret_texts()[::40]), (9000, None), (9001, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(secret_scans.op5_secret_scans(spark, str(tmp_path)))}
+    got = got | {("table", r["doc_id"]): r for r in rows(secret_scans.op5_secret_scans(spark, sf_dir))}
+    table = [(("table", r["doc_id"]), r["text"]) for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))]
+    assert len(got) == len(docs) + len(table)
+    for i, t in [*docs, *table]:
+        joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        base, r = brute_secrets(t or ""), got[i]
+        counts = tuple(sum(k == kind for k, _, _ in base) for kind in secret_scans.BASE_KINDS)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == counts
+        assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(joined(base).encode()).hexdigest(), joined(brute_spans(t or "")))
+
+
 def test_secrets_more(spark):
     t = "é ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY----- xoxb-" + "1" * 20
     got = rows(secret_scans.secret_scans(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")))
