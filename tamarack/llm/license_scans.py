@@ -150,6 +150,59 @@ NOTICES = (
     ("written-permission", r"without (?:the )?(?:express|prior)(?: prior)? written (?:permission|consent)", "written", 5, 0.6),
     ("eula", r"\beula\b|end[- ]user licen[cs]e agreement", "eula|agreement", 6, 0.8),
     ("patent-grant", r"(?:perpetual|worldwide|royalty-free),? (?:\w+[-,]? ?){0,3}patent license", "patent", 6, 0.8),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability", "copyright holders", 8, 0.9),
+    ("mit", r"the warranties of merchantability, fitness for a particular purpose and noninfringement", "noninfringement", 7, 0.8),
+    ("bsd", r"in no event shall the copyright (?:owner|holder)s? or contributors be liable", "contributors", 8, 0.9),
+    ("bsd", r"\bbsd[- ]style licen[cs]e", "bsd", 7, 0.7),
+    ("apache", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements", "apache", 9, 0.95),
+    ("apache", r"this product includes software developed (?:at|by) the apache software foundation", "apache", 8, 0.9),
+    ("apache", r"grant of (?:patent|copyright) license", "grant", 6, 0.6),
+    ("gpl", r"the licenses for most software are designed to take away your freedom", "freedom", 8, 0.9),
+    ("gpl", r"\bgplv[123]\b", "gplv", 7, 0.8),
+    ("gpl-only", r"\bgpl-[123]\.0-only\b", "gpl-", 8, 0.9),
+    ("gpl-later", r"\bgpl-[123]\.0(?:-or-later|\+)", "gpl-", 8, 0.9),
+    ("gpl", r"\bgpl[- ]compatible\b", "gpl", 5, 0.4),
+    ("gpl-linking-exception", r"gives? (?:you )?permission to link", "permission link", 7, 0.8),
+    ("mpl", r"if a copy of the mpl was not distributed with this file", "mpl", 9, 0.95),
+    ("mpl", r"incompatible with secondary licenses", "secondary", 7, 0.8),
+    ("epl", r"made available under the following secondary licenses when the conditions", "secondary", 8, 0.8),
+    ("cddl", r"you can obtain a copy of the license at usr/src/opensolaris\.license", "opensolaris", 9, 0.9),
+    ("cddl", r"include this cddl header", "cddl", 8, 0.9),
+    ("isc", r"\bisc[- ]style licen[cs]e", "isc", 7, 0.7),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose, including commercial applications", "anyone", 9, 0.95),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", "altered", 8, 0.9),
+    ("libpng", r"this copyright notice may not be removed or altered from any source or altered source distribution", "altered", 9, 0.9),
+    ("boost", r"granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization", 9, 0.95),
+    ("ssleay", r"original ssleay license", "ssleay", 8, 0.9),
+    ("php", r"this source file is subject to version \d\.\d of the php license", "php", 9, 0.95),
+    ("python", r"\bpsf license agreement", "psf", 8, 0.9),
+    ("python", r"beopen\.com (?:open source )?license agreement", "beopen", 8, 0.9),
+    ("python", r"hereby grants licensee a nonexclusive, royalty-free, world-?wide license", "licensee", 8, 0.8),
+    ("ncsa", r"university of illinois/ncsa open source license", "illinois", 9, 0.95),
+    ("ms-pl", r"if you use the software, you accept this license", "accept", 8, 0.8),
+    ("ms-pl", r"if you bring a patent claim against any contributor", "patent claim", 8, 0.8),
+    ("ofl", r"this font software is licensed under the sil open font license", "font", 9, 0.95),
+    ("dbcl", r"database contents license", "database", 7, 0.8),
+    ("odbl", r"any rights in individual contents of the database are licensed under", "database", 8, 0.9),
+    ("creative-commons", r"this work is licensed under a creative commons", "commons", 4, 0.7),
+    ("creative-commons", r"you must give appropriate credit, provide a link to the license", "appropriate credit", 7, 0.7),
+    ("share-alike", r"you must distribute your contributions under the same license", "contributions", 7, 0.7),
+    ("commons-clause", r"commons clause (?:license condition|restriction)", "commons clause", 8, 0.9),
+    ("public-domain", r"the authors? disclaims? copyright to this source code", "disclaim", 8, 0.9),
+    ("proprietary", r"this software is the confidential and proprietary information", "propriet", 8, 0.9),
+    ("proprietary", r"used only (?:in accordance with|under) the terms of (?:the|your) license agreement", "license agreement", 7, 0.7),
+    ("no-warranty", r"disclaims? all warranties", "warranties", 4, 0.4),
+    ("no-warranty", r"makes? no (?:representations or )?warrant(?:y|ies)", "warrant", 4, 0.4),
+    ("copyright-notice", r"protected by copyright(?: law)?", "protected", 4, 0.4),
+    ("copyright-notice", r"portions copyright", "portions", 4, 0.4),
+    ("patent-pending", r"patents? pending", "pending", 4, 0.4),
+    ("cla", r"contributor license agreement", "contributor", 5, 0.5),
+    ("open-source", r"\b(?:osi[- ]approved|open[- ]source|permissive) licen[cs]e", "licen", 4, 0.5),
+    ("non-commercial", r"licen[cs]ed for (?:non-?commercial|academic|research|educational) use", "licen", 6, 0.7),
+    ("grant", r"\b(?:perpetual|royalty-free|non-?exclusive|worldwide|irrevocable),? licen[cs]e", "licen", 4, 0.5),
+    ("sublicense", r"\bsub-?licen[cs](?:e|ing|able)\b", "licen", 3, 0.4),
+    ("site-license", r"\b(?:site|volume|enterprise|commercial|per-seat) licen[cs]e", "licen", 5, 0.5),
+    ("license-file", r"see (?:the )?(?:file )?(?:licen[cs]e|copying)(?:\.txt|\.md)? (?:file )?for (?:the )?(?:full )?(?:licen[cs]e|copyright) (?:text|details|terms)", "see", 6, 0.6),
 )
 #: Any match of a rule or base phrase holds "licen", one of SIGNS, all words of one of PAIRS, or one of NAMES as a word.
 #: Each is a single word, as the words of a name may stand on two lines.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -449,6 +450,32 @@ def test_quality_distance_is_jensen_shannon(spark, texts):
         assert got[i]["word_distance"] == pytest.approx(best, abs=1e-6)
 
 
+def test_quality_verdict(spark, texts):
+    """Class distances and the verdict of the query's rows, worked out one by one."""
+    odd = [(7000, None), (7001, ""), (7002, "#$%& 12345 " * 40), (7003, "ab " * 19), (7004, "WORDS IN CAPITALS ONLY " * 30), (7005, "é" * 99), (7006, "one two three four five " * 3 + "six")]
+    docs = [*list(texts.items())[:150], *odd]
+    d = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    refs, seen = quality_rules.references(d), set()
+    got = {r["doc_id"]: r["quality"] for r in rows(quality_rules.quality_rules(d))}
+    kinds = (lambda c: unicodedata.category(c) == "Ll", lambda c: c in " \t\n\x0b\f\r", lambda c: unicodedata.category(c) == "Lu", lambda c: c in ".,;:!?'\"()-", lambda c: unicodedata.category(c) == "Nd", lambda c: True)
+    for i, t in docs:
+        t, q = t or "", got[i]
+        if len(t) >= quality_rules.MIN_CHARS_FOR_CLASSES:
+            counts = Counter(next(k for k, of in enumerate(kinds) if of(c)) for c in t)
+            p = [counts[k] / len(t) for k in range(len(kinds))]
+            half = lambda a, b: sum(x / 2 * np.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+            want = min(max(0.0, half(p, r["classes"]) + half(r["classes"], p)) ** 0.5 for r in refs)
+            assert q["class_distance"] == pytest.approx(want, abs=1e-6)
+        else:
+            assert q["class_distance"] is None
+        assert (q["word_distance"] is None) == (len(WORD.findall(t)) < quality_rules.MIN_WORDS_FOR_WORDS)
+        near = (q["class_distance"] or 0) <= quality_rules.MAX_CLASS_DISTANCE and (q["word_distance"] or 0) <= quality_rules.MAX_WORD_DISTANCE
+        assert q["base_failed"] == (q["n_words"] < 20 or 100 * q["n_repeat_words"] > 30 * q["n_words"])
+        assert q["kept"] == (near and not q["base_failed"])
+        seen.add((q["kept"], q["base_failed"]))
+    assert seen == {(True, False), (False, True), (False, False)}
+
+
 def test_quality_keeps_clean_rows(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     q = quality_rules.quality_rules(d, into="measures").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("measures.n_words >= 20").selectExpr("quality AS label", "measures.kept AS kept")
