@@ -253,7 +253,8 @@ def normalize_email(x: Column | str) -> Column:
 
 
 def valid_email(x: Column | str) -> Column:
-    return (F.length(col(x)) <= 254) & col(x).rlike(r"^[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+$")
+    """At most 254 bytes, no blanks, one @ with something on both sides, and a dot behind it."""
+    return (F.octet_length(col(x)) <= 254) & col(x).rlike(r"^[^@ \t\r\n]+@[^@ \t\r\n]*\.[^@ \t\r\n]*\z")
 
 
 def token_hash(x: Column | str) -> Column:

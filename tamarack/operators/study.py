@@ -60,6 +60,20 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*")
 
 
+def session_days(sessions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each user's local days: answers that are not blank, right ones, time and number of submitted sessions.
+
+    Answers are brought to one row a session before they meet it, so that a session's time counts once; sessions without
+    answers count too.  ``sessions`` has session_id, user_id, submitted_at and duration_ms, ``answers`` session_id,
+    user_answer and is_correct.
+    """
+    given = F.coalesce(F.trim("user_answer"), F.lit("")) != ""
+    counts = answers.groupBy("session_id").agg(F.count_if(given).alias("answered"), F.count_if(given & F.col("is_correct")).alias("correct"))
+    s = sessions.where("submitted_at IS NOT NULL").join(counts, "session_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return s.groupBy("user_id", local_day("submitted_at").alias("day")).agg(total("answered"), total("correct"), total("duration_ms"), F.count("*").alias("sessions"))
+
+
 def having(rows: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """Rows that have a match, each once."""
     return rows.join(other.select(F.col(other_key).alias("_k")), F.col(key) == F.col("_k"), "left_semi")

@@ -544,4 +544,4 @@ def media_coverage(spark, sf_dir):
     return media.coverage(d, "stem", "shown")
 
 
-from tamarack.plans import practice_registry, store_registry, list_registry  # noqa: E402, F401  add their queries to those above
+from tamarack.plans import practice_registry, store_registry, list_registry, stream_registry, form_registry  # noqa: E402, F401  add their queries to those above

@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tamarack.operators import practice, study
 from tamarack.plans import registry
@@ -98,3 +99,10 @@ def test_image_size_behind_long_metadata(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + segment * 2 + frame)
     r = files.image_index(spark, str(tmp_path)).first()
     assert (r.bytes, r.width, r.height) == (2 + 2 * 65537 + len(frame), 640, 480)
+
+
+def test_session_days(spark):
+    s = spark.createDataFrame([(1, 7, "2024-01-01 15:59:59", 10), (2, 7, "2024-01-01 16:00:00", 20), (3, 7, "2024-01-01 17:00:00", None), (4, 7, None, 99)], "session_id long, user_id long, at string, duration_ms long")
+    a = spark.createDataFrame([(1, "A", True), (1, " ", True), (1, None, None), (1, "B", False), (2, "A", None), (4, "A", True)], "session_id long, user_answer string, is_correct boolean")
+    got = study.session_days(s.withColumn("submitted_at", F.col("at").cast("timestamp")), a).orderBy("day").collect()
+    assert [(str(r.day), r.answered, r.correct, r.duration_ms, r.sessions) for r in got] == [("2024-01-01", 2, 1, 10, 1), ("2024-01-02", 1, 0, 20, 2)]

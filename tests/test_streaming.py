@@ -21,3 +21,24 @@ def test_ingest_and_state(spark, tmp_path):
     q.awaitTermination()
     got = {(r.user_id, r.question_id): (r.wrong_count, r.resolved) for r in spark.table("wrongs").orderBy(F.col("user_id")).collect()}
     assert got == {(1, 5): (1, True), (2, 5): (1, False)}
+
+
+def test_kept_wrongbook(spark, tmp_path):
+    """Lots that come late and mixed, a lot without news, rows that count for nothing, and a batch that broke."""
+    folder, source = str(tmp_path / "book"), str(tmp_path / "in")
+    assert replay.read_wrongbook(spark, folder).count() == 0
+    schema = "user_id long, question_id string, at long, wrong boolean"
+    lots = [[(1, "a", 5, False), (1, "b", 1, True), (None, "a", 1, True), (1, None, 1, True)], [(1, "a", 2, True), (1, "b", 3, True), (2, "c", 1, None)], [(3, "d", 9, False)]]
+    for lot in lots:
+        spark.createDataFrame(lot, schema).write.mode("append").parquet(source)
+        replay.keep_wrongbook(spark.readStream.schema(schema).parquet(source), folder)
+    want = {(1, "a"): (1, 2, True), (1, "b"): (2, 3, False)}
+    found = lambda: {(r.user_id, r.question_id): (r.wrong_count, r.last_wrong, r.resolved) for r in replay.read_wrongbook(spark, folder).collect()}
+    assert found() == want
+    replay.keep_wrongbook(spark.readStream.schema(schema).parquet(source), folder)  # nothing new
+    assert found() == want
+    last = sorted((tmp_path / "book" / "checkpoint" / "commits").glob("[0-9]*"))[-1]
+    (last.parent / f".{last.name}.crc").unlink()
+    last.unlink()  # the last batch wrote its rows and broke before its end was noted: it runs again under its number
+    replay.keep_wrongbook(spark.readStream.schema(schema).parquet(source), folder)
+    assert found() == want
