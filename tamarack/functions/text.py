@@ -229,11 +229,40 @@ def mark_of(options: Column) -> Column:
     return F.array_join(F.transform(F.filter(options, lambda o: o["is_correct"]), lambda o: o["label"]), "")
 
 
+#: A number of an IPv4 address, without leading zeros.
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+QUAD = r"\.".join([OCTET] * 4)
+
+
+def ipv6_groups(x: Column) -> Column:
+    """The eight numbers of an IPv6 address in lower case, two colons filled up with zeros; null for anything else."""
+    octets = [F.regexp_extract(x, rf":{QUAD}\z", k).try_cast("int") for k in (1, 2, 3, 4)]
+    pair = lambda a, b: F.hex(a * 256 + b)
+    plain = F.when(octets[0].isNull(), x).otherwise(F.lower(F.concat(F.regexp_replace(x, r"[0-9.]+\z", ""), pair(*octets[:2]), F.lit(":"), pair(*octets[2:]))))
+
+    def groups(sides: Column) -> Column:
+        side = lambda k: F.when(F.coalesce(F.get(sides, k), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(sides, k), ":", -1))
+        missing = 8 - F.size(side(0)) - F.size(side(1))
+        filled = F.concat(side(0), F.array_repeat(F.lit("0"), F.when((F.size(sides) == 2) & (missing > 0), missing).otherwise(0)), side(1))
+        return F.when(F.size(sides) <= 2, once(filled, lambda g: F.when((F.size(g) == 8) & ((F.size(sides) == 1) | (missing > 0)) & F.forall(g, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))))
+
+    return once(F.split(plain, "::", -1), groups)
+
+
 def mask_ip(x: Column | str) -> Column:
-    """IPv4 without its last octet, IPv6 cut to /48; empty for anything else."""
-    four = r"^(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}$"
-    six = F.regexp_extract(F.lower(col(x)), r"^([0-9a-f]{1,4}:[0-9a-f]{1,4}:[0-9a-f]{1,4}):[0-9a-f:]*$", 1)
-    return F.when(col(x).rlike(four), F.concat(F.regexp_extract(col(x), four, 1), F.lit(".*"))).when(six != "", F.concat(six, F.lit("::/48"))).otherwise("")
+    """IPv4 without its last number, also where it is mapped into IPv6; IPv6 cut to its first 48 bits and written in
+    its shortest form, without a zone; empty for null and anything else."""
+
+    def short(g: Column) -> Column:
+        at = lambda k: F.get(g, k)
+        mapped = (F.greatest(*(at(k) for k in range(5))) == 0) & (at(5) == 0xFFFF)
+        four = F.concat(F.concat_ws(".", F.floor(at(6) / 256).cast("string"), (at(6) % 256).cast("string"), F.floor(at(7) / 256).cast("string")), F.lit(".*"))
+        head = F.regexp_replace(F.lower(F.concat_ws(":", *(F.hex(at(k)) for k in range(3)))), r"(?:(?:\A|:)0)+\z", "")
+        return F.when(g.isNull(), "").when(mapped, four).otherwise(F.concat(head, F.lit("::/48")))
+
+    low = F.coalesce(F.lower(col(x)), F.lit(""))
+    six = once(ipv6_groups(F.regexp_replace(low, r"(?s)(?<=.)%.+\z", "")), short)
+    return F.when(low.rlike(rf"\A{QUAD}\z"), F.regexp_replace(low, r"[0-9]+\z", "*")).when(low.contains(":"), six).otherwise("")
 
 
 def device_label(agent: Column | str) -> Column:

@@ -482,13 +482,19 @@ def tex_display(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.display_tex(raw).alias("shown"))
 
 
-PAPERS = (("2024年国家公务员考试（副省级）", "国考", "副省级"), ("2023年广东选调生", "选调", "选调"), ("2022年上海市考A类", "市考", "A类"), ("2021年公务员联考", "省考", ""), ("某单位招聘B类", "其他", "B类"))
+#: Names of papers are put together from these, so that several rules meet in one name.
+PAPER_KINDS = ("国家公务员", "选调生", "市考", "深圳市", "上海市", "公务员", "联考", "某单位招聘")
+PAPER_FORMS = ("", "（副省级）", "地市级", "行政执法类", "乡镇", "甲级", "乙级", "A类", "B类", "C类", "定向选调", "D类")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t, _) in enumerate(PAPERS)) + " END AS exam_type, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (_, _, v) in enumerate(PAPERS)) + " END AS variant FROM part")
+@query(f"""WITH n AS (SELECT p_partkey, '20' || p_size % 25 || '年' || {list(PAPER_KINDS)}[p_partkey % 8 + 1] || CASE WHEN p_size % 3 = 0 THEN {list(PAPER_KINDS)}[p_size % 8 + 1] ELSE '' END || {list(PAPER_FORMS)}[p_partkey % 12 + 1] || {list(PAPER_FORMS)}[p_size % 12 + 1] AS name, CASE WHEN p_size % 7 = 0 THEN '国考' ELSE '广东' END AS region FROM part)
+SELECT p_partkey, CASE WHEN region = '国考' OR contains(name, '国家公务员') THEN '国考' WHEN contains(name, '选调') THEN '选调' WHEN regexp_matches(name, '市考|深圳市|上海市') THEN '市考' WHEN regexp_matches(name, '公务员|联考') THEN '省考' ELSE '其他' END AS exam_type,
+coalesce(list_filter({list(T.VARIANTS)}, lambda v: contains(name, v))[1], '') AS variant FROM n""")
 def classify_rules(spark, sf_dir):
-    name = F.get(F.array(*(F.lit(n) for n, _, _ in PAPERS)), (F.col("p_partkey") % 5).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.classify_paper(name, F.lit("")).alias("c")).select("p_partkey", "c.*")
+    of = lambda words, k: F.get(F.array(*map(F.lit, words)), (F.col(k) % len(words)).cast("int"))
+    size = F.col("p_size")
+    name = F.concat(F.lit("20"), (size % 25).cast("string"), F.lit("年"), of(PAPER_KINDS, "p_partkey"), F.when(size % 3 == 0, of(PAPER_KINDS, "p_size")).otherwise(""), of(PAPER_FORMS, "p_partkey"), of(PAPER_FORMS, "p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.classify_paper(name, F.when(size % 7 == 0, "国考").otherwise("广东")).alias("c")).select("p_partkey", "c.*")
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&(lt|gt|quot|amp|nbsp|#39);', '', 'g') AS plain FROM pages")
@@ -496,7 +502,14 @@ def strip_tags_fallback(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.regexp_replace("html", "&(lt|gt|quot|amp|nbsp|#39);", "")).alias("plain"))
 
 
-@query()
+_BLANK = r"[\s\x{0b}\x{85}\p{Z}]+"
+
+
+@query(rf"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '(<script>[^<]*)<(/p>[^<]*</script>)', '\1' || chr(1) || '\2', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(?:p|div|li|tr|br)(?:\s[^>]*)?>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS h FROM c),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), chr(1), '<') AS h FROM b),
+l AS (SELECT page_id, array_to_string(list_transform(string_split(h, chr(10)), lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')), chr(10)) AS h FROM u)
+SELECT page_id, trim(regexp_replace(h, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM l""")
 def html_to_text(spark, sf_dir):
     from tamarack.sources.notes import html_text
 
@@ -511,11 +524,32 @@ def csv_safe_export(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.safe_csv_cell(cell).alias("cell"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '10.0.' || user_id % 256 || '.*' WHEN user_id % 3 = 1 THEN '2001:db8:1::/48' ELSE '' END AS ip, CASE event_type WHEN 'view' THEN 'Edge / Windows' WHEN 'click' THEN 'Chrome / Android' WHEN 'error' THEN 'Safari / iOS' ELSE '其他浏览器 / 未知系统' END AS device FROM events")
+#: Browsers and systems whose names agents are put together from.
+AGENTS = ("Chrome/1 Safari/1 Edg/1", "Firefox/1", "CriOS/1 Safari/1", "Version/1 Safari/1", "curl/8")
+SYSTEMS = ("Windows NT 10.0", "Linux; Android 14", "iPhone; CPU like Mac OS X", "Macintosh; Intel Mac OS X 14", "X11; Linux x86_64", "other")
+
+
+@query(rf"""WITH a AS (SELECT event_id, CASE WHEN user_id % 7 < 3 THEN CASE user_id % 7 WHEN 1 THEN '::FFFF:' ELSE '' END || event_id % 300 || '.' || user_id % 256 || '.' || user_id // 256 % 256 || '.' || event_id % 100 WHEN user_id % 7 = 3 THEN '2001:DB8:' || user_id % 1000 || '::' || event_id % 10
+ WHEN user_id % 7 = 4 THEN '2001:db8:' || user_id % 3 || ':1:2:' || event_id % 10 || ':4:5' WHEN user_id % 7 = 5 THEN 'fe80::' || event_id % 10 || '%eth0' ELSE '00' || user_id % 10 || ':' || event_id % 2 || ':' || event_id % 3 || ':7::9' || CASE WHEN event_id % 10 = 0 THEN '::1' ELSE '' END END AS ip,
+'Mozilla/5.0 (' || {list(SYSTEMS)}[event_id % {len(SYSTEMS)} + 1] || ') ' || {list(AGENTS)}[event_id % {len(AGENTS)} + 1] AS agent FROM events),
+p AS (SELECT *, string_split(regexp_replace(lower(ip), '^::ffff:', ''), '.') AS v4, string_split(lower(regexp_replace(ip, '%.*$', '')), '::') AS s FROM a),
+g AS (SELECT *, list_filter(string_split(s[1], ':'), lambda x: x != '') AS l, list_filter(string_split(coalesce(s[2], ''), ':'), lambda x: x != '') AS r FROM p),
+f AS (SELECT *, list_transform(list_concat(l, CASE WHEN len(s) = 2 THEN list_transform(range(8 - len(l) - len(r)), lambda x: '0') ELSE [] END, r)[1:3], lambda x: format('{{:x}}', CAST('0x' || x AS INT))) AS h FROM g WHERE len(v4) = 1 AND len(s) <= 2),
+m AS (SELECT event_id, regexp_replace(array_to_string(h, ':'), '((^|:)0)+$', '') || '::/48' AS ip FROM f UNION ALL SELECT event_id, CASE WHEN CAST(v4[1] AS INT) < 256 THEN v4[1] || '.' || v4[2] || '.' || v4[3] || '.*' ELSE '' END FROM p WHERE len(v4) = 4 UNION ALL SELECT event_id, '' FROM p WHERE len(s) > 2)
+SELECT event_id, m.ip, CASE WHEN contains(agent, 'Edg/') THEN 'Edge' WHEN contains(agent, 'Firefox/') THEN 'Firefox' WHEN contains(agent, 'CriOS/') THEN 'Chrome' WHEN contains(agent, 'Safari/') THEN 'Safari' ELSE '其他浏览器' END || ' / ' ||
+CASE WHEN contains(agent, 'Android') THEN 'Android' WHEN contains(agent, 'iPhone') THEN 'iOS' WHEN contains(agent, 'Windows') THEN 'Windows' WHEN contains(agent, 'Mac OS X') THEN 'macOS' WHEN contains(agent, 'Linux') THEN 'Linux' ELSE '未知系统' END AS device FROM p JOIN m USING (event_id)""")
 def session_labels(spark, sf_dir):
-    u = F.col("user_id")
-    ip = F.when(u % 3 == 0, F.concat(F.lit("10.0."), (u % 256).cast("string"), F.lit(".7"))).when(u % 3 == 1, "2001:db8:1:2::3").otherwise("nothing")
-    agent = F.when(F.col("event_type") == "view", "Mozilla/5.0 (Windows NT 10.0) Chrome/1 Safari/1 Edg/1").when(F.col("event_type") == "click", "Mozilla/5.0 (Linux; Android 14) Chrome/1 Safari/1").when(F.col("event_type") == "error", "Mozilla/5.0 (iPhone; CPU like Mac OS X) Safari/1").otherwise("curl")
+    """Addresses of six forms put together from numbers, some of them faulty, and agents of all pairs of a system and a browser."""
+    e, u = F.col("event_id"), F.col("user_id")
+    parts = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    four = parts(e % 300, ".", u % 256, ".", F.floor(u / 256) % 256, ".", e % 100)
+    more = F.when(e % 10 == 0, "::1").otherwise("")
+    ip = (
+        F.when(u % 7 == 1, parts("::FFFF:", four)).when(u % 7 < 3, four).when(u % 7 == 3, parts("2001:DB8:", u % 1000, "::", e % 10))
+        .when(u % 7 == 4, parts("2001:db8:", u % 3, ":1:2:", e % 10, ":4:5")).when(u % 7 == 5, parts("fe80::", e % 10, "%eth0")).otherwise(parts("00", u % 10, ":", e % 2, ":", e % 3, ":7::9", more))
+    )
+    of = lambda words: F.get(F.array(*map(F.lit, words)), (e % len(words)).cast("int"))
+    agent = F.concat(F.lit("Mozilla/5.0 ("), of(SYSTEMS), F.lit(") "), of(AGENTS))
     return table(spark, sf_dir, "events").select("event_id", T.mask_ip(ip).alias("ip"), T.controlled_device(T.device_label(agent)).alias("device"))
 
 

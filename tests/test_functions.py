@@ -1,5 +1,7 @@
 """Scalar cases, goldens with a fixed clock, and the sources."""
 
+import ipaddress
+import random
 import struct
 import zlib
 from datetime import date, datetime
@@ -165,3 +167,29 @@ def test_input_hash_sees_changes(spark):
     c = spark.createDataFrame([(1, "x"), (2, "z")], "k int, v string")
     h = [labels.input_hash(d, "k", ["v"]).first()[0] for d in (a, b, c)]
     assert h[0] == h[1] != h[2]
+
+
+def masked(x):
+    """What ``mask_ip`` is to give, by the standard library."""
+    try:
+        ip = ipaddress.ip_address(x.split("%")[0] if ":" in x and not x.endswith("%") else x)
+    except ValueError:
+        return ""
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return str(ip).rpartition(".")[0] + ".*" if ip.version == 4 else str(ipaddress.ip_network(f"{ip}/48", strict=False))
+
+
+def test_mask_ip_against_the_standard_library(spark):
+    rng = random.Random(5)
+    addresses = [None, "", ":", "::", ":::", "::1", "1::", "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "0:5:1::2", "12345::", "g::", "::ffff:1.2.3.4", "::FFFF:102:304", "1:2::1.2.3.4", "::1.2.3.400", "1.2.3.4", "01.2.3.4", "1.2.3", "1.2.3.4.5", "256.1.1.1", "1.2.3.4\n", "fe80::1%eth0", "fe80::1%", "1.2.3.4%eth0", " ::1"]
+    for _ in range(400):
+        groups = [rng.choice(("0", "0", "00f", "10", f"{rng.randrange(65536):X}")) for _ in range(rng.choice((8, 8, 7, 6, 4, 2)))]
+        at = rng.randrange(len(groups) + 1)
+        addresses.append(":".join(groups) if rng.random() < 0.3 else ":".join(groups[:at]) + "::" + ":".join(groups[at:]))
+        addresses.append(".".join(str(rng.choice((0, 7, 99, 255, 256, rng.randrange(300)))) for _ in range(4)))
+    assert column(spark, T.mask_ip, addresses) == [masked(x or "") for x in addresses]
+
+
+def test_mail_addresses(spark):
+    mails = ["a@b.c", "a@.", "a@b", "@b.c", "a@@b.c", "a@b.c@d.e", "a b@c.d", "a@b.c\n", "", "<a>@b.c", "é" * 126 + "@b", "é" * 125 + "@b.c", "é" * 126 + "@b.c"]
+    assert column(spark, T.valid_email, mails) == [True, True, False, False, False, False, False, False, False, True, False, True, False]
