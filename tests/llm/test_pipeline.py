@@ -1,6 +1,9 @@
 """The pipeline's stages one after the other, and run() with the same rows."""
 
+import random
+
 import corpus_pipeline
+from test_operators import brute_components
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -58,3 +61,22 @@ def test_stages_on_odd_and_empty_tables(spark):
                 assert out.columns == docs.columns
             if k < 3:
                 assert len(found) <= n
+
+
+def test_near_copies_of_the_stage(spark, sf_dir):
+    """Of documents and of copies edited at several rates, one of each group of the brute force stays, and nothing else goes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(11)
+    rows = docs.collect()
+    known = [r for r in rows if len((r["text"] or "").split()) >= 60]
+    copies = []
+    for k, r in enumerate(known[:60]):
+        words = r["text"].split()
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * (0.004, 0.01, 0.02, 0.05)[k % 4]))):
+            words[at] = f"edit{k}x{at}"
+        copies.append((10**7 + k, " ".join(words), r["lang"], r["source"], r["n_chars"]))
+    both = docs.union(spark.createDataFrame(copies, docs.schema))
+    want = {i for i, (_, c) in brute_components([(r["doc_id"], r["text"]) for r in both.collect()], 5, 80).items() if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, both, sf_dir).select("doc_id").collect()} == want
+    left = sum(i >= 10**7 for i in want)
+    assert 0 < left < len(copies) / 2  # copies edited so much that they are not near any more
