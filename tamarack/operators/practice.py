@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tamarack.functions.answers import WEEK_MS, answered_in_draft, grade, json_long
 from tamarack.operators.study import mastery, wrongbook
 
-MOST_QUESTIONS, MOST_PAPERS = 200, 3000
+MOST_QUESTIONS, MOST_PAPERS, MOST_SOURCES, CONCEPT_SAMPLES = 200, 3000, 100, 5
 GRADED_KINDS = ("single", "multi", "judge")
 
 
@@ -185,6 +185,64 @@ def engine_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.count("*").alias("questions"), is_("ok"), is_("failed"), is_("skipped"), *sums, F.array_sort(F.collect_set("bucket")).alias("buckets"))
 
 
+PAPER_TEXTS, PAPER_NUMBERS = ("exam_type", "region", "module", "paper_variant"), ("year", "question_count")
+
+
+def _shown_papers(papers: DataFrame) -> DataFrame:
+    """A paper's columns as a list shows them: what is not known is empty or 0."""
+    texts = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in PAPER_TEXTS)
+    numbers = (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in PAPER_NUMBERS)
+    return papers.select("id", "name", *texts, *numbers)
+
+
+def paper_list(papers: DataFrame, limit: int = MOST_PAPERS, year: int = 0, **equal: str) -> DataFrame:
+    """Papers by the given columns' values (an empty one and year 0 ask for nothing), the newest years first, then by id.
+
+    The list ends after ``limit`` papers, as the feature asks; Spark keeps that many of each partition, no more.
+    """
+    if unknown := equal.keys() - set(PAPER_TEXTS):
+        raise ValueError(f"no such filter: {sorted(unknown)}")
+    for c, v in equal.items():
+        papers = papers.where(F.col(c) == v) if v else papers
+    papers = papers.where(F.col("year") == year) if year > 0 else papers
+    return _shown_papers(papers).orderBy(F.desc("year"), "id").limit(limit)
+
+
+def question_sources(occurrences: DataFrame, papers: DataFrame, limit: int = MOST_SOURCES) -> DataFrame:
+    """For each question (question_id, paper_id) the papers that it occurs in, each once, ``rank`` 1 the newest; at most
+    ``limit`` of them.  Only ids and years are ranked; what a paper shows meets the ranked ones afterwards."""
+    years = papers.select(F.col("id").alias("paper_id"), F.coalesce(F.col("year").cast("long"), F.lit(0)).alias("_y"))
+    pairs = occurrences.select("question_id", "paper_id").distinct().join(years, "paper_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("_y"), "paper_id"))).where(F.col("rank") <= limit)
+    return ranked.drop("_y").join(_shown_papers(papers).withColumnRenamed("id", "paper_id"), "paper_id")
+
+
+def concept_list(concepts: DataFrame, stats: DataFrame, user: int, module: str = "", secondary: str = "") -> DataFrame:
+    """Concepts that have questions, with what a user has answered of them; zeros where there is nothing."""
+    c = concepts.where("question_count > 0")
+    c = c.where(F.col("module") == module) if module else c
+    c = c.where(F.col("secondary") == secondary) if secondary else c
+    mine = stats.where(F.col("user_id") == user).select(F.col("concept_id").alias("id"), "answered", "correct", "mastery")
+    return c.join(mine, "id", "left").fillna(0, ["answered", "correct", "mastery"]).orderBy("module", "secondary", "name")
+
+
+def concept_cards(concepts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each concept's card from the newest label of its name: texts empty and lists without items where there is none or
+    where what is stored is no list; and its first ``CONCEPT_SAMPLES`` questions by id among the questions' newest labels.
+
+    ``labels`` has id, question_id, subject, tertiary, template, boundary and key_features (JSON).
+    """
+    keys = ["subject", "tertiary"]
+    newest = labels.groupBy("question_id").agg(F.max_by(F.struct("id", "subject", "tertiary", "template", "boundary", "key_features"), "id").alias("l")).select("question_id", "l.*")
+    cards = newest.groupBy(*keys).agg(F.max_by(F.struct("template", "boundary", "key_features"), "id").alias("card"))
+    few = newest.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("question_id"))).where(F.col("_n") <= CONCEPT_SAMPLES)
+    samples = few.groupBy(*keys).agg(F.array_sort(F.collect_list("question_id")).alias("samples"))
+    text = lambda c: F.coalesce(F.col(f"card.{c}"), F.lit("")).alias(c)
+    features = F.coalesce(F.from_json("card.key_features", "array<string>"), F.array().cast("array<string>")).alias("key_features")
+    c = concepts.withColumns({"subject": F.col("module"), "tertiary": F.col("name")}).join(cards, keys, "left").join(samples, keys, "left")
+    return c.select(*concepts.columns, text("template"), text("boundary"), features, F.coalesce("samples", F.array().cast("array<bigint>")).alias("samples"))
+
+
 def related_concepts(cards: DataFrame, concepts: DataFrame) -> DataFrame:
     """Concepts that a card's list of confusable ones names, in its module; 0 where none has the name."""
     items = F.coalesce(F.from_json("confusable", "array<struct<`考点`: string, `区分信号`: string>>"), F.array())

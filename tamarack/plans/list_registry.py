@@ -168,3 +168,58 @@ def csv_cells_of_texts(spark, sf_dir):
     front = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, " ").otherwise("　\t")
     cell = F.concat(front, F.chr(33 + F.col("doc_id") % 60), "text")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.safe_csv_cell(cell)).alias("cell_md5"))
+
+
+_PAPERS_SQL = """p AS (SELECT o_orderkey AS id, 'paper ' || o_orderkey AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS exam_type, o_orderstatus AS region, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'm' || o_custkey % 4 END AS module, CAST(NULL AS VARCHAR) AS paper_variant, CASE WHEN o_orderkey % 7 != 0 THEN year(o_orderdate) END AS year, CASE WHEN o_orderkey % 5 != 0 THEN o_custkey % 100 END AS question_count FROM orders),
+v AS (SELECT id, name, coalesce(exam_type, '') AS exam_type, coalesce(region, '') AS region, coalesce(module, '') AS module, coalesce(paper_variant, '') AS paper_variant, CAST(coalesce(year, 0) AS BIGINT) AS year, CAST(coalesce(question_count, 0) AS BIGINT) AS question_count FROM p)"""
+
+
+def _papers(spark, sf_dir) -> DataFrame:
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(F.lit("paper "), k.cast("string")).alias("name"), F.when(k % 9 != 0, F.col("o_orderpriority")).alias("exam_type"), F.col("o_orderstatus").alias("region"),
+        F.when(u % 4 == 0, "").otherwise(F.concat(F.lit("m"), (u % 4).cast("string"))).alias("module"), F.lit(None).cast("string").alias("paper_variant"), F.when(k % 7 != 0, F.year("o_orderdate")).alias("year"), F.when(k % 5 != 0, u % 100).alias("question_count"),
+    )
+
+
+@query(f"WITH {_PAPERS_SQL} SELECT * FROM v WHERE module = 'm2' AND region = 'F' ORDER BY year DESC, id LIMIT 3000")
+def paper_list(spark, sf_dir):
+    return practice.paper_list(_papers(spark, sf_dir), module="m2", region="F", exam_type="")
+
+
+@query(f"""WITH {_PAPERS_SQL}, o AS (SELECT DISTINCT l_partkey AS question_id, l_orderkey AS paper_id FROM lineitem),
+r AS (SELECT question_id, paper_id, row_number() OVER (PARTITION BY question_id ORDER BY year DESC, id) AS rank, v.* EXCLUDE (id) FROM o JOIN v ON id = paper_id) SELECT * FROM r WHERE rank <= 100""")
+def question_sources(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("question_id"), F.col("l_orderkey").alias("paper_id"))
+    return practice.question_sources(o, _papers(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+_CONCEPTS_SQL = """l AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS question_id, 's' || l_suppkey % 5 AS subject, 't' || l_partkey % 40 AS tertiary, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'template ' || l_linenumber END AS template, l_returnflag AS boundary, CASE l_linenumber % 3 WHEN 0 THEN '["a","b' || l_linenumber || '"]' WHEN 1 THEN 'none' END AS key_features FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
+n AS (SELECT question_id, max(id) AS id FROM l GROUP BY 1), m AS (SELECT l.* FROM l JOIN n USING (question_id, id)),
+c AS (SELECT s * 50 + t AS id, 's' || s AS module, 't' || t AS name, 'x' || t % 3 AS secondary, (s + t) % 6 AS question_count FROM range(6) a(s), range(45) b(t))"""
+
+
+def _concepts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labels of whole orders by their lines, and a closed vocabulary, some names of which have no label."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    word = lambda a, x: F.concat(F.lit(a), x.cast("string"))
+    features = F.when(n % 3 == 0, F.concat(F.lit('["a","b'), n.cast("string"), F.lit('"]'))).when(n % 3 == 1, "none")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag")))  # its numbers repeat
+    labels = lines.select((k * 8 + n).alias("id"), k.alias("question_id"), word("s", F.col("l_suppkey") % 5).alias("subject"), word("t", F.col("l_partkey") % 40).alias("tertiary"), F.when(F.col("l_partkey") % 3 != 0, word("template ", n)).alias("template"), F.col("l_returnflag").alias("boundary"), features.alias("key_features"))
+    s, t = F.expr("id div 50"), F.col("id") % 50
+    return spark.range(300).where(t < 45).select("id", word("s", s).alias("module"), word("t", t).alias("name"), word("x", t % 3).alias("secondary"), ((s + t) % 6).alias("question_count")), labels
+
+
+@query(f"""WITH {_CONCEPTS_SQL}, k AS (SELECT subject, tertiary, arg_max({{'template': template, 'boundary': boundary, 'features': key_features}}, id) AS card, list_sort(list(question_id))[1:5] AS samples FROM m GROUP BY 1, 2)
+SELECT c.*, coalesce(card.template, '') AS template, coalesce(card.boundary, '') AS boundary, CASE WHEN card.features LIKE '[%' THEN replace(replace(replace(card.features, '[', ''), ']', ''), '"', '') ELSE '' END AS key_features, coalesce(array_to_string(samples, ','), '') AS samples FROM c LEFT JOIN k ON subject = module AND tertiary = name""")
+def concept_cards(spark, sf_dir):
+    cards = practice.concept_cards(*_concepts(spark, sf_dir))
+    return cards.withColumns({"key_features": F.array_join("key_features", ","), "samples": F.array_join(F.col("samples").cast("array<string>"), ",")})
+
+
+@query(f"""WITH {_CONCEPTS_SQL}, u AS (SELECT user_id, event_id % 300 AS concept_id, count(*) AS answered, count(*) FILTER ({SQL_K} >= 50) AS correct FROM events GROUP BY 1, 2), w AS (SELECT min(user_id) AS first FROM events)
+SELECT c.*, coalesce(answered, 0) AS answered, coalesce(correct, 0) AS correct, coalesce(round(correct / answered, 9), 0) AS mastery FROM c LEFT JOIN u ON concept_id = id AND user_id = (SELECT first FROM w) WHERE question_count > 0 AND module = 's3'""")
+def concept_list(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("concept_id", F.col("event_id") % 300)
+    stats = study.mastery(e, ["user_id", "concept_id"], score() >= 50).withColumn("mastery", F.round("mastery", 9))
+    return practice.concept_list(_concepts(spark, sf_dir)[0], stats, e.agg(F.min("user_id")).first()[0], module="s3")

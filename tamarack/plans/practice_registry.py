@@ -185,13 +185,18 @@ def question_warnings(spark, sf_dir):
     return e.select("event_id", A.answer_type("answer", F.col("options")).alias("answer_type"), F.array_join(A.question_warnings("answer", F.col("options"), F.lit(False)), ",").alias("warnings"))
 
 
-@query(f"""WITH e AS (SELECT event_id, CASE {SQL_K} % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'BC' WHEN 2 THEN '正确' ELSE 'h' END AS official, CASE {SQL_K} % 3 WHEN 0 THEN '选 c、B' WHEN 1 THEN ' A ' ELSE '正确' END AS said FROM events)
-SELECT event_id, CASE WHEN trim(said) = official THEN true WHEN official = 'BC' THEN said = '选 c、B' WHEN official = 'A' THEN said = ' A ' WHEN official = 'h' THEN false ELSE false END AS matches FROM e""")
+_LETTERS = "list_sort(list_filter(string_split(regexp_replace(upper({0}), '[^A-H]', '', 'g'), ''), lambda x: x != ''))"
+
+
+@query(f"""WITH e AS (SELECT doc_id, translate(substr(md5(CAST(doc_id AS VARCHAR)), 1, CAST(doc_id % 4 AS INT)), '0123456789', 'ABCDEFGH正x') AS official, text FROM documents),
+s AS (SELECT doc_id, official, CASE doc_id % 3 WHEN 0 THEN '选 ' || reverse(lower(official)) || '。' WHEN 1 THEN ' ' || official || chr(12288) ELSE substr(text, 1, CAST(doc_id % 20 AS INT)) END AS said FROM e), l AS (SELECT *, {_LETTERS.format('said')} AS c, {_LETTERS.format('official')} AS a FROM s)
+SELECT doc_id, regexp_replace(said, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') = official OR CASE WHEN len(a) > 1 THEN c = a WHEN len(a) = 1 THEN list_contains(c, a[1]) ELSE false END AS matches FROM l""")
 def conclusion_matches(spark, sf_dir):
-    k = score()
-    official = F.when(k % 4 == 0, "A").when(k % 4 == 1, "BC").when(k % 4 == 2, "正确").otherwise("h")
-    said = F.when(k % 3 == 0, "选 c、B").when(k % 3 == 1, " A ").otherwise("正确")
-    return table(spark, sf_dir, "events").select("event_id", A.answer_matches(said, official).alias("matches"))
+    """Official answers of up to three signs from a hash; conclusions turned round in a sentence, with blanks, or words of a text."""
+    k = F.col("doc_id")
+    official = F.translate(F.substr(F.md5(k.cast("string")), F.lit(1), (k % 4).cast("int")), "0123456789", "ABCDEFGH正x")
+    said = F.when(k % 3 == 0, F.concat(F.lit("选 "), F.reverse(F.lower(official)), F.lit("。"))).when(k % 3 == 1, F.concat(F.lit(" "), official, F.lit("　"))).otherwise(F.substr("text", F.lit(1), (k % 20).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", A.answer_matches(said, official).alias("matches"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string([regexp_replace(x, '^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+$', '', 'g') FOR x IN string_split(text, chr(10))], chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text, sha256(text) AS token FROM documents""")
@@ -207,15 +212,15 @@ def heading_and_image(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.image_reference(src).alias("ref"), sub["qid"].alias("qid"), sub["tag"].alias("tag"))
 
 
-@query(f"""WITH e AS (SELECT event_id, {SQL_K} AS k FROM events)
-SELECT event_id, CASE k % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'retryable' WHEN 3 THEN 'fatal' ELSE 'retryable' END AS class, CAST(CASE WHEN k % 5 = 1 THEN least(20 * (k % 6), 60) ELSE least(2 ** (k % 6), 30) END AS DOUBLE) AS wait,
-CASE WHEN k % 3 = 0 THEN NULL ELSE (k * 0.5::DOUBLE + 2 * k * 1.5::DOUBLE) / 1000.0::DOUBLE END AS cost FROM e""")
+@query(f"""WITH e AS (SELECT event_id, {SQL_K} AS k, 200 + event_id * 7 % 400 AS status, event_id % 9 AS n, CASE WHEN event_id % 6 = 0 THEN event_id % 90 END AS asked FROM events),
+c AS (SELECT *, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (408, 409) OR status >= 500 THEN 'retryable' WHEN status >= 400 THEN 'fatal' ELSE 'ok' END AS class FROM e)
+SELECT event_id, class, CAST(coalesce(asked, CASE WHEN class = 'rate_limited' THEN least(20 * n, 60) ELSE least(2 ** n, 30) END) AS DOUBLE) AS wait, CASE WHEN k % 3 != 0 THEN (k * 0.5::DOUBLE + 2 * k * 1.5::DOUBLE) / 1000.0::DOUBLE END AS cost FROM c""")
 def call_policy(spark, sf_dir):
-    k = score()
-    status = F.when(k % 5 == 0, 200).when(k % 5 == 1, 429).when(k % 5 == 2, 408).when(k % 5 == 3, 404).otherwise(503)
-    e = table(spark, sf_dir, "events").select("event_id", k.alias("k"), A.retry_class(status).alias("class"))
-    price = F.when(F.col("k") % 3 != 0, F.lit(0.5))
-    return e.select("event_id", "class", A.backoff_seconds("class", F.col("k") % 6).alias("wait"), A.cost_usd("k", F.col("k") * 2, price, F.lit(1.5)).alias("cost"))
+    """States over their whole range, attempts from 0 to 8, and for some calls a wait that the server asks for."""
+    e, k = F.col("event_id"), F.col("k")
+    calls = table(spark, sf_dir, "events").select("event_id", score().alias("k"), A.retry_class(200 + e * 7 % 400).alias("class"))
+    wait = A.backoff_seconds("class", e % 9, F.when(e % 6 == 0, e % 90))
+    return calls.select("event_id", "class", wait.alias("wait"), A.cost_usd("k", k * 2, F.when(k % 3 != 0, F.lit(0.5)), F.lit(1.5)).alias("cost"))
 
 
 @query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
-from tamarack.operators import corpus, study
+from tamarack.operators import corpus, practice, study
 from tamarack.sources import files, notes
 
 
@@ -65,3 +65,27 @@ def test_vocabulary_file(spark, tmp_path):
     path.write_text("version: v1\n")
     with pytest.raises(ValueError):
         files.read_taxonomy(spark, str(path))
+
+
+def test_papers_and_sources(spark):
+    schema = "id long, name string, exam_type string, region string, module string, paper_variant string, year int, question_count int"
+    p = spark.createDataFrame([(1, "a", None, "x", "m", None, None, None), (2, "b", "t", "x", "", "v", 2023, 5), (3, "c", "t", "y", "m", "v", 2024, 7), (4, "d", "t", "x", "m", "", 2024, 0)], schema)
+    shown = lambda d: [r.id for r in d.collect()]
+    assert shown(practice.paper_list(p)) == [3, 4, 2, 1] and shown(practice.paper_list(p, limit=2)) == [3, 4]
+    assert shown(practice.paper_list(p, year=2024, region="x")) == [4] and shown(practice.paper_list(p, module="", exam_type="t")) == [3, 4, 2]
+    assert practice.paper_list(p, module="m", region="x").collect()[-1][:] == (1, "a", "", "x", "m", "", 0, 0)
+    with pytest.raises(ValueError):
+        practice.paper_list(p, color="red")
+    o = spark.createDataFrame([(9, 1), (9, 2), (9, 2), (9, 4), (9, 77), (8, 1)], "question_id long, paper_id long")
+    assert {(r.question_id, r["rank"], r.paper_id) for r in practice.question_sources(o, p, limit=2).collect()} == {(9, 1, 4), (9, 2, 2), (8, 1, 1)}
+
+
+def test_concept_cards_and_list(spark):
+    c = spark.createDataFrame([(1, "s", "t", "x", 3), (2, "s", "u", "x", 0), (3, "r", "t", "y", 1)], "id long, module string, name string, secondary string, question_count long")
+    rows = [(k, k, "s", "t", "old", "b", '["f"]') for k in range(1, 8)] + [(20, 3, "s", "t", "new", None, "not a list"), (21, 4, "s", "gone", "z", "z", None)]
+    labels = spark.createDataFrame(rows, "id long, question_id long, subject string, tertiary string, template string, boundary string, key_features string")
+    got = {r.id: (r.template, r.boundary, r.key_features, r.samples) for r in practice.concept_cards(c, labels).collect()}
+    assert got == {1: ("new", "", [], [1, 2, 3, 5, 6]), 2: ("", "", [], []), 3: ("", "", [], [])}
+    stats = spark.createDataFrame([(5, 1, 4, 1, 0.25), (6, 3, 2, 2, 1.0)], "user_id long, concept_id long, answered long, correct long, mastery double")
+    assert [(r.id, r.answered, r.mastery) for r in practice.concept_list(c, stats, 5).collect()] == [(3, 0, 0.0), (1, 4, 0.25)]
+    assert [r.id for r in practice.concept_list(c, stats, 5, secondary="x").collect()] == [1]
