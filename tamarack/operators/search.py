@@ -21,6 +21,8 @@ from tamarack.operators.tables import file_system, names_below
 
 SHORTEST_GRAM = 3
 BLOCK, TEXT_FOLDERS, GRAM_FOLDERS = 4096, 64, 64
+#: How the name of a segment ends that replaces all before it.
+WHOLE = "-whole"
 
 
 def contains_term(rows: DataFrame, text: str, term: str) -> DataFrame:
@@ -59,7 +61,9 @@ class SearchIndex:
         self.spark, self.folder = spark, folder
 
     def segments(self) -> list[str]:
-        return names_below(self.spark, f"{self.folder}/marks")
+        """Segments that count, oldest first: the newest one of ``compact`` and those after it, else all."""
+        names = names_below(self.spark, f"{self.folder}/marks")
+        return names[max((i for i, n in enumerate(names) if n.endswith(WHOLE)), default=0) :]
 
     def _read(self, kind: str) -> DataFrame:
         """All segments of a kind, each row with its segment's number."""
@@ -110,6 +114,22 @@ class SearchIndex:
         gone = held.join(now.select("key"), "key", "left_anti").select("key", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("hash"))
         return self._write(fresh.union(gone))
 
+    def compact(self) -> int:
+        """One segment with the newest texts in place of all, without keys that are gone; gives its number of texts.
+
+        The old segments do not count any more, but stay until the next call, so that searches that have begun can end;
+        a call that breaks leaves the index as it was.  Nothing is done if there is but one segment or no text left.
+        """
+        counted = self.segments()
+        for old in names_below(self.spark, f"{self.folder}/marks"):
+            if old not in counted:
+                for path in (f"texts/segment={old}", f"grams/segment={old}", f"marks/{old}"):  # the mark last: a broken call is taken up again
+                    fs, p = file_system(self.spark, f"{self.folder}/{path}")
+                    fs.delete(p, True)
+        if len(counted) < 2:
+            return 0
+        return self._write(self._newest(self._texts()).withColumn("hash", F.sha2("text", 256)), WHOLE)
+
     def _newest(self, texts: DataFrame) -> DataFrame:
         number = F.regexp_extract("segment", r"^(\d+)", 1).cast("int")
         return texts.groupBy("key").agg(F.max_by("text", number).alias("text")).where("text IS NOT NULL")

@@ -49,6 +49,21 @@ def search_index_updates(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), state.alias("state"), *(F.lit(n).cast("long").alias(c) for n, c in zip(written, ("first", "second", "third"))))
 
 
+@query("""SELECT doc_id, CAST(3 AS BIGINT) AS before, CAST(1 AS BIGINT) AS after, (SELECT count(*) FROM documents WHERE doc_id % 3 != 0) AS texts, CAST(0 AS BIGINT) AS again FROM documents WHERE doc_id % 3 != 0 AND contains(lower(text), CASE WHEN doc_id % 4 = 1 THEN 'the' ELSE 'tion' END)
+UNION ALL SELECT doc_id, 3, 1, (SELECT count(*) FROM documents WHERE doc_id % 3 != 0), 0 FROM documents WHERE doc_id % 3 != 0 AND doc_id % 4 = 1 AND contains(lower(text || ' Zusatz'), 'zusatz')""")
+def search_index_compacted(spark, sf_dir):
+    """Three segments, the last of which takes texts away, brought into one: what it holds, and what is found in it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    longer = d.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" Zusatz"))).otherwise(F.col("text")))
+    index = SearchIndex(spark, _folder(spark, "search"))
+    for rows in (d, longer, longer.where("doc_id % 3 != 0")):
+        index.update(rows, "doc_id", "text")
+    before, texts = len(index.segments()), index.compact()
+    after, again = len(index.segments()), index.compact()
+    found = index.search("THE").where("key % 4 = 1").union(index.search("tion").where("key % 4 != 1")).union(index.search("Zusatz"))
+    return found.select(F.col("key").alias("doc_id"), *(F.lit(n).cast("long").alias(c) for n, c in ((before, "before"), (after, "after"), (texts, "texts"), (again, "again"))))
+
+
 LIMIT, WINDOW_S, CAP = 2, 3 * 86400, 20
 
 

@@ -218,3 +218,21 @@ def test_export_of_one_file(spark, tmp_path):
         with pytest.raises(Exception):  # noqa: B017
             bad()
     assert sorted(x for x in os.listdir(tmp_path) if not x.startswith(".")) == ["out.csv"]
+
+
+def test_search_index_compaction(spark, tmp_path):
+    """Old segments stay for searches that have begun, then go; a broken compaction changes nothing."""
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    assert index.compact() == 0
+    lots = [[(1, "one apple"), (2, "two pears"), (3, "apples")], [(1, "one plum"), (2, "two pears"), (3, "apples")], [(1, "one plum"), (3, "apples"), (4, "")]]
+    for lot in lots:
+        index.update(spark.createDataFrame(lot, "id long, text string"), "id", "text")
+    keys = lambda found: sorted(r.key for r in found.collect())
+    begun = index.search("apple")
+    assert len(index.segments()) == 3 and keys(index.search("plum")) == [1]
+    (tmp_path / "index" / "texts" / "segment=000000004-broken-whole").mkdir()  # no mark: not seen
+    assert index.compact() == 3 and len(index.segments()) == 1
+    assert keys(begun) == keys(index.search("apple")) == [3] and keys(index.search("plum")) == [1] and keys(index.search("pears")) == [] and keys(index.search("")) == [1, 3, 4]
+    assert index.compact() == 0 and len(list((tmp_path / "index" / "marks").glob("0*"))) == 1
+    assert index.update(spark.createDataFrame([(1, "one plum"), (5, "an apple")], "id long, text string"), "id", "text") == 3
+    assert keys(index.search("apple")) == [5] and keys(index.search("plum")) == [1] and len(index.segments()) == 2
