@@ -93,4 +93,4 @@ def exported_file(spark, sf_dir):
     path = _folder(spark, "export") + ".csv"
     n = files.export_file(o.select("day", "n", note.alias("note")), ["day"], path, {"day": "日期"})
     marks = spark.read.format("binaryFile").load(path).where("hex(substring(content, 1, 3)) = 'EFBBBF'").count()
-    return spark.read.text(path).select(F.col("value").alias("line"), F.lit(marks).alias("marks"), F.lit(n).cast("long").alias("n"))
+    return spark.read.text(path).select(F.col("value").alias("line"), F.lit(marks).cast("long").alias("marks"), F.lit(n).cast("long").alias("n"))
