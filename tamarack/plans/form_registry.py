@@ -43,11 +43,11 @@ def marked_options(spark, sf_dir):
     return q.select("id", T.mark_of(F.col("options")).alias("mark")).withColumn("agrees", F.col("mark") == "A")
 
 
-@query("""WITH p AS (SELECT c_custkey AS user_id, CASE WHEN c_nationkey % 4 != 0 THEN c_nationkey END AS daily_questions, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS bio, CAST(c_acctbal AS BIGINT) AS revision FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH p AS (SELECT c_custkey AS user_id, CASE WHEN c_nationkey % 4 != 0 THEN c_nationkey END AS daily_questions, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS bio, CAST(floor(c_acctbal) AS BIGINT) AS revision FROM customer WHERE c_custkey % 3 = 0)
 SELECT c.c_custkey AS user_id, coalesce(daily_questions, 20) AS daily_questions, coalesce(bio, '') AS bio, coalesce(revision, 0) AS revision FROM customer c LEFT JOIN p ON p.user_id = c.c_custkey""")
 def profiles_with_defaults(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), F.col("c_nationkey")
-    stored = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.when(n % 4 != 0, n).alias("daily_questions"), F.when(n % 3 == 0, F.col("c_mktsegment")).alias("bio"), F.round("c_acctbal").cast("long").alias("revision"))
+    stored = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.when(n % 4 != 0, n).alias("daily_questions"), F.when(n % 3 == 0, F.col("c_mktsegment")).alias("bio"), F.floor("c_acctbal").cast("long").alias("revision"))
     return practice.profiles(c.select(F.col("c_custkey").alias("user_id")), stored, {"daily_questions": 20, "bio": "", "revision": 0})
 
 
