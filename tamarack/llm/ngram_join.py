@@ -1,19 +1,29 @@
-"""N-gram Jaccard join with filters under several global token orders.
+"""N-gram Jaccard join: signatures that similar sets must share, then filters under several global token orders.
 
-Two sets whose Jaccard similarity reaches a threshold must share many of the tokens that come first in any fixed order
-of all tokens: so many that tokens behind the prefixes cannot make up for what is missing.  Three orders are used.
+Two sets whose Jaccard similarity reaches a threshold differ in few tokens.  Dealt out by a hash to more parts than that,
+they must be equal in some of the parts (the pigeonhole principle).
 
 1. Equal sets are one class, known by a hash of the set.
-2. Order A puts frequent tokens last.  Prefix tokens are shuffled as postings; pairs of classes that share a token are
-   counted, and those with enough common prefix tokens are candidate links.  Tokens known to be very frequent, and
-   lists longer than ``LONGEST_LIST``, link all their classes to one of them instead, so no list makes all pairs.
+2. The bound of the differing tokens, and so the number of parts, goes by ranges of sizes that grow by the threshold's
+   inverse: partners lie in one range or in neighbours.  Each class is dealt out for its own range and, as a guest, for the
+   next one.  What lies in a part is its signature; these are shuffled, and pairs of classes with enough common ones are
+   candidate links.  A signature holds several tokens, so one frequent token brings no unlike sets together, however
+   many texts there are.  Lists longer than ``LONGEST_LIST``, and those that a batch holds ``HOT`` times, link all their
+   classes to one of them instead, so no list makes all pairs.
 3. Candidate links fall into clusters.  A true link never leaves its cluster.  Texts of clustered classes are shuffled
-   to their cluster, and there a pair must pass the filters of the orders A, B and C before its sets are compared.
+   to their cluster, and there a pair must pass the filters of three token orders before its sets are compared: sets
+   that are similar enough share many of the tokens that come first in any fixed order of all tokens.
    Large clusters are dealt out as pairs of blocks of bounded size.  Pairs already connected are not compared again.
 4. The links found are joined to components.
 
-The frequent tokens are a hint for order A, from counts within batches, of bounded size (``HINTS``); whatever it holds,
-the order is fixed and the result is whole.
+Empty parts say nothing: some are allowed for in the number of parts.  Sets that have more are dealt out anew by another
+hash, up to ``DEALS`` times, the last time with their empty parts: of two sets that end at different deals, the one that
+ends first has few empty parts there.  So the result is whole for any threshold; below some 70 percent empty parts are
+many and it takes long.
+
+Parts that hold frequent tokens alone are dull: lines that many texts share would bring them together.  Some of these are
+allowed for as well and not sent; a set that has more of them sends all.  The frequent tokens are a hint, from counts
+within batches, of bounded size (``HINTS``); whatever it holds, the result is whole.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of all; repeated rows are linked with each other; rows of one doc_id are one document, so texts under one id
@@ -24,7 +34,9 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +52,10 @@ LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
 #: Documents and tokens of a block of a large cluster.
 BLOCK_ROWS, BLOCK_TOKENS = 1000, 2_000_000
 ORDERS = (1, 2, 3)
+#: Salts of a token's part and of its share in the signature; times that sets with many empty parts are dealt out.
+PART, SHARE, DEALS = 4, 5, 4
+#: In place of a size: a link between two classes.
+LINK = -(1 << 31)
 #: Words of 64 bits in the map of hashed ids that keeps texts outside clusters from being shuffled: the bound of what is broadcast.
 MAP_WORDS = 1 << 19
 
@@ -95,87 +111,145 @@ def _sets_and_hints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, token long, times long")
 
 
-def _postings(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
-    """Prefix tokens under order A: (token, class, n); for hot tokens one class of the batch and links of the others to it (kind 1)."""
+@cache
+def ranges(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of sizes: their smallest ones, the parts of each, and the empty and the dull parts that these allow for.
+
+    A set has no partner two ranges further.  Sets of a range, and their partners of the range before, differ in fewer
+    tokens than there are parts less those allowed for.
+    """
+    least, parts, empty, dull = [1], [], [], []
+    while least[-1] < 1 << 31:
+        least.append(least[-1] * 100 // min(percent, 99) + 1)
+        differ = 2 * (least[-1] - 1) * (100 - percent) // (100 + percent)
+        smallest, none = -(-percent * least[-2] // 100), 0
+        for _ in range(20):  # the mean number of empty parts of the smallest guest, and what it varies by
+            many = differ + 1 + differ // 12 + differ // 16 + none
+            mean = many * math.exp(-smallest / many)
+            none = min(differ // 3 + 1, math.ceil(mean + 2 * math.sqrt(mean)))
+        parts.append(differ + 1 + differ // 12 + differ // 16 + none)
+        empty.append(none)
+        dull.append(differ // 12)
+    return np.array(least), np.array(parts), np.array(empty), np.array(dull)
+
+
+def needed(n: np.ndarray, m: np.ndarray, percent: int, sizes: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Common signatures that sets of n and m tokens need at least, under the larger one's range."""
+    at = np.searchsorted(sizes[0], np.maximum(n, m), "right") - 1
+    return sizes[1][at] - sizes[2][at] - sizes[3][at] - (n + m) * (100 - percent) // (100 + percent)
+
+
+def _signatures(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
+    """(sign, class, n) for each part of each class, n negative for guests; of a sign that ``HOT`` classes of the batch
+    hold one class, with n 0, and links of the others to it, with n ``LINK``."""
+    sizes = ranges(percent)
+
+    def signs(token: np.ndarray, owner: np.ndarray, cold: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of classes whose ranges are given: the signs and their owners."""
+        found, left = [], np.arange(len(at))
+        for deal in range(DEALS):
+            parts = sizes[1][at[left]]
+            begin = np.cumsum(parts) - parts
+            part = (mix(token, PART + 2 * deal) % parts.astype(np.uint64)[owner]).astype(np.int64) + begin[owner]
+            total, held = np.zeros(parts.sum(), np.uint64), np.bincount(part, minlength=parts.sum())
+            np.add.at(total, part, mix(token, SHARE))
+            of = np.repeat(np.arange(len(parts)), parts)
+            place = (at[left][of].astype(np.uint64) << np.uint64(32)) + (np.arange(len(of)) - begin[of]).astype(np.uint64)
+            dull = (held > 0) & (np.bincount(part[cold], minlength=parts.sum()) == 0)
+            over = np.bincount(of[held == 0], minlength=len(parts)) > sizes[2][at[left]]
+            dulled = np.bincount(of[dull], minlength=len(parts)) > sizes[3][at[left]]
+            sent = (held > 0) & (~dull | dulled[of]) | (held == 0) & over[of] & (deal == DEALS - 1)
+            found.append((mix(total[sent] ^ mix(place[sent], PART + 2 * deal), SHARE), left[of[sent]]))
+            left, some = left[over], over[owner]
+            token, owner, cold = token[some], (np.cumsum(over) - 1)[owner[some]], cold[some]
+            if not len(left):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(hot.value[0], dtype=np.uint64)
-        rank = np.frombuffer(hot.value[1], dtype=np.int64)
+        known = np.frombuffer(hot.value, dtype=np.uint64)
         for batch in batches:
             classes: dict[int, np.ndarray] = {}
             for s in _batch_sets(batch, width):
-                if len(s):
+                if 100 * len(s) >= percent * (len(s) + 1):  # others have no partner but equal sets
                     classes.setdefault(xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1, s)
             if not classes:
                 continue
-            size = np.array([len(s) for s in classes.values()])
-            token, owner = np.concatenate(list(classes.values())), np.repeat(np.arange(len(size)), size)
-            at = np.searchsorted(known, token) if len(known) else np.zeros(len(token), np.int64)
-            is_hot = known[np.minimum(at, len(known) - 1)] == token if len(known) else np.zeros(len(token), bool)
-            place = np.where(is_hot, rank[np.minimum(at, len(known) - 1)] if len(known) else 0, 0)
-            order = np.lexsort((mix(token, ORDERS[0]), place, owner))
-            start = np.cumsum(size) - size
-            first = order[np.arange(len(order)) - np.repeat(start, size) < np.repeat(prefix_length(size, percent), size)]
-            token, owner, is_hot = token[first], owner[first], is_hot[first]
+            # by name, as the tables hold it, so that all lists hang on few classes
             name = np.array(list(classes), dtype=np.uint64)
-            # the classes of a hot token hang on one of the batch
-            ht, ho = token[is_hot], owner[is_hot]
-            lead_token, inverse = np.unique(ht, return_inverse=True)
-            lead = np.full(len(lead_token), np.iinfo(np.uint64).max, dtype=np.uint64)
-            np.minimum.at(lead, inverse, name[ho])
-            links = np.unique(np.stack([lead[inverse], name[ho]], axis=1), axis=0) if len(ht) else np.empty((0, 2), np.uint64)
-            links = links[links[:, 0] != links[:, 1]]
-            t = np.concatenate([token[~is_hot], lead_token, links[:, 0]])
-            c = np.concatenate([name[owner[~is_hot]], lead, links[:, 1]])
-            n = np.concatenate([size[owner[~is_hot]], np.zeros(len(lead) + len(links), np.int64)])
-            kind = np.concatenate([np.zeros(len(t) - len(links), np.int32), np.ones(len(links), np.int32)])
-            yield pa.RecordBatch.from_arrays([_long(t), _long(c), pa.array(n, pa.int32()), pa.array(kind, pa.int32())], names=["token", "class", "n", "kind"])
-
-    return docs.mapInArrow(scan, "token long, class long, n int, kind int")
-
-
-def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with their common tokens here (n 0: linked through a long list)."""
+            name = name[np.argsort(name.view(np.int64))]
+            sets = [classes[c] for c in name.tolist()]
+            size = np.array([len(s) for s in sets])
+            at, token, owner = np.searchsorted(sizes[0], size, "right") - 1, np.concatenate(sets), np.repeat(np.arange(len(size)), size)
+            cold = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] != token if len(known) else np.ones(len(token), bool)
+            for further in (0, 1):
+                sign, of = signs(token, owner, cold, at + further)
+                n = np.where(further, -size, size)[of]
+                order = np.argsort(sign)
+                sign, of, n = sign[order], of[order], n[order]
+                head = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+                times = np.diff(np.r_[head, len(sign)])
+                many, first, lead = np.repeat(times >= HOT, times), np.zeros(len(sign), bool), np.repeat(np.minimum.reduceat(of, head), times)
+                first[head] = True
+                rest = many & (of != lead)
+                links = np.unique(np.stack([name[lead[rest]], name[of[rest]]], axis=1), axis=0)
+                kept = ~many | first
+                n, of = np.r_[np.where(many, 0, n)[kept], np.full(len(links), LINK)], np.where(many, lead, of)
+                yield pa.RecordBatch.from_arrays([_long(np.r_[sign[kept], links[:, 0]]), _long(np.r_[name[of[kept]], links[:, 1]]), pa.array(n, pa.int32())], names=["sign", "class", "n"])
+
+    return docs.mapInArrow(scan, "sign long, class long, n int")
+
+
+def _pairs(signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with their common signs here, and those they need (0: linked through a long list)."""
+    sizes = ranges(percent)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy() for c in ("token", "class", "n")) for b in batches]
+        parts = [tuple(b.column(c).to_numpy() for c in ("sign", "class", "n")) for b in batches]
         if not parts:
             return
-        token, name, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((name, token))
-        token, name, n = token[order], name[order], n[order].astype(np.int64)
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-        token, name, n = token[fresh], name[fresh], n[fresh]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        length = np.diff(np.r_[start, len(token)])
-        least_n = np.minimum.reduceat(n, start)
-        out = []
-        star = (length > LONGEST_LIST) | ((least_n == 0) & (length > 1))
-        for s, k in zip(start[star], length[star]):
-            out.append(np.stack([np.full(k - 1, name[s]), name[s + 1 : s + k], np.zeros(k - 1, np.int64), np.zeros(k - 1, np.int64), np.ones(k - 1, np.int64)]))
-        for k in np.unique(length[~star]):
-            if k < 2:
-                continue
-            i, j = np.triu_indices(k, 1)
-            heads = start[~star & (length == k)]
-            for some in np.array_split(heads, max(1, len(heads) * len(i) // 1_000_000)):
-                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                fits = _lengths_fit(n[a], n[b], percent)
-                a, b = a[fits], b[fits]
-                out.append(np.stack([name[a], name[b], n[a], n[b], np.ones(len(a), np.int64)]))
-        if not out:
-            return
+        sign, name, n = (np.concatenate(x) for x in zip(*parts))
+        link = n == LINK
+        ones = lambda k: np.ones(k, np.int64)
+        out = [np.stack([sign[link], name[link], ones(link.sum()), 0 * ones(link.sum())])]
+        sign, name, n = sign[~link], name[~link], n[~link].astype(np.int64)
+        # most signs are of one class
+        order = np.argsort(sign)
+        alike = sign[order][1:] == sign[order][:-1]
+        order = order[np.r_[alike, False] | np.r_[False, alike]] if len(order) else order
+        sign, name, n = sign[order], name[order], n[order]
+        order = np.lexsort((abs(n), name, sign))
+        sign, name, n = sign[order], name[order], n[order]
+        fresh = np.ones(len(sign), bool)
+        fresh[1:] = (sign[1:] != sign[:-1]) | (name[1:] != name[:-1])
+        sign, name, n = sign[fresh], name[fresh], n[fresh]
+        if len(sign):
+            start = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+            length = np.diff(np.r_[start, len(sign)])
+            hot, own = np.logical_or.reduceat(n == 0, start), np.maximum.reduceat(n, start) >= 0
+            star = ((length > LONGEST_LIST) | hot) & own & (length > 1)
+            for s, k in zip(start[star], length[star]):
+                out.append(np.stack([np.full(k - 1, name[s]), name[s + 1 : s + k], ones(k - 1), 0 * ones(k - 1)]))
+            for k in np.unique(length[~star & own]):
+                if k < 2:
+                    continue
+                i, j = np.triu_indices(k, 1)
+                heads = start[~star & own & (length == k)]
+                for some in np.array_split(heads, max(1, len(heads) * len(i) // 1_000_000)):
+                    a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                    fits = ((n[a] > 0) | (n[b] > 0)) & _lengths_fit(abs(n[a]), abs(n[b]), percent)
+                    a, b = a[fits], b[fits]
+                    out.append(np.stack([name[a], name[b], ones(len(a)), needed(abs(n[a]), abs(n[b]), percent, sizes)]))
         rows = np.concatenate(out, axis=1)
-        order = np.lexsort((rows[2], rows[1], rows[0]))
-        rows = rows[:, order]
-        head = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]) | (rows[2, 1:] != rows[2, :-1])]) if rows.shape[1] else np.empty(0, int)
-        if not len(head):
+        if not rows.shape[1]:
             return
-        count = np.add.reduceat(rows[4], head)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[0, head], rows[1, head], rows[2, head], rows[3, head], count)], names=["a", "b", "na", "nb", "common"])
+        order = np.lexsort((rows[3], rows[1], rows[0]))
+        rows = rows[:, order]
+        head = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]) | (rows[3, 1:] != rows[3, :-1])])
+        count = np.add.reduceat(rows[2], head)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[0, head], rows[1, head], count, rows[3, head])], names=["a", "b", "common", "needed"])
 
-    return postings.mapInArrow(join, "a long, b long, na long, nb long, common long")
+    return signatures.mapInArrow(join, "a long, b long, common long, needed long")
 
 
 class _Cluster:
@@ -278,15 +352,10 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     scanned = materialize(_sets_and_hints(d, width))
     sets = scanned.where("token IS NULL").select("doc_id", "n", "s1", "s2")
     hints = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("k")).where(F.col("k") >= HOT)
-    hints = sorted((r["token"] & (1 << 64) - 1, r["k"]) for r in hints.orderBy(F.desc("k"), "token").limit(HINTS).collect())
-    hot = spark.sparkContext.broadcast((np.array([t for t, _ in hints], np.uint64).tobytes(), np.array([k for _, k in hints], np.int64).tobytes()))
-    postings = materialize(_postings(d, width, percent, hot))
-    pairs = _pairs(postings.where("kind = 0").select("token", "class", "n").repartition(shuffle_partitions(spark), "token"), percent)
-    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.min("na").alias("least"))
-    length = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
-    needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} - greatest(na - {length('na')}, nb - {length('nb')})"
-    links = pairs.where(f"least = 0 OR common >= {needed}").select("a", "b")
-    links = links.union(postings.where("kind = 1").select(F.col("token").alias("a"), F.col("class").alias("b")))
+    hints = sorted(r["token"] & (1 << 64) - 1 for r in hints.orderBy(F.desc("k"), "token").limit(HINTS).collect())
+    hot = spark.sparkContext.broadcast(np.array(hints, np.uint64).tobytes())
+    pairs = _pairs(_signatures(d, width, percent, hot).repartition(shuffle_partitions(spark), "sign"), percent)
+    links = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed")).where("common >= needed").select("a", "b")
     clusters = connected_components(links)
     # one document of each class, with its cluster
     classes = materialize(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))

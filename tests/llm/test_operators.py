@@ -94,6 +94,19 @@ def test_ngram_join_of_repeated_and_missing_ids(spark):
     assert components([(5, a), (5, b), (3, a), (2, b), (8, a + " x")]) == [(2, 2), (3, 2), (5, 2), (8, 2)]
 
 
+def test_ngram_join_of_a_common_line(spark, monkeypatch):
+    """A line that many unlike texts share, too seldom in a batch to be known as frequent, makes no clusters of them."""
+    monkeypatch.setattr(ngram_join, "LONGEST_LIST", 3)
+    seen, join = [], ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda links: seen.append(links.count()) or join(links))
+    rng = random.Random(5)
+    docs = [(i, " ".join([*(f"r{rng.random()}" for _ in range(56)), "a line that all of them share"])) for i in range(80)]
+    docs += [(100 + i, t + " x") for i, t in docs[:3]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(42), 4, 85))}
+    assert got == brute_components(docs, 4, 85)
+    assert seen[0] <= 6  # the first are the candidates
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in rows(components.connected_components(spark.createDataFrame(chain, "a long, b long")))}
