@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,10 @@ LONGEST_LIST, HOT, HINTS = 64, 48, 1 << 18
 #: Documents and tokens of a block of a large cluster.
 BLOCK_ROWS, BLOCK_TOKENS = 1000, 2_000_000
 ORDERS = (1, 2, 3)
+#: Turns in which the signatures are shuffled, each for its ranges of sizes: two of one range meet in one turn only.
+TURNS = 2
+#: Spark's setting that a query's shuffle files go at its end and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Salts of a token's part and of its share in the signature; times that sets with many empty parts are dealt out.
 PART, SHARE, DEALS = 4, 5, 4
 #: In place of a size: a link between two classes.
@@ -139,9 +143,10 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int, sizes: tuple[np.ndarray,
     return sizes[1][at] - sizes[2][at] - sizes[3][at] - (n + m) * (100 - percent) // (100 + percent)
 
 
-def _signatures(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, percent: int, hot, turn: int) -> DataFrame:
     """(sign, class, n) for each part of each class, n negative for guests; of a sign that ``HOT`` classes of the batch
-    hold one class, with n 0, and links of the others to it, with n ``LINK``."""
+    hold one class, with n 0, and links of the others to it, with n ``LINK``.  Of the ranges of sizes each ``TURNS``-th,
+    from ``turn`` on."""
     sizes = ranges(percent)
 
     def signs(token: np.ndarray, owner: np.ndarray, cold: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +188,12 @@ def _signatures(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
             at, token, owner = np.searchsorted(sizes[0], size, "right") - 1, np.concatenate(sets), np.repeat(np.arange(len(size)), size)
             cold = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] != token if len(known) else np.ones(len(token), bool)
             for further in (0, 1):
-                sign, of = signs(token, owner, cold, at + further)
+                mine = (at + further) % TURNS == turn
+                if not mine.any():
+                    continue
+                some = mine[owner]
+                sign, of = signs(token[some], (np.cumsum(mine) - 1)[owner[some]], cold[some], (at + further)[mine])
+                of = np.flatnonzero(mine)[of]
                 n = np.where(further, -size, size)[of]
                 order = np.argsort(sign)
                 sign, of, n = sign[order], of[order], n[order]
@@ -252,6 +262,18 @@ def _pairs(signatures: DataFrame, percent: int) -> DataFrame:
     return signatures.mapInArrow(join, "a long, b long, common long, needed long")
 
 
+def _links(signatures: DataFrame, percent: int) -> DataFrame:
+    """Candidate links, stored.  The shuffled signatures, the most that lies on disk, go when they have been read."""
+    spark = signatures.sparkSession
+    pairs = _pairs(signatures.repartition(shuffle_partitions(spark), "sign"), percent)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return materialize(pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed")).where("common >= needed").select("a", "b"))
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 class _Cluster:
     """Documents of one cluster (or of two of its blocks): finds the links by filters under all orders."""
 
@@ -354,9 +376,8 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_
     hints = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("k")).where(F.col("k") >= HOT)
     hints = sorted(r["token"] & (1 << 64) - 1 for r in hints.orderBy(F.desc("k"), "token").limit(HINTS).collect())
     hot = spark.sparkContext.broadcast(np.array(hints, np.uint64).tobytes())
-    pairs = _pairs(_signatures(d, width, percent, hot).repartition(shuffle_partitions(spark), "sign"), percent)
-    links = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed")).where("common >= needed").select("a", "b")
-    clusters = connected_components(links)
+    links = [_links(_signatures(d, width, percent, hot, turn), percent) for turn in range(TURNS)]
+    clusters = connected_components(reduce(DataFrame.union, links))
     # one document of each class, with its cluster
     classes = materialize(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     members = materialize(classes.join(clusters, F.col("s1") == F.col("node")).select("rep", F.col("s1").alias("class"), "n", F.col("label").alias("cluster")))

@@ -113,6 +113,28 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_dense_group(spark, monkeypatch):
+    """The links of a dense group, as many as the square of its nodes, are not read again in every round."""
+    folders, left = [], []
+    monkeypatch.setattr(components, "remove_folder", lambda s, f: folders.append(f) or left.append(s.read.parquet(f"{f}/contracted").count()))
+    links = [(i, j) for i in range(40) for j in range(i)] + [(50, 51)]
+    got = {r["node"]: r["label"] for r in rows(components.connected_components(spark.createDataFrame(links, "a long, b long")))}
+    assert got == {i: 0 for i in range(40)} | {50: 50, 51: 50}
+    assert left == [0] and len(folders) == 1
+
+
+def test_ngram_join_in_turns(spark, texts, monkeypatch):
+    """The turns share the signatures out, so that no more than a part of them lies on disk at once."""
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    hot = spark.sparkContext.broadcast(b"")
+    key = lambda turn: Counter(map(tuple, ngram_join._signatures(d, 4, 85, hot, turn).collect()))
+    parts, was = [key(turn) for turn in range(ngram_join.TURNS)], spark.conf.get(ngram_join.CLEANUP)
+    assert ngram_join._links(ngram_join._signatures(d, 4, 85, hot, 0), 85).count() >= 0 and spark.conf.get(ngram_join.CLEANUP) == was
+    monkeypatch.setattr(ngram_join, "TURNS", 1)
+    whole = key(0)
+    assert sum(parts, Counter()) == whole and all(x.total() < 0.7 * whole.total() for x in parts)
+
+
 # substring dedup
 
 
