@@ -103,7 +103,7 @@ def page_lines(html: str | Column) -> Column:
     low = F.lower(page)
     open_ended = reduce(or_, (F.contains(F.substring_index(low, end, -1), F.lit(f"<{begin}")) for begin, end in WHOLE))
     h = F.when(open_ended, _marked(page)).otherwise(page)
-    h = F.regexp_replace(h, "(?is)" + "|".join(f"<{b}.*?{e}" for b, e in WHOLE), "")
+    h = F.regexp_replace(h, "(?is)<(?:" + "|".join(f"{b}.*?{e}" for b, e in WHOLE) + ")", "")
     h = _before_last(h, ">", lambda x: F.regexp_replace(x, f"(?i)</?({_BLOCKS})[^>]*>", "\n"))
     h = _before_last(h, ">", lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
     h = _once(h, lambda x: F.when(open_ended, F.replace(F.replace(x, F.lit(MARK + "1"), F.lit("")), F.lit(MARK + "0"), F.lit(MARK))).otherwise(x))
