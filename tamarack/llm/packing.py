@@ -18,20 +18,19 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tamarack.llm.common import documents, materialize, shared_folder, shuffle_partitions, text_of
+from tamarack.llm.common import documents, materialize, shared_folder, shuffle_partitions, slices, text_of
 
 LENGTH, END_ID = 4096, 2
 DIMENSIONS, BITS = 4, 10
-ROWS_AT_ONCE = 1000
-#: Words whose ids a task keeps, twice: those of late and those before; a new text's words come on top.
-KNOWN_WORDS = 200_000
-#: Likewise of the runs that words are cut into.
-KNOWN_RUNS = 50_000
+#: Runs whose ids a Python process keeps, twice: those of late and those before.
+KNOWN_RUNS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,71 +40,87 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _gather(pool: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of ``pool`` (of these lengths, one behind the other) that ``codes`` name, and where each ends."""
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(lengths) - lengths)[codes] - ends + n, n)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
 class Encoder:
-    """Token ids of texts, as bytes of 16 or 32-bit numbers.
+    """Token ids of texts, as 16 or 32-bit numbers.
 
-    No token of this tokenizer spans white space, so words are looked up; a new one is cut into its runs of letters,
-    digits and signs, and the tokenizer's model gives the ids of a run.  Words with anything but printable ASCII and Latin-1
-    letters, and with the signs of special tokens, go through the whole tokenizer.
+    No token of this tokenizer spans white space.  The words of many texts are cut by Arrow, once for each different word,
+    into their runs of letters, digits and signs, and the tokenizer's model gives the ids of a run that is not known.  Words
+    with anything but printable ASCII and Latin-1 letters, and with the signs of special tokens, go through the whole tokenizer.
     """
 
-    #: What Python's split takes for white space and the tokenizer does not.
-    ODD = re.compile("[\x1c-\x1f]")
-    PLAIN = re.compile("[\x21-\x7e\xc0-\xff]*")
+    PLAIN = "[\x21-\x7e\xc0-\xff]*"
+    #: One run; Arrow puts a blank behind each.
+    RUN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, end: int):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        #: Words and runs seen of late, and those seen before.
-        self.known, self.known_before, self.runs, self.runs_before = {}, {}, {}, {}
+        #: Runs (and words that are not plain) seen of late, and those seen before.
+        self.known, self.known_before = {}, {}
         self.type, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
-        self.end, self.letters = self.type(end).tobytes(), _byte_letters()
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
-
-    def _run(self, run: str) -> bytes:
-        if (ids := self.runs_before.get(run)) is None:
-            found = self.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
-            ids = array(self.code, [t.id for t in found]).tobytes()
-        if len(self.runs) >= KNOWN_RUNS:
-            self.runs_before, self.runs = self.runs, {}
-        self.runs[run] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():  # one run, and seen for the first time
-            return array(self.code, [t.id for t in self.tokenize(word.lower())]).tobytes()
-        if not self.PLAIN.fullmatch(word) or "<|" in word:
-            return self._whole(word)
-        out = []
-        for run in self.cut(word.lower()):
-            if (ids := self.runs.get(run) or self.known.get(run)) is None:
-                ids = self._run(run)
-            out.append(ids)
-        return b"".join(out)
+        self.end, self.letters = end, _byte_letters()
+        self.plain = re.compile(self.PLAIN).fullmatch
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            found = self.tokenize(part)
+        elif not self.plain(part) or "<|" in part:
+            return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        else:
+            found = self.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+        return array(self.code, [t.id for t in found]).tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, parts))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            if len(self.known) >= KNOWN_RUNS:
+                self.known_before, self.known = self.known, {}
+            part = parts[i]
+            if (ids := self.known_before.get(part)) is None:
+                ids = self._part(part)
+            out[i] = self.known[part] = ids
+        return out
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text ends."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        n_words = words.value_lengths().to_numpy().astype(np.int64)
+        words = words.flatten().dictionary_encode()
+        different = words.dictionary
+        plain = pc.and_not(pc.match_substring_regex(different, f"^{self.PLAIN}$"), pc.match_substring(different, "<|"))
+        runs = pc.replace_substring_regex(pc.utf8_lower(different), self.RUN, r"\0 ")
+        parts = pc.split_pattern(pc.if_else(plain, runs, different), " ")
+        n_parts = parts.value_lengths().to_numpy().astype(np.int64)
+        parts = parts.flatten().dictionary_encode()
+        ids = self._parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type().itemsize
+        pool, ends = _gather(np.frombuffer(b"".join(ids), dtype=self.type), lengths, parts.indices.to_numpy())
+        # the ids of each different word, and behind them the id that ends a text, as one more word
+        ends = np.append(0, ends)[np.cumsum(n_parts)]
+        lengths = np.append(np.diff(ends, prepend=0), 1)
+        codes = np.insert(words.indices.to_numpy(), np.cumsum(n_words), len(different))
+        found, ends = _gather(np.append(pool, self.type(self.end)), lengths, codes)
+        return found, ends[np.cumsum(n_words + 1) - 1]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        if self.ODD.search(text):
-            return self._whole(text) + self.end
-        words = text.split()
-        out = list(map(self.known.get, words))
-        if None in out:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known_before, self.known = self.known, {}
-            known, before = self.known, self.known_before
-            for i in [i for i, ids in enumerate(out) if ids is None]:
-                word = words[i]
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = before.get(word) or self._word(word)
-                out[i] = ids
-        return b"".join(out) + self.end
+        return self.many(pa.array([text], pa.string()))[0].tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end: int) -> Encoder:
+    """One of a Python process, so that the next task there knows the runs of those before."""
+    return Encoder(path, end)
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -138,15 +153,16 @@ def encoded(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
     """``doc_id, h, tokens, place, ids``: from (doc_id, h, text), the token ids, their number and the place on the curve."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, end)
+        encode = encoder(path, end)
         matrix = np.random.default_rng(7).normal(size=(1 << 16, DIMENSIONS)).astype(np.float32)
-        for batch in batches:
-            for part in (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
-                ids = [encode(text) for text in part.column("text").to_pylist()]
-                points = [matrix[np.frombuffer(x, dtype=encode.type) & 0xFFFF].mean(axis=0) for x in ids]
-                grid = np.clip((np.array(points).reshape(-1, DIMENSIONS) + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
-                tokens = pa.array([len(x) // encode.type().itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), tokens, pa.array(hilbert(grid, BITS), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "h", "tokens", "place", "ids"])
+        for part in slices(batches):
+            found, ends = encode.many(part.column("text"))
+            tokens = np.diff(ends, prepend=0)
+            points = np.add.reduceat(matrix[found & 0xFFFF], ends - tokens, axis=0) / tokens[:, None].astype(np.float32)
+            grid = np.clip((points + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
+            offsets = np.append(0, ends * found.itemsize).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(found)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(tokens), pa.array(hilbert(grid, BITS)), ids], names=["doc_id", "h", "tokens", "place", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(keyed, f"doc_id {kind}, h long, tokens long, place long, ids binary")

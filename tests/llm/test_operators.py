@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tamarack.llm import components, fingerprints, license_scans, line_dedup, mixing, ngram_join, packing, quality_rules, registry, secret_scans, substring_dedup, toxicity
@@ -385,6 +386,25 @@ def test_encoder_agrees_with_the_tokenizer_on_odd_characters():
         assert np.frombuffer(encode(t), encode.type).tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_encoder_asks_the_model_once_for_each_run():
+    encode, asked = packing.Encoder(packing.tokenizer_path(), 2), Counter()
+    plain = encode.tokenize
+    encode.tokenize = lambda run: (asked.update([run]), plain(run))[1]
+    texts = ["Word word. WORD, \xe9t\xe9 (word) it's", None, "", " \n", "word 7,7 \u2019word\u2019 a<|endoftext|>b \xc9t\xe9."]
+    for text in texts:
+        want = [*encode.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert np.frombuffer(encode(text), encode.type).tolist() == want
+    assert asked and set(asked.values()) == {1} and asked["word"] == 1
+
+
+def test_encoder_of_many_texts(texts):
+    encode = packing.Encoder(packing.tokenizer_path(), 2)
+    some = [*texts.values(), None, "", "\x1c a\xa0b \u2019c", "same", "same"]
+    found, ends = encode.many(pa.array(some, pa.string()).slice(1))
+    for a, b, t in zip([0, *ends], ends, some[1:]):
+        assert found[a:b].tolist() == [*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 def test_hilbert_is_a_walk():
     grid = np.array([(x, y) for x in range(16) for y in range(16)])
     key = packing.hilbert(grid, 4)
