@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tamarack.llm.common import WORD, documents, free_name, text_of
 
-#: Character classes, no two of which share a character; what no class takes counts as "other".
+#: Character classes, no two of which share a character; what no class takes counts as "other", symbols among it.
 CLASSES = (r"\p{Ll}+", r"\s+", r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{Nd}+")
-MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Words of a window, a power of two.
+WINDOW = 8
 #: Guards and limits of the divergence rules (distance: square root of the divergence in bits, 0 to 1).
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_WORDS = 100, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.23, 0.37
@@ -28,14 +30,30 @@ TOP_WORDS = 40
 MIN_LANGUAGE_SHARE = 0.005
 
 
-def _classes(d: DataFrame, text: str) -> tuple[DataFrame, list[Column]]:
-    """``d`` with what each class in turn leaves of the text; the numbers of characters by class and of all."""
-    left, counts = text, []
-    for p in CLASSES:
+def _blanks(text: Column) -> Column:
+    """The text with blanks for other white space."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _words(blanks: Column) -> Column:
+    """The words of a text whose white space is blanks."""
+    return F.array_remove(F.split(blanks, " "), "")
+
+
+def _classes(d: DataFrame, text: str, blanks: str) -> tuple[DataFrame, list[Column], str]:
+    """``d`` with what each class in turn leaves of the text; the numbers of characters by class and of all; what no class takes.
+
+    White space goes first, as matches of the others are then long and few.
+    """
+    d = d.withColumn(left := free_name(d, "_rest"), F.replace(F.col(blanks), F.lit(" "), F.lit("")))
+    counts = {r"\s+": F.length(text) - F.length(left)}
+    for p in (p for p in CLASSES if p != r"\s+"):
         d = d.withColumn(rest := free_name(d, "_rest"), F.regexp_replace(left, p, ""))
-        counts.append(F.length(left) - F.length(rest))
+        counts[p] = F.length(left) - F.length(rest)
         left = rest
-    return d, [*counts, F.length(text)]
+    return d, [*(counts[p] for p in CLASSES), F.length(text)], left
 
 
 def _plain(text: Column) -> Column:
@@ -53,10 +71,11 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     names = sorted(r["l"] for r in d.groupBy("l").count().where((F.col("count") >= least) & F.col("l").isNotNull()).collect())
     d = d.select(F.when(F.col("l").isin(names), F.col("l")).alias("l") if names else F.lit(None).cast("string").alias("l"), "t")
     columns = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    c, counts = _classes(d, "t")
+    d = d.withColumn("b", _blanks(F.col("t")))
+    c, counts, _ = _classes(d, "t", "b")
     c = c.select("l", *(x.alias(n) for n, x in zip(columns, counts)))
     classes = {r["l"]: [r[n] or 0 for n in columns] for r in c.groupBy("l").agg(*(F.sum(n).alias(n) for n in columns)).collect()}
-    w = d.select("l", F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("w")).groupBy("l", "w").count()
+    w = d.select("l", F.explode(_words(F.col("b"))).alias("w")).groupBy("l", "w").count()
     w = w.select("l", _plain(F.col("w")).alias("w"), "count").groupBy("l", "w").agg(F.sum("count").alias("k"))
     order = (F.col("k").desc(), F.col("w"))
     by_salt, by_lang = Window.partitionBy("l", "salt"), Window.partitionBy("l")
@@ -81,12 +100,16 @@ def _divergence(p: str, q: str) -> str:
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``into`` (renamed if taken): the measures, ``base_failed``, the distances, ``kept``."""
     refs = references(docs, text, lang)
-    names = [free_name(docs, n) for n in ("_t", "_w", "_h", "_g", "_c", "_m")]
-    t, w, h, g, c, m = names
-    d = docs.withColumn(t, text_of(text)).withColumn(w, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    d = d.withColumn(h, F.expr(f"transform({w}, x -> xxhash64(x))"))
-    at = ", ".join(f"get({h}, i + {k})" for k in range(WINDOW))
-    d = d.withColumn(g, F.expr(f"CASE WHEN size({w}) > {WINDOW} THEN transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({at})) ELSE array() END"))
+    names = [free_name(docs, n) for n in ("_t", "_b", "_w", "_g", "_c", "_m")]
+    t, b, w, g, c, m = names
+    d = docs.withColumn(t, text_of(text)).withColumn(b, _blanks(F.col(t))).withColumn(w, _words(F.col(b)))
+    # hashes of one word and the next, of two and the next two, of four and the next four; at the end they lack words
+    of = w
+    for k in (2**n for n in range(WINDOW.bit_length() - 1)):
+        d = d.withColumn(pairs := free_name(d, g), F.expr(f"zip_with({of}, slice({of}, {k + 1}, size({of})), (x, y) -> xxhash64(x, y))"))
+        of = pairs
+    g = free_name(d, g)
+    d = d.withColumn(g, F.expr(f"slice({of}, 1, greatest(0, size({w}) - {WINDOW - 1}))"))
     # starts of windows that occur twice, and the words that they cover
     starts = f"""transform(array(sort_array(transform({g}, (x, i) -> struct(x AS h, i AS i)))), s -> sort_array(transform(
         filter(s, (e, k) -> coalesce((k > 0 AND get(s, k - 1).h = e.h) OR get(s, k + 1).h = e.h, false)), e -> e.i)))[0]"""
@@ -94,13 +117,13 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into:
     repeated = f"CASE WHEN size(array_distinct({g})) < size({g}) THEN {covered} ELSE 0 END"
     common = sorted({x for r in refs for x in r["words"]})
     # all words of a text are made plain in one pass
-    d = d.withColumn(c, F.sort_array(F.filter(F.split(_plain(F.col(t)), r"[\x20\x09-\x0D]+"), lambda x: x.isin(common))) if common else F.array().cast("array<string>"))
+    d = d.withColumn(c, F.sort_array(F.filter(F.split(_plain(F.col(b)), " "), lambda x: x.isin(common))) if common else F.array().cast("array<string>"))
     lines = f"filter(split({t}, '\\n'), x -> x rlike '{WORD}')".replace("\\", "\\\\").replace("\\\\n", "\\n")
-    d, counts = _classes(d, t)
+    d, counts, rest = _classes(d, t, b)
     measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (counts[-1] - counts[CLASSES.index(r"\s+")]).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(rest, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.expr(f"transform(array({lines}), l -> CAST(size(l) - size(array_distinct(l)) AS long))[0]").alias("n_dup_lines"),
         F.expr(f"CAST({repeated} AS long)").alias("n_repeat_words"),
         F.transform(F.array(*counts, F.lit(0)), lambda x: x.cast("double")).alias("classes"),

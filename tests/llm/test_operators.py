@@ -487,6 +487,22 @@ def test_quality_base(spark, texts):
         assert q["base_failed"] == failed and not (failed and q["kept"])
 
 
+def test_quality_words_are_split_at_blanks(spark):
+    """All kinds of white space, few words and windows at the ends; words and windows are made without regular expressions and lookups."""
+    rng, space = random.Random(5), " \t\n\x0b\x0c\r"
+    docs = [(n, "a " * n) for n in range(19)] + [(100 + n, " ".join([*"abcdefgh"[:n], *"abcdefgh"[:n]])) for n in range(9)]
+    docs += [(200 + i, "".join(rng.choice(space) if rng.random() < 0.5 else rng.choice("ab#<\xc9\x1c\x85\xa0\u2003") for _ in range(rng.randint(0, 120)))) for i in range(200)]
+    q = quality_rules.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["quality"] for r in rows(q)}
+    for i, t in docs:
+        w = WORD.findall(t)
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {x for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(covered)), repr(t)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "sequence(0, (size(_w" not in plan
+
+
 def test_quality_distance_is_jensen_shannon(spark, texts):
     d = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
     refs = quality_rules.references(d)
