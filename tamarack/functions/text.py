@@ -148,12 +148,15 @@ def contains_han(x: Column | str) -> Column:
 
 
 def normalize_tex(x: Column | str) -> Column:
-    """One line, single spaces, no trailing semicolons, no blanks inside the dollar signs (an unpaired last one included)."""
+    """One line, single spaces, no trailing semicolons, no blanks inside the dollar signs (an unpaired last one included).
+
+    Pairs are taken possessively: a loop that may go back holds a stack frame for each pair, and thousands end the executor.
+    """
     s = trim_all(F.regexp_replace(trim_all(F.regexp_replace(col(x), rf"{SPACE}++", " ")), r"(?<![;； ])[;； ]++$", ""))
 
     def inner(s: Column) -> Column:
         pairs = F.regexp_replace(s, r"\$[ \t]*([^$]*?)[ \t]*\$", r"\$$1\$")
-        return F.when(has_math_delimiter(s), F.regexp_replace(pairs, r"^((?:[^$]*\$[^$]*\$)*[^$]*\$)[ \t]+([^$]*)$", "$1$2")).otherwise(s)
+        return F.when(has_math_delimiter(s), F.regexp_replace(pairs, r"^((?:[^$]*+\$[^$]*+\$)*+[^$]*+\$)[ \t]++([^$]*+)$", "$1$2")).otherwise(s)
 
     return once(s, inner)
 

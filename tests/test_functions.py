@@ -34,6 +34,13 @@ def test_text(spark):
     assert column(spark, T.split_sub, ["qid 12 · 图形", "none"]) == [("12", "图形"), ("", "")]
 
 
+def test_class_samples_of_long_formulas(spark):
+    """Thousands of dollar signs in a text, of an even and an odd number."""
+    rows = [("even", "a $ " * 20000), ("odd", "a $ " * 20001 + "b"), ("han", "约" * 20000), ("none", " ; ；")]
+    got = media.class_samples(spark.createDataFrame(rows, "url string, ocr_tex string"), 9, "s").collect()
+    assert sorted((r.url, r["class"]) for r in got) == [("even", "has_delim"), ("han", "cjk_text"), ("none", "empty"), ("odd", "has_delim")]
+
+
 def test_answers(spark):
     assert column(spark, A.normalized_answer, ["c, a", "AA", "A1", ""]) == ["AC", "A", None, ""]
     d = spark.createDataFrame([("multi", "AC", "c a"), ("single", "A", "AB"), ("single", "A", "a"), ("judge", "B", "")], "k string, o string, a string")
