@@ -41,6 +41,20 @@ def test_class_samples_of_long_formulas(spark):
     assert sorted((r.url, r["class"]) for r in got) == [("even", "has_delim"), ("han", "cjk_text"), ("none", "empty"), ("odd", "has_delim")]
 
 
+def trimmed_inside(s):
+    """Without the blanks behind an opening and in front of a closing dollar sign, of at least two."""
+    parts = s.split("$")
+    inside = lambda i, x: x.lstrip(" ") if i == len(parts) - 1 and i % 2 else x.strip(" ") if i % 2 else x
+    return "$".join(inside(i, x) for i, x in enumerate(parts)) if len(parts) > 2 else s
+
+
+def test_formulas_against_plain_python(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice(("$", " ", "a", "约")) for _ in range(rng.randrange(12))).split()) for _ in range(2000)]
+    texts += [" ".join(rng.choice(("$", "$b", "b$", "b")) for _ in range(n)) for n in (5000, 5001, 30000, 30001)]
+    assert column(spark, T.normalize_tex, texts) == [trimmed_inside(x) for x in texts]
+
+
 def test_answers(spark):
     assert column(spark, A.normalized_answer, ["c, a", "AA", "A1", ""]) == ["AC", "A", None, ""]
     d = spark.createDataFrame([("multi", "AC", "c a"), ("single", "A", "AB"), ("single", "A", "a"), ("judge", "B", "")], "k string, o string, a string")
