@@ -66,22 +66,22 @@ def _character(code: Column) -> Column:
     return F.coalesce(F.element_at(known, code.cast("string")), plain)
 
 
-def unescape(x: Column | str) -> Column:
+def unescape(x: Column | str, closed: bool = False) -> Column:
     """Text with its character references read once, from left to right, as browsers do.
 
-    Named ones are those of HTML 5; without a semicolon the longest of the old names at the front counts.  Numbers may be
-    decimal or hexadecimal.  What is no reference stays.
+    Named ones are those of HTML 5; without a semicolon the longest of the old names at the front counts, or none if only
+    ``closed`` ones are asked for.  Numbers may be decimal or hexadecimal.  What is no reference stays.
     """
     names = {k: v for k, v in html5.items() if k.endswith(";")}
     old = {k: v for k, v in html5.items() if not k.endswith(";")}
     named, short = (F.from_json(F.lit(json.dumps(m)), "map<string, string>") for m in (names, old))
-    longest = max(map(len, old))
+    longest, end = (0, ";") if closed else (max(map(len, old)), ";?")
 
     def read(piece: Column) -> Column:
-        word = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+        word = F.regexp_extract(piece, rf"^[A-Za-z][A-Za-z0-9]*{end}", 0)
         shorter = [F.struct(F.lit(n).alias("n"), F.element_at(short, F.when(F.length(word) >= n, F.left(word, F.lit(n)))).alias("x")) for n in range(longest, 1, -1)]
         first = F.get(F.filter(F.array(F.struct(F.length(word).alias("n"), F.element_at(named, word).alias("x")), *shorter), lambda c: c["x"].isNotNull()), F.lit(0))
-        number = F.regexp_extract(piece, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        number = F.regexp_extract(piece, rf"^#(?:[xX][0-9a-fA-F]+|[0-9]+){end}", 0)
         digits = F.regexp_replace(number, r"^#[xX]?0*|;$", "")
         large = F.length(digits) > 7
         short_digits = F.when(digits == "", "0").when(~large, digits)
@@ -97,10 +97,10 @@ def unescape(x: Column | str) -> Column:
 COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def strip_tags(x: Column | str, every: bool = False) -> Column:
-    """Without tags, the common character references read, or ``every`` one: the fallback where markup cannot be parsed."""
+def strip_tags(x: Column | str, every: bool = False, closed: bool = False) -> Column:
+    """Without tags, the common character references read, or ``every`` one (of ``closed`` ones): the fallback where markup cannot be parsed."""
     plain = F.regexp_replace(col(x), r"<[^>]*>", "")
-    return unescape(plain) if every else reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), COMMON, plain)
+    return unescape(plain, closed) if every else reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), COMMON, plain)
 
 
 def image_reference(src: Column | str) -> Column:

@@ -26,6 +26,13 @@ def test_strip_tags_reads_all_references(spark):
     assert d.select(T.strip_tags("t", every=True)).first()[0] == "x ≥ 3 &lt; y\xa0→"
 
 
+def test_unescape_of_closed_references(spark):
+    cases = {"&amp;&ge;&#65;&#x42;": "&≥AB", "&amp &ampx &#65 &#x42,": "&amp &ampx &#65 &#x42,", "&notit;&notin;": "&notit;∉", "&am&amp;amp;&": "&am&amp;&", "&;&#;&#x;": "&;&#;&#x;"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.unescape("t", closed=True)).collect()
+    assert dict(map(tuple, got)) == cases
+    assert [notes.html_to_text(t, closed=True)[0] for t in cases] == list(cases.values())
+
+
 def test_note_warnings(spark):
     head = "---\n试卷: A\n题数: {}\n---\n"
     question = "## 第 1 题\n- **A** . x\n- **B** . y\n{}**答案** : A\n"
